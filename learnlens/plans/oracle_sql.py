@@ -24,13 +24,57 @@ def _case(column: str, table: dict[str, str]) -> str:
     return f"CASE {column} {whens} END"
 
 
-def views(term: Term = DRIVER_TERM) -> str:
-    """The mapped source tables and term-bound facts as CTE definitions."""
+def _week(term: Term, ts: str) -> str:
+    return (f"CAST(floor(date_diff('day', DATE '{term.start.isoformat()}', CAST({ts} AS DATE)) / 7) + 1 "
+            f"AS BIGINT)")
+
+
+def _in_term(term: Term, ts: str, cutoff: str | None = None) -> str:
     s, e = term.start.isoformat(), term.end.isoformat()
+    cond = f"{ts} >= TIMESTAMP '{s} 00:00:00' AND {ts} < TIMESTAMP '{e} 00:00:00'"
+    if cutoff:
+        cond += f" AND {ts} < TIMESTAMP '{cutoff}'"
+    return cond
+
+
+def fact_views(term: Term = DRIVER_TERM, sfx: str = "", cutoff: str | None = None) -> str:
+    """Term-bound facts and current reflections; ``cutoff`` keeps only rows
+    before that time (the state of the tables as of then)."""
+    week, in_term = (lambda ts: _week(term, ts)), (lambda ts: _in_term(term, ts, cutoff))
+    return f""",
+web_t{sfx} AS (
+  SELECT *, CAST("timestamp" AS DATE) AS day, {week('"timestamp"')} AS week
+  FROM web_logs WHERE {in_term('"timestamp"')}),
+quiz_t{sfx} AS (
+  SELECT s.*, q.points_possible, CAST(finished_at_anonymous AS DATE) AS day,
+         {week('finished_at_anonymous')} AS week,
+         COALESCE(s.score_anonymous / NULLIF(q.points_possible, 0) * 100, 0) AS pct
+  FROM quiz_submissions s LEFT JOIN quizzes q ON s.quiz_id = q.id
+  WHERE {in_term('finished_at_anonymous')}),
+asg_t{sfx} AS (
+  SELECT s.*, a.points_possible, CAST(submitted_at_anonymous AS DATE) AS day,
+         {week('submitted_at_anonymous')} AS week,
+         COALESCE(s.score_anonymous / NULLIF(a.points_possible, 0) * 100, 0) AS pct
+  FROM submissions s LEFT JOIN assignments a ON s.assignment_id = a.id
+  WHERE {in_term('submitted_at_anonymous')}),
+refl_log{sfx} AS (
+  SELECT user_id, CAST(27000 + k % 4 AS BIGINT) AS course_id,
+         least(greatest({week('ts')}, 1), {term.max_week}) AS week,
+         CAST(1 + event_id % 10 AS INTEGER) AS satisfaction,
+         CAST(1 + k % 10 AS INTEGER) AS expectation, ts AS saved_at, event_id AS seq
+  FROM ev WHERE event_type = 'error' AND {in_term('ts')}),
+reflections{sfx} AS (
+  SELECT user_id, course_id, week, satisfaction, expectation, saved_at FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id, course_id, week
+                                 ORDER BY saved_at DESC, seq DESC) AS rn
+    FROM refl_log{sfx}) WHERE rn = 1)"""
+
+
+def views(term: Term = DRIVER_TERM) -> str:
+    """The mapped source tables, grids and term-bound facts as CTEs."""
+    s = term.start.isoformat()
     last = term.last_day.isoformat()
-    week = lambda ts: (f"CAST(floor(date_diff('day', DATE '{s}', CAST({ts} AS DATE)) / 7) + 1 "
-                       f"AS BIGINT)")
-    in_term = lambda ts: f"{ts} >= TIMESTAMP '{s} 00:00:00' AND {ts} < TIMESTAMP '{e} 00:00:00'"
+    week = lambda ts: _week(term, ts)
     return f"""
 ev AS (
   SELECT event_id, ts, user_id, event_type, value,
@@ -61,32 +105,6 @@ quizzes AS (
   FROM part),
 assignments AS (SELECT id, points_possible FROM quizzes),
 enrollments AS (SELECT DISTINCT user_id, course_id FROM web_logs),
-web_t AS (
-  SELECT *, CAST("timestamp" AS DATE) AS day, {week('"timestamp"')} AS week
-  FROM web_logs WHERE {in_term('"timestamp"')}),
-quiz_t AS (
-  SELECT s.*, q.points_possible, CAST(finished_at_anonymous AS DATE) AS day,
-         {week('finished_at_anonymous')} AS week,
-         COALESCE(s.score_anonymous / NULLIF(q.points_possible, 0) * 100, 0) AS pct
-  FROM quiz_submissions s LEFT JOIN quizzes q ON s.quiz_id = q.id
-  WHERE {in_term('finished_at_anonymous')}),
-asg_t AS (
-  SELECT s.*, a.points_possible, CAST(submitted_at_anonymous AS DATE) AS day,
-         {week('submitted_at_anonymous')} AS week,
-         COALESCE(s.score_anonymous / NULLIF(a.points_possible, 0) * 100, 0) AS pct
-  FROM submissions s LEFT JOIN assignments a ON s.assignment_id = a.id
-  WHERE {in_term('submitted_at_anonymous')}),
-refl_log AS (
-  SELECT user_id, CAST(27000 + k % 4 AS BIGINT) AS course_id,
-         least(greatest({week('ts')}, 1), {term.max_week}) AS week,
-         CAST(1 + event_id % 10 AS INTEGER) AS satisfaction,
-         CAST(1 + k % 10 AS INTEGER) AS expectation, ts AS saved_at, event_id AS seq
-  FROM ev WHERE event_type = 'error' AND {in_term('ts')}),
-reflections AS (
-  SELECT user_id, course_id, week, satisfaction, expectation, saved_at FROM (
-    SELECT *, row_number() OVER (PARTITION BY user_id, course_id, week
-                                 ORDER BY saved_at DESC, seq DESC) AS rn
-    FROM refl_log) WHERE rn = 1),
 grid_days AS (
   SELECT user_id, course_id, CAST(d AS DATE) AS day, {week('d')} AS week FROM (
     SELECT user_id, course_id,
@@ -95,7 +113,18 @@ grid_days AS (
     FROM enrollments)),
 grid_weeks AS (
   SELECT user_id, course_id, CAST(unnest(range(1, {term.weeks + 1})) AS BIGINT) AS week
-  FROM enrollments)"""
+  FROM enrollments)""" + fact_views(term)
+
+
+def _bround(x: str, digits: int) -> str:
+    """Half-even rounding of a double's shortest decimal form (what Spark's
+    ``bround`` and R's ``round`` do). DuckDB's ``round_even`` on a decimal
+    looks only at the first dropped digit, so exact ties are detected here
+    and every other value is rounded half-up."""
+    d = f"CAST(CAST(CAST({x} AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 20))"
+    scale = 10 ** digits
+    return (f"CAST(CASE WHEN {d} * {scale} - floor({d} * {scale}) = 0.5 "
+            f"THEN round_even({d}, {digits}) ELSE round({d}, {digits}) END AS DOUBLE)")
 
 
 def _with(body: str, term: Term = DRIVER_TERM) -> str:
@@ -160,11 +189,11 @@ SELECT g.user_id, g.course_id, g.week,
        CAST(COALESCE(w.total, 0) AS BIGINT) AS total_interactions,
        CAST(COALESCE(w.total, 0) * 2 AS BIGINT) AS session_minutes,
        CAST(COALESCE(w.days, 0) AS BIGINT) AS active_days,
-       CASE WHEN COALESCE(w.days, 0) > 0 THEN round_even(w.total / w.days, 1) ELSE 0.0 END
+       CASE WHEN COALESCE(w.days, 0) > 0 THEN {_bround('w.total / w.days', 1)} ELSE 0.0 END
          AS avg_daily_interactions,
        CAST(COALESCE(q.minutes, 0) AS DOUBLE) AS quiz_minutes,
-       round_even(COALESCE(w.total, 0) * 2 / 60.0, 1) AS study_hours,
-       round_even(COALESCE(q.minutes, 0) / 60.0, 1) AS quiz_hours,
+       {_bround('COALESCE(w.total, 0) * 2 / 60.0', 1)} AS study_hours,
+       {_bround('COALESCE(q.minutes, 0) / 60.0', 1)} AS quiz_hours,
        CASE WHEN COALESCE(w.days, 0) >= 5 THEN 'Excellent'
             WHEN COALESCE(w.days, 0) >= 3 THEN 'Good'
             WHEN COALESCE(w.days, 0) > 0 THEN 'Limited'
@@ -172,3 +201,306 @@ SELECT g.user_id, g.course_id, g.week,
 FROM grid_weeks g
 LEFT JOIN web_w w ON g.user_id = w.user_id AND g.course_id = w.course_id AND g.week = w.week
 LEFT JOIN quiz_w q ON g.user_id = q.user_id AND g.course_id = q.course_id AND g.week = q.week""")
+
+
+# ----------------------------------------------------------------- courses
+def enrollments_sql() -> str:
+    return _with("SELECT user_id, course_id FROM enrollments")
+
+
+def course_labels_sql() -> str:
+    from ..config import COURSE_LABELS, DASHBOARD_TITLE_SUFFIX, UNKNOWN_COURSE
+    values = ", ".join(f"('{c}', '{l}')" for c, l in COURSE_LABELS)
+    return _with(f"""
+, labels(cid, label) AS (VALUES {values})
+SELECT e.user_id, e.course_id, COALESCE(l.label, '{UNKNOWN_COURSE}') AS course_label,
+       l.label IS NOT NULL AS known,
+       COALESCE(l.label, '{UNKNOWN_COURSE}') || ' ' || '{DASHBOARD_TITLE_SUFFIX}' AS title
+FROM enrollments e LEFT JOIN labels l ON CAST(e.course_id AS VARCHAR) = l.cid""")
+
+
+# ------------------------------------------------------------------ scores
+def _daily_scores_cte(table: str) -> str:
+    return f"""
+, ds AS (
+  SELECT user_id, course_id, week, day, AVG(pct) AS value, COUNT(*) AS n_submissions
+  FROM {table} GROUP BY user_id, course_id, week, day)"""
+
+
+def daily_scores_sql(kind: str) -> str:
+    table = "quiz_t" if kind == "quiz" else "asg_t"
+    return _with(_daily_scores_cte(table) + f"""
+SELECT user_id, course_id, week, day, value, n_submissions, {_bround('value', 1)} AS score,
+       {_band(_bround('value', 1))} AS band, strftime(day, '%b %d') AS day_label
+FROM ds""")
+
+
+def weekly_scores_sql(kind: str) -> str:
+    table = "quiz_t" if kind == "quiz" else "asg_t"
+    return _with(_daily_scores_cte(table) + f"""
+, nz AS (
+  SELECT user_id, course_id, week, {_bround('AVG(value)', 1)} AS avg_score,
+         {_bround('MIN(value)', 1)} AS min_score, {_bround('MAX(value)', 1)} AS max_score
+  FROM ds WHERE value > 0 GROUP BY user_id, course_id, week)
+SELECT g.user_id, g.course_id, g.week, nz.avg_score, nz.min_score, nz.max_score,
+       {_band('nz.avg_score')} AS avg_band, {_band('nz.min_score')} AS min_band,
+       {_band('nz.max_score')} AS max_band,
+       nz.user_id IS NOT NULL AS has_submissions,
+       CASE WHEN nz.user_id IS NULL THEN 'No submissions this week.' END AS message
+FROM grid_weeks g LEFT JOIN nz
+  ON g.user_id = nz.user_id AND g.course_id = nz.course_id AND g.week = nz.week""")
+
+
+# ---------------------------------------------------------------- progress
+def quiz_weeks_sql() -> str:
+    return _with(f"SELECT DISTINCT user_id, course_id, week FROM quiz_t "
+                 f"WHERE workflow_state IN ({_q(QUIZ_ACCEPTED_STATES)})")
+
+
+def assignment_weeks_sql() -> str:
+    return _with(f"SELECT DISTINCT user_id, course_id, week FROM asg_t "
+                 f"WHERE workflow_state IN ({_q(ASSIGNMENT_ACCEPTED_STATES)})")
+
+
+def _progress_ctes(term: Term = DRIVER_TERM, sfx: str = "") -> str:
+    """Activity grid ``ag{sfx}`` and block progress ``bp{sfx}``."""
+    return f"""
+, grid_items{sfx} AS (
+  SELECT user_id, course_id, week, unnest(['quiz', 'assignment', 'reflection']) AS activity FROM (
+    SELECT user_id, course_id, CAST(unnest(range(1, {term.block_weeks + 1})) AS BIGINT) AS week
+    FROM enrollments)),
+done{sfx} AS (
+  SELECT user_id, course_id, week, 'quiz' AS activity FROM quiz_t{sfx}
+   WHERE workflow_state IN ({_q(QUIZ_ACCEPTED_STATES)})
+  UNION
+  SELECT user_id, course_id, week, 'assignment' FROM asg_t{sfx}
+   WHERE workflow_state IN ({_q(ASSIGNMENT_ACCEPTED_STATES)})
+  UNION
+  SELECT user_id, course_id, week, 'reflection' FROM reflections{sfx}),
+ag{sfx} AS (
+  SELECT g.user_id, g.course_id, CAST(floor((g.week - 1) / 2) * 2 + 1 AS BIGINT) AS block_start,
+         g.week, g.activity,
+         CASE g.activity WHEN 'quiz' THEN 'Submit Week ' || g.week || ' Quiz'
+                         WHEN 'assignment' THEN 'Submit Week ' || g.week || ' Assignment'
+                         ELSE 'Reflect on Week ' || g.week END AS name,
+         d.user_id IS NOT NULL AS done
+  FROM grid_items{sfx} g LEFT JOIN done{sfx} d
+    ON g.user_id = d.user_id AND g.course_id = d.course_id AND g.week = d.week
+   AND g.activity = d.activity),
+bc{sfx} AS (
+  SELECT user_id, course_id, block_start, COUNT(*) AS total,
+         COUNT(*) FILTER (WHERE done) AS completed
+  FROM ag{sfx} GROUP BY user_id, course_id, block_start),
+bp{sfx} AS (
+  SELECT b.user_id, b.course_id, b.block_start, b.block_start + 1 AS block_end, b.total, b.completed,
+         CAST({_bround('b.completed * 100.0 / b.total', 0)} AS INTEGER) AS percent,
+         b.completed = b.total AS is_complete,
+         CASE WHEN b.completed = b.total AND b.total > 0 THEN '{_esc(rules.BLOCK_ALL_DONE)}'
+              WHEN b.completed > 0 THEN '{_esc(rules.BLOCK_SOME_DONE)}'
+              ELSE '{_esc(rules.BLOCK_NONE_DONE)}' END AS message,
+         COALESCE(p.total, 0) AS previous_total, COALESCE(p.completed, 0) AS previous_completed,
+         CASE WHEN b.block_start - 2 < 1 THEN '{_esc(rules.NO_PREVIOUS_BLOCK)}'
+              WHEN COALESCE(p.completed, 0) = 0 THEN '{_esc(rules.PREVIOUS_NONE_DONE)}'
+              WHEN p.completed = p.total AND p.total > 0 THEN '{_esc(rules.PREVIOUS_ALL_DONE)}'
+              ELSE printf('{_esc(rules.PREVIOUS_SOME_DONE)}', p.completed, p.total) END
+           AS previous_message
+  FROM bc{sfx} b LEFT JOIN bc{sfx} p
+    ON p.user_id = b.user_id AND p.course_id = b.course_id AND p.block_start = b.block_start - 2)"""
+
+
+def _esc(text: str) -> str:
+    return text.replace("'", "''")
+
+
+def activity_grid_sql() -> str:
+    return _with(_progress_ctes() + "\nSELECT * FROM ag")
+
+
+def block_progress_sql() -> str:
+    return _with(_progress_ctes() + "\nSELECT * FROM bp")
+
+
+def completion_changes_sql(cutoff: str) -> str:
+    return _with(fact_views(DRIVER_TERM, "_prev", cutoff) + _progress_ctes(DRIVER_TERM, "_prev")
+                 + _progress_ctes() + """
+SELECT COALESCE(n.user_id, o.user_id) AS user_id, COALESCE(n.course_id, o.course_id) AS course_id,
+       COALESCE(n.block_start, o.block_start) AS block_start,
+       CASE WHEN COALESCE(n.is_complete, false) AND NOT COALESCE(o.is_complete, false) THEN 'set'
+            ELSE 'cleared' END AS change
+FROM bp n FULL OUTER JOIN bp_prev o
+  ON n.user_id = o.user_id AND n.course_id = o.course_id AND n.block_start = o.block_start
+WHERE COALESCE(n.is_complete, false) <> COALESCE(o.is_complete, false)""")
+
+
+# ------------------------------------------------------------- reflections
+def _category(s: str, e: str) -> str:
+    return (f"CASE WHEN {s} <= 4 AND {e} <= 4 THEN 'struggling' "
+            f"WHEN {s} <= 4 AND {e} >= 7 THEN 'hopeful' "
+            f"WHEN {s} BETWEEN 5 AND 6 AND {e} <= {s} THEN 'steady' "
+            f"WHEN {s} <= 6 AND {e} > {s} THEN 'growth' "
+            f"WHEN {s} BETWEEN 7 AND 8 AND {e} = {s} THEN 'good' "
+            f"WHEN {s} >= 9 AND {e} >= 9 THEN 'flying' ELSE 'between' END")
+
+
+def _versus(s: str, p: str) -> str:
+    return (f"CASE WHEN {p} IS NULL THEN NULL "
+            f"WHEN {s} > {p} THEN (CASE WHEN {s} < 6 THEN 'exceeded_low' ELSE 'exceeded' END) "
+            f"WHEN {s} = {p} THEN (CASE WHEN {s} < 6 THEN 'matched_low' ELSE 'matched' END) "
+            f"ELSE (CASE WHEN {s} < 6 THEN 'short_low' ELSE 'short' END) END")
+
+
+def _outlook(s: str, e: str) -> str:
+    return f"CASE WHEN {e} > {s} THEN 'higher' WHEN {e} < {s} THEN 'dip' ELSE 'consistent' END"
+
+
+def _feedback_cte() -> str:
+    return f"""
+, fb0 AS (
+  SELECT r.user_id, r.course_id, r.week, r.satisfaction, r.expectation,
+         p.expectation AS last_expectation
+  FROM reflections r LEFT JOIN reflections p
+    ON p.user_id = r.user_id AND p.course_id = r.course_id AND p.week = r.week - 1),
+fb1 AS (
+  SELECT *, {_category('satisfaction', 'expectation')} AS category,
+         {_versus('satisfaction', 'last_expectation')} AS versus_last,
+         {_outlook('satisfaction', 'expectation')} AS outlook
+  FROM fb0),
+fb AS (
+  SELECT *, concat_ws(' ', {_case('category', rules.CATEGORY_TEXT)},
+                      {_case('versus_last', rules.VERSUS_TEXT)},
+                      {_case('outlook', rules.OUTLOOK_TEXT)}) AS feedback
+  FROM fb1)"""
+
+
+def reflections_sql() -> str:
+    return _with("SELECT user_id, course_id, week, satisfaction, expectation, saved_at FROM reflections")
+
+
+def reflection_feedback_sql() -> str:
+    return _with(_feedback_cte() + "\nSELECT * FROM fb")
+
+
+def reflection_categories_sql() -> str:
+    return _with(_feedback_cte() + "\nSELECT category, COUNT(*) AS reflections FROM fb GROUP BY category")
+
+
+def reflections_per_week_sql() -> str:
+    return _with("SELECT week, COUNT(*) AS reflections FROM reflections GROUP BY week")
+
+
+def reflection_counts_sql() -> str:
+    return _with("""
+SELECT e.user_id, e.course_id, COUNT(r.week) AS reflections
+FROM enrollments e LEFT JOIN reflections r ON e.user_id = r.user_id AND e.course_id = r.course_id
+GROUP BY e.user_id, e.course_id""")
+
+
+def reflection_streaks_sql() -> str:
+    text = _esc(rules.STREAK_TEXT)
+    return _with(f"""
+, isl AS (
+  SELECT user_id, course_id, week,
+         week - row_number() OVER (PARTITION BY user_id, course_id ORDER BY week) AS island
+  FROM reflections),
+runs AS (
+  SELECT user_id, course_id, week,
+         week - MIN(week) OVER (PARTITION BY user_id, course_id, island) + 1 AS run
+  FROM isl)
+SELECT g.user_id, g.course_id, g.week AS current_week, CAST(COALESCE(r.run, 0) AS BIGINT) AS streak,
+       COALESCE(r.run, 0) >= 2 AS shown,
+       CASE WHEN COALESCE(r.run, 0) >= 2 THEN printf('{text}', r.run, r.run) END AS message
+FROM grid_weeks g LEFT JOIN runs r
+  ON g.user_id = r.user_id AND g.course_id = r.course_id AND g.week = r.week""")
+
+
+def badges_sql() -> str:
+    rows = ", ".join(
+        f"({i}, '{b}', '{k}', {t}, '{_esc(img)}', '{_esc(on)}', '{_esc(off)}')"
+        for i, (b, k, t, img, on, off) in enumerate(rules.BADGES, start=1))
+    return _with(_progress_ctes() + f"""
+, defs(position, badge, counts, threshold, unlocked_image, unlocked_tooltip, locked_tooltip)
+  AS (VALUES {rows}),
+rc AS (SELECT user_id, course_id, COUNT(*) AS n FROM reflections GROUP BY user_id, course_id),
+cb AS (SELECT user_id, course_id, COUNT(*) AS n FROM bp WHERE is_complete GROUP BY user_id, course_id),
+have AS (
+  SELECT e.user_id, e.course_id, d.*,
+         CASE WHEN d.counts = 'reflections' THEN COALESCE(rc.n, 0) ELSE COALESCE(cb.n, 0) END AS have
+  FROM enrollments e CROSS JOIN defs d
+  LEFT JOIN rc ON rc.user_id = e.user_id AND rc.course_id = e.course_id
+  LEFT JOIN cb ON cb.user_id = e.user_id AND cb.course_id = e.course_id)
+SELECT user_id, course_id, position, badge, counts, CAST(threshold AS BIGINT) AS threshold, have,
+       have >= threshold AS unlocked,
+       CASE WHEN have >= threshold THEN unlocked_tooltip ELSE locked_tooltip END AS tooltip,
+       CASE WHEN have >= threshold THEN unlocked_image ELSE '{rules.LOCKED_IMAGE}' END AS image
+FROM have""")
+
+
+# ------------------------------------------------------ ordering and marts
+def daily_row_number_sql() -> str:
+    return _with("""
+SELECT user_id, course_id, day, "timestamp", event_id,
+       row_number() OVER (PARTITION BY user_id, course_id, day ORDER BY "timestamp", event_id) AS seq_num
+FROM web_t""")
+
+
+def _wide_cte() -> str:
+    return """
+, w AS (SELECT user_id, course_id, day, COUNT(*) AS n, COUNT(attachment_id) AS fa,
+               COUNT(DISTINCT attachment_id) AS uf FROM web_t GROUP BY user_id, course_id, day),
+q AS (SELECT user_id, course_id, day, COUNT(*) AS n, AVG(pct) AS s, SUM(DurationInMinutes) AS m
+      FROM quiz_t GROUP BY user_id, course_id, day),
+a AS (SELECT user_id, course_id, day, COUNT(*) AS n, AVG(pct) AS s
+      FROM asg_t GROUP BY user_id, course_id, day),
+wide AS (
+  SELECT g.user_id, g.course_id, g.week, g.day,
+         COALESCE(w.n, 0) AS daily_interactions, COALESCE(w.n, 0) * 2 AS active_study_time,
+         COALESCE(w.fa, 0) AS file_accesses, COALESCE(w.uf, 0) AS unique_files,
+         COALESCE(q.n, 0) AS quiz_submissions, COALESCE(a.n, 0) AS assignment_submissions,
+         COALESCE(q.s, 0) AS quiz_score, COALESCE(a.s, 0) AS assignment_score,
+         CAST(COALESCE(q.m, 0) AS DOUBLE) AS quiz_minutes
+  FROM grid_days g
+  LEFT JOIN w ON g.user_id = w.user_id AND g.course_id = w.course_id AND g.day = w.day
+  LEFT JOIN q ON g.user_id = q.user_id AND g.course_id = q.course_id AND g.day = q.day
+  LEFT JOIN a ON g.user_id = a.user_id AND g.course_id = a.course_id AND g.day = a.day)"""
+
+
+def daily_metrics_sql() -> str:
+    return _with(_wide_cte() + "\nSELECT * FROM wide")
+
+
+def no_activity_weeks_sql(names) -> str:
+    parts = [f"SELECT user_id, course_id, week, '{n}' AS metric, bool_and({n} = 0) AS no_activity "
+             f"FROM wide GROUP BY user_id, course_id, week" for n in names]
+    return _with(_wide_cte() + "\n" + "\nUNION ALL\n".join(parts))
+
+
+def weekly_quiz_minutes_sql() -> str:
+    return _with("""
+SELECT user_id, course_id, week, CAST(COALESCE(SUM(DurationInMinutes), 0) AS DOUBLE) AS quiz_minutes
+FROM quiz_t GROUP BY user_id, course_id, week""")
+
+
+def extract_quiz_data_sql() -> str:
+    return _with("""
+SELECT user_id, course_id, quiz_id, finished_at_anonymous, score_anonymous, DurationInMinutes,
+       workflow_state, points_possible, week FROM quiz_t""")
+
+
+def extract_assignment_data_sql() -> str:
+    return _with("""
+SELECT user_id, course_id, assignment_id, submitted_at_anonymous, score_anonymous, workflow_state,
+       points_possible, week FROM asg_t""")
+
+
+def extract_web_activity_sql() -> str:
+    return _with("""
+SELECT user_id, course_id, day, COUNT(*) AS interactions, MIN("timestamp") AS first_activity,
+       MAX("timestamp") AS last_activity, week
+FROM web_t GROUP BY user_id, course_id, day, week""")
+
+
+def extract_file_access_sql() -> str:
+    return _with("""
+SELECT user_id, course_id, day, COUNT(*) AS file_accesses, COUNT(DISTINCT attachment_id) AS unique_files,
+       week
+FROM web_t WHERE attachment_id IS NOT NULL GROUP BY user_id, course_id, day, week""")

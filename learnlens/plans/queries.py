@@ -4,40 +4,95 @@ tables, and the DuckDB twin of each."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import DRIVER_TERM
-from ..operators import daily, summary
+from ..operators import badges, courses, daily, ordering, progress, reflections, scores, summary
+from ..sources import completion, extracts
 from ..sources.tables import Sources
 from . import oracle_sql as sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# The completion change feed compares the state after week 2 with now.
+COMPLETION_CUTOFF = datetime.combine(DRIVER_TERM.week_start(3), datetime.min.time())
+
 
 def sources(spark: SparkSession, sf_dir: str) -> Sources:
     return Sources.from_driver_tables(spark, sf_dir, DRIVER_TERM)
 
 
-def _daily(name: str) -> Query:
-    return lambda spark, d: daily.daily_metric(sources(spark, d), name)
+def _on_sources(fn: Callable[[Sources], DataFrame]) -> Query:
+    return lambda spark, d: fn(sources(spark, d))
 
 
-def registered() -> dict[str, Query]:
-    q: dict[str, Query] = {
-        "weekly_summary": lambda spark, d: summary.weekly_summary(sources(spark, d)),
-        "daily_web_activity": lambda spark, d: daily.daily_web_activity(sources(spark, d)),
+def _daily_name(metric: str) -> str:
+    return metric if metric.startswith("daily_") else f"daily_{metric}"
+
+
+def _completion_changes(src: Sources) -> DataFrame:
+    before = completion.completion_snapshot(progress.block_progress(src.as_of(COMPLETION_CUTOFF)))
+    now = completion.completion_snapshot(progress.block_progress(src))
+    return completion.completion_changes(now, before)
+
+
+def _row_numbers(src: Sources) -> DataFrame:
+    from ..functions.time import day_of
+    logs = src.web_logs_in_term().select(
+        "user_id", "course_id", day_of("timestamp").alias("day"), "timestamp", "event_id")
+    return ordering.row_number_within(logs, ["user_id", "course_id", "day"], ["timestamp", "event_id"])
+
+
+def _extract(name: str) -> Callable[[Sources], DataFrame]:
+    return lambda src: extracts.extract_frames(src)[name]
+
+
+# name -> (plan over Sources, DuckDB SQL or None)
+def _catalogue() -> dict[str, tuple[Callable[[Sources], DataFrame], str | None]]:
+    c: dict[str, tuple[Callable[[Sources], DataFrame], str | None]] = {
+        "weekly_summary": (summary.weekly_summary, sql.weekly_summary_sql()),
+        "daily_web_activity": (daily.daily_web_activity, sql.daily_web_activity_sql()),
+        "daily_metrics": (daily.daily_metrics_wide, sql.daily_metrics_sql()),
+        "no_activity_weeks": (daily.no_activity_weeks, sql.no_activity_weeks_sql(list(daily.DAILY_METRICS))),
+        "weekly_quiz_minutes": (summary.weekly_quiz_minutes, sql.weekly_quiz_minutes_sql()),
+        "daily_quiz_scores": (lambda s: scores.daily_scores(s, "quiz"), sql.daily_scores_sql("quiz")),
+        "daily_assignment_scores": (lambda s: scores.daily_scores(s, "assignment"),
+                                    sql.daily_scores_sql("assignment")),
+        "weekly_quiz_scores": (lambda s: scores.weekly_scores(s, "quiz"), sql.weekly_scores_sql("quiz")),
+        "weekly_assignment_scores": (lambda s: scores.weekly_scores(s, "assignment"),
+                                     sql.weekly_scores_sql("assignment")),
+        "enrollments": (courses.enrollments, sql.enrollments_sql()),
+        "course_labels": (courses.course_labels, sql.course_labels_sql()),
+        "quiz_weeks": (progress.quiz_weeks, sql.quiz_weeks_sql()),
+        "assignment_weeks": (progress.assignment_weeks, sql.assignment_weeks_sql()),
+        "activity_grid": (progress.activity_grid, sql.activity_grid_sql()),
+        "block_progress": (progress.block_progress, sql.block_progress_sql()),
+        "completion_changes": (_completion_changes,
+                               sql.completion_changes_sql(COMPLETION_CUTOFF.isoformat(sep=" "))),
+        "reflections": (reflections.reflections, sql.reflections_sql()),
+        "reflection_feedback": (reflections.reflection_feedback, sql.reflection_feedback_sql()),
+        "reflection_categories": (reflections.reflection_categories, sql.reflection_categories_sql()),
+        "reflections_per_week": (reflections.reflections_per_week, sql.reflections_per_week_sql()),
+        "reflection_counts": (reflections.reflection_counts, sql.reflection_counts_sql()),
+        "reflection_streaks": (reflections.reflection_streaks, sql.reflection_streaks_sql()),
+        "badges": (badges.badges, sql.badges_sql()),
+        "daily_row_number": (_row_numbers, sql.daily_row_number_sql()),
+        "extract_quiz_data": (_extract("quiz_data"), sql.extract_quiz_data_sql()),
+        "extract_assignment_data": (_extract("assignment_data"), sql.extract_assignment_data_sql()),
+        "extract_web_activity": (_extract("web_activity_data"), sql.extract_web_activity_sql()),
+        "extract_file_access": (_extract("file_access_data"), sql.extract_file_access_sql()),
     }
-    for name in daily.DAILY_METRICS:
-        q[f"daily_{name}" if not name.startswith("daily_") else name] = _daily(name)
-    return q
+    for metric in daily.DAILY_METRICS:
+        c[_daily_name(metric)] = (lambda s, m=metric: daily.daily_metric(s, m),
+                                  sql.daily_metric_sql(metric))
+    return c
+
+
+def registered() -> dict[str, Query]:
+    return {name: _on_sources(fn) for name, (fn, _) in _catalogue().items()}
 
 
 def oracle() -> dict[str, str]:
-    o = {
-        "weekly_summary": sql.weekly_summary_sql(),
-        "daily_web_activity": sql.daily_web_activity_sql(),
-    }
-    for name in daily.DAILY_METRICS:
-        o[f"daily_{name}" if not name.startswith("daily_") else name] = sql.daily_metric_sql(name)
-    return o
+    return {name: q for name, (_, q) in _catalogue().items() if q is not None}
