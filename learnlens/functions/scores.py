@@ -33,3 +33,14 @@ def round_half_even(value: Column | str, digits: int) -> Column:
     """R's ``round`` rounds halves to even; Spark's ``bround`` does the same."""
     v = F.col(value) if isinstance(value, str) else value
     return F.bround(v, digits)
+
+
+def bit(position: Column | str) -> Column:
+    """``1 << position`` as BIGINT, for bit-mask aggregates over small domains."""
+    p = F.col(position) if isinstance(position, str) else position
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), p.cast("int"))
+
+
+def has_bit(mask: Column | str, position: Column | str) -> Column:
+    m = F.col(mask) if isinstance(mask, str) else mask
+    return m.bitwiseAND(bit(position)) != 0

@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 
 from ..config import ASSIGNMENT_ACCEPTED_STATES, QUIZ_ACCEPTED_STATES
 from ..functions import rules
-from ..functions.scores import round_half_even
+from ..functions.scores import bit, has_bit, round_half_even
 from ..functions.time import block_start, week_of
 from ..sources.tables import Sources
-from .calendar import aggregate_onto_grid, enrolled_weeks
+from .calendar import aggregate_onto_grid
 from .reflections import reflections
 
-GRID_KEYS = ("user_id", "course_id", "week", "activity")
 
 
 def _quiz_done(src: Sources) -> DataFrame:
@@ -39,54 +38,81 @@ def assignment_weeks(src: Sources) -> DataFrame:
     return _assignment_done(src).distinct()
 
 
-def activity_grid(src: Sources) -> DataFrame:
-    """JOI4: every enrolled (user, course) x block week x {quiz, assignment,
-    reflection} with its name and whether it is done.
+ITEMS_PER_BLOCK = 2 * len(rules.ACTIVITY_ORDER)
+
+
+def _done_items(src: Sources) -> DataFrame:
+    """Done items as (user_id, course_id, week, activity index): accepted
+    quiz and assignment submissions (raw rows; duplicates are harmless) and
+    current reflections."""
+    idx = {a: i for i, a in enumerate(rules.ACTIVITY_ORDER)}
+    return (_quiz_done(src).withColumn("activity", F.lit(idx["quiz"]))
+            .unionByName(_assignment_done(src).withColumn("activity", F.lit(idx["assignment"])))
+            .unionByName(reflections(src).select("user_id", "course_id", "week")
+                         .withColumn("activity", F.lit(idx["reflection"]))))
+
+
+def block_masks(src: Sources) -> DataFrame:
+    """Per enrolled (user, course) and term block: which of the block's six
+    items are done, as a bit mask, for the block itself and for the block
+    before it.
 
-    Weeks come from the term's blocks (each block has two weeks and six
-    items). Done rows are the raw accepted submissions and the current
-    reflections; grid and done rows meet in one aggregation, duplicates
-    collapse map-side.
+    Item bit = (week - block_start) * 3 + activity index. Each done item sets
+    its bit in its own block and, as "previous", in the block two weeks
+    later, so one aggregation gives both; ``bit_or`` is a fixed-width,
+    map-side combinable aggregate, so hot students cost nothing extra.
     """
     term = src.term
-    grid = enrolled_weeks(src.enrollments, term, term.block_weeks).select(
-        "user_id", "course_id", "week",
-        F.explode(F.array(*[F.lit(a) for a in rules.ACTIVITY_ORDER])).alias("activity"))
-    done = (_quiz_done(src).withColumn("activity", F.lit("quiz"))
-            .unionByName(_assignment_done(src).withColumn("activity", F.lit("assignment")))
-            .unionByName(reflections(src).select("user_id", "course_id", "week")
-                         .withColumn("activity", F.lit("reflection")))
-            .withColumn("_done", F.lit(True)))
-    flags = aggregate_onto_grid(grid, done, GRID_KEYS, {"done": F.bool_or("_done")})
-    return flags.select(
-        "user_id", "course_id", block_start("week").alias("block_start"), "week", "activity",
-        rules.activity_name("activity", "week").alias("name"),
-        F.coalesce(F.col("done"), F.lit(False)).alias("done"))
+    grid = src.enrollments.select(
+        "user_id", "course_id",
+        F.explode(F.array(*[F.lit(b).cast("bigint") for b in term.block_starts])).alias("block_start"))
+    done = _done_items(src)
+    block = block_start("week")
+    item_bit = bit((F.col("week") - block) * len(rules.ACTIVITY_ORDER) + F.col("activity"))
+    facts = done.select("user_id", "course_id", F.explode(F.array(
+        F.struct(block.alias("block_start"), item_bit.alias("own"), F.lit(None).cast("bigint").alias("prev")),
+        F.struct((block + 2).alias("block_start"), F.lit(None).cast("bigint").alias("own"),
+                 item_bit.alias("prev")),
+    )).alias("f")).select("user_id", "course_id", "f.*")
+    return aggregate_onto_grid(grid, facts, ("user_id", "course_id", "block_start"), {
+        "own_mask": F.coalesce(F.bit_or("own"), F.lit(0).cast("bigint")),
+        "previous_mask": F.coalesce(F.bit_or("prev"), F.lit(0).cast("bigint")),
+    })
+
+
+def activity_grid(src: Sources) -> DataFrame:
+    """JOI4: every enrolled (user, course) x block week x {quiz, assignment,
+    reflection} with its name and whether it is done (six items per block;
+    weeks come from the term's blocks, not from the data)."""
+    items = F.array(*[
+        F.struct(F.lit(w).alias("offset"), F.lit(a).alias("activity"),
+                 F.lit(w * len(rules.ACTIVITY_ORDER) + i).alias("bit"))
+        for w in range(2) for i, a in enumerate(rules.ACTIVITY_ORDER)])
+    rows = block_masks(src).select("user_id", "course_id", "block_start", "own_mask",
+                                   F.explode(items).alias("item"))
+    week = (F.col("block_start") + F.col("item.offset")).cast("bigint")
+    done = has_bit("own_mask", F.col("item.bit"))
+    return rows.select(
+        "user_id", "course_id", "block_start", week.alias("week"),
+        F.col("item.activity").alias("activity"),
+        rules.activity_name(F.col("item.activity"), week).alias("name"),
+        done.alias("done"))
 
 
 def block_progress(src: Sources) -> DataFrame:
     """AGG18 + CLS7/CLS8: per (user, course, block) total, completed, percent
-    and messages, with the previous block's counts (block_start - 2).
-
-    Each grid row counts for its own block and, as "previous", for the block
-    two weeks later; one aggregation yields both without a self-join.
-    """
-    grid = activity_grid(src)
-    both = grid.select("user_id", "course_id", "done", F.explode(F.array(
-        F.struct(F.col("block_start").alias("block_start"), F.lit(True).alias("own")),
-        F.struct((F.col("block_start") + 2).alias("block_start"), F.lit(False).alias("own")))
-    ).alias("b"))
-    own, done = F.col("b.own"), F.col("done")
-    agg = both.groupBy("user_id", "course_id", F.col("b.block_start").alias("block_start")).agg(
-        F.count_if(own).alias("total"),
-        F.count_if(own & done).alias("completed"),
-        F.count_if(~own).alias("previous_total"),
-        F.count_if(~own & done).alias("previous_completed"))
-    out = agg.filter(F.col("total") > 0)
-    pct = F.when(F.col("total") > 0,
-                 round_half_even(F.col("completed") * F.lit(100.0) / F.col("total"), 0)) \
-           .otherwise(F.lit(0.0)).cast("int")
-    return out.select(
+    and messages, with the previous block's counts (block_start - 2)."""
+    m = block_masks(src)
+    total = F.lit(ITEMS_PER_BLOCK).cast("bigint")
+    completed = F.bit_count("own_mask").cast("bigint")
+    has_prev = F.col("block_start") - 2 >= 1
+    prev_total = F.when(has_prev, total).otherwise(F.lit(0).cast("bigint"))
+    prev_completed = F.bit_count("previous_mask").cast("bigint")
+    counted = m.select("user_id", "course_id", "block_start", total.alias("total"),
+                       completed.alias("completed"), prev_total.alias("previous_total"),
+                       prev_completed.alias("previous_completed"))
+    pct = round_half_even(F.col("completed") * F.lit(100.0) / F.col("total"), 0).cast("int")
+    return counted.select(
         "user_id", "course_id", "block_start",
         (F.col("block_start") + 1).alias("block_end"),
         "total", "completed", pct.alias("percent"),

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.scores import bit, has_bit
 from ..sources.reflections import current_reflections
 from ..sources.tables import Sources
 from .calendar import aggregate_onto_grid
@@ -52,23 +53,25 @@ def reflection_streaks(src: Sources) -> DataFrame:
     the run of consecutive reflected weeks ending at W (0 if W has none),
     whether the streak badge shows (>= 2) and its text.
 
-    The weeks a student reflected in are bounded by the term (at most
-    ``max_week`` distinct values), so gathering them per (user, course)
-    into a set is bounded too; the streak is then array arithmetic.
+    Reflection weeks are clamped to 1..max_week, so the weeks a student
+    reflected in fit one BIGINT bit mask per (user, course): a fixed-width
+    ``bit_or`` aggregate, combined map-side. The streak is then arithmetic
+    over the weeks 0..W.
     """
     term = src.term
     cur = reflections(src).select("user_id", "course_id", "week")
     grid = src.enrollments.select("user_id", "course_id")
-    sets = aggregate_onto_grid(grid, cur, ("user_id", "course_id"),
-                               {"weeks": F.collect_set("week")})
-    per_week = sets.select(
+    masks = aggregate_onto_grid(grid, cur.select("user_id", "course_id", bit("week").alias("b")),
+                                ("user_id", "course_id"),
+                                {"weeks": F.coalesce(F.bit_or("b"), F.lit(0).cast("bigint"))})
+    per_week = masks.select(
         "user_id", "course_id", "weeks",
         F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(term.weeks).cast("bigint")))
          .alias("current_week"))
     # Latest week <= W without a reflection; the streak is W minus that week.
     gap = F.array_max(F.filter(
         F.sequence(F.lit(0).cast("bigint"), F.col("current_week")),
-        lambda w: (w == 0) | ~F.array_contains(F.col("weeks"), w)))
+        lambda w: (w == 0) | ~has_bit("weeks", w)))
     streak = (F.col("current_week") - gap).cast("bigint")
     return per_week.select(
         "user_id", "course_id", "current_week", streak.alias("streak"),

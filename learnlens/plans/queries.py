@@ -20,8 +20,21 @@ Query = Callable[[SparkSession, str], DataFrame]
 COMPLETION_CUTOFF = datetime.combine(DRIVER_TERM.week_start(3), datetime.min.time())
 
 
+_SOURCES: dict[tuple, tuple[SparkSession, Sources]] = {}
+
+
 def sources(spark: SparkSession, sf_dir: str) -> Sources:
-    return Sources.from_driver_tables(spark, sf_dir, DRIVER_TERM)
+    """The mapped source tables, defined once per session and folder.
+
+    ``Sources`` only holds lazy plans, so reusing it re-reads the files on
+    every action; it saves re-planning the mapping for every query.
+    """
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
+    hit = _SOURCES.get(key)
+    if hit is None:
+        hit = (spark, Sources.from_driver_tables(spark, sf_dir, DRIVER_TERM))
+        _SOURCES[key] = hit
+    return hit[1]
 
 
 def _on_sources(fn: Callable[[Sources], DataFrame]) -> Query:
