@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 # Rows of a (key, points) dimension we still broadcast: ~1M rows x ~24 bytes.
 MAX_BROADCAST_ROWS = 1_000_000
 
-_checked: dict[int, bool] = {}
+_checked: dict[tuple[int, int], bool] = {}
 
 
 def fits_broadcast(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
     """True when ``dim`` has at most ``max_rows`` rows (checked once per plan)."""
-    key = dim.semanticHash()
+    key = (dim.semanticHash(), max_rows)
     if key not in _checked:
         _checked[key] = dim.limit(max_rows + 1).count() <= max_rows
     return _checked[key]

@@ -81,7 +81,7 @@ def read_reflection_documents(spark: SparkSession, path: str) -> DataFrame:
     One file per student (``reflections_<id>.json``); the id comes from the
     file name. ``wholetext`` keeps each (multi-line) document in one row.
     """
-    docs = spark.read.option("wholetext", True).text(path) \
+    docs = spark.read.text(path, wholetext=True) \
         .select(F.col("value"), F.col("_metadata.file_name").alias("file"))
     parsed = docs.select(
         F.regexp_extract("file", r"^reflections_(.*)\.json$", 1).alias("user_id"),
