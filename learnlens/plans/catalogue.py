@@ -72,7 +72,7 @@ def _filtered(df: DataFrame, user_id=None, course_id=None, week=None) -> DataFra
 
 
 def metric(src: Sources, data_type: str, metric_name: str, user_id=None, course_id=None,
-           week=None, daily_series: bool = False) -> DataFrame:
+           week=None, daily_series: bool = False, ordered: bool = False) -> DataFrame:
     """The rows behind one chart or score card.
 
     * daily metrics: (user_id, course_id, week, day, value) filled to the
@@ -80,6 +80,9 @@ def metric(src: Sources, data_type: str, metric_name: str, user_id=None, course_
     * score metrics: the weekly average / min / max card, or with
       ``daily_series=True`` the filled daily means it is computed from;
     * the weekly summary: one card row per student, course and week.
+
+    ``ordered=True`` sorts the result by student, course, week and day (the
+    chart order); leave it off when the rows feed another job.
     """
     spec = lookup(data_type, metric_name)
     if spec.kind == "daily":
@@ -89,7 +92,12 @@ def metric(src: Sources, data_type: str, metric_name: str, user_id=None, course_
               else scores.weekly_scores(src, spec.name))
     else:
         df = summary.weekly_summary(src)
-    return _filtered(df, user_id, course_id, week)
+    df = _filtered(df, user_id, course_id, week)
+    if ordered:
+        # SRT1: sort only at the outermost step, for display.
+        order = ["user_id", "course_id", "week"] + (["day"] if "day" in df.columns else [])
+        df = df.orderBy(*order)
+    return df
 
 
 def label(data_type: str, metric_name: str) -> str:

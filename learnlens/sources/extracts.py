@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..config import ASSIGNMENT_ACCEPTED_STATES, QUIZ_ACCEPTED_STATES, Term
 from ..functions.scores import percent_score
+from ..functions.text import storage_key
 from ..functions.time import day_of, week_of
 from .tables import Sources
 
@@ -52,13 +53,19 @@ def extract_frames(src: Sources) -> dict[str, DataFrame]:
             "web_activity_data": web, "file_access_data": files}
 
 
-def write_extract(src: Sources, root: str, partitions: int | None = None) -> None:
-    """SNK1 for everyone: one Parquet mart per dataset under ``root``."""
+def write_extract(src: Sources, root: str, partitions: int | None = None,
+                  fmt: str = "parquet") -> None:
+    """SNK1 for everyone: one mart per dataset under ``root``.
+
+    ``fmt="json"`` writes the same rows as JSON lines (the reference's
+    interchange format), one flat record per row; a student's rows are found
+    by ``user_id``, never gathered into one document.
+    """
     for name, df in extract_frames(src).items():
         n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         (df.repartitionByRange(n, "course_id", "user_id")
            .sortWithinPartitions("course_id", "user_id")
-           .write.mode("overwrite").partitionBy("course_id").parquet(f"{root}/{name}"))
+           .write.mode("overwrite").partitionBy("course_id").format(fmt).save(f"{root}/{name}"))
 
 
 @dataclass(frozen=True)
@@ -142,4 +149,5 @@ def extract_ages(spark: SparkSession, root: str, now: datetime,
              .when(age_days < 7, F.concat(F.floor(age_days).cast("string"), F.lit(" days ago")))
              .otherwise("1+ week ago"))
     return newest.select("user_id", "cached_at", age_days.alias("age_days"), label.alias("age"),
-                         (F.col("cached_at").isNotNull() & (age_days < 7)).alias("fresh"))
+                         (F.col("cached_at").isNotNull() & (age_days < 7)).alias("fresh"),
+                         storage_key("user_id").alias("file_label"))

@@ -1,0 +1,5 @@
+"""Structured Streaming forms of the daily marts (incremental SNK1 refresh)."""
+
+from .daily_mart import daily_activity, daily_unique_files, start_mart, web_log_stream
+
+__all__ = ["daily_activity", "daily_unique_files", "start_mart", "web_log_stream"]
