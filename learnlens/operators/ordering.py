@@ -29,10 +29,15 @@ def row_number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str],
               .withColumn("_slice", F.spark_partition_id()))
     local = sliced.withColumn(
         "_local", F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order)))
-    counts = local.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    # Rows per (key, slice) = the slice's last local number. Reading it from
+    # the numbered rows keeps both branches on the same (reused) exchange, so
+    # the slice ids the offsets refer to are the ones the rows carry.
+    counts = local.groupBy(*keys, "_slice").agg(F.max("_local").alias("_n"))
     # Rows of the same key in earlier slices; a key spans at most `n` slices.
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    out = local.join(offsets, [*keys, "_slice"], "inner")
+    # One offsets row per key and slice: it grows with the data, so it is
+    # joined by hash on a shuffle, never broadcast on an estimate.
+    out = local.join(offsets.hint("shuffle_hash"), [*keys, "_slice"], "inner")
     return out.withColumn(name, (F.col("_local") + F.col("_offset")).cast("bigint")) \
               .drop("_slice", "_local", "_offset")
