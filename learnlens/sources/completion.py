@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import commits
+
 KEYS = ("user_id", "course_id", "block_start")
 
 
@@ -36,22 +38,22 @@ def completion_changes(current: DataFrame, previous: DataFrame) -> DataFrame:
     return flags.select(*KEYS, change.alias("change")).filter(F.col("change").isNotNull())
 
 
-def write_snapshot(snapshot: DataFrame, root: str, snapshot_id: int) -> None:
-    """Write one snapshot as partition ``snapshot_id=<id>`` of ``root``.
+def write_snapshot(snapshot: DataFrame, root: str, snapshot_id: int | None = None) -> int:
+    """Write one snapshot as run ``snapshot_id`` under ``root`` and commit it.
 
     A new id per run: earlier snapshots stay readable while this one is
-    written, and a failed run leaves no half-written state behind the
-    latest complete id.
+    written, and a failed run is never committed, so readers keep using the
+    last complete snapshot.
     """
-    (snapshot.withColumn("snapshot_id", F.lit(snapshot_id).cast("bigint"))
-     .write.mode("append").partitionBy("snapshot_id").parquet(root))
-
-
-def read_latest_snapshot(spark: SparkSession, root: str, schema=None) -> DataFrame:
-    """The snapshot with the highest id (partition-pruned read)."""
-    reader = spark.read
-    if schema is not None:
-        reader = reader.schema(schema)
-    all_snaps = reader.parquet(root)
-    latest = all_snaps.select(F.max("snapshot_id")).first()[0]
-    return all_snaps.filter(F.col("snapshot_id") == F.lit(latest)).drop("snapshot_id")
+    run = snapshot_id if snapshot_id is not None else commits.new_run_id()
+    commits.write_run(snapshot, f"{root}/data", run)
+    commits.commit(snapshot.sparkSession, root, "completion", run)
+    return run
+
+
+def read_latest_snapshot(spark: SparkSession, root: str) -> DataFrame:
+    """The newest committed snapshot (partition-pruned read)."""
+    run = commits.latest_run(spark, root, "completion")
+    if run is None:
+        raise FileNotFoundError(f"no committed completion snapshot under {root}")
+    return commits.read_run(spark, f"{root}/data", run)

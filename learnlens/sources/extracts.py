@@ -20,6 +20,7 @@ from ..config import ASSIGNMENT_ACCEPTED_STATES, QUIZ_ACCEPTED_STATES, Term
 from ..functions.scores import percent_score
 from ..functions.text import storage_key
 from ..functions.time import day_of, week_of
+from . import commits
 from .tables import Sources
 
 MARTS = ("courses", "quiz_data", "assignment_data", "web_activity_data", "file_access_data")
@@ -54,18 +55,24 @@ def extract_frames(src: Sources) -> dict[str, DataFrame]:
 
 
 def write_extract(src: Sources, root: str, partitions: int | None = None,
-                  fmt: str = "parquet") -> None:
-    """SNK1 for everyone: one mart per dataset under ``root``.
+                  fmt: str = "parquet", run_id: int | None = None) -> int:
+    """SNK1 for everyone: one mart per dataset under ``root``; returns the run id.
 
+    Each run appends its own ``run_id`` partition and is committed only after
+    all five marts are written (:mod:`learnlens.sources.commits`), so readers
+    never see a half-written extract and nothing is overwritten in place.
     ``fmt="json"`` writes the same rows as JSON lines (the reference's
     interchange format), one flat record per row; a student's rows are found
     by ``user_id``, never gathered into one document.
     """
+    run = run_id if run_id is not None else commits.new_run_id()
     for name, df in extract_frames(src).items():
         n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        (df.repartitionByRange(n, "course_id", "user_id")
-           .sortWithinPartitions("course_id", "user_id")
-           .write.mode("overwrite").partitionBy("course_id").format(fmt).save(f"{root}/{name}"))
+        ordered = (df.repartitionByRange(n, "course_id", "user_id")
+                     .sortWithinPartitions("course_id", "user_id"))
+        commits.write_run(ordered, f"{root}/{name}", run, ("course_id",), fmt)
+    commits.commit(src.enrollments.sparkSession, root, "extract", run)
+    return run
 
 
 @dataclass(frozen=True)
@@ -81,8 +88,12 @@ class Extract:
     term: Term
 
     @classmethod
-    def read(cls, spark: SparkSession, root: str, term: Term) -> "Extract":
-        return cls(*[spark.read.parquet(f"{root}/{m}") for m in MARTS], term=term)
+    def read(cls, spark: SparkSession, root: str, term: Term, run_id: int | None = None) -> "Extract":
+        """The latest committed extract (or the given run)."""
+        run = run_id if run_id is not None else commits.latest_run(spark, root, "extract")
+        if run is None:
+            raise FileNotFoundError(f"no committed extract under {root}")
+        return cls(*[commits.read_run(spark, f"{root}/{m}", run) for m in MARTS], term=term)
 
     def for_user(self, user_id) -> "Extract":
         keep = lambda df: df.filter(F.col("user_id") == F.lit(user_id))
@@ -137,7 +148,8 @@ def extract_ages(spark: SparkSession, root: str, now: datetime,
     ``fresh`` (< 7 days). Requested students absent from the extract are
     listed as ``missing``.
     """
-    files = spark.read.parquet(f"{root}/courses").select(
+    run = commits.latest_run(spark, root, "extract")
+    files = spark.read.parquet(f"{root}/courses").filter(F.col("run_id") == F.lit(run)).select(
         "user_id", F.col("_metadata.file_modification_time").alias("mtime"))
     newest = files.groupBy("user_id").agg(F.max("mtime").alias("cached_at"))
     now_lit = F.lit(now).cast("timestamp")

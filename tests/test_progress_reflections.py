@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from conftest import make_sources, rows, ts
 from learnlens.functions import rules
 from learnlens.operators import badges, progress, reflections
-from learnlens.sources import completion
+from learnlens.sources import commits, completion
 from learnlens.sources.reflections import (current_reflections, delete_rows,
                                            read_reflection_documents, save_rows)
 
@@ -187,3 +187,7 @@ def test_completion_snapshots_and_changes(spark):
     latest = completion.read_latest_snapshot(spark, root)
     assert rows(latest, "user_id", "block_start", "completed") == [("u", 1, True), ("u", 3, True), ("v", 1, False)]
     assert completion.completion_changes(second, latest).count() == 0
+    # A run whose data landed but which never committed (it failed) stays invisible.
+    commits.write_run(first, f"{root}/data", 3)
+    assert rows(completion.read_latest_snapshot(spark, root), "user_id", "block_start", "completed") == \
+        rows(latest, "user_id", "block_start", "completed")
