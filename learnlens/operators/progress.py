@@ -41,18 +41,34 @@ def assignment_weeks(src: Sources) -> DataFrame:
 ITEMS_PER_BLOCK = 2 * len(rules.ACTIVITY_ORDER)
 
 
-def _done_items(src: Sources) -> DataFrame:
-    """Done items as (user_id, course_id, week, activity index): accepted
-    quiz and assignment submissions (raw rows; duplicates are harmless) and
-    current reflections."""
-    idx = {a: i for i, a in enumerate(rules.ACTIVITY_ORDER)}
-    return (_quiz_done(src).withColumn("activity", F.lit(idx["quiz"]))
-            .unionByName(_assignment_done(src).withColumn("activity", F.lit(idx["assignment"])))
-            .unionByName(reflections(src).select("user_id", "course_id", "week")
-                         .withColumn("activity", F.lit(idx["reflection"]))))
-
-
-def block_masks(src: Sources) -> DataFrame:
+_IDX = {a: i for i, a in enumerate(rules.ACTIVITY_ORDER)}
+
+
+def _submission_items(src: Sources) -> DataFrame:
+    """Accepted quiz and assignment submissions as (user_id, course_id, week,
+    activity index); raw rows, duplicates are harmless."""
+    return (_quiz_done(src).withColumn("activity", F.lit(_IDX["quiz"]))
+            .unionByName(_assignment_done(src).withColumn("activity", F.lit(_IDX["assignment"]))))
+
+
+def _reflection_items(src: Sources) -> DataFrame:
+    return reflections(src).select("user_id", "course_id", "week") \
+        .withColumn("activity", F.lit(_IDX["reflection"]))
+
+
+def _item_bits(done: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Each done item as its bit in its own block and, as "previous", in the
+    block two weeks later: (keys..., block_start, own, prev)."""
+    block = block_start("week")
+    item_bit = bit((F.col("week") - block) * len(rules.ACTIVITY_ORDER) + F.col("activity"))
+    none = F.lit(None).cast("bigint")
+    return done.select(*keys, F.explode(F.array(
+        F.struct(block.alias("block_start"), item_bit.alias("own"), none.alias("prev")),
+        F.struct((block + 2).alias("block_start"), none.alias("own"), item_bit.alias("prev")),
+    )).alias("f")).select(*keys, "f.*")
+
+
+def block_masks(src: Sources, scope: str = "course") -> DataFrame:
     """Per enrolled (user, course) and term block: which of the block's six
     items are done, as a bit mask, for the block itself and for the block
     before it.
@@ -61,26 +77,36 @@ def block_masks(src: Sources) -> DataFrame:
     its bit in its own block and, as "previous", in the block two weeks
     later, so one aggregation gives both; ``bit_or`` is a fixed-width,
     map-side combinable aggregate, so hot students cost nothing extra.
+
+    ``scope="course"`` (default) counts a submission only for its course;
+    ``scope="user"`` counts it for every course of the student, as the
+    reference's live queries do. The user-scope masks are first reduced to
+    one row per (user, block) and only then spread over the student's
+    enrolments, so that join is bounded by users x blocks.
     """
     term = src.term
+    keys = ("user_id", "course_id", "block_start")
     grid = src.enrollments.select(
         "user_id", "course_id",
         F.explode(F.array(*[F.lit(b).cast("bigint") for b in term.block_starts])).alias("block_start"))
-    done = _done_items(src)
-    block = block_start("week")
-    item_bit = bit((F.col("week") - block) * len(rules.ACTIVITY_ORDER) + F.col("activity"))
-    facts = done.select("user_id", "course_id", F.explode(F.array(
-        F.struct(block.alias("block_start"), item_bit.alias("own"), F.lit(None).cast("bigint").alias("prev")),
-        F.struct((block + 2).alias("block_start"), F.lit(None).cast("bigint").alias("own"),
-                 item_bit.alias("prev")),
-    )).alias("f")).select("user_id", "course_id", "f.*")
-    return aggregate_onto_grid(grid, facts, ("user_id", "course_id", "block_start"), {
+    if scope == "course":
+        facts = _item_bits(_submission_items(src).unionByName(_reflection_items(src)),
+                           ("user_id", "course_id"))
+    elif scope == "user":
+        per_user = _item_bits(_submission_items(src).drop("course_id"), ("user_id",)) \
+            .groupBy("user_id", "block_start").agg(F.bit_or("own").alias("own"),
+                                                   F.bit_or("prev").alias("prev"))
+        spread = per_user.join(src.enrollments.select("user_id", "course_id").distinct(), "user_id")
+        facts = spread.unionByName(_item_bits(_reflection_items(src), ("user_id", "course_id")))
+    else:
+        raise ValueError(f"unknown scope {scope!r}")
+    return aggregate_onto_grid(grid, facts, keys, {
         "own_mask": F.coalesce(F.bit_or("own"), F.lit(0).cast("bigint")),
         "previous_mask": F.coalesce(F.bit_or("prev"), F.lit(0).cast("bigint")),
     })
 
 
-def activity_grid(src: Sources) -> DataFrame:
+def activity_grid(src: Sources, scope: str = "course") -> DataFrame:
     """JOI4: every enrolled (user, course) x block week x {quiz, assignment,
     reflection} with its name and whether it is done (six items per block;
     weeks come from the term's blocks, not from the data)."""
@@ -88,7 +114,7 @@ def activity_grid(src: Sources) -> DataFrame:
         F.struct(F.lit(w).alias("offset"), F.lit(a).alias("activity"),
                  F.lit(w * len(rules.ACTIVITY_ORDER) + i).alias("bit"))
         for w in range(2) for i, a in enumerate(rules.ACTIVITY_ORDER)])
-    rows = block_masks(src).select("user_id", "course_id", "block_start", "own_mask",
+    rows = block_masks(src, scope).select("user_id", "course_id", "block_start", "own_mask",
                                    F.explode(items).alias("item"))
     week = (F.col("block_start") + F.col("item.offset")).cast("bigint")
     done = has_bit("own_mask", F.col("item.bit"))
@@ -99,10 +125,10 @@ def activity_grid(src: Sources) -> DataFrame:
         done.alias("done"))
 
 
-def block_progress(src: Sources) -> DataFrame:
+def block_progress(src: Sources, scope: str = "course") -> DataFrame:
     """AGG18 + CLS7/CLS8: per (user, course, block) total, completed, percent
     and messages, with the previous block's counts (block_start - 2)."""
-    m = block_masks(src)
+    m = block_masks(src, scope)
     total = F.lit(ITEMS_PER_BLOCK).cast("bigint")
     completed = F.bit_count("own_mask").cast("bigint")
     has_prev = F.col("block_start") - 2 >= 1

@@ -177,20 +177,37 @@ SELECT user_id, course_id, week, day,
 FROM web_t GROUP BY user_id, course_id, week, day""")
 
 
-def weekly_summary_sql() -> str:
+def weekly_summary_sql(mean: str = "active", inclusive_end: bool = False) -> str:
+    start = DRIVER_TERM.start.isoformat()
+
+    def edge(table: str, ts: str) -> str:
+        # closed window: an event at exactly next Monday 00:00 also counts for the week before
+        if not inclusive_end:
+            return ""
+        return (f" UNION ALL SELECT user_id, course_id, week - 1 AS week, day, {ts} AS ts_, "
+                f"{'NULL' if table == 'web_t' else 'DurationInMinutes'} AS m FROM {table} "
+                f"WHERE {ts} = CAST(day AS TIMESTAMP) AND date_diff('day', DATE '{start}', day) % 7 = 0 "
+                f"AND week > 1")
+
+    avg = ({"active": f"CASE WHEN COALESCE(w.days, 0) > 0 THEN {_bround('w.total / w.days', 1)} ELSE 0.0 END",
+            "calendar": _bround('COALESCE(w.total, 0) / 7.0', 1)}[mean])
     return _with(f"""
-, web_days AS (
-  SELECT user_id, course_id, week, day, COUNT(*) AS n FROM web_t GROUP BY ALL),
+, web_x AS (
+  SELECT user_id, course_id, week, day, "timestamp" AS ts_, NULL AS m FROM web_t{edge('web_t', '"timestamp"')}),
+quiz_x AS (
+  SELECT user_id, course_id, week, day, finished_at_anonymous AS ts_, DurationInMinutes AS m FROM quiz_t
+  {edge('quiz_t', 'finished_at_anonymous')}),
+web_days AS (
+  SELECT user_id, course_id, week, day, COUNT(*) AS n FROM web_x GROUP BY ALL),
 web_w AS (
   SELECT user_id, course_id, week, SUM(n) AS total, COUNT(*) AS days FROM web_days GROUP BY ALL),
 quiz_w AS (
-  SELECT user_id, course_id, week, SUM(DurationInMinutes) AS minutes FROM quiz_t GROUP BY ALL)
+  SELECT user_id, course_id, week, SUM(m) AS minutes FROM quiz_x GROUP BY ALL)
 SELECT g.user_id, g.course_id, g.week,
        CAST(COALESCE(w.total, 0) AS BIGINT) AS total_interactions,
        CAST(COALESCE(w.total, 0) * 2 AS BIGINT) AS session_minutes,
        CAST(COALESCE(w.days, 0) AS BIGINT) AS active_days,
-       CASE WHEN COALESCE(w.days, 0) > 0 THEN {_bround('w.total / w.days', 1)} ELSE 0.0 END
-         AS avg_daily_interactions,
+       {avg} AS avg_daily_interactions,
        CAST(COALESCE(q.minutes, 0) AS DOUBLE) AS quiz_minutes,
        {_bround('COALESCE(w.total, 0) * 2 / 60.0', 1)} AS study_hours,
        {_bround('COALESCE(q.minutes, 0) / 60.0', 1)} AS quiz_hours,
@@ -220,16 +237,19 @@ FROM enrollments e LEFT JOIN labels l ON CAST(e.course_id AS VARCHAR) = l.cid"""
 
 
 # ------------------------------------------------------------------ scores
-def _daily_scores_cte(table: str) -> str:
+def _daily_scores_cte(table: str, null_day: str = "zero_null") -> str:
+    raw = "score_anonymous / NULLIF(points_possible, 0) * 100"
+    value = ("AVG(pct)" if null_day == "zero_null" else
+             f"CASE WHEN COUNT(*) FILTER (WHERE {raw} IS NULL) > 0 THEN 0.0 ELSE AVG({raw}) END")
     return f"""
 , ds AS (
-  SELECT user_id, course_id, week, day, AVG(pct) AS value, COUNT(*) AS n_submissions
+  SELECT user_id, course_id, week, day, {value} AS value, COUNT(*) AS n_submissions
   FROM {table} GROUP BY user_id, course_id, week, day)"""
 
 
-def daily_scores_sql(kind: str) -> str:
+def daily_scores_sql(kind: str, null_day: str = "zero_null") -> str:
     table = "quiz_t" if kind == "quiz" else "asg_t"
-    return _with(_daily_scores_cte(table) + f"""
+    return _with(_daily_scores_cte(table, null_day) + f"""
 SELECT user_id, course_id, week, day, value, n_submissions, {_bround('value', 1)} AS score,
        {_band(_bround('value', 1))} AS band, strftime(day, '%b %d') AS day_label
 FROM ds""")
@@ -262,19 +282,25 @@ def assignment_weeks_sql() -> str:
                  f"WHERE workflow_state IN ({_q(ASSIGNMENT_ACCEPTED_STATES)})")
 
 
-def _progress_ctes(term: Term = DRIVER_TERM, sfx: str = "") -> str:
-    """Activity grid ``ag{sfx}`` and block progress ``bp{sfx}``."""
+def _progress_ctes(term: Term = DRIVER_TERM, sfx: str = "", scope: str = "course") -> str:
+    """Activity grid ``ag{sfx}`` and block progress ``bp{sfx}``; with
+    ``scope="user"`` a submission counts for every course of the student."""
+    def subs(table: str, activity: str, states) -> str:
+        if scope == "course":
+            return (f"SELECT user_id, course_id, week, '{activity}' AS activity FROM {table}{sfx} "
+                    f"WHERE workflow_state IN ({_q(states)})")
+        return (f"SELECT e.user_id, e.course_id, s.week, '{activity}' AS activity FROM enrollments e "
+                f"JOIN (SELECT DISTINCT user_id, week FROM {table}{sfx} "
+                f"WHERE workflow_state IN ({_q(states)})) s ON s.user_id = e.user_id")
     return f"""
 , grid_items{sfx} AS (
   SELECT user_id, course_id, week, unnest(['quiz', 'assignment', 'reflection']) AS activity FROM (
     SELECT user_id, course_id, CAST(unnest(range(1, {term.block_weeks + 1})) AS BIGINT) AS week
     FROM enrollments)),
 done{sfx} AS (
-  SELECT user_id, course_id, week, 'quiz' AS activity FROM quiz_t{sfx}
-   WHERE workflow_state IN ({_q(QUIZ_ACCEPTED_STATES)})
+  {subs('quiz_t', 'quiz', QUIZ_ACCEPTED_STATES)}
   UNION
-  SELECT user_id, course_id, week, 'assignment' FROM asg_t{sfx}
-   WHERE workflow_state IN ({_q(ASSIGNMENT_ACCEPTED_STATES)})
+  {subs('asg_t', 'assignment', ASSIGNMENT_ACCEPTED_STATES)}
   UNION
   SELECT user_id, course_id, week, 'reflection' FROM reflections{sfx}),
 ag{sfx} AS (
@@ -316,8 +342,8 @@ def activity_grid_sql() -> str:
     return _with(_progress_ctes() + "\nSELECT * FROM ag")
 
 
-def block_progress_sql() -> str:
-    return _with(_progress_ctes() + "\nSELECT * FROM bp")
+def block_progress_sql(scope: str = "course") -> str:
+    return _with(_progress_ctes(scope=scope) + "\nSELECT * FROM bp")
 
 
 def completion_changes_sql(cutoff: str) -> str:

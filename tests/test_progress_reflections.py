@@ -69,6 +69,21 @@ def test_block_progress(spark):
             assert r.previous_completed == b[(u, blk - 2)].completed
 
 
+def test_scope_user_counts_other_courses(spark):
+    quiz = [("u", 27886, 1, _week_ts(1), 5.0, 1.0, "complete")]
+    s = make_sources(spark, quiz=quiz, quizzes=[(1, 10.0)],
+                     enrollments=[("u", 27886), ("u", C), ("w", C)])
+    per_course = {(r.course_id, r.week, r.activity): r.done
+                  for r in progress.activity_grid(s).filter("user_id = 'u'").collect()}
+    per_user = {(r.course_id, r.week, r.activity): r.done
+                for r in progress.activity_grid(s, scope="user").filter("user_id = 'u'").collect()}
+    assert per_course[(27886, 1, "quiz")] and not per_course[(C, 1, "quiz")]
+    assert per_user[(27886, 1, "quiz")] and per_user[(C, 1, "quiz")]
+    assert sum(per_user.values()) == 2
+    w = progress.block_progress(s, scope="user").filter("user_id = 'w'").collect()
+    assert all(r.completed == 0 for r in w)
+
+
 def test_submitted_weeks(spark):
     s = progress_src(spark)
     assert rows(progress.quiz_weeks(s), "week") == [(1,), (2,), (3,)]
