@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# Warehouse table names of the silver layer the reference reads.
+# --- Fixed values: warehouse table names of the silver layer ---------------
 SILVER_TABLES = {
     "enrollments": "silver_canvas_enrollments",
     "quiz_submissions": "silver_canvas_quiz_submissions",
@@ -18,6 +18,7 @@ SILVER_TABLES = {
     "assignments": "silver_canvas_assignments",
     "web_logs": "silver_canvas_web_logs",
 }
+# --- end of fixed values ---------------------------------------------------
 
 
 def _f(name, dtype, nullable=True):
