@@ -8,7 +8,6 @@ plans union-and-aggregate, windows where the plans use array functions.
 
 from __future__ import annotations
 
-from datetime import timedelta
 
 from ..config import ASSIGNMENT_ACCEPTED_STATES, DRIVER_TERM, QUIZ_ACCEPTED_STATES, Term
 from ..functions import rules

@@ -21,6 +21,12 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Broadcast only what is measured: no estimate-based broadcast at
+        # planning time; AQE may still broadcast a side whose shuffle output
+        # it has measured below the bound. Explicit, row-count-checked
+        # broadcast() hints (operators.joins) are unaffected.
+        .config("spark.sql.autoBroadcastJoinThreshold", "-1")
+        .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "64m")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("LEARNLENS_DRIVER_MEMORY", "8g"))
         .config("spark.sql.parquet.inferTimestampNTZ.enabled", "true")
@@ -33,9 +39,11 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 def cluster_settings() -> dict[str, str]:
     """Settings we recommend on a large cluster (documented, not forced).
 
-    Partitions are sized for ~128 MiB input splits and AQE coalesces small
+    Partitions are sized for ~256 MiB input splits and AQE coalesces small
     shuffle partitions after each stage, so the static partition count only
-    needs to be large enough for the biggest stage.
+    needs to be large enough for the biggest stage. Joins are broadcast only
+    on a measured size (AQE) or after an explicit row-count check, never on a
+    planner estimate.
     """
     return {
         "spark.sql.session.timeZone": "UTC",
@@ -43,6 +51,8 @@ def cluster_settings() -> dict[str, str]:
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
         "spark.sql.files.maxPartitionBytes": "256m",
         "spark.sql.shuffle.partitions": "8000",
     }

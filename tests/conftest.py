@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import os
 import sys
-from datetime import date, datetime
+from datetime import datetime
 
 import pytest
 
@@ -27,6 +27,8 @@ def spark() -> SparkSession:
          .config("spark.ui.enabled", "false")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.adaptive.enabled", "true")
+         .config("spark.sql.autoBroadcastJoinThreshold", "-1")
+         .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "64m")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s

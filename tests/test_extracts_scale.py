@@ -6,7 +6,6 @@ from __future__ import annotations
 import os
 import random
 import tempfile
-import time
 from datetime import datetime, timedelta, timezone
 
 import pytest

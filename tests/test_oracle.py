@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as entry  # noqa: E402
 from oracle_check import canon, duck  # noqa: E402
 
-from conftest import SF0001, SF001  # noqa: E402
+from conftest import SF001  # noqa: E402
 
 NAMES = sorted(entry.queries())
 
