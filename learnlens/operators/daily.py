@@ -120,13 +120,22 @@ def daily_metric(src: Sources, name: str) -> DataFrame:
                          "day", "value")
 
 
-def daily_metrics_wide(src: Sources) -> DataFrame:
+def daily_metrics_wide(src: Sources, daily_web: DataFrame | None = None) -> DataFrame:
     """All nine daily metrics in one row per (user, course, day).
 
     The three fact tables and the grid are unioned and aggregated once, so
-    the whole calendar costs a single shuffle.
+    the whole calendar costs a single shuffle. ``daily_web`` (a written
+    :func:`daily_web_activity` mart) replaces the click log as input.
     """
-    web = web_facts(src).withColumn("_web", F.lit(1))
+    if daily_web is None:
+        web = web_facts(src).select(
+            "user_id", "course_id", "day", "attachment_id", F.lit(1).cast("bigint").alias("_n"),
+            F.when(F.col("attachment_id").isNotNull(), F.lit(1).cast("bigint")).alias("_fa"))
+        unique_files = F.count_distinct("attachment_id")
+    else:
+        web = daily_web.select("user_id", "course_id", "day", F.col("interactions").alias("_n"),
+                               F.col("file_accesses").alias("_fa"), F.col("unique_files").alias("_uf"))
+        unique_files = F.coalesce(F.sum("_uf"), F.lit(0)).cast("bigint")
     quiz = scored_quizzes(src).select(
         "user_id", "course_id", day_of("finished_at_anonymous").alias("day"),
         F.col("pct").alias("quiz_pct"), F.col("DurationInMinutes").alias("minutes"),
@@ -138,10 +147,10 @@ def daily_metrics_wide(src: Sources) -> DataFrame:
                .unionByName(asg, allowMissingColumns=True)
     per = src.term.minutes_per_interaction
     filled = aggregate_onto_grid(enrolled_days(src.enrollments, src.term), facts, KEYS, {
-        "daily_interactions": F.count("_web"),
-        "active_study_time": F.count("_web") * F.lit(per),
-        "file_accesses": F.count("attachment_id"),
-        "unique_files": F.count_distinct("attachment_id"),
+        "daily_interactions": F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint"),
+        "active_study_time": (F.coalesce(F.sum("_n"), F.lit(0)) * F.lit(per)).cast("bigint"),
+        "file_accesses": F.coalesce(F.sum("_fa"), F.lit(0)).cast("bigint"),
+        "unique_files": unique_files,
         "quiz_submissions": F.count("_quiz"),
         "quiz_score": F.coalesce(F.avg("quiz_pct"), F.lit(0.0)),
         "quiz_minutes": F.coalesce(F.sum("minutes"), F.lit(0.0)),

@@ -26,30 +26,38 @@ def _weeks(ts: str, src: Sources, inclusive_end: bool) -> Column:
     return F.when(on_week_edge & (week > 1), F.array(week, week - 1)).otherwise(F.array(week))
 
 
-def weekly_summary(src: Sources, mean: str = "active", inclusive_end: bool = False) -> DataFrame:
+def weekly_summary(src: Sources, mean: str = "active", inclusive_end: bool = False,
+                   daily_web: DataFrame | None = None) -> DataFrame:
     """Per enrolled (user, course, week): interactions, session minutes (2 per
     interaction), active days, mean daily interactions (1 dp), quiz minutes,
     study and quiz hours (1 dp) and the engagement level.
 
     ``mean="active"`` divides by days with activity (the live query);
     ``mean="calendar"`` divides by all seven days (the extract).
+    ``daily_web`` (a :func:`learnlens.operators.daily.daily_web_activity`
+    mart already written) replaces the click log as input, so a refresh job
+    reads the click log once; closed weeks need event times, not day rows.
     """
-    logs = src.web_logs_in_term().select(
-        "user_id", "course_id", F.explode(_weeks("timestamp", src, inclusive_end)).alias("week"),
-        day_of("timestamp").alias("day"))
     # Day of the week as one bit (0..6, or 7 for an end-inclusive Monday):
     # active days = set bits of bit_or over the week; no distinct aggregate.
     day_index = (F.datediff("day", F.lit(src.term.start)) - (F.col("week") - 1) * 7).cast("int")
-    web = logs.select("user_id", "course_id", "week",
-                      bit(day_index).alias("day_bit"),
-                      F.lit(1).alias("_web"))
+    if daily_web is None:
+        logs = src.web_logs_in_term().select(
+            "user_id", "course_id", F.explode(_weeks("timestamp", src, inclusive_end)).alias("week"),
+            day_of("timestamp").alias("day"), F.lit(1).cast("bigint").alias("_n"))
+    elif inclusive_end:
+        raise ValueError("inclusive_end needs event times: pass the click log, not a daily mart")
+    else:
+        logs = daily_web.select("user_id", "course_id", week_of("day", src.term).alias("week"),
+                                "day", F.col("interactions").alias("_n"))
+    web = logs.select("user_id", "course_id", "week", bit(day_index).alias("day_bit"), "_n")
     quiz = src.quiz_submissions_in_term().select(
         "user_id", "course_id",
         F.explode(_weeks("finished_at_anonymous", src, inclusive_end)).alias("week"),
         F.col("DurationInMinutes").alias("minutes"))
     facts = web.unionByName(quiz, allowMissingColumns=True)
     weekly = aggregate_onto_grid(enrolled_weeks(src.enrollments, src.term), facts, WEEK_KEYS, {
-        "total_interactions": F.count("_web"),
+        "total_interactions": F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint"),
         "active_days": F.coalesce(F.bit_count(F.bit_or("day_bit")), F.lit(0)),
         "quiz_minutes": F.coalesce(F.sum("minutes"), F.lit(0.0)),
     })

@@ -48,14 +48,33 @@ def refresh_marts(src: Sources, root: str, names: Sequence[str] | None = None,
     """
     spark = src.enrollments.sparkSession
     run = run_id if run_id is not None else commits.new_run_id()
-    for name in names or MARTS:
-        df = MARTS[name](src)
-        order = [c for c in ("user_id", "course_id", "week", "block_start", "day") if c in df.columns]
-        commits.write_run(df.sortWithinPartitions(*order), f"{root}/{name}", run)
+    wanted = list(names or MARTS)
+    # The click log is read once: the daily web mart is written first and the
+    # weekly summary and the wide daily metrics are computed from it.
+    daily_web = None
+    if any(n in wanted for n in _FROM_DAILY_WEB):
+        _write(MARTS["daily_web_activity"](src), root, "daily_web_activity", run)
+        daily_web = commits.read_run(spark, f"{root}/daily_web_activity", run)
+    for name in wanted:
+        if name == "daily_web_activity" and daily_web is not None:
+            continue
+        df = _FROM_DAILY_WEB[name](src, daily_web) if name in _FROM_DAILY_WEB else MARTS[name](src)
+        _write(df, root, name, run)
     commits.commit(spark, root, DATASET, run)
     return run
 
 
+_FROM_DAILY_WEB = {
+    "daily_metrics": lambda s, d: daily.daily_metrics_wide(s, daily_web=d),
+    "weekly_summary": lambda s, d: summary.weekly_summary(s, daily_web=d),
+}
+
+
+def _write(df: DataFrame, root: str, name: str, run: int) -> None:
+    order = [c for c in ("user_id", "course_id", "week", "block_start", "day") if c in df.columns]
+    commits.write_run(df.sortWithinPartitions(*order), f"{root}/{name}", run)
+
+
 def read_mart(spark: SparkSession, root: str, name: str, run_id: int | None = None,
               user_id=None) -> DataFrame:
     """One mart from the latest committed refresh (optionally one student;
