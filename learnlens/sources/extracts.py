@@ -61,17 +61,32 @@ def write_extract(src: Sources, root: str, partitions: int | None = None,
     Each run appends its own ``run_id`` partition and is committed only after
     all five marts are written (:mod:`learnlens.sources.commits`), so readers
     never see a half-written extract and nothing is overwritten in place.
+    The click log is read once: the web-activity mart also carries the
+    file columns, and the file-access mart is derived from the written rows.
     ``fmt="json"`` writes the same rows as JSON lines (the reference's
     interchange format), one flat record per row; a student's rows are found
     by ``user_id``, never gathered into one document.
     """
     run = run_id if run_id is not None else commits.new_run_id()
-    for name, df in extract_frames(src).items():
-        n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = src.enrollments.sparkSession
+    frames = extract_frames(src)
+
+    def write(name: str, df: DataFrame) -> None:
+        n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
         ordered = (df.repartitionByRange(n, "course_id", "user_id")
                      .sortWithinPartitions("course_id", "user_id"))
         commits.write_run(ordered, f"{root}/{name}", run, ("course_id",), fmt)
-    commits.commit(src.enrollments.sparkSession, root, "extract", run)
+
+    for name in ("courses", "quiz_data", "assignment_data"):
+        write(name, frames[name])
+    # One pass over the click log: the web mart carries the file columns too,
+    # and the file mart is the written days with file accesses.
+    from ..operators.daily import daily_web_activity
+    write("web_activity_data", daily_web_activity(src))
+    written = commits.read_run(spark, f"{root}/web_activity_data", run, fmt)
+    write("file_access_data", written.filter(F.col("file_accesses") > 0).select(
+        "user_id", "course_id", "day", "file_accesses", "unique_files", "week"))
+    commits.commit(spark, root, "extract", run)
     return run
 
 

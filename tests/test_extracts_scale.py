@@ -138,3 +138,13 @@ def test_every_shuffle_is_pre_aggregated(spark):
                 if not (re.search(r"Aggregate\(.*partial_", child) or "functions=[]" in child):
                     offenders.setdefault(name, []).append(child.strip()[:80])
     assert set(offenders) <= RAW_SHUFFLE_ALLOWED, offenders
+
+
+def test_json_extract_has_the_same_rows(spark, extract_root):
+    root = tempfile.mkdtemp(prefix="learnlens-extract-json-")
+    run = write_extract(sources(spark, SF0001), root, fmt="json")
+    from learnlens.sources import commits
+    for mart in ("courses", "quiz_data", "web_activity_data", "file_access_data"):
+        got = commits.read_run(spark, f"{root}/{mart}", run, "json").count()
+        want = Extract.read(spark, extract_root, DRIVER_TERM).__getattribute__(mart).count()
+        assert got == want, mart
