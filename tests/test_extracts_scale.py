@@ -148,3 +148,19 @@ def test_json_extract_has_the_same_rows(spark, extract_root):
         got = commits.read_run(spark, f"{root}/{mart}", run, "json").count()
         want = Extract.read(spark, extract_root, DRIVER_TERM).__getattribute__(mart).count()
         assert got == want, mart
+
+
+def test_catalogue_user_filter_reaches_every_event_scan(spark):
+    """The chart request filters the all-students plan; Catalyst must push the
+    student equality through the HAVING, the aggregates, the union and the
+    grid's explode into every scan of the events table."""
+    src = sources(spark, SF0001)
+    uid = src.enrollments.first().user_id
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    for spec in catalogue.CATALOGUE:
+        df = catalogue.metric(src, spec.data_type, spec.metric, user_id=uid, week=2)
+        lines = df._jdf.queryExecution().explainString(mode).splitlines()
+        event_scans = [lines[i + 1] for i, line in enumerate(lines)
+                       if line.startswith("Location") and "events.parquet" in line]
+        assert event_scans, spec.metric
+        assert all(f"EqualTo(user_id,{uid})" in s for s in event_scans), spec.metric
