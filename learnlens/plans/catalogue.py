@@ -9,6 +9,7 @@ reads only that student's row groups.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -85,14 +86,7 @@ def metric(src: Sources, data_type: str, metric_name: str, user_id=None, course_
     chart order); leave it off when the rows feed another job.
     """
     spec = lookup(data_type, metric_name)
-    if spec.kind == "daily":
-        df = daily.daily_metric(src, spec.name)
-    elif spec.kind == "weekly_scores":
-        df = (daily.daily_metric(src, SCORE_DAILY[spec.name]) if daily_series
-              else scores.weekly_scores(src, spec.name))
-    else:
-        df = summary.weekly_summary(src)
-    df = _filtered(df, user_id, course_id, week)
+    df = _filtered(_all_students(src, spec, daily_series), user_id, course_id, week)
     if ordered:
         # SRT1: sort only at the outermost step, for display.
         order = ["user_id", "course_id", "week"] + (["day"] if "day" in df.columns else [])
@@ -100,6 +94,22 @@ def metric(src: Sources, data_type: str, metric_name: str, user_id=None, course_
     return df
 
 
+@functools.lru_cache(maxsize=128)
+def _all_students(src: Sources, spec: MetricSpec, daily_series: bool) -> DataFrame:
+    """The unfiltered plan of one metric, built once per ``Sources``.
+
+    A DataFrame is a lazy plan, so reusing it re-reads the data on every
+    action; only the driver-side planning is saved for repeated chart
+    requests, which then add just their student / course / week filter.
+    """
+    if spec.kind == "daily":
+        return daily.daily_metric(src, spec.name)
+    if spec.kind == "weekly_scores":
+        return (daily.daily_metric(src, SCORE_DAILY[spec.name]) if daily_series
+                else scores.weekly_scores(src, spec.name))
+    return summary.weekly_summary(src)
+
+
 def label(data_type: str, metric_name: str) -> str:
     return lookup(data_type, metric_name).label
 
