@@ -156,6 +156,46 @@ class Extract:
                              "day", "value")
 
 
+# --- Fixed values: the reference's extract query types -> our daily series -
+DAILY_QUERY_TYPES = {
+    "quiz_scores": "quiz_score",
+    "assignment_scores": "assignment_score",
+    "web_activity": "daily_interactions",
+    "file_access": "file_accesses",
+    "quiz_duration": "quiz_minutes",
+}
+QUERY_TYPES = ("courses", "quiz_weeks", "assignment_weeks", *DAILY_QUERY_TYPES)
+# --- end of fixed values ---------------------------------------------------
+
+
+def query(extract: Extract, query_type: str, user_id=None, course_id=None, start=None, end=None,
+          metric: str = "file_accesses") -> DataFrame:
+    """SRC2 by the reference's query-type names, for all students or one.
+
+    ``quiz_weeks`` / ``assignment_weeks`` take a week range, the daily series
+    a day range (FIL4, both ends inclusive); ``file_access`` takes
+    ``metric="file_accesses"`` or ``"unique_files"``.
+    """
+    if query_type == "courses":
+        df = extract.courses
+    elif query_type in ("quiz_weeks", "assignment_weeks"):
+        df = extract.submitted_weeks(query_type.split("_")[0])
+        if start is not None and end is not None:
+            df = df.filter(F.col("week").between(start, end))
+    elif query_type in DAILY_QUERY_TYPES:
+        name = metric if query_type == "file_access" else DAILY_QUERY_TYPES[query_type]
+        df = extract.daily(name)
+        if start is not None and end is not None:
+            df = df.filter(F.col("day").between(F.lit(start), F.lit(end)))
+    else:
+        raise ValueError(f"unknown query type {query_type!r}; one of {QUERY_TYPES}")
+    if user_id is not None:
+        df = df.filter(F.col("user_id") == F.lit(user_id))
+    if course_id is not None:
+        df = df.filter(F.col("course_id") == F.lit(course_id))
+    return df
+
+
 def extract_ages(spark: SparkSession, root: str, now: datetime,
                  requested_users: DataFrame | None = None) -> DataFrame:
     """SRC3: per student in the extract, the age of the newest file holding

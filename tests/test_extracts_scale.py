@@ -164,3 +164,25 @@ def test_catalogue_user_filter_reaches_every_event_scan(spark):
                        if line.startswith("Location") and "events.parquet" in line]
         assert event_scans, spec.metric
         assert all(f"EqualTo(user_id,{uid})" in s for s in event_scans), spec.metric
+
+
+def test_extract_query_types(spark, extract_root):
+    from datetime import date
+
+    from learnlens.sources.extracts import QUERY_TYPES, query
+    ex = Extract.read(spark, extract_root, DRIVER_TERM)
+    uid, cid = ex.courses.orderBy("user_id", "course_id").first()
+    start, end = date(2024, 1, 8), date(2024, 1, 14)
+    for qt in QUERY_TYPES:
+        df = query(ex, qt, user_id=uid, course_id=cid, start=start if "weeks" not in qt else 1,
+                   end=end if "weeks" not in qt else 2)
+        if qt in ("courses",):
+            assert df.count() == 1
+        elif "weeks" in qt:
+            assert all(1 <= r.week <= 2 for r in df.collect())
+        else:
+            got = sorted(r.day for r in df.collect())
+            assert got == [date(2024, 1, d) for d in range(8, 15)], qt   # seven filled days
+    uniq = query(ex, "file_access", metric="unique_files").agg(F.sum("value")).first()[0]
+    acc = query(ex, "file_access").agg(F.sum("value")).first()[0]
+    assert 0 < uniq <= acc
