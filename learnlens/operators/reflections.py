@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.scores import bit, has_bit
+from ..functions.scores import bit
 from ..sources.reflections import current_reflections
 from ..sources.tables import Sources
 from .calendar import aggregate_onto_grid
@@ -55,8 +55,9 @@ def reflection_streaks(src: Sources) -> DataFrame:
 
     Reflection weeks are clamped to 1..max_week, so the weeks a student
     reflected in fit one BIGINT bit mask per (user, course): a fixed-width
-    ``bit_or`` aggregate, combined map-side. The streak is then arithmetic
-    over the weeks 0..W.
+    ``bit_or`` aggregate, combined map-side. The streak is then bit
+    arithmetic on that mask (no higher-order function, so it stays in
+    whole-stage codegen).
     """
     term = src.term
     cur = reflections(src).select("user_id", "course_id", "week")
@@ -68,11 +69,13 @@ def reflection_streaks(src: Sources) -> DataFrame:
         "user_id", "course_id", "weeks",
         F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(term.weeks).cast("bigint")))
          .alias("current_week"))
-    # Latest week <= W without a reflection; the streak is W minus that week.
-    gap = F.array_max(F.filter(
-        F.sequence(F.lit(0).cast("bigint"), F.col("current_week")),
-        lambda w: (w == 0) | ~has_bit("weeks", w)))
-    streak = (F.col("current_week") - gap).cast("bigint")
+    # Latest week <= W without a reflection (0 if none); the streak is W
+    # minus that week. Weeks 1..W without a reflection are the set bits of
+    # ~mask & ((1 << (W + 1)) - 2); the highest one is len(bin(c)) - 1.
+    w = F.col("current_week")
+    missing = F.bitwise_not(F.col("weeks")).bitwiseAND(bit(w + 1) - F.lit(2))
+    gap = F.when(missing == 0, F.lit(0)).otherwise(F.length(F.bin(missing)) - 1)
+    streak = (w - gap).cast("bigint")
     return per_week.select(
         "user_id", "course_id", "current_week", streak.alias("streak"),
         (streak >= rules.STREAK_MIN_SHOWN).alias("shown"),
