@@ -44,3 +44,15 @@ def bit(position: Column | str) -> Column:
 def has_bit(mask: Column | str, position: Column | str) -> Column:
     m = F.col(mask) if isinstance(mask, str) else mask
     return m.bitwiseAND(bit(position)) != 0
+
+
+def exact_sum(value: Column | str, scale: int = 6) -> Column:
+    """Sum of a DOUBLE measure (e.g. minutes) as a DECIMAL, returned as DOUBLE.
+
+    A floating-point sum depends on the order rows arrive in, i.e. on the
+    partitioning; summing the values at ``scale`` decimals is exact, so the
+    result is the same on every run and cluster layout. Not for ratios such
+    as percent scores, whose full double value decides half-even rounding.
+    """
+    v = F.col(value) if isinstance(value, str) else value
+    return F.sum(v.cast(f"decimal(18,{scale})")).cast("double")

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scores import percent_score
+from ..functions.scores import exact_sum, percent_score
 from ..functions.time import day_of, week_of
 from ..sources.tables import Sources
 from .calendar import aggregate_onto_grid, enrolled_days
@@ -105,7 +105,7 @@ DAILY_METRICS: dict[str, DailyMetric] = {
         lambda s: F.coalesce(F.avg(F.col("pct")), F.lit(0.0)), "double"),
     "quiz_minutes": DailyMetric(
         "quiz_minutes", quiz_facts,
-        lambda s: F.coalesce(F.sum(F.col("minutes")), F.lit(0.0)), "double"),
+        lambda s: F.coalesce(exact_sum("minutes"), F.lit(0.0)), "double"),
 }
 
 
@@ -153,7 +153,7 @@ def daily_metrics_wide(src: Sources, daily_web: DataFrame | None = None) -> Data
         "unique_files": unique_files,
         "quiz_submissions": F.count("_quiz"),
         "quiz_score": F.coalesce(F.avg("quiz_pct"), F.lit(0.0)),
-        "quiz_minutes": F.coalesce(F.sum("minutes"), F.lit(0.0)),
+        "quiz_minutes": F.coalesce(exact_sum("minutes"), F.lit(0.0)),
         "assignment_submissions": F.count("_asg"),
         "assignment_score": F.coalesce(F.avg("assignment_pct"), F.lit(0.0)),
     })

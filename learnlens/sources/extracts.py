@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ASSIGNMENT_ACCEPTED_STATES, QUIZ_ACCEPTED_STATES, Term
-from ..functions.scores import percent_score
+from ..functions.scores import exact_sum, percent_score
 from ..functions.text import storage_key
 from ..functions.time import day_of, week_of
 from . import commits
@@ -147,7 +147,7 @@ class Extract:
             "assignment_submissions": (asg, F.count("pct"), "bigint"),
             "quiz_score": (quiz, F.coalesce(F.avg("pct"), F.lit(0.0)), "double"),
             "assignment_score": (asg, F.coalesce(F.avg("pct"), F.lit(0.0)), "double"),
-            "quiz_minutes": (quiz, F.coalesce(F.sum("minutes"), F.lit(0.0)), "double"),
+            "quiz_minutes": (quiz, F.coalesce(exact_sum("minutes"), F.lit(0.0)), "double"),
         }
         facts, value, dtype = spec[name]
         filled = aggregate_onto_grid(enrolled_days(self.courses, self.term), facts, keys,
