@@ -119,15 +119,16 @@ def test_weekly_summary_and_inclusive_end(spark):
 
 def test_active_days_engagement(spark):
     web = []
-    for uid, n in (("a0", 0), ("a1", 1), ("a3", 3), ("a5", 5), ("a7", 7)):
+    for uid, n in (("a0", 0), ("a1", 1), ("a2", 2), ("a3", 3), ("a4", 4), ("a5", 5), ("a7", 7)):
         for d in range(n):
             web.append((uid, C, ts(f"2024-11-{11 + d:02d} 10:00:00"), None))
             web.append((uid, C, ts(f"2024-11-{11 + d:02d} 11:00:00"), None))
-    s = make_sources(spark, web=web, enrollments=[(u, C) for u in ("a0", "a1", "a3", "a5", "a7")])
+    s = make_sources(spark, web=web, enrollments=[(u, C) for u in ("a0", "a1", "a2", "a3", "a4", "a5", "a7")])
     got = {r.user_id: (r.active_days, r.engagement, r.avg_daily_interactions)
            for r in summary.weekly_summary(s).filter("week = 1").collect()}
-    assert got == {"a0": (0, "No Activity", 0.0), "a1": (1, "Limited", 2.0), "a3": (3, "Good", 2.0),
-                   "a5": (5, "Excellent", 2.0), "a7": (7, "Excellent", 2.0)}
+    assert got == {"a0": (0, "No Activity", 0.0), "a1": (1, "Limited", 2.0), "a2": (2, "Limited", 2.0),
+                   "a3": (3, "Good", 2.0), "a4": (4, "Good", 2.0), "a5": (5, "Excellent", 2.0),
+                   "a7": (7, "Excellent", 2.0)}
 
 
 def test_quiz_minutes_nulls(spark):

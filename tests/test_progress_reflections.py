@@ -206,3 +206,22 @@ def test_completion_snapshots_and_changes(spark):
     commits.write_run(first, f"{root}/data", 3)
     assert rows(completion.read_latest_snapshot(spark, root), "user_id", "block_start", "completed") == \
         rows(latest, "user_id", "block_start", "completed")
+
+
+def test_block_badges_at_each_count(spark):
+    # user bK completes the first K blocks (weeks 1..2K fully done), K = 0..4
+    quiz, subs, log, enrolled = [], [], [], []
+    for k in range(5):
+        uid = f"b{k}"
+        enrolled.append((uid, C))
+        for w in range(1, 2 * k + 1):
+            quiz.append((uid, C, 1, _week_ts(w), 5.0, 1.0, "complete"))
+            subs.append((uid, C, 1, _week_ts(w), 5.0, "graded"))
+            log.append(_log(uid, w))
+    s = make_sources(spark, quiz=quiz, quizzes=[(1, 1.0)], subs=subs, assignments=[(1, 1.0)],
+                     enrollments=enrolled, log=log)
+    b = {(r.user_id, r.badge): (r.have, r.unlocked) for r in badges.badges(s).collect()}
+    for k in range(5):
+        assert b[(f"b{k}", "selfaware")] == (k, k >= 1)
+        assert b[(f"b{k}", "insightchampion")] == (k, k >= 2)
+        assert b[(f"b{k}", "kingofwisdom")] == (k, k >= 4)
