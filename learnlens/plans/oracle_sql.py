@@ -158,7 +158,7 @@ DAILY_SQL = {
     "quiz_score": ("SELECT user_id, course_id, day, AVG(pct) AS v FROM quiz_t GROUP BY 1, 2, 3", "DOUBLE"),
     "assignment_score": ("SELECT user_id, course_id, day, AVG(pct) AS v FROM asg_t GROUP BY 1, 2, 3",
                          "DOUBLE"),
-    "quiz_minutes": ("SELECT user_id, course_id, day, SUM(CAST(DurationInMinutes AS DECIMAL(18, 6))) AS v FROM quiz_t "
+    "quiz_minutes": ("SELECT user_id, course_id, day, SUM(CAST(round(DurationInMinutes * 1000000) AS BIGINT)) / 1000000.0 AS v FROM quiz_t "
                      "GROUP BY 1, 2, 3", "DOUBLE"),
 }
 
@@ -201,7 +201,7 @@ web_days AS (
 web_w AS (
   SELECT user_id, course_id, week, SUM(n) AS total, COUNT(*) AS days FROM web_days GROUP BY ALL),
 quiz_w AS (
-  SELECT user_id, course_id, week, SUM(CAST(m AS DECIMAL(18, 6))) AS minutes FROM quiz_x GROUP BY ALL)
+  SELECT user_id, course_id, week, SUM(CAST(round(m * 1000000) AS BIGINT)) / 1000000.0 AS minutes FROM quiz_x GROUP BY ALL)
 SELECT g.user_id, g.course_id, g.week,
        CAST(COALESCE(w.total, 0) AS BIGINT) AS total_interactions,
        CAST(COALESCE(w.total, 0) * 2 AS BIGINT) AS session_minutes,
@@ -472,7 +472,7 @@ def _wide_cte() -> str:
     return """
 , w AS (SELECT user_id, course_id, day, COUNT(*) AS n, COUNT(attachment_id) AS fa,
                COUNT(DISTINCT attachment_id) AS uf FROM web_t GROUP BY user_id, course_id, day),
-q AS (SELECT user_id, course_id, day, COUNT(*) AS n, AVG(pct) AS s, SUM(CAST(DurationInMinutes AS DECIMAL(18, 6))) AS m
+q AS (SELECT user_id, course_id, day, COUNT(*) AS n, AVG(pct) AS s, SUM(CAST(round(DurationInMinutes * 1000000) AS BIGINT)) / 1000000.0 AS m
       FROM quiz_t GROUP BY user_id, course_id, day),
 a AS (SELECT user_id, course_id, day, COUNT(*) AS n, AVG(pct) AS s
       FROM asg_t GROUP BY user_id, course_id, day),
@@ -501,7 +501,7 @@ def no_activity_weeks_sql(names) -> str:
 
 def weekly_quiz_minutes_sql() -> str:
     return _with("""
-SELECT user_id, course_id, week, CAST(COALESCE(SUM(CAST(DurationInMinutes AS DECIMAL(18, 6))), 0) AS DOUBLE) AS quiz_minutes
+SELECT user_id, course_id, week, CAST(COALESCE(SUM(CAST(round(DurationInMinutes * 1000000) AS BIGINT)) / 1000000.0, 0) AS DOUBLE) AS quiz_minutes
 FROM quiz_t GROUP BY user_id, course_id, week""")
 
 
