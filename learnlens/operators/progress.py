@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +70,7 @@ def _item_bits(done: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     )).alias("f")).select(*keys, "f.*")
 
 
+@functools.lru_cache(maxsize=32)
 def block_masks(src: Sources, scope: str = "course") -> DataFrame:
     """Per enrolled (user, course) and term block: which of the block's six
     items are done, as a bit mask, for the block itself and for the block

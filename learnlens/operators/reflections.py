@@ -3,6 +3,8 @@ counts (AGG19)."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +17,13 @@ from .calendar import aggregate_onto_grid
 KEYS = ("user_id", "course_id", "week")
 
 
+@functools.lru_cache(maxsize=32)
 def reflections(src: Sources) -> DataFrame:
-    """Current reflections: (user_id, course_id, week, satisfaction, expectation, saved_at)."""
+    """Current reflections: (user_id, course_id, week, satisfaction, expectation, saved_at).
+
+    Built once per ``Sources`` (a lazy plan, re-read on every action): the
+    plans that use it share one subplan, so Spark reuses its exchange.
+    """
     return current_reflections(src.reflection_log).select(
         *KEYS, "satisfaction", "expectation", "saved_at")
 
