@@ -61,16 +61,17 @@ def cluster_settings() -> dict[str, str]:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when it is unset (tests on one machine) do we create our own.
+    The setting is read from the session (it cannot be changed at run time);
+    a checkpoint folder already set on the context is kept. Only when neither
+    exists (tests on one machine) is a scratch folder used.
     """
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    own = tempfile.mkdtemp(prefix="learnlens-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="learnlens-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
