@@ -50,3 +50,28 @@ def test_from_catalog(spark):
         df.createOrReplaceGlobalTempView(schemas.SILVER_TABLES[key])
     read = Sources.from_catalog(spark, "global_temp", src.reflection_log)
     _same(src, read)
+
+
+def test_known_courses_and_labels(spark):
+    from learnlens.operators import courses
+    src = make_sources(spark, enrollments=[("u1", 28301), ("u1", 12345)])
+    got = {(r.course_id, r.course_label, r.known) for r in courses.course_labels(src).collect()}
+    assert got == {(28301, "0HV60-2024", True), (12345, "Unknown Course", False)}
+    assert [r.course_id for r in courses.known_courses(src).collect()] == [28301]
+    title = courses.course_labels(src).filter("course_id = 28301").first().title
+    assert title == "0HV60-2024 - Self-Regulated Learning Reflection Dashboard"
+
+
+def test_catalogue_ordered_and_frame(spark):
+    from learnlens.plans import catalogue
+    src = fixture(spark)
+    df = catalogue.metric(src, "Web Activities", "Daily Web Activity", user_id="u1", week=1, ordered=True)
+    days = [r.day for r in df.collect()]
+    assert days == sorted(days) and len(days) == 7
+    assert catalogue.catalogue_frame(spark).count() == len(catalogue.CATALOGUE) == 12
+    try:
+        catalogue.metric(src, "Quizzes", "No Such Metric")
+    except KeyError:
+        pass
+    else:
+        raise AssertionError("unknown metric must raise")
