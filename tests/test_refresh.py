@@ -31,3 +31,29 @@ def test_refresh_round_trip(spark, capsys):
     commits.write_run(refresh.MARTS["weekly_summary"](src).limit(1), f"{root}/weekly_summary", run + 1)
     assert refresh.read_mart(spark, root, "weekly_summary").count() == \
         refresh.MARTS["weekly_summary"](src).count()
+
+
+def test_refresh_cli_on_silver_tables(spark, capsys):
+    from conftest import make_sources, ts
+    from learnlens.sources import schemas
+    from learnlens.sources.reflections import append_to_log, save_rows
+    C = 28301
+    src = make_sources(spark, web=[("u1", C, ts("2024-11-11 08:00:00"), 3)],
+                       quiz=[("u1", C, 1, ts("2024-11-12 10:00:00"), 8.0, 12.0, "complete")],
+                       quizzes=[(1, 10.0)], enrollments=[("u1", C)])
+    root = tempfile.mkdtemp(prefix="learnlens-cli-")
+    tables = {"web_logs": src.web_logs.drop("event_id"), "quiz_submissions": src.quiz_submissions,
+              "quizzes": src.quizzes, "submissions": src.submissions, "assignments": src.assignments,
+              "enrollments": src.enrollments}
+    for key, df in tables.items():
+        df.write.parquet(f"{root}/silver/{schemas.SILVER_TABLES[key]}")
+    ratings = spark.createDataFrame([("u1", C, 1, 7, 8)],
+                                    "user_id string, course_id bigint, week bigint, satisfaction int, expectation int")
+    append_to_log(save_rows(ratings, saved_at=ts("2024-11-13 09:00:00")), f"{root}/log")
+    refresh.main(["--silver", f"{root}/silver", "--reflection-log", f"{root}/log",
+                  "--out", f"{root}/marts", "--marts", "weekly_summary,reflection_feedback"])
+    assert "committed run" in capsys.readouterr().out
+    fb = refresh.read_mart(spark, f"{root}/marts", "reflection_feedback").collect()
+    assert [(r.user_id, r.week, r.satisfaction, r.expectation) for r in fb] == [("u1", 1, 7, 8)]
+    ws = refresh.read_mart(spark, f"{root}/marts", "weekly_summary", user_id="u1").filter("week = 1").first()
+    assert (ws.total_interactions, ws.quiz_minutes) == (1, 12.0)
