@@ -47,3 +47,22 @@ def test_streaks_match_brute_force(spark, weeks):
             else:
                 break
         assert got[current] == streak, (sorted(weeks), current)
+
+
+@SETTINGS
+@given(grid=st.sets(st.tuples(st.integers(0, 4), st.integers(0, 3)), max_size=12),
+       facts=st.lists(st.tuples(st.integers(0, 5), st.integers(0, 4), st.integers(-5, 20)), max_size=60))
+def test_aggregate_onto_grid_matches_brute_force(spark, grid, facts):
+    from pyspark.sql import functions as F
+
+    from learnlens.operators.calendar import aggregate_onto_grid
+    g = spark.createDataFrame(sorted(grid) or [(99, 99)], "a int, b int")
+    f = spark.createDataFrame(facts or [(98, 98, 0)], "a int, b int, v int")
+    got = {(r.a, r.b): (r.n, r.s) for r in aggregate_onto_grid(
+        g, f, ("a", "b"), {"n": F.count("v"), "s": F.sum("v")}).collect()}
+    keys = set(grid) or {(99, 99)}
+    expect = {}
+    for k in keys:
+        vs = [v for a, b, v in facts if (a, b) == k]
+        expect[k] = (len(vs), sum(vs) if vs else None)
+    assert got == expect
