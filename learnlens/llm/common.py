@@ -11,7 +11,7 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,6 +55,27 @@ def crc_mod(doc_id: str | Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit(""))), F.lit(n))
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A hash of a row's id and text: tells rows apart that share an id."""
+    return F.xxhash64(id_col, text_col)
+
+
+def keep_rows(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str,
+              once: bool = False, keep: bool = True) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, row_key) ``chosen`` has (or, without
+    ``keep``, has not); with ``once``, one row of each that is repeated."""
+    marked = docs.withColumn("__key", row_key(id_col, text_col))
+    found = chosen.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__found"))
+    if not once:
+        found = found.distinct()
+    same = (F.col("__key") == F.col("__found")) & F.col(id_col).eqNullSafe(F.col("__id"))
+    out = marked.join(found, same, "left_semi" if keep else "left_anti")
+    if once:
+        w = Window.partitionBy("__key", id_col).orderBy(F.lit(0))
+        out = out.withColumn("__n", F.row_number().over(w)).where("__n = 1")
+    return out.select(*docs.columns)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else. Text without other than ASCII characters
     takes ``lower``, which does the same there and is faster."""

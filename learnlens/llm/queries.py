@@ -4,15 +4,44 @@ its production parameters to its whole table."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
+from . import common, decontaminate, licenses, packing, quality, simhash
 from .common import ship, table
 
 
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents")).select(
+        "doc_id", "fingerprint", "component_id")
+
+
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality.fit(docs, table(spark, folder, "labels"), "quality")
+    return quality.scored(docs.select("doc_id", "text"), model).select(
+        "doc_id", (common.crc_mod("doc_id", 4) == 2).alias("held_out"),
+        F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
+
+
 def op7_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pieces(table(spark, folder, "documents")).drop("ids")
 
 
+def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"), "score")
+
+
 def _shipping(query):
     def run(spark: SparkSession, folder: str) -> DataFrame:
         ship(spark)
@@ -21,7 +50,8 @@ def _shipping(query):
 
 
 def registered() -> dict:
-    return {f.__name__: _shipping(f) for f in (op7_pack,)}
+    return {f.__name__: _shipping(f) for f in (
+        op4_simhash, op5_quality_rules, op7_pack, op9_decontaminate, op10_licenses)}
 
 
 def oracle() -> dict[str, str]:
