@@ -76,6 +76,13 @@ def keep_rows(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str,
     return out.select(*docs.columns)
 
 
+def with_length(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``docs`` with the length column, where it has one, made to fit the text."""
+    if length_col not in docs.columns:
+        return docs
+    return docs.withColumn(length_col, F.char_length(text_col).cast(docs.schema[length_col].dataType))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else. Text without other than ASCII characters
     takes ``lower``, which does the same there and is faster."""

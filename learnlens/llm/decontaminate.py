@@ -60,14 +60,15 @@ def scan(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col:
     none = F.array().cast("array<struct<at:int,seed:bigint>>")
     n = F.size("w")
     spots = [F.when(n >= k.seed_words, _seeds(k.seed_words)).otherwise(none) for k in kinds]
-    # The first element stands for the document itself.
+    # The first element stands for the document itself. It joins by a key of its
+    # own, equal to no window, so that such rows don't meet in one task.
     itself = F.array(F.struct(F.lit(None).cast("int").alias("at"), F.lit(None).cast("bigint").alias("seed")))
     all_rows = (docs.select(F.col(id_col).alias("doc_id"), common.row_key(id_col, text_col).alias("row_key"),
                             common.alnum_words(F.col(text_col)).alias("w"))
                 .withColumn("row", F.monotonically_increasing_id())
                 .select("row", "doc_id", "row_key", "w",
                         F.explode(F.concat(itself, *spots)).alias("s")))
-    found = (all_rows.join(seeds.withColumnRenamed("seed", "known"), F.col("s.seed") == F.col("known"), "left")
+    found = (all_rows.join(seeds.withColumnRenamed("seed", "known"), F.coalesce("s.seed", "row") == F.col("known"), "left")
              .where("s.at is null or known is not null"))
     here = F.array(*[F.lit(x) for x in lengths]) if lengths else F.array().cast("array<int>")
     fits = F.when(F.col("s.at").isNull(), F.array(F.lit(0))).otherwise(
@@ -76,7 +77,8 @@ def scan(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col:
                          F.col("s.at").alias("at"), F.explode(fits).alias("length"), "w")
     found = found.select("row", "doc_id", "row_key", "n_words", "at", "length",
                          F.when(F.col("at").isNotNull(), F.array_join(
-                             F.slice("w", F.coalesce("at", F.lit(0)) + 1, F.col("length")), " ")).alias("words"))
+                             F.slice("w", F.coalesce("at", F.lit(0)) + 1, F.col("length")), " ")
+                                ).otherwise(F.concat(F.lit("\n"), "row")).alias("words"))
     texts = windows.select(F.col("words").alias("window"), F.col("length").alias("long")).distinct()
     return common.written(
         found.join(texts, (F.col("words") == F.col("window")) & (F.col("length") == F.col("long")), "left")

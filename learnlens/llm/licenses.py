@@ -170,9 +170,10 @@ def detections(found: DataFrame, ruleset: DataFrame) -> DataFrame:
     words_in = lambda c: F.size(F.filter(F.split(c, " "), lambda x: x != ""))
     # The rules are a fixed table of a few hundred rows.
     tried = (found.where("at is not null").join(F.broadcast(ruleset), "keyword")
-             .withColumn("l", F.regexp_substr("left", F.col("before")))
-             .withColumn("r", F.regexp_substr("right", F.col("after")))
-             .where("l is not null and r is not null"))
+             .where(F.rlike("left", F.col("before")) & F.rlike("right", F.col("after")))
+             # A rule without words on a side matches nothing there, which is null.
+             .withColumn("l", F.coalesce(F.regexp_substr("left", F.col("before")), F.lit("")))
+             .withColumn("r", F.coalesce(F.regexp_substr("right", F.col("after")), F.lit(""))))
     return tried.select("row", "rule", "label", "form", "priority", "confidence",
                         (F.col("at") - words_in(F.col("l"))).alias("from"),
                         (F.col("at") + 1 + words_in(F.col("r"))).alias("to"))

@@ -6,10 +6,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, licenses, packing, quality, simhash
+from . import caps, common, decontaminate, fmindex, licenses, lm, packing, quality, simhash, toxicity, urlfilter
 from .common import ship, table
 
 
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urlfilter.verdicts(table(spark, folder, "pages"))
+
+
+def op2_interpolated_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.scores(table(spark, folder, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.scores(docs, model).select(
+        "doc_id", (common.crc_mod("doc_id", 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents")).select(
         "doc_id", "fingerprint", "component_id")
@@ -23,10 +39,20 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
 
 
+def op6_cap_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return caps.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op7_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pieces(table(spark, folder, "documents")).drop("ids")
 
 
+def op8_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return fmindex.kept_words(table(spark, folder, "documents").select("doc_id", "text")).select(
+        "doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"),
+        F.sha2(F.col("__kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(
         table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -51,7 +77,8 @@ def _shipping(query):
 
 def registered() -> dict:
     return {f.__name__: _shipping(f) for f in (
-        op4_simhash, op5_quality_rules, op7_pack, op9_decontaminate, op10_licenses)}
+        op1_url_filter, op2_interpolated_lm, op3_toxicity, op4_simhash, op5_quality_rules,
+        op6_cap_filters, op7_pack, op8_repeats, op9_decontaminate, op10_licenses)}
 
 
 def oracle() -> dict[str, str]:
