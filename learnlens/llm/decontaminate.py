@@ -52,10 +52,14 @@ def scan(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col:
     of a benchmark window: (row, doc_id, row_key, n_words, at, length, words).
     """
     seeds = windows.select("seed").distinct()
+    texts = windows.select(F.col("words").alias("window"), F.col("length").alias("long")).distinct()
     kinds = windows.groupBy("seed_words").agg(
-        F.count_distinct("seed").alias("n"), F.array_sort(F.collect_set("length")).alias("lengths")).collect()
+        F.count_distinct("seed").alias("n"), F.sum(F.octet_length("words") + 40).alias("bytes"),
+        F.array_sort(F.collect_set("length")).alias("lengths")).collect()
     if sum(k.n for k in kinds) <= broadcast_seeds:
         seeds = F.broadcast(seeds)
+        if sum(k.bytes for k in kinds) <= 16 * broadcast_seeds:
+            texts = F.broadcast(texts)
     lengths = sorted({n for k in kinds for n in k.lengths})  # at most the window's length many
     none = F.array().cast("array<struct<at:int,seed:bigint>>")
     n = F.size("w")
@@ -79,7 +83,6 @@ def scan(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col:
                          F.when(F.col("at").isNotNull(), F.array_join(
                              F.slice("w", F.coalesce("at", F.lit(0)) + 1, F.col("length")), " ")
                                 ).otherwise(F.concat(F.lit("\n"), "row")).alias("words"))
-    texts = windows.select(F.col("words").alias("window"), F.col("length").alias("long")).distinct()
     return common.written(
         found.join(texts, (F.col("words") == F.col("window")) & (F.col("length") == F.col("long")), "left")
         .where("at is null or window is not null").drop("window", "long"), "hits")

@@ -81,5 +81,62 @@ def registered() -> dict:
         op6_cap_filters, op7_pack, op8_repeats, op9_decontaminate, op10_licenses)}
 
 
+# ---- DuckDB SQL of the queries that SQL can express
+
+_LOWER = f"translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}')"
+
+_DECONTAMINATE = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{common.ALNUM_WORD}') AS w FROM documents),
+b AS (SELECT item_id, w, least(13, len(w)) AS n FROM (
+  SELECT item_id, regexp_extract_all({_LOWER}, '{common.ALNUM_WORD}') AS w FROM benchmark) WHERE len(w) > 0),
+wins AS (
+  SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM b)),
+spots AS (
+  SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM wins))),
+hits AS (SELECT s.*, item_id FROM spots s JOIN wins USING (n, win)),
+covered AS (
+  SELECT doc_id, COUNT(DISTINCT k) AS n_hit FROM (
+    SELECT doc_id, unnest(range(i, i + n)) AS k FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY doc_id),
+found AS (
+  SELECT doc_id, COUNT(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+_REPEATS = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+spots AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k
+  FROM (SELECT doc_id, i, MIN(doc_id) OVER (PARTITION BY win) AS first FROM spots) WHERE first < doc_id),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS word FROM d),
+kept AS (
+  SELECT doc_id, COUNT(*) AS n, string_agg(word, ' ' ORDER BY k) AS text
+  FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id"""
+
+_CAPS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+       vec_id <= coalesce(low, vec_id) AS kept
+FROM embeddings LEFT JOIN (SELECT a, COUNT(*) AS n FROM links GROUP BY a) c ON c.a = vec_id
+LEFT JOIN (SELECT a, MIN(b) AS low FROM reach GROUP BY a) r ON r.a = vec_id"""
+
+
 def oracle() -> dict[str, str]:
-    return {}
+    return {"op6_cap_filters": _CAPS, "op8_repeats": _REPEATS, "op9_decontaminate": _DECONTAMINATE}
