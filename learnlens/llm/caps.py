@@ -10,7 +10,6 @@ vectors that share a label and a direction are compared in double precision.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -23,46 +22,84 @@ from . import common
 #: block against block, all of them.
 BLOCK = 512
 #: Directions that a vector passes, on average. At a cosine of 0.98 a pair
-#: shares about two thirds of them.
-PASSED = 40
+#: shares more than half of them.
+PASSED = 100
+#: Directions that every vector has at least: where fewer exceed the threshold,
+#: its own is lowered until so many do.
+FEWEST = 50
+#: Directions for each row: so many that unrelated vectors seldom meet.
+SPARSE = 64
 
 
 class ProductCode:
-    """The directions for vectors of ``dim`` components, sized for ``n`` rows
-    so that a bucket of unrelated vectors holds a few dozen."""
+    """The directions for ``n`` vectors of ``dim`` components. Below 8 components
+    there is one direction, and all are compared with all, in blocks."""
 
     def __init__(self, dim: int, n: int, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.blocks = min(dim, 2 if n <= 1 << 26 else 3)
-        wanted = max(1 << 14, n / 2)
-        self.words = 1 << int(np.ceil(np.log2(wanted) / self.blocks))
+        self.blocks = 2 if n <= 1 << 20 else 3
+        self.words = 1 if dim < 8 else 1 << int(np.ceil(np.log2(max(1 << 14, SPARSE * n)) / self.blocks))
         self.rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
         self.edges = [dim * b // self.blocks for b in range(self.blocks + 1)]
         self.codes = []
         for a, b in zip(self.edges, self.edges[1:], strict=False):
             c = rng.normal(size=(self.words, b - a))
-            self.codes.append(c / np.linalg.norm(c, axis=1, keepdims=True))
-        # <x, direction> is near normal with variance 1 / dim.
-        u = NormalDist().inv_cdf(1 - min(0.45, PASSED / float(self.words) ** self.blocks))
-        self.least = u / np.sqrt(dim) * np.sqrt(self.blocks)
+            self.codes.append(c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300))
+        self.least = -9.0
+        if self.words > 1:
+            self.calibrate(rng.normal(size=(48, dim)))
+
+    def calibrate(self, sample: np.ndarray) -> None:
+        """Set the threshold so that random vectors pass PASSED on average."""
+        unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+        low, high = 0.0, np.sqrt(self.blocks)
+        for _ in range(14):
+            self.least = (low + high) / 2
+            total = 0
+            for inner in self.inner(unit):
+                total += len(self.exceeding(inner, self.least, 2 * PASSED * len(unit)))
+                if total > PASSED * len(unit):
+                    break
+            if total > PASSED * len(unit):
+                low = self.least
+            else:
+                high = self.least
+        self.least = high
+
+    def inner(self, unit: np.ndarray) -> list[list[np.ndarray]]:
+        """Each row's inner products with the words of each block."""
+        x = unit @ self.rotation
+        by_block = [x[:, a:b] @ c.T for (a, b), c in
+                    zip(zip(self.edges, self.edges[1:], strict=False), self.codes, strict=True)]
+        return [[p[r] for p in by_block] for r in range(len(x))]
+
+    def exceeding(self, inner: list[np.ndarray], least: float, most: int | None = None) -> np.ndarray:
+        """Numbers of the directions whose inner product is ``least`` or more,
+        found block by block: a part is given up as soon as the best words of
+        the blocks to come can't lift it. With ``most``, stops beyond so many
+        parts (a count is then only known to be larger)."""
+        rest = sum(p.max() for p in inner)
+        sums, ids = np.zeros(1), np.zeros(1, np.int64)
+        for p in inner:
+            rest -= p.max()
+            words = np.flatnonzero(p + sums.max(initial=-9.0) + rest >= least)
+            if most is not None and len(words) * len(sums) > 64 * most:
+                return np.zeros(most + 1, np.int64)
+            s = sums[:, None] + p[words][None, :]
+            i, j = np.nonzero(s + rest >= least)
+            sums, ids = s[i, j], ids[i] * self.words + words[j]
+        return np.sort(ids)
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
-        """All directions (sorted numbers) that exceed the threshold, by row."""
-        x = unit @ self.rotation
-        inner = [x[:, a:b] @ c.T for (a, b), c in
-                 zip(zip(self.edges, self.edges[1:], strict=False), self.codes, strict=True)]
-        best = [i.max(axis=1) for i in inner]
+        """Each row's directions (sorted numbers): all that exceed the threshold."""
         out = []
-        for r in range(len(x)):
-            rest = sum(b[r] for b in best)
-            sums, ids = np.zeros(1), np.zeros(1, np.int64)
-            for b in range(self.blocks):
-                rest -= best[b][r]
-                words = np.flatnonzero(inner[b][r] + sums.max(initial=-9.0) + rest >= self.least)
-                s = sums[:, None] + inner[b][r][words][None, :]
-                i, j = np.nonzero(s + rest >= self.least)
-                sums, ids = s[i, j], ids[i] * self.words + words[j]
-            out.append(np.sort(ids))
+        for inner in self.inner(unit):
+            least = self.least
+            found = self.exceeding(inner, least)
+            while len(found) < min(FEWEST, self.words ** self.blocks):
+                least -= 0.02 + 0.02 * abs(least)
+                found = self.exceeding(inner, least)
+            out.append(found)
         return out
 
 
@@ -92,41 +129,37 @@ def unit_rows(blobs: list[bytes]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def buckets(classes: DataFrame, code: ProductCode) -> DataFrame:
-    """(label, direction, x) for every direction that a class passes; x is what
-    a comparison needs."""
+def listed(classes: DataFrame, code: ProductCode) -> DataFrame:
+    """(cid, label, n, v, passed): each class with its list of directions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                b = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                b = batch.slice(at, 256)
                 passed = code.decode(unit_rows(b.column("v").to_pylist()))
-                row = np.repeat(np.arange(b.num_rows), [len(p) for p in passed])
-                if not len(row):
-                    continue
-                lists = pa.array([p.astype("<i8").tobytes() for p in passed], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [*(b.column(c).take(pa.array(row)) for c in ("cid", "label", "n", "v")),
-                     pa.array(np.concatenate(passed)), lists.take(pa.array(row))],
-                    names=["cid", "label", "n", "v", "direction", "passed"])
+                    [*b.columns, pa.array(passed, pa.list_(pa.int64()))], names=[*b.schema.names, "passed"])
 
     kind = classes.schema["label"].dataType.simpleString()
     return classes.select("cid", "label", "n", "v").mapInArrow(
-        run, f"cid long, label {kind}, n long, v binary, direction long, passed binary")
+        run, f"cid long, label {kind}, n long, v binary, passed array<long>")
 
 
 def linked(classes: DataFrame, code: ProductCode, least: float, block: int = BLOCK) -> DataFrame:
     """What the comparisons find: (cid, more, other). more: rows linked to
     class cid beside its own; other: a class that it is connected with (null:
-    none). Pairs are counted in the smallest direction that they share, and a
-    task emits counts and a spanning forest, never its pairs.
+    none). Only directions that two classes or more pass go on, and vectors
+    travel for those alone. Pairs are counted in the smallest direction that
+    they share, and a task emits counts and a spanning forest, never its pairs.
     """
-    all_rows = buckets(classes, code)
-    hot = (all_rows.groupBy("label", "direction").agg(F.count("*").alias("m")).where(F.col("m") > 1)
-           .select("label", "direction", F.ceil(F.col("m") / block).cast("int").alias("blocks")))
-    dealt = (all_rows.join(hot, ["label", "direction"])
+    lists = common.written(listed(classes, code), "listed")
+    members = lists.select("label", "cid", F.explode("passed").alias("direction"))
+    shared = (members.groupBy("label", "direction").agg(F.count("*").alias("m")).where("m > 1")
+              .select("label", "direction", F.ceil(F.col("m") / block).cast("int").alias("blocks")))
+    dealt = (members.join(shared, ["label", "direction"])
              .withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
              .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .join(lists.select("cid", "n", "v", "passed"), "cid")
              .groupBy("label", "direction", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"))
              .agg(F.collect_list(F.struct("own", "cid", "n", "v", "passed")).alias("x"))
              .select("direction", (F.col("lo") != F.col("hi")).alias("across"), "x"))
@@ -162,16 +195,16 @@ def compare(blobs, passed, n, own, direction, least):
         i, j = i[own[i] != own[j]], j[own[i] != own[j]]
     if not len(i):
         return None
-    lists = [np.frombuffer(p, "<i8") for p in passed]
+    lists = [np.array(p, np.int64) for p in passed]
     lists = [p[p < direction] for p in lists]
     width = max(1, max(map(len, lists)))
     table = np.full((len(lists), width), -1, np.int64)
     for r, p in enumerate(lists):
         table[r, :len(p)] = p
     first = np.ones(len(i), bool)
-    for at in range(0, len(i), 4096):
-        p, q = table[i[at:at + 4096]], table[j[at:at + 4096]]
-        first[at:at + 4096] = ~((p[:, :, None] == q[:, None, :]) & (p[:, :, None] >= 0)).any(axis=(1, 2))
+    for at in range(0, len(i), 512):
+        p, q = table[i[at:at + 512]], table[j[at:at + 512]]
+        first[at:at + 512] = ~((p[:, :, None] == q[:, None, :]) & (p[:, :, None] >= 0)).any(axis=(1, 2))
     more = np.zeros(len(blobs), np.int64)
     np.add.at(more, i[first], n[j[first]])
     np.add.at(more, j[first], n[i[first]])

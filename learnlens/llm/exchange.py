@@ -56,9 +56,11 @@ REQUEST = "bucket int, chunk long, keys binary, counts array<binary>"
 def requests(chunk: int, keys: np.ndarray, counts: list[np.ndarray], buckets: int, first: int) -> Iterator[tuple]:
     """Rows of REQUEST for sorted distinct keys; buckets are numbered from
     ``first``."""
+    if not len(keys):
+        return
     code = zstandard.ZstdCompressor(level=1)
     own = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else []
+    at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
     for a, b in zip(at, [*at[1:], len(own)], strict=True):
         k = keys[a:b]
         yield (first + int(own[a]), chunk, pack(np.r_[k[:1], k[1:] - k[:-1]], code),

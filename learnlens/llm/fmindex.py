@@ -346,11 +346,12 @@ def apart(spans: str) -> Column:
 def kept_words(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` with __n_words, __n_removed and __kept, its words
     outside the repeated spans joined by one space."""
-    spans = repeated_spans(docs, window, id_col, text_col).withColumnRenamed("spans", "__spans")
+    spans = repeated_spans(docs, window, id_col, text_col).select(
+        F.col("row_key").alias("__found"), F.col("spans").alias("__spans"))
     n = spans.agg(F.sum(F.size("__spans"))).first()[0] or 0
     marked = docs.withColumn("__key", common.row_key(id_col, text_col))
     small = F.broadcast(spans) if n <= BROADCAST_SPANS else spans
-    joined = marked.join(small, F.col("__key") == F.col("row_key"), "left").drop("__key", "row_key").withColumn(
+    joined = marked.join(small, F.col("__key") == F.col("__found"), "left").drop("__key", "__found").withColumn(
         "__text", F.col(text_col))
     columns = docs.columns
 

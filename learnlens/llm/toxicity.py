@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WINDOW = 48
+WINDOW = 40
 #: Bound of the labelled sample, by class (rows with the smallest id hashes).
 MAX_LABELLED = 4000
 #: Ordinary windows that both dictionaries share, and segments of the toxic one.
-BASE_WINDOWS, SEGMENTS = 120, 400
-LEVEL = 3
+BASE_WINDOWS, SEGMENTS = 300, 400
+LEVEL = 12
 
 
 def words_of(text: str | None) -> bytes:
@@ -83,7 +83,7 @@ class Model:
 
 
 #: The thresholds: gaps of 2 bytes, 3, .. and more are counted up to this one.
-GAPS = 12
+GAPS = 16
 
 
 def measured(text: str | None, pair: list[zstandard.ZstdCompressor]) -> list[int]:
