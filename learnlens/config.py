@@ -35,7 +35,10 @@ class Term:
     """A teaching term: weeks are 7-day blocks counted from ``start`` (week 1).
 
     ``end`` is exclusive and bounds every fact table (the extract window).
-    ``max_week`` caps the weeks a student can pick; grids never go beyond it.
+    Calendar grids and marts cover every week of it. ``max_week`` is the last
+    week a student can pick: it bounds the week selector of the catalogue, the
+    weeks that reflections are filed under, and with them streaks, two-week
+    blocks and badges.
     """
 
     start: date = REFERENCE_TERM_START
@@ -50,13 +53,18 @@ class Term:
 
     @property
     def weeks(self) -> int:
-        """Weeks shown on the calendar grids: 1..weeks."""
+        """Weeks of the calendar grids: 1..weeks, the whole extract window."""
+        return self.raw_weeks
+
+    @property
+    def display_weeks(self) -> int:
+        """Weeks that can be picked: 1..display_weeks."""
         return min(self.raw_weeks, self.max_week)
 
     @property
     def block_starts(self) -> list[int]:
-        """Two-week blocks (1,2), (3,4), ... that cover the grid weeks."""
-        return list(range(1, self.weeks + 1, 2))
+        """Two-week blocks (1,2), (3,4), ... that cover the weeks to pick."""
+        return list(range(1, self.display_weeks + 1, 2))
 
     @property
     def block_weeks(self) -> int:
@@ -90,3 +98,5 @@ class Term:
 REFERENCE_TERM = Term()
 # Term of the driver's synthetic tables: events span 2024-01-01 .. 2024-01-30.
 DRIVER_TERM = Term(start=date(2024, 1, 1), end=date(2024, 2, 1))
+# The same term where only three of its five weeks can be picked.
+SHORT_PICK_TERM = Term(start=date(2024, 1, 1), end=date(2024, 2, 1), max_week=3)

@@ -14,10 +14,11 @@ from .reflections import reflections
 PAIR = ("user_id", "course_id")
 
 
-def badge_counts(src: Sources) -> DataFrame:
-    """Per enrolled (user, course): current reflections and completed blocks."""
+def badge_counts(src: Sources, masks: DataFrame | None = None) -> DataFrame:
+    """Per enrolled (user, course): current reflections and completed blocks
+    (from block masks already written, if given)."""
     refl = reflections(src).select(*PAIR, F.lit(1).alias("_refl"))
-    blocks = block_progress(src).filter("is_complete").select(*PAIR, F.lit(1).alias("_block"))
+    blocks = block_progress(src, masks=masks).filter("is_complete").select(*PAIR, F.lit(1).alias("_block"))
     facts = refl.unionByName(blocks, allowMissingColumns=True)
     return aggregate_onto_grid(src.enrollments.select(*PAIR), facts, PAIR, {
         "reflections": F.count("_refl"),
@@ -25,7 +26,7 @@ def badge_counts(src: Sources) -> DataFrame:
     })
 
 
-def badges(src: Sources) -> DataFrame:
+def badges(src: Sources, masks: DataFrame | None = None) -> DataFrame:
     """One row per enrolled (user, course) and badge: the count it uses, the
     threshold, whether it is unlocked, its tooltip and image.
 
@@ -36,7 +37,7 @@ def badges(src: Sources) -> DataFrame:
                  F.lit(t).cast("bigint").alias("threshold"), F.lit(img).alias("unlocked_image"),
                  F.lit(on).alias("unlocked_tooltip"), F.lit(off).alias("locked_tooltip"))
         for i, (b, kind, t, img, on, off) in enumerate(rules.BADGES, start=1)])
-    rows = badge_counts(src).select(*PAIR, "reflections", "completed_blocks",
+    rows = badge_counts(src, masks).select(*PAIR, "reflections", "completed_blocks",
                                     F.explode(table).alias("b"))
     have = F.when(F.col("b.counts") == "reflections", F.col("reflections")) \
             .otherwise(F.col("completed_blocks"))

@@ -14,10 +14,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scores import exact_sum, percent_score
+from ..functions.scores import measure_sum, percent_score
 from ..functions.time import day_of, week_of
 from ..sources.tables import Sources
-from .calendar import aggregate_onto_grid, enrolled_days
+from .calendar import aggregate_onto_grid, enrolled_days, enrolled_weeks
 from .joins import lookup_join
 
 KEYS = ("user_id", "course_id", "day")
@@ -105,7 +105,7 @@ DAILY_METRICS: dict[str, DailyMetric] = {
         lambda s: F.coalesce(F.avg(F.col("pct")), F.lit(0.0)), "double"),
     "quiz_minutes": DailyMetric(
         "quiz_minutes", quiz_facts,
-        lambda s: F.coalesce(exact_sum("minutes"), F.lit(0.0)), "double"),
+        lambda s: F.coalesce(measure_sum("minutes"), F.lit(0.0)), "double"),
 }
 
 
@@ -123,19 +123,13 @@ def daily_metric(src: Sources, name: str) -> DataFrame:
 def daily_metrics_wide(src: Sources, daily_web: DataFrame | None = None) -> DataFrame:
     """All nine daily metrics in one row per (user, course, day).
 
-    The three fact tables and the grid are unioned and aggregated once, so
-    the whole calendar costs a single shuffle. ``daily_web`` (a written
-    :func:`daily_web_activity` mart) replaces the click log as input.
+    Clicks are brought to days first, the only distinct aggregate; then they,
+    the submissions and the grid are unioned and aggregated once. ``daily_web``
+    (a written :func:`daily_web_activity` mart) replaces the click log as input.
     """
-    if daily_web is None:
-        web = web_facts(src).select(
-            "user_id", "course_id", "day", "attachment_id", F.lit(1).cast("bigint").alias("_n"),
-            F.when(F.col("attachment_id").isNotNull(), F.lit(1).cast("bigint")).alias("_fa"))
-        unique_files = F.count_distinct("attachment_id")
-    else:
-        web = daily_web.select("user_id", "course_id", "day", F.col("interactions").alias("_n"),
-                               F.col("file_accesses").alias("_fa"), F.col("unique_files").alias("_uf"))
-        unique_files = F.coalesce(F.sum("_uf"), F.lit(0)).cast("bigint")
+    daily_web = daily_web_activity(src) if daily_web is None else daily_web
+    web = daily_web.select("user_id", "course_id", "day", F.col("interactions").alias("_n"),
+                           F.col("file_accesses").alias("_fa"), F.col("unique_files").alias("_uf"))
     quiz = scored_quizzes(src).select(
         "user_id", "course_id", day_of("finished_at_anonymous").alias("day"),
         F.col("pct").alias("quiz_pct"), F.col("DurationInMinutes").alias("minutes"),
@@ -150,10 +144,10 @@ def daily_metrics_wide(src: Sources, daily_web: DataFrame | None = None) -> Data
         "daily_interactions": F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint"),
         "active_study_time": (F.coalesce(F.sum("_n"), F.lit(0)) * F.lit(per)).cast("bigint"),
         "file_accesses": F.coalesce(F.sum("_fa"), F.lit(0)).cast("bigint"),
-        "unique_files": unique_files,
+        "unique_files": F.coalesce(F.sum("_uf"), F.lit(0)).cast("bigint"),
         "quiz_submissions": F.count("_quiz"),
         "quiz_score": F.coalesce(F.avg("quiz_pct"), F.lit(0.0)),
-        "quiz_minutes": F.coalesce(exact_sum("minutes"), F.lit(0.0)),
+        "quiz_minutes": F.coalesce(measure_sum("minutes"), F.lit(0.0)),
         "assignment_submissions": F.count("_asg"),
         "assignment_score": F.coalesce(F.avg("assignment_pct"), F.lit(0.0)),
     })
@@ -179,11 +173,29 @@ def daily_web_activity(src: Sources) -> DataFrame:
 
 def no_activity_weeks(src: Sources) -> DataFrame:
     """AGG17: per (user, course, week, metric) whether all seven days are 0
-    ("No activity this week")."""
-    wide = daily_metrics_wide(src)
+    ("No activity this week").
+
+    Counts are 0 in a week exactly if it has no such row, so clicks need no
+    distinct count; score means and minutes are taken by day and then tested.
+    """
+    yes = F.lit(True)
+    web = web_facts(src).select("user_id", "course_id", week_of("day", src.term).alias("week"), yes.alias("click"),
+                                F.col("attachment_id").isNotNull().alias("file"))
+    quiz = scored_quizzes(src).groupBy("user_id", "course_id", day_of("finished_at_anonymous").alias("day")).agg(
+        F.avg("pct").alias("mean"), F.coalesce(measure_sum("DurationInMinutes"), F.lit(0.0)).alias("minutes")).select(
+        "user_id", "course_id", week_of("day", src.term).alias("week"), yes.alias("quiz"),
+        (F.col("mean") != 0).alias("quiz_scored"), (F.col("minutes") != 0).alias("timed"))
+    done = scored_assignments(src).groupBy("user_id", "course_id", day_of("submitted_at_anonymous").alias("day")).agg(
+        F.avg("pct").alias("mean")).select(
+        "user_id", "course_id", week_of("day", src.term).alias("week"), yes.alias("assignment"),
+        (F.col("mean") != 0).alias("assignment_scored"))
+    facts = web.unionByName(quiz, allowMissingColumns=True).unionByName(done, allowMissingColumns=True)
+    seen = {"daily_interactions": "click", "active_study_time": "click", "file_accesses": "file", "unique_files": "file",
+            "quiz_submissions": "quiz", "assignment_submissions": "assignment", "quiz_score": "quiz_scored",
+            "assignment_score": "assignment_scored", "quiz_minutes": "timed"}
+    weekly = aggregate_onto_grid(enrolled_weeks(src.enrollments, src.term), facts, ("user_id", "course_id", "week"), {
+        n: ~F.coalesce(F.bool_or(c), F.lit(False)) for n, c in seen.items()})
     names = list(DAILY_METRICS)
-    weekly = wide.groupBy("user_id", "course_id", "week").agg(
-        *[F.bool_and(F.col(n) == 0).alias(n) for n in names])
     stack = ", ".join(f"'{n}', `{n}`" for n in names)
     return weekly.select("user_id", "course_id", "week",
                          F.expr(f"stack({len(names)}, {stack}) AS (metric, no_activity)"))

@@ -1,43 +1,49 @@
 """WIN1: ``ROW_NUMBER() OVER (PARTITION BY keys ORDER BY order)`` that stays
 parallel when one key holds a large share of all rows.
 
-A plain window sends each key to one task. Here the rows are first range
-partitioned on (keys, order), so a hot key is spread over several slices;
-each slice numbers its own rows, a small table of per-(key, slice) counts
-gives every slice its offset, and the offsets are joined back. The offsets
-table has at most one row per key and slice.
+A plain window sends each key to one task. Here every row also belongs to a
+slice: a function of its own values that never decreases along the order, such
+as the minute of its time. Rows are numbered within (key, slice), a small table
+of the slices' row counts gives each slice its offset within the key, and the
+offsets are joined back. Nothing depends on how Spark happened to place rows,
+so a recomputed or differently pruned branch finds the same slices.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def minute_of(time: Column | str) -> Column:
+    """The slice of a time: at most 1,440 slices a day."""
+    return F.date_trunc("minute", F.col(time) if isinstance(time, str) else time)
+
+
 def row_number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                      name: str = "seq_num", slices: int | None = None) -> DataFrame:
+                      name: str = "seq_num", slice_by: Column | None = None) -> DataFrame:
     """Add ``name`` = 1-based row number of each row within its ``keys`` group.
 
     ``order`` must make the order total (end it with a unique column) so the
     numbering is deterministic and recomputable after an executor loss.
+    ``slice_by`` must not decrease along ``order``; by default it is the minute
+    of the first order column, which then is a time. Nulls, which sort first,
+    are a slice of their own.
     """
-    spark = df.sparkSession
-    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sliced = (df.repartitionByRange(n, *keys, *order)
-              .withColumn("_slice", F.spark_partition_id()))
+    sliced = df.withColumn("_slice", minute_of(order[0]) if slice_by is None else slice_by)
     local = sliced.withColumn(
         "_local", F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order)))
-    # Rows per (key, slice) = the slice's last local number. Reading it from
-    # the numbered rows keeps both branches on the same (reused) exchange, so
-    # the slice ids the offsets refer to are the ones the rows carry.
-    counts = local.groupBy(*keys, "_slice").agg(F.max("_local").alias("_n"))
-    # Rows of the same key in earlier slices; a key spans at most `n` slices.
+    counts = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    offsets = counts.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_slice").alias("_s"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    same = F.col("_slice").eqNullSafe(F.col("_s"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     # One offsets row per key and slice: it grows with the data, so it is
     # joined by hash on a shuffle, never broadcast on an estimate.
-    out = local.join(offsets.hint("shuffle_hash"), [*keys, "_slice"], "inner")
-    return out.withColumn(name, (F.col("_local") + F.col("_offset")).cast("bigint")) \
-              .drop("_slice", "_local", "_offset")
+    out = local.join(offsets.hint("shuffle_hash"), same)
+    return out.withColumn(name, (F.col("_local") + F.col("_offset")).cast("bigint")).select(*df.columns, name)

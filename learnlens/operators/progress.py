@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-import functools
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import ASSIGNMENT_ACCEPTED_STATES, QUIZ_ACCEPTED_STATES
 from ..functions import rules
 from ..functions.scores import bit, has_bit, round_half_even
-from ..functions.time import block_start, week_of
+from ..functions.time import block_start, ts_literal, week_of
 from ..sources.tables import Sources
 from .calendar import aggregate_onto_grid
 from .reflections import reflections
@@ -70,7 +70,6 @@ def _item_bits(done: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     )).alias("f")).select(*keys, "f.*")
 
 
-@functools.lru_cache(maxsize=32)
 def block_masks(src: Sources, scope: str = "course") -> DataFrame:
     """Per enrolled (user, course) and term block: which of the block's six
     items are done, as a bit mask, for the block itself and for the block
@@ -109,7 +108,7 @@ def block_masks(src: Sources, scope: str = "course") -> DataFrame:
     })
 
 
-def activity_grid(src: Sources, scope: str = "course") -> DataFrame:
+def activity_grid(src: Sources, scope: str = "course", masks: DataFrame | None = None) -> DataFrame:
     """JOI4: every enrolled (user, course) x block week x {quiz, assignment,
     reflection} with its name and whether it is done (six items per block;
     weeks come from the term's blocks, not from the data)."""
@@ -117,8 +116,8 @@ def activity_grid(src: Sources, scope: str = "course") -> DataFrame:
         F.struct(F.lit(w).alias("offset"), F.lit(a).alias("activity"),
                  F.lit(w * len(rules.ACTIVITY_ORDER) + i).alias("bit"))
         for w in range(2) for i, a in enumerate(rules.ACTIVITY_ORDER)])
-    rows = block_masks(src, scope).select("user_id", "course_id", "block_start", "own_mask",
-                                   F.explode(items).alias("item"))
+    masks = block_masks(src, scope) if masks is None else masks
+    rows = masks.select("user_id", "course_id", "block_start", "own_mask", F.explode(items).alias("item"))
     week = (F.col("block_start") + F.col("item.offset")).cast("bigint")
     done = has_bit("own_mask", F.col("item.bit"))
     return rows.select(
@@ -128,10 +127,10 @@ def activity_grid(src: Sources, scope: str = "course") -> DataFrame:
         done.alias("done"))
 
 
-def block_progress(src: Sources, scope: str = "course") -> DataFrame:
+def block_progress(src: Sources, scope: str = "course", masks: DataFrame | None = None) -> DataFrame:
     """AGG18 + CLS7/CLS8: per (user, course, block) total, completed, percent
     and messages, with the previous block's counts (block_start - 2)."""
-    m = block_masks(src, scope)
+    m = block_masks(src, scope) if masks is None else masks
     total = F.lit(ITEMS_PER_BLOCK).cast("bigint")
     completed = F.bit_count("own_mask").cast("bigint")
     has_prev = F.col("block_start") - 2 >= 1
@@ -150,3 +149,42 @@ def block_progress(src: Sources, scope: str = "course") -> DataFrame:
         "previous_total", "previous_completed",
         rules.previous_block_message("block_start", "previous_completed", "previous_total")
              .alias("previous_message"))
+
+
+def completion_flips(src: Sources, cutoff: datetime) -> DataFrame:
+    """SNK4 in one pass: the blocks whose completion differs between just
+    before ``cutoff`` (event time) and now, as (keys, change: set or cleared).
+
+    Each item carries whether it was done by then and is done now; one
+    aggregation makes both masks, so the facts are read once.
+    """
+    def by_then(df: DataFrame, time: str) -> DataFrame:
+        return df.withColumn("then", F.col(time) < ts_literal(df, time, cutoff)).withColumn("now", F.lit(True))
+
+    term = src.term
+    quiz = by_then(src.quiz_submissions_in_term(), "finished_at_anonymous").filter(
+        F.col("workflow_state").isin(*QUIZ_ACCEPTED_STATES)).select(
+        "user_id", "course_id", week_of("finished_at_anonymous", term).alias("week"),
+        F.lit(_IDX["quiz"]).alias("activity"), "then", "now")
+    done = by_then(src.submissions_in_term(), "submitted_at_anonymous").filter(
+        F.col("workflow_state").isin(*ASSIGNMENT_ACCEPTED_STATES)).select(
+        "user_id", "course_id", week_of("submitted_at_anonymous", term).alias("week"),
+        F.lit(_IDX["assignment"]).alias("activity"), "then", "now")
+    log = by_then(src.reflection_log, "saved_at")
+    state = F.struct("saved_at", "seq", F.coalesce("deleted", F.lit(False)).alias("deleted"))
+    refl = log.groupBy("user_id", "course_id", "week").agg(
+        F.max(state).alias("l"), F.max(F.when(F.col("then"), state)).alias("t")).select(
+        "user_id", "course_id", "week", F.lit(_IDX["reflection"]).alias("activity"),
+        F.coalesce(~F.col("t.deleted"), F.lit(False)).alias("then"), (~F.col("l.deleted")).alias("now"))
+    items = quiz.unionByName(done).unionByName(refl)
+    block = block_start("week")
+    one = bit((F.col("week") - block) * len(rules.ACTIVITY_ORDER) + F.col("activity"))
+    facts = items.select("user_id", "course_id", block.alias("block_start"),
+                         F.when(F.col("then"), one).alias("t"), F.when(F.col("now"), one).alias("n"))
+    grid = src.enrollments.select("user_id", "course_id", F.explode(
+        F.array(*[F.lit(b).cast("bigint") for b in term.block_starts])).alias("block_start"))
+    whole = (1 << ITEMS_PER_BLOCK) - 1
+    flags = aggregate_onto_grid(grid, facts, ("user_id", "course_id", "block_start"), {
+        "was": F.coalesce(F.bit_or("t"), F.lit(0)) == whole, "is": F.coalesce(F.bit_or("n"), F.lit(0)) == whole})
+    return flags.where("was <> `is`").select(
+        "user_id", "course_id", "block_start", F.when(F.col("is"), "set").otherwise("cleared").alias("change"))

@@ -3,8 +3,6 @@ counts (AGG19)."""
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,15 +15,11 @@ from .calendar import aggregate_onto_grid
 KEYS = ("user_id", "course_id", "week")
 
 
-@functools.lru_cache(maxsize=32)
 def reflections(src: Sources) -> DataFrame:
-    """Current reflections: (user_id, course_id, week, satisfaction, expectation, saved_at).
-
-    Built once per ``Sources`` (a lazy plan, re-read on every action): the
-    plans that use it share one subplan, so Spark reuses its exchange.
-    """
+    """Current reflections: (user_id, course_id, week, satisfaction, expectation,
+    feedback as it was stored, saved_at)."""
     return current_reflections(src.reflection_log).select(
-        *KEYS, "satisfaction", "expectation", "saved_at")
+        *KEYS, "satisfaction", "expectation", "feedback", "saved_at")
 
 
 def reflection_feedback(src: Sources) -> DataFrame:
@@ -60,21 +54,24 @@ def reflection_streaks(src: Sources) -> DataFrame:
     the run of consecutive reflected weeks ending at W (0 if W has none),
     whether the streak badge shows (>= 2) and its text.
 
-    Reflection weeks are clamped to 1..max_week, so the weeks a student
-    reflected in fit one BIGINT bit mask per (user, course): a fixed-width
-    ``bit_or`` aggregate, combined map-side. The streak is then bit
-    arithmetic on that mask (no higher-order function, so it stays in
-    whole-stage codegen).
+    The weeks to pick, 1..display_weeks, fit one BIGINT bit mask per (user,
+    course): a fixed-width ``bit_or`` aggregate, combined map-side. The streak
+    is then bit arithmetic on that mask (no higher-order function, so it stays
+    in whole-stage codegen). Reflections filed under other weeks belong to no
+    streak.
     """
     term = src.term
-    cur = reflections(src).select("user_id", "course_id", "week")
+    if term.display_weeks > 62:
+        raise ValueError("streaks need a term of at most 62 weeks to pick")
+    cur = reflections(src).select("user_id", "course_id", "week").where(
+        F.col("week").between(1, term.display_weeks))
     grid = src.enrollments.select("user_id", "course_id")
     masks = aggregate_onto_grid(grid, cur.select("user_id", "course_id", bit("week").alias("b")),
                                 ("user_id", "course_id"),
                                 {"weeks": F.coalesce(F.bit_or("b"), F.lit(0).cast("bigint"))})
     per_week = masks.select(
         "user_id", "course_id", "weeks",
-        F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(term.weeks).cast("bigint")))
+        F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(term.display_weeks).cast("bigint")))
          .alias("current_week"))
     # Latest week <= W without a reflection (0 if none); the streak is W
     # minus that week. Weeks 1..W without a reflection are the set bits of

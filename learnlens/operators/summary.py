@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import engagement
-from ..functions.scores import bit, exact_sum, round_half_even
+from ..functions.scores import bit, measure_sum, round_half_even
 from ..functions.time import day_of, week_of
 from ..sources.tables import Sources
 from .calendar import aggregate_onto_grid, enrolled_weeks
@@ -59,7 +59,7 @@ def weekly_summary(src: Sources, mean: str = "active", inclusive_end: bool = Fal
     weekly = aggregate_onto_grid(enrolled_weeks(src.enrollments, src.term), facts, WEEK_KEYS, {
         "total_interactions": F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint"),
         "active_days": F.coalesce(F.bit_count(F.bit_or("day_bit")), F.lit(0)),
-        "quiz_minutes": F.coalesce(exact_sum("minutes"), F.lit(0.0)),
+        "quiz_minutes": F.coalesce(measure_sum("minutes"), F.lit(0.0)),
     })
     total = F.col("total_interactions")
     days = F.col("active_days")
@@ -89,4 +89,4 @@ def weekly_quiz_minutes(src: Sources, inclusive_end: bool = False) -> DataFrame:
         F.explode(_weeks("finished_at_anonymous", src, inclusive_end)).alias("week"),
         "DurationInMinutes")
     return quiz.groupBy(*WEEK_KEYS).agg(
-        F.coalesce(exact_sum("DurationInMinutes"), F.lit(0.0)).alias("quiz_minutes"))
+        F.coalesce(measure_sum("DurationInMinutes"), F.lit(0.0)).alias("quiz_minutes"))

@@ -9,7 +9,6 @@ reads only that student's row groups.
 
 from __future__ import annotations
 
-import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -86,6 +85,8 @@ def metric(src: Sources, data_type: str, metric_name: str, user_id=None, course_
     chart order); leave it off when the rows feed another job.
     """
     spec = lookup(data_type, metric_name)
+    if week is not None and not 1 <= week <= src.term.display_weeks:
+        raise ValueError(f"week {week} can't be picked; the term has 1..{src.term.display_weeks}")
     df = _filtered(_all_students(src, spec, daily_series), user_id, course_id, week)
     if ordered:
         # SRT1: sort only at the outermost step, for display.
@@ -94,14 +95,8 @@ def metric(src: Sources, data_type: str, metric_name: str, user_id=None, course_
     return df
 
 
-@functools.lru_cache(maxsize=128)
 def _all_students(src: Sources, spec: MetricSpec, daily_series: bool) -> DataFrame:
-    """The unfiltered plan of one metric, built once per ``Sources``.
-
-    A DataFrame is a lazy plan, so reusing it re-reads the data on every
-    action; only the driver-side planning is saved for repeated chart
-    requests, which then add just their student / course / week filter.
-    """
+    """The unfiltered plan of one metric."""
     if spec.kind == "daily":
         return daily.daily_metric(src, spec.name)
     if spec.kind == "weekly_scores":

@@ -4,14 +4,65 @@ Each statement re-derives the source tables from the driver's ``events`` and
 ``part`` views (the FIXTURES.md §2 mapping) and computes the metric with
 plain SQL, written independently of the DataFrame plans: joins where the
 plans union-and-aggregate, windows where the plans use array functions.
+States, cut-offs, labels and texts are written out here, not imported, so a
+wrong constant in the engine shows.
 """
 
 from __future__ import annotations
 
-
-from ..config import ASSIGNMENT_ACCEPTED_STATES, DRIVER_TERM, QUIZ_ACCEPTED_STATES, Term
-from ..functions import rules
-from ..functions.scores import LOW_BELOW, MIDDLE_BELOW
+from datetime import datetime
+
+from ..config import DRIVER_TERM, Term
+
+# --- Fixed values: must equal the reference's for right results ------------
+QUIZ_STATES = ("pending_review", "complete")
+ASSIGNMENT_STATES = ("pending_review", "graded", "submitted")
+LOW_BELOW, MIDDLE_BELOW = 60, 80
+COURSES = (("27886", "0HV30-2024"), ("28301", "0HV60-2024"), ("27893", "0HV90-2024"), ("27974", "0HV100-2024"))
+UNKNOWN = "Unknown Course"
+TITLE = "- Self-Regulated Learning Reflection Dashboard"
+CATEGORY_TEXT = {
+    'struggling': "🚨 It seems you're struggling and not feeling hopeful. What small change could help you feel more in control next week?",
+    'hopeful': "😟 You're not satisfied, but you're hopeful things can improve. That's a strong mindset! What will you try differently?",
+    'steady': "😐 You're maintaining a steady pace, but not seeing much progress. What's holding you back, and how can you break through?",
+    'growth': "🌱 You're looking to grow! Think about what support, habits, or focus can help you improve next week.",
+    'good': "👍 You're on a steady path and feeling good about it. Keep doing what works!",
+    'flying': "🚀 You're flying high! Excellent work and strong confidence. Reflect on what's driving your success so you can repeat it.",
+    'between': "🧭 You're somewhere in between. Take a moment to reflect on what's working and where you can grow.",
+}
+VERSUS_TEXT = {
+    'exceeded_low': "<br><br>📈 You exceeded your expectations, even if satisfaction is still low, that's a step forward. What helped this week?",
+    'exceeded': '<br><br>🎉 You surpassed your expectations! Great progress, reflect on what contributed to that.',
+    'matched_low': '<br><br>⚖️ You matched your expectations, but satisfaction remains low. What could lift your experience next week?',
+    'matched': '<br><br>🧠 You met your expectations, a great sign of self-awareness. Stay consistent!',
+    'short_low': "<br><br>🚧 You fell short of your expectations and aren't feeling great. What barriers came up? How can you respond differently next time?",
+    'short': "<br><br>🤔 You didn't meet your goals, but you're still satisfied. Maybe you set your expectations too high? Adjusting goals is also growth.",
+}
+OUTLOOK_TEXT = {
+    'higher': "<br><br>📈 You're aiming higher next week, awesome! What's your action plan to reach that goal?",
+    'dip': "<br><br>📉 You're expecting a dip next week, is something changing? Reflect on how to adapt while keeping your momentum.",
+    'consistent': "<br><br>🔁 You're aiming for consistency, sounds like you're building a rhythm. What will help you maintain that?",
+}
+BLOCK_ALL_DONE = "Great job! You've completed all activities for this block. 🎉"
+BLOCK_SOME_DONE = "Excellent! You've checked another activity off the list. Keep the momentum going! 💪"
+BLOCK_NONE_DONE = ("It looks like you're just getting started! For a good overview, perhaps look at "
+                   'the activity breakdown to see where you can best invest your time. 🗺️')
+PREVIOUS_NONE_DONE = "You didn't complete any activities last block. Let's aim for more this time!"
+PREVIOUS_ALL_DONE = 'You completed all activities last block! Keep up the great work!'
+PREVIOUS_SOME_DONE = ('You completed %d out of %d activities last block. Every step counts—can you do e'
+                      'ven better this week?')
+NO_PREVIOUS_BLOCK = 'No previous block to report yet.'
+STREAK_TEXT = '🏅 <strong>%d-Week Streak!</strong> Reflection badge for %d weeks.'
+BADGES = (
+    ('rookie', 'reflections', 1, 'img/ROOKIE.png', 'Your first reflection - Nice start!', 'Reflect for the first time.'),
+    ('consistent', 'reflections', 4, 'img/CONSISTENT.png', '4 weeks of reflections - Keep reflecting!', 'Reflect for 4 weeks.'),
+    ('master', 'reflections', 8, 'img/MASTER.png', '8 weeks of reflecting?! – Good job!', 'Reflect for 8 weeks.'),
+    ('selfaware', 'blocks', 1, 'img/SELF-AWARE.png', 'You have completed all your activities - Nice start!', 'Complete the activity tracker for the first time.'),
+    ('insightchampion', 'blocks', 2, 'img/INSIGHT.png', 'You have finished your second block of activities - Very nice!', 'Complete the activity tracker for the second time.'),
+    ('kingofwisdom', 'blocks', 4, 'img/KING.png', 'You have complete all the activities for this course - Amazing!', 'Complete all the activities for the entire course.'),
+)
+LOCKED_IMAGE = 'img/QUESTION.png'
+# --- end of fixed values ---------------------------------------------------
 
 
 def _q(values) -> str:
@@ -158,7 +209,7 @@ DAILY_SQL = {
     "quiz_score": ("SELECT user_id, course_id, day, AVG(pct) AS v FROM quiz_t GROUP BY 1, 2, 3", "DOUBLE"),
     "assignment_score": ("SELECT user_id, course_id, day, AVG(pct) AS v FROM asg_t GROUP BY 1, 2, 3",
                          "DOUBLE"),
-    "quiz_minutes": ("SELECT user_id, course_id, day, SUM(CAST(round(DurationInMinutes * 1000000) AS BIGINT)) / 1000000.0 AS v FROM quiz_t "
+    "quiz_minutes": ("SELECT user_id, course_id, day, SUM(DurationInMinutes) AS v FROM quiz_t "
                      "GROUP BY 1, 2, 3", "DOUBLE"),
 }
 
@@ -176,8 +227,8 @@ SELECT user_id, course_id, week, day,
 FROM web_t GROUP BY user_id, course_id, week, day""")
 
 
-def weekly_summary_sql(mean: str = "active", inclusive_end: bool = False) -> str:
-    start = DRIVER_TERM.start.isoformat()
+def weekly_summary_sql(mean: str = "active", inclusive_end: bool = False, term: Term = DRIVER_TERM) -> str:
+    start = term.start.isoformat()
 
     def edge(table: str, ts: str) -> str:
         # closed window: an event at exactly next Monday 00:00 also counts for the week before
@@ -201,7 +252,7 @@ web_days AS (
 web_w AS (
   SELECT user_id, course_id, week, SUM(n) AS total, COUNT(*) AS days FROM web_days GROUP BY ALL),
 quiz_w AS (
-  SELECT user_id, course_id, week, SUM(CAST(round(m * 1000000) AS BIGINT)) / 1000000.0 AS minutes FROM quiz_x GROUP BY ALL)
+  SELECT user_id, course_id, week, SUM(m) AS minutes FROM quiz_x GROUP BY ALL)
 SELECT g.user_id, g.course_id, g.week,
        CAST(COALESCE(w.total, 0) AS BIGINT) AS total_interactions,
        CAST(COALESCE(w.total, 0) * 2 AS BIGINT) AS session_minutes,
@@ -216,7 +267,7 @@ SELECT g.user_id, g.course_id, g.week,
             ELSE 'No Activity' END AS engagement
 FROM grid_weeks g
 LEFT JOIN web_w w ON g.user_id = w.user_id AND g.course_id = w.course_id AND g.week = w.week
-LEFT JOIN quiz_w q ON g.user_id = q.user_id AND g.course_id = q.course_id AND g.week = q.week""")
+LEFT JOIN quiz_w q ON g.user_id = q.user_id AND g.course_id = q.course_id AND g.week = q.week""", term)
 
 
 # ----------------------------------------------------------------- courses
@@ -225,14 +276,29 @@ def enrollments_sql() -> str:
 
 
 def course_labels_sql() -> str:
-    from ..config import COURSE_LABELS, DASHBOARD_TITLE_SUFFIX, UNKNOWN_COURSE
-    values = ", ".join(f"('{c}', '{l}')" for c, l in COURSE_LABELS)
+    return _labels_of("enrollments")
+
+
+def _labels_of(pairs: str) -> str:
+    values = ", ".join(f"('{c}', '{l}')" for c, l in COURSES)
     return _with(f"""
 , labels(cid, label) AS (VALUES {values})
-SELECT e.user_id, e.course_id, COALESCE(l.label, '{UNKNOWN_COURSE}') AS course_label,
+SELECT e.user_id, e.course_id, COALESCE(l.label, '{UNKNOWN}') AS course_label,
        l.label IS NOT NULL AS known,
-       COALESCE(l.label, '{UNKNOWN_COURSE}') || ' ' || '{DASHBOARD_TITLE_SUFFIX}' AS title
-FROM enrollments e LEFT JOIN labels l ON CAST(e.course_id AS VARCHAR) = l.cid""")
+       COALESCE(l.label, '{UNKNOWN}') || ' ' || '{TITLE}' AS title
+FROM {pairs} e LEFT JOIN labels l ON CAST(e.course_id AS VARCHAR) = l.cid""")
+
+
+KNOWN_PAIRS = """(SELECT user_id, CAST(CASE course_id WHEN 27000 THEN 27886 WHEN 27001 THEN 28301 WHEN 27002 THEN 27893
+                          ELSE course_id END AS BIGINT) AS course_id FROM enrollments)"""
+
+
+def known_course_labels_sql() -> str:
+    return _labels_of(KNOWN_PAIRS)
+
+
+def known_courses_sql() -> str:
+    return f"SELECT user_id, course_id, course_label FROM ({known_course_labels_sql()}) WHERE known"
 
 
 # ------------------------------------------------------------------ scores
@@ -273,12 +339,12 @@ FROM grid_weeks g LEFT JOIN nz
 # ---------------------------------------------------------------- progress
 def quiz_weeks_sql() -> str:
     return _with(f"SELECT DISTINCT user_id, course_id, week FROM quiz_t "
-                 f"WHERE workflow_state IN ({_q(QUIZ_ACCEPTED_STATES)})")
+                 f"WHERE workflow_state IN ({_q(QUIZ_STATES)})")
 
 
 def assignment_weeks_sql() -> str:
     return _with(f"SELECT DISTINCT user_id, course_id, week FROM asg_t "
-                 f"WHERE workflow_state IN ({_q(ASSIGNMENT_ACCEPTED_STATES)})")
+                 f"WHERE workflow_state IN ({_q(ASSIGNMENT_STATES)})")
 
 
 def _progress_ctes(term: Term = DRIVER_TERM, sfx: str = "", scope: str = "course") -> str:
@@ -297,9 +363,9 @@ def _progress_ctes(term: Term = DRIVER_TERM, sfx: str = "", scope: str = "course
     SELECT user_id, course_id, CAST(unnest(range(1, {term.block_weeks + 1})) AS BIGINT) AS week
     FROM enrollments)),
 done{sfx} AS (
-  {subs('quiz_t', 'quiz', QUIZ_ACCEPTED_STATES)}
+  {subs('quiz_t', 'quiz', QUIZ_STATES)}
   UNION
-  {subs('asg_t', 'assignment', ASSIGNMENT_ACCEPTED_STATES)}
+  {subs('asg_t', 'assignment', ASSIGNMENT_STATES)}
   UNION
   SELECT user_id, course_id, week, 'reflection' FROM reflections{sfx}),
 ag{sfx} AS (
@@ -320,14 +386,14 @@ bp{sfx} AS (
   SELECT b.user_id, b.course_id, b.block_start, b.block_start + 1 AS block_end, b.total, b.completed,
          CAST({_bround('b.completed * 100.0 / b.total', 0)} AS INTEGER) AS percent,
          b.completed = b.total AS is_complete,
-         CASE WHEN b.completed = b.total AND b.total > 0 THEN '{_esc(rules.BLOCK_ALL_DONE)}'
-              WHEN b.completed > 0 THEN '{_esc(rules.BLOCK_SOME_DONE)}'
-              ELSE '{_esc(rules.BLOCK_NONE_DONE)}' END AS message,
+         CASE WHEN b.completed = b.total AND b.total > 0 THEN '{_esc(BLOCK_ALL_DONE)}'
+              WHEN b.completed > 0 THEN '{_esc(BLOCK_SOME_DONE)}'
+              ELSE '{_esc(BLOCK_NONE_DONE)}' END AS message,
          COALESCE(p.total, 0) AS previous_total, COALESCE(p.completed, 0) AS previous_completed,
-         CASE WHEN b.block_start - 2 < 1 THEN '{_esc(rules.NO_PREVIOUS_BLOCK)}'
-              WHEN COALESCE(p.completed, 0) = 0 THEN '{_esc(rules.PREVIOUS_NONE_DONE)}'
-              WHEN p.completed = p.total AND p.total > 0 THEN '{_esc(rules.PREVIOUS_ALL_DONE)}'
-              ELSE printf('{_esc(rules.PREVIOUS_SOME_DONE)}', p.completed, p.total) END
+         CASE WHEN b.block_start - 2 < 1 THEN '{_esc(NO_PREVIOUS_BLOCK)}'
+              WHEN COALESCE(p.completed, 0) = 0 THEN '{_esc(PREVIOUS_NONE_DONE)}'
+              WHEN p.completed = p.total AND p.total > 0 THEN '{_esc(PREVIOUS_ALL_DONE)}'
+              ELSE printf('{_esc(PREVIOUS_SOME_DONE)}', p.completed, p.total) END
            AS previous_message
   FROM bc{sfx} b LEFT JOIN bc{sfx} p
     ON p.user_id = b.user_id AND p.course_id = b.course_id AND p.block_start = b.block_start - 2)"""
@@ -391,9 +457,9 @@ fb1 AS (
          {_outlook('satisfaction', 'expectation')} AS outlook
   FROM fb0),
 fb AS (
-  SELECT *, concat_ws(' ', {_case('category', rules.CATEGORY_TEXT)},
-                      {_case('versus_last', rules.VERSUS_TEXT)},
-                      {_case('outlook', rules.OUTLOOK_TEXT)}) AS feedback
+  SELECT *, concat_ws(' ', {_case('category', CATEGORY_TEXT)},
+                      {_case('versus_last', VERSUS_TEXT)},
+                      {_case('outlook', OUTLOOK_TEXT)}) AS feedback
   FROM fb1)"""
 
 
@@ -420,8 +486,8 @@ FROM enrollments e LEFT JOIN reflections r ON e.user_id = r.user_id AND e.course
 GROUP BY e.user_id, e.course_id""")
 
 
-def reflection_streaks_sql() -> str:
-    text = _esc(rules.STREAK_TEXT)
+def reflection_streaks_sql(term: Term = DRIVER_TERM) -> str:
+    text = _esc(STREAK_TEXT)
     return _with(f"""
 , isl AS (
   SELECT user_id, course_id, week,
@@ -435,13 +501,14 @@ SELECT g.user_id, g.course_id, g.week AS current_week, CAST(COALESCE(r.run, 0) A
        COALESCE(r.run, 0) >= 2 AS shown,
        CASE WHEN COALESCE(r.run, 0) >= 2 THEN printf('{text}', r.run, r.run) END AS message
 FROM grid_weeks g LEFT JOIN runs r
-  ON g.user_id = r.user_id AND g.course_id = r.course_id AND g.week = r.week""")
+  ON g.user_id = r.user_id AND g.course_id = r.course_id AND g.week = r.week
+WHERE g.week <= {term.display_weeks}""", term)
 
 
 def badges_sql() -> str:
     rows = ", ".join(
         f"({i}, '{b}', '{k}', {t}, '{_esc(img)}', '{_esc(on)}', '{_esc(off)}')"
-        for i, (b, k, t, img, on, off) in enumerate(rules.BADGES, start=1))
+        for i, (b, k, t, img, on, off) in enumerate(BADGES, start=1))
     return _with(_progress_ctes() + f"""
 , defs(position, badge, counts, threshold, unlocked_image, unlocked_tooltip, locked_tooltip)
   AS (VALUES {rows}),
@@ -456,14 +523,14 @@ have AS (
 SELECT user_id, course_id, position, badge, counts, CAST(threshold AS BIGINT) AS threshold, have,
        have >= threshold AS unlocked,
        CASE WHEN have >= threshold THEN unlocked_tooltip ELSE locked_tooltip END AS tooltip,
-       CASE WHEN have >= threshold THEN unlocked_image ELSE '{rules.LOCKED_IMAGE}' END AS image
+       CASE WHEN have >= threshold THEN unlocked_image ELSE '{LOCKED_IMAGE}' END AS image
 FROM have""")
 
 
 # ------------------------------------------------------ ordering and marts
-def daily_row_number_sql() -> str:
-    return _with("""
-SELECT user_id, course_id, day, "timestamp", event_id,
+def daily_row_number_sql(more: str = "") -> str:
+    return _with(f"""
+SELECT user_id, course_id, day, "timestamp", event_id{more},
        row_number() OVER (PARTITION BY user_id, course_id, day ORDER BY "timestamp", event_id) AS seq_num
 FROM web_t""")
 
@@ -472,7 +539,7 @@ def _wide_cte() -> str:
     return """
 , w AS (SELECT user_id, course_id, day, COUNT(*) AS n, COUNT(attachment_id) AS fa,
                COUNT(DISTINCT attachment_id) AS uf FROM web_t GROUP BY user_id, course_id, day),
-q AS (SELECT user_id, course_id, day, COUNT(*) AS n, AVG(pct) AS s, SUM(CAST(round(DurationInMinutes * 1000000) AS BIGINT)) / 1000000.0 AS m
+q AS (SELECT user_id, course_id, day, COUNT(*) AS n, AVG(pct) AS s, SUM(DurationInMinutes) AS m
       FROM quiz_t GROUP BY user_id, course_id, day),
 a AS (SELECT user_id, course_id, day, COUNT(*) AS n, AVG(pct) AS s
       FROM asg_t GROUP BY user_id, course_id, day),
@@ -489,8 +556,8 @@ wide AS (
   LEFT JOIN a ON g.user_id = a.user_id AND g.course_id = a.course_id AND g.day = a.day)"""
 
 
-def daily_metrics_sql() -> str:
-    return _with(_wide_cte() + "\nSELECT * FROM wide")
+def daily_metrics_sql(term: Term = DRIVER_TERM) -> str:
+    return _with(_wide_cte() + "\nSELECT * FROM wide", term)
 
 
 def no_activity_weeks_sql(names) -> str:
@@ -501,7 +568,7 @@ def no_activity_weeks_sql(names) -> str:
 
 def weekly_quiz_minutes_sql() -> str:
     return _with("""
-SELECT user_id, course_id, week, CAST(COALESCE(SUM(CAST(round(DurationInMinutes * 1000000) AS BIGINT)) / 1000000.0, 0) AS DOUBLE) AS quiz_minutes
+SELECT user_id, course_id, week, CAST(COALESCE(SUM(DurationInMinutes), 0) AS DOUBLE) AS quiz_minutes
 FROM quiz_t GROUP BY user_id, course_id, week""")
 
 
@@ -529,3 +596,109 @@ def extract_file_access_sql() -> str:
 SELECT user_id, course_id, day, COUNT(*) AS file_accesses, COUNT(DISTINCT attachment_id) AS unique_files,
        week
 FROM web_t WHERE attachment_id IS NOT NULL GROUP BY user_id, course_id, day, week""")
+
+
+# ------------------------------------------- requests, documents and labels
+def weekly_sentence_sql() -> str:
+    return f"""
+SELECT user_id, course_id, week,
+       engagement || ' Engagement • ' || total_interactions || ' interactions • Avg: '
+       || CAST({_bround('avg_daily_interactions', 0)} AS INTEGER) || '/day' AS sentence
+FROM ({weekly_summary_sql()})"""
+
+
+def week_dates_sql() -> str:
+    start = DRIVER_TERM.start.isoformat()
+    return _with(f"""
+SELECT user_id, course_id, week, CAST(DATE '{start}' + CAST((week - 1) * 7 AS INTEGER) AS DATE) AS week_start,
+       CAST(DATE '{start}' + CAST((week - 1) * 7 + 6 AS INTEGER) AS DATE) AS week_end FROM grid_weeks""")
+
+
+def display_weeks_sql(term: Term) -> str:
+    return _with(f"""
+SELECT least(greatest(week, 1), {term.max_week}) AS display_week, COUNT(*) AS interactions,
+       MIN(week) AS first_week, MAX(week) AS last_week
+FROM web_t GROUP BY 1""", term)
+
+
+def reflections_after_deletes_sql() -> str:
+    return _with("""
+SELECT user_id, course_id, week, satisfaction, expectation, saved_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, course_id, week ORDER BY saved_at DESC, seq DESC) AS rn
+  FROM refl_log) WHERE rn = 1 AND seq % 5 <> 0""")
+
+
+def reflection_documents_sql() -> str:
+    return _with("""
+SELECT user_id || '@uni.nl' AS user_id, course_id, week, satisfaction, expectation, 'note ' || seq AS feedback,
+       date_trunc('second', saved_at) AS saved_at, seq % 5 = 0 AS deleted
+FROM refl_log""")
+
+
+def ordered_interactions_sql() -> str:
+    return f"""
+SELECT user_id, course_id, week, day, value,
+       row_number() OVER (PARTITION BY user_id, course_id ORDER BY week, day) AS position
+FROM ({daily_metric_sql('daily_interactions')})"""
+
+
+def student_interactions_sql(student: int) -> str:
+    return f"SELECT * FROM ({daily_metric_sql('daily_interactions')}) WHERE user_id = {student}"
+
+
+def catalogue_weeks_sql() -> str:
+    """The twelve metrics as (data type, metric, label, statement, value)."""
+    quiz, done = weekly_scores_sql("quiz"), weekly_scores_sql("assignment")
+    day = lambda name: (f"SELECT user_id, course_id, week, SUM(value) AS v FROM ({daily_metric_sql(name)}) "
+                        "GROUP BY user_id, course_id, week")
+    col = lambda name, q: f"SELECT user_id, course_id, week, {name} AS v FROM ({q})"
+    rows = [
+        ("Quizzes", "Submissions", "Submissions", day("quiz_submissions")),
+        ("Quizzes", "Avg Quiz Score", "Average Quiz Score (%)", col("avg_score", quiz)),
+        ("Quizzes", "Max Quiz Score", "Max Quiz Score (%)", col("max_score", quiz)),
+        ("Files", "File Accesses", "File Accesses", day("file_accesses")),
+        ("Files", "Unique Files Accessed", "Unique Files Accessed", day("unique_files")),
+        ("Assignments", "Submissions", "Submissions", day("assignment_submissions")),
+        ("Assignments", "Avg Assignment Score", "Average Assignment Score (%)", col("avg_score", done)),
+        ("Assignments", "Max Assignment Score", "Max Assignment Score (%)", col("max_score", done)),
+        ("Web Activities", "Weekly Time Summary", "Weekly Summary", col("total_interactions", weekly_summary_sql())),
+        ("Web Activities", "Daily Web Activity", "Daily Interactions", day("daily_interactions")),
+        ("Web Activities", "Active Study Time", "Active Study Time (Minutes)", day("active_study_time")),
+        ("Web Activities", "Quiz Time Duration", "Minutes Spent on Quizzes", day("quiz_minutes")),
+    ]
+    return "\nUNION ALL\n".join(
+        f"SELECT '{t}' AS data_type, '{m}' AS metric, '{l}' AS label, user_id, course_id, week, "
+        f"CAST(v AS DOUBLE) AS value FROM ({q})" for t, m, l, q in rows)
+
+
+def answer_sql(kind: str, span: tuple | None) -> str:
+    """The extract's query types over a range of weeks or days, ends included."""
+    if kind == "courses":
+        return enrollments_sql()
+    if kind.endswith("_weeks"):
+        q = quiz_weeks_sql() if kind == "quiz_weeks" else assignment_weeks_sql()
+        return f"SELECT * FROM ({q}) WHERE week BETWEEN {span[0]} AND {span[1]}"
+    series = {"quiz_scores": "quiz_score", "assignment_scores": "assignment_score", "web_activity": "daily_interactions",
+              "file_access": "file_accesses", "quiz_duration": "quiz_minutes"}[kind]
+    return f"SELECT * FROM ({daily_metric_sql(series)}) WHERE day BETWEEN DATE '{span[0]}' AND DATE '{span[1]}'"
+
+
+def extract_ages_sql(clock: datetime) -> str:
+    return f"""
+WITH newest AS (SELECT user_id, MAX(ts) AS cached_at FROM events GROUP BY user_id),
+aged AS (
+  SELECT c.c_custkey AS user_id, n.cached_at,
+         trunc(epoch(TIMESTAMP '{clock}' - n.cached_at)) / 86400.0 AS age_days
+  FROM (SELECT DISTINCT c_custkey FROM customer) c LEFT JOIN newest n ON n.user_id = c.c_custkey)
+SELECT user_id, cached_at, CAST(age_days AS DOUBLE) AS age_days,
+       CASE WHEN cached_at IS NULL THEN 'missing' WHEN age_days < 1 THEN 'today'
+            WHEN age_days < 7 THEN CAST(floor(age_days) AS BIGINT) || ' days ago' ELSE '1+ week ago' END AS age,
+       cached_at IS NOT NULL AND age_days < 7 AS fresh, CAST(user_id AS VARCHAR) AS file_label
+FROM aged"""
+
+
+def storage_labels_sql() -> str:
+    return """
+SELECT c_custkey, regexp_replace(c_name || ' / é@' || c_mktsegment, '[^A-Za-z0-9._-]', '_', 'g') AS file_label,
+       length(trim(t, ' ')) = 0 AS blank, trim(t, ' ') AS trimmed
+FROM (SELECT *, CASE c_custkey % 3 WHEN 0 THEN '   ' WHEN 1 THEN '' ELSE '  ' || c_name END AS t FROM customer)"""

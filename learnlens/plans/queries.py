@@ -1,61 +1,154 @@
 """Registered queries: name -> (spark, sf_dir) -> DataFrame over the driver's
-tables, and the DuckDB twin of each."""
+tables, and the DuckDB twin of each.
+
+Sources are plans over the files as they are when a query is built; nothing is
+kept between queries.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from dataclasses import replace
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
-
-from ..config import DRIVER_TERM
-from ..operators import badges, courses, daily, ordering, progress, reflections, scores, summary
-from ..sources import completion, extracts
+from pyspark.sql import functions as F
+
+from ..config import DRIVER_TERM, SHORT_PICK_TERM, Term
+from ..functions.scores import round_half_even
+from ..functions.text import is_blank, storage_key
+from ..functions.time import day_of, display_week, week_end_date, week_of, week_start_date
+from ..operators import badges, calendar, courses, daily, ordering, progress, reflections, scores, summary
+from ..sources import extracts
+from ..sources import reflections as reflection_log
 from ..sources.tables import Sources
+from . import catalogue
 from . import oracle_sql as sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 # The completion change feed compares the state after week 2 with now.
 COMPLETION_CUTOFF = datetime.combine(DRIVER_TERM.week_start(3), datetime.min.time())
+# The clock of the extract's ages, the days and weeks of ranged requests, and
+# the student of the one-student form.
+AGE_CLOCK = datetime(2024, 1, 31, 12)
+DAYS = (date(2024, 1, 5), date(2024, 1, 19))
+WEEKS = (2, 3)
+STUDENT = 8
 
 
-_SOURCES: dict[tuple, tuple[SparkSession, Sources]] = {}
+def sources(spark: SparkSession, sf_dir: str, term: Term = DRIVER_TERM) -> Sources:
+    """The driver's tables mapped to the source tables."""
+    return Sources.from_driver_tables(spark, sf_dir, term)
 
 
-def sources(spark: SparkSession, sf_dir: str) -> Sources:
-    """The mapped source tables, defined once per session and folder.
+def _on(fn: Callable[[Sources], DataFrame], term: Term = DRIVER_TERM) -> Query:
+    return lambda spark, d: fn(sources(spark, d, term))
 
-    ``Sources`` only holds lazy plans, so reusing it re-reads the files on
-    every action; it saves re-planning the mapping for every query.
-    """
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
-    hit = _SOURCES.get(key)
-    if hit is None:
-        hit = (spark, Sources.from_driver_tables(spark, sf_dir, DRIVER_TERM))
-        _SOURCES[key] = hit
-    return hit[1]
 
+def _daily_name(metric: str) -> str:
+    return metric if metric.startswith("daily_") else f"daily_{metric}"
 
-def _on_sources(fn: Callable[[Sources], DataFrame]) -> Query:
-    return lambda spark, d: fn(sources(spark, d))
 
+def _row_numbers(*more: str) -> Callable[[Sources], DataFrame]:
+    def run(src: Sources) -> DataFrame:
+        logs = src.web_logs_in_term().select(
+            "user_id", "course_id", day_of("timestamp").alias("day"), "timestamp", "event_id", *more)
+        return ordering.row_number_within(logs, ["user_id", "course_id", "day"], ["timestamp", "event_id"])
+    return run
 
-def _daily_name(metric: str) -> str:
-    return metric if metric.startswith("daily_") else f"daily_{metric}"
+
+def _sentence(src: Sources) -> DataFrame:
+    """The card's sentence: engagement, interactions, mean a day without decimals."""
+    w = summary.weekly_summary(src)
+    mean = round_half_even("avg_daily_interactions", 0).cast("int")
+    return w.select("user_id", "course_id", "week", F.format_string(
+        "%s Engagement • %d interactions • Avg: %d/day", "engagement", "total_interactions", mean).alias("sentence"))
+
+
+def _known(src: Sources) -> Sources:
+    """Three of the four courses under ids that the dashboard knows."""
+    c = F.col("course_id")
+    to = F.when(c == 27000, 27886).when(c == 27001, 28301).when(c == 27002, 27893).otherwise(c).cast("bigint")
+    return replace(src, enrollments=src.enrollments.withColumn("course_id", to))
+
+
+def _display_weeks(src: Sources) -> DataFrame:
+    """Interactions by the week they are shown under."""
+    raw = week_of("timestamp", src.term)
+    return src.web_logs_in_term().groupBy(display_week(raw, src.term).alias("display_week")).agg(
+        F.count(F.lit(1)).alias("interactions"), F.min(raw).alias("first_week"), F.max(raw).alias("last_week"))
+
+
+def _week_dates(src: Sources) -> DataFrame:
+    grid = calendar.enrolled_weeks(src.enrollments, src.term)
+    return grid.withColumns({"week_start": week_start_date("week", src.term), "week_end": week_end_date("week", src.term)})
 
 
-def _completion_changes(src: Sources) -> DataFrame:
-    before = completion.completion_snapshot(progress.block_progress(src.as_of(COMPLETION_CUTOFF)))
-    now = completion.completion_snapshot(progress.block_progress(src))
-    return completion.completion_changes(now, before)
+def _after_deletes(src: Sources) -> DataFrame:
+    """Current reflections where every fifth log entry is a deletion."""
+    log = src.reflection_log.withColumn("deleted", F.col("seq") % 5 == 0)
+    return reflections.reflections(replace(src, reflection_log=log)).drop("feedback")
 
 
-def _row_numbers(src: Sources) -> DataFrame:
-    from ..functions.time import day_of
-    logs = src.web_logs_in_term().select(
-        "user_id", "course_id", day_of("timestamp").alias("day"), "timestamp", "event_id")
-    return ordering.row_number_within(logs, ["user_id", "course_id", "day"], ["timestamp", "event_id"])
+def _documents(src: Sources) -> DataFrame:
+    """Log entries as JSON documents under storage keys, parsed back, with the
+    ids that the keys stand for restored from the enrolments."""
+    user = F.concat(F.col("user_id").cast("string"), F.lit("@uni.nl"))
+    record = F.struct("satisfaction", "expectation", F.concat(F.lit("note "), "seq").alias("feedback"),
+                      F.date_format("saved_at", "yyyy-MM-dd HH:mm:ss").alias("saved_at"),
+                      (F.col("seq") % 5 != 0).alias("reflection_saved"))
+    weeks = F.create_map(F.col("week").cast("string"), record)
+    docs = src.reflection_log.select(
+        F.to_json(F.create_map(F.col("course_id").cast("string"), weeks)).alias("value"),
+        F.concat(F.lit("reflections_"), storage_key(user), F.lit(".json")).alias("file"))
+    enrolled = src.enrollments.select(user.alias("user_id"), "course_id")
+    return reflection_log.restore_user_ids(reflection_log.parse_reflection_documents(docs), enrolled).drop("seq")
+
+
+def _ages(spark: SparkSession, d: str) -> DataFrame:
+    """Ages of the students' data on a fixed clock, for all customers."""
+    wanted = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("user_id"))
+    cached = sources(spark, d).web_logs.select("user_id", F.col("timestamp").alias("cached_at"))
+    return extracts.ages(cached, AGE_CLOCK, wanted)
+
+
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    text = F.when(F.col("c_custkey") % 3 == 0, F.lit("   ")).when(F.col("c_custkey") % 3 == 1, F.lit("")).otherwise(
+        F.concat(F.lit("  "), "c_name"))
+    return c.select("c_custkey", storage_key(F.concat("c_name", F.lit(" / é@"), "c_mktsegment")).alias("file_label"),
+                    is_blank(text).alias("blank"), F.trim(text).alias("trimmed"))
+
+
+def _ordered(src: Sources) -> DataFrame:
+    """The chart order with each row's place in its student's and course's series."""
+    rows = catalogue.metric(src, "Web Activities", "Daily Web Activity")
+    placed = ordering.row_number_within(rows, ["user_id", "course_id"], ["week", "day"], "position", F.col("week"))
+    return placed.orderBy("user_id", "course_id", "week", "day")
+
+
+def _catalogue_weeks(src: Sources) -> DataFrame:
+    """All twelve metrics of the catalogue in one frame, by week."""
+    out = None
+    for m in catalogue.CATALOGUE:
+        rows = catalogue.metric(src, m.data_type, m.metric)
+        if m.kind == "daily":
+            rows = rows.groupBy("user_id", "course_id", "week").agg(F.sum("value").cast("double").alias("value"))
+        else:
+            value = {"weekly_summary": "total_interactions", "weekly_scores": "max_score" if "Max" in m.metric else "avg_score"}[m.kind]
+            rows = rows.select("user_id", "course_id", "week", F.col(value).cast("double").alias("value"))
+        rows = rows.select(F.lit(m.data_type).alias("data_type"), F.lit(m.metric).alias("metric"),
+                           F.lit(catalogue.label(m.data_type, m.metric)).alias("label"), "user_id", "course_id", "week", "value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _answer(query_type: str, span: tuple | None) -> Callable[[Sources], DataFrame]:
+    def run(src: Sources) -> DataFrame:
+        start, end = span or (None, None)
+        return extracts.query(extracts.Extract.live(src), query_type, start=start, end=end)
+    return run
 
 
 def _extract(name: str) -> Callable[[Sources], DataFrame]:
@@ -91,16 +184,17 @@ def _catalogue() -> dict[str, tuple[Callable[[Sources], DataFrame], str | None]]
                                               sql.daily_scores_sql("quiz", null_day="zero_day")),
         "block_progress_user_scope": (lambda s: progress.block_progress(s, scope="user"),
                                       sql.block_progress_sql(scope="user")),
-        "completion_changes": (_completion_changes,
+        "completion_changes": (lambda s: progress.completion_flips(s, COMPLETION_CUTOFF),
                                sql.completion_changes_sql(COMPLETION_CUTOFF.isoformat(sep=" "))),
-        "reflections": (reflections.reflections, sql.reflections_sql()),
+        "reflections": (lambda s: reflections.reflections(s).drop("feedback"), sql.reflections_sql()),
         "reflection_feedback": (reflections.reflection_feedback, sql.reflection_feedback_sql()),
         "reflection_categories": (reflections.reflection_categories, sql.reflection_categories_sql()),
         "reflections_per_week": (reflections.reflections_per_week, sql.reflections_per_week_sql()),
         "reflection_counts": (reflections.reflection_counts, sql.reflection_counts_sql()),
         "reflection_streaks": (reflections.reflection_streaks, sql.reflection_streaks_sql()),
         "badges": (badges.badges, sql.badges_sql()),
-        "daily_row_number": (_row_numbers, sql.daily_row_number_sql()),
+        "daily_row_number": (_row_numbers(), sql.daily_row_number_sql()),
+        "daily_row_number_files": (_row_numbers("attachment_id"), sql.daily_row_number_sql(", attachment_id")),
         "extract_quiz_data": (_extract("quiz_data"), sql.extract_quiz_data_sql()),
         "extract_assignment_data": (_extract("assignment_data"), sql.extract_assignment_data_sql()),
         "extract_web_activity": (_extract("web_activity_data"), sql.extract_web_activity_sql()),
@@ -109,12 +203,42 @@ def _catalogue() -> dict[str, tuple[Callable[[Sources], DataFrame], str | None]]
     for metric in daily.DAILY_METRICS:
         c[_daily_name(metric)] = (lambda s, m=metric: daily.daily_metric(s, m),
                                   sql.daily_metric_sql(metric))
+    c |= {
+        "weekly_sentence": (_sentence, sql.weekly_sentence_sql()),
+        "week_dates": (_week_dates, sql.week_dates_sql()),
+        "reflections_after_deletes": (_after_deletes, sql.reflections_after_deletes_sql()),
+        "reflection_documents": (_documents, sql.reflection_documents_sql()),
+        "ordered_interactions": (_ordered, sql.ordered_interactions_sql()),
+        "catalogue_weeks": (_catalogue_weeks, sql.catalogue_weeks_sql()),
+        "known_courses": (lambda s: courses.known_courses(_known(s)), sql.known_courses_sql()),
+        "known_course_labels": (lambda s: courses.course_labels(_known(s)), sql.known_course_labels_sql()),
+        "student_interactions": (lambda s: catalogue.metric(s, "Web Activities", "Daily Web Activity", user_id=STUDENT),
+                                 sql.student_interactions_sql(STUDENT)),
+    }
+    for kind in extracts.QUERY_TYPES:
+        span = None if kind == "courses" else WEEKS if kind.endswith("_weeks") else DAYS
+        c[f"answer_{kind}"] = (_answer(kind, span), sql.answer_sql(kind, span))
     return c
 
 
+#: Terms in which more weeks lie than can be picked: grids go on, the pick stops.
+_SHORT_PICK = {
+    "weekly_summary_long_term": (summary.weekly_summary, sql.weekly_summary_sql(term=SHORT_PICK_TERM)),
+    "daily_metrics_long_term": (daily.daily_metrics_wide, sql.daily_metrics_sql(SHORT_PICK_TERM)),
+    "reflection_streaks_long_term": (reflections.reflection_streaks, sql.reflection_streaks_sql(SHORT_PICK_TERM)),
+    "display_weeks": (_display_weeks, sql.display_weeks_sql(SHORT_PICK_TERM)),
+}
+_ON_TABLES = {
+    "extract_ages": (_ages, sql.extract_ages_sql(AGE_CLOCK)),
+    "storage_labels": (_labels, sql.storage_labels_sql()),
+}
+
+
 def registered() -> dict[str, Query]:
-    return {name: _on_sources(fn) for name, (fn, _) in _catalogue().items()}
+    return ({name: _on(fn) for name, (fn, _) in _catalogue().items()}
+            | {name: _on(fn, SHORT_PICK_TERM) for name, (fn, _) in _SHORT_PICK.items()}
+            | {name: fn for name, (fn, _) in _ON_TABLES.items()})
 
 
 def oracle() -> dict[str, str]:
-    return {name: q for name, (_, q) in _catalogue().items() if q is not None}
+    return {name: q for name, (_, q) in (_catalogue() | _SHORT_PICK | _ON_TABLES).items() if q is not None}

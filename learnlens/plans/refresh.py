@@ -16,6 +16,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import badges, daily, progress, reflections, scores, summary
 from ..sources import commits
@@ -49,40 +50,58 @@ def refresh_marts(src: Sources, root: str, names: Sequence[str] | None = None,
     spark = src.enrollments.sparkSession
     run = run_id if run_id is not None else commits.new_run_id()
     wanted = list(names or MARTS)
-    # The click log is read once: the daily web mart is written first and the
-    # weekly summary and the wide daily metrics are computed from it.
+    # Where the daily web mart is asked for, it is written first, and the weekly
+    # summary and the wide daily metrics are computed from it: one read of the
+    # click log.
+    done: dict[str, T.StructType] = {}
     daily_web = None
-    if any(n in wanted for n in _FROM_DAILY_WEB):
-        _write(MARTS["daily_web_activity"](src), root, "daily_web_activity", run)
-        daily_web = commits.read_run(spark, f"{root}/daily_web_activity", run)
+    if "daily_web_activity" in wanted:
+        done["daily_web_activity"] = _write(MARTS["daily_web_activity"](src), root, "daily_web_activity", run)
+        daily_web = commits.read_run(spark, f"{root}/daily_web_activity", run, done["daily_web_activity"])
+    # Blocks, grid and badges share the block masks: written once, read back.
+    masks = None
+    if sum(n in wanted for n in _FROM_MASKS) > 1:
+        schema = _write(progress.block_masks(src), root, "_block_masks", run)
+        masks = commits.read_run(spark, f"{root}/_block_masks", run, schema)
     for name in wanted:
-        if name == "daily_web_activity" and daily_web is not None:
+        if name in done:
             continue
-        df = _FROM_DAILY_WEB[name](src, daily_web) if name in _FROM_DAILY_WEB else MARTS[name](src)
-        _write(df, root, name, run)
-    commits.commit(spark, root, DATASET, run)
+        if name in _FROM_DAILY_WEB and daily_web is not None:
+            df = _FROM_DAILY_WEB[name](src, daily_web)
+        elif name in _FROM_MASKS and masks is not None:
+            df = _FROM_MASKS[name](src, masks)
+        else:
+            df = MARTS[name](src)
+        done[name] = _write(df, root, name, run)
+    commits.commit(spark, root, DATASET, run, done)
     return run
 
 
+_FROM_MASKS = {
+    "activity_grid": lambda s, m: progress.activity_grid(s, masks=m),
+    "block_progress": lambda s, m: progress.block_progress(s, masks=m),
+    "badges": lambda s, m: badges.badges(s, masks=m),
+}
 _FROM_DAILY_WEB = {
     "daily_metrics": lambda s, d: daily.daily_metrics_wide(s, daily_web=d),
     "weekly_summary": lambda s, d: summary.weekly_summary(s, daily_web=d),
 }
 
 
-def _write(df: DataFrame, root: str, name: str, run: int) -> None:
+def _write(df: DataFrame, root: str, name: str, run: int) -> T.StructType:
     order = [c for c in ("user_id", "course_id", "week", "block_start", "day") if c in df.columns]
-    commits.write_run(df.sortWithinPartitions(*order), f"{root}/{name}", run)
+    return commits.write_run(df.sortWithinPartitions(*order), f"{root}/{name}", run)
 
 
 def read_mart(spark: SparkSession, root: str, name: str, run_id: int | None = None,
               user_id=None) -> DataFrame:
     """One mart from the latest committed refresh (optionally one student;
     the equality reaches the Parquet scan)."""
-    run = run_id if run_id is not None else commits.latest_run(spark, root, DATASET)
-    if run is None:
+    found = commits.committed(spark, root, DATASET, run_id)
+    if found is None:
         raise FileNotFoundError(f"no committed refresh under {root}")
-    df = commits.read_run(spark, f"{root}/{name}", run)
+    run, schemas = found
+    df = commits.read_run(spark, f"{root}/{name}", run, schemas[name])
     return df if user_id is None else df.filter(F.col("user_id") == F.lit(user_id))
 
 

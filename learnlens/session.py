@@ -1,12 +1,11 @@
-"""Session helpers: a tuned local session for tests/bench and a shared
-checkpoint folder that is read from the session, never assumed."""
+"""Session helpers: a tuned local session for tests and the bench, and the
+settings recommended on a cluster."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
@@ -56,25 +55,3 @@ def cluster_settings() -> dict[str, str]:
         "spark.sql.files.maxPartitionBytes": "256m",
         "spark.sql.shuffle.partitions": "8000",
     }
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
-
-    The setting is read from the session (it cannot be changed at run time);
-    a checkpoint folder already set on the context is kept. Only when neither
-    exists (tests on one machine) is a scratch folder used.
-    """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="learnlens-ckpt-"))
-    return sc.getCheckpointDir()
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -46,14 +46,34 @@ def write_snapshot(snapshot: DataFrame, root: str, snapshot_id: int | None = Non
     last complete snapshot.
     """
     run = snapshot_id if snapshot_id is not None else commits.new_run_id()
-    commits.write_run(snapshot, f"{root}/data", run)
-    commits.commit(snapshot.sparkSession, root, "completion", run)
+    schema = commits.write_run(snapshot, f"{root}/data", run)
+    commits.commit(snapshot.sparkSession, root, "completion", run, {"data": schema})
     return run
 
 
 def read_latest_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """The newest committed snapshot (partition-pruned read)."""
-    run = commits.latest_run(spark, root, "completion")
-    if run is None:
+    """The newest committed snapshot (reads that run's folder alone)."""
+    found = commits.committed(spark, root, "completion")
+    if found is None:
         raise FileNotFoundError(f"no committed completion snapshot under {root}")
-    return commits.read_run(spark, f"{root}/data", run)
+    run, schemas = found
+    return commits.read_run(spark, f"{root}/data", run, schemas["data"])
+
+
+FLAG_DOCUMENT = "map<string,map<string,map<string,string>>>"
+
+
+def import_flags(documents: DataFrame) -> DataFrame:
+    """Existing completion flags as a snapshot, row by row: ``documents`` holds
+    JSON texts (column ``value``) of ``{student: {course: {block: flag}}}``,
+    where a block is named by its first week (other text before it is ignored).
+    """
+    rows = documents.select(F.explode(F.from_json("value", FLAG_DOCUMENT)).alias("user_id", "c")) \
+        .select("user_id", F.explode("c").alias("course", "b")) \
+        .select("user_id", "course", F.explode("b").alias("block", "flag"))
+    return rows.select(
+        "user_id", F.col("course").try_cast("bigint").alias("course_id"),
+        F.regexp_extract("block", r"([0-9]+)", 1).try_cast("bigint").alias("block_start"),
+        F.coalesce(F.lower(F.trim("flag")).isin("true", "1", "yes"), F.lit(False)).alias("completed")) \
+        .where("course_id is not null and block_start is not null") \
+        .groupBy(*KEYS).agg(F.bool_or("completed").alias("completed"))

@@ -1,11 +1,11 @@
 """User extracts: SNK1 (write), SRC2 (answer metrics from them), SRC3 (age).
 
 The reference downloads one student at a time into a JSON file. Here one
-job writes the five datasets for every student as Parquet marts, range
-partitioned on (course_id, user_id) and sorted by user inside each file,
+job writes the five datasets for every student as Parquet marts (or JSON
+lines), range partitioned on (course_id, user_id, time) and sorted likewise,
 so a one-student read skips row groups by their user_id statistics. No
-per-student document is ever assembled, so a student with a huge history
-is never gathered into one row or one task.
+per-student document is ever assembled, and the time in the range keys splits
+a student with a huge history over several tasks.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import ASSIGNMENT_ACCEPTED_STATES, QUIZ_ACCEPTED_STATES, Term
-from ..functions.scores import exact_sum, percent_score
+from ..functions.scores import measure_sum, percent_score
 from ..functions.text import storage_key
 from ..functions.time import day_of, week_of
 from . import commits
@@ -71,11 +72,13 @@ def write_extract(src: Sources, root: str, partitions: int | None = None,
     spark = src.enrollments.sparkSession
     frames = extract_frames(src)
 
+    schemas: dict[str, T.StructType] = {}
+
     def write(name: str, df: DataFrame) -> None:
         n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        ordered = (df.repartitionByRange(n, "course_id", "user_id")
-                     .sortWithinPartitions("course_id", "user_id"))
-        commits.write_run(ordered, f"{root}/{name}", run, ("course_id",), fmt)
+        order = ["course_id", "user_id", *ROW_ORDER.get(name, ())]
+        ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+        schemas[name] = commits.write_run(ordered, f"{root}/{name}", run, ("course_id",), fmt)
 
     for name in ("courses", "quiz_data", "assignment_data"):
         write(name, frames[name])
@@ -83,13 +86,22 @@ def write_extract(src: Sources, root: str, partitions: int | None = None,
     # and the file mart is the written days with file accesses.
     from ..operators.daily import daily_web_activity
     write("web_activity_data", daily_web_activity(src))
-    written = commits.read_run(spark, f"{root}/web_activity_data", run, fmt)
+    written = commits.read_run(spark, f"{root}/web_activity_data", run, schemas["web_activity_data"], fmt)
     write("file_access_data", written.filter(F.col("file_accesses") > 0).select(
         "user_id", "course_id", "day", "file_accesses", "unique_files", "week"))
-    commits.commit(spark, root, "extract", run)
+    commits.commit(spark, root, "extract", run, schemas)
     return run
 
 
+#: What orders (and splits) the rows of one student and course.
+ROW_ORDER = {
+    "quiz_data": ("finished_at_anonymous", "quiz_id"),
+    "assignment_data": ("submitted_at_anonymous", "assignment_id"),
+    "web_activity_data": ("day",),
+    "file_access_data": ("day",),
+}
+
+
 @dataclass(frozen=True)
 class Extract:
     """The marts read back (SRC2); metrics are answered from them with the
@@ -103,12 +115,20 @@ class Extract:
     term: Term
 
     @classmethod
-    def read(cls, spark: SparkSession, root: str, term: Term, run_id: int | None = None) -> "Extract":
-        """The latest committed extract (or the given run)."""
-        run = run_id if run_id is not None else commits.latest_run(spark, root, "extract")
-        if run is None:
+    def read(cls, spark: SparkSession, root: str, term: Term, run_id: int | None = None,
+             fmt: str = "parquet") -> "Extract":
+        """The latest committed extract (or the given run), in the format and
+        with the types it was written in."""
+        found = commits.committed(spark, root, "extract", run_id)
+        if found is None:
             raise FileNotFoundError(f"no committed extract under {root}")
-        return cls(*[commits.read_run(spark, f"{root}/{m}", run) for m in MARTS], term=term)
+        run, schemas = found
+        return cls(*[commits.read_run(spark, f"{root}/{m}", run, schemas[m], fmt) for m in MARTS], term=term)
+
+    @classmethod
+    def live(cls, src: Sources) -> "Extract":
+        """The marts as plans over the sources, not written anywhere."""
+        return cls(**extract_frames(src), term=src.term)
 
     def for_user(self, user_id) -> "Extract":
         keep = lambda df: df.filter(F.col("user_id") == F.lit(user_id))
@@ -147,7 +167,7 @@ class Extract:
             "assignment_submissions": (asg, F.count("pct"), "bigint"),
             "quiz_score": (quiz, F.coalesce(F.avg("pct"), F.lit(0.0)), "double"),
             "assignment_score": (asg, F.coalesce(F.avg("pct"), F.lit(0.0)), "double"),
-            "quiz_minutes": (quiz, F.coalesce(exact_sum("minutes"), F.lit(0.0)), "double"),
+            "quiz_minutes": (quiz, F.coalesce(measure_sum("minutes"), F.lit(0.0)), "double"),
         }
         facts, value, dtype = spec[name]
         filled = aggregate_onto_grid(enrolled_days(self.courses, self.term), facts, keys,
@@ -197,18 +217,27 @@ def query(extract: Extract, query_type: str, user_id=None, course_id=None, start
 
 
 def extract_ages(spark: SparkSession, root: str, now: datetime,
-                 requested_users: DataFrame | None = None) -> DataFrame:
-    """SRC3: per student in the extract, the age of the newest file holding
-    them and its label (``today``, ``N days ago``, ``1+ week ago``), plus
-    ``fresh`` (< 7 days). Requested students absent from the extract are
-    listed as ``missing``.
+                 requested_users: DataFrame | None = None, fmt: str = "parquet") -> DataFrame:
+    """SRC3: the ages of the students in the latest committed extract, from the
+    newest file that holds each."""
+    found = commits.committed(spark, root, "extract")
+    if found is None:
+        raise FileNotFoundError(f"no committed extract under {root}")
+    run, schemas = found
+    files = spark.read.schema(schemas["courses"]).format(fmt).load(commits.run_path(f"{root}/courses", run)).select(
+        "user_id", F.col("_metadata.file_modification_time").alias("cached_at"))
+    return ages(files, now, requested_users)
+
+
+def ages(cached: DataFrame, now: datetime, requested_users: DataFrame | None = None) -> DataFrame:
+    """Per student of ``cached`` (user_id, cached_at) the age of the newest
+    entry and its label (``today``, ``N days ago``, ``1+ week ago``), plus
+    ``fresh`` (< 7 days). Requested students absent from it are ``missing``.
     """
-    run = commits.latest_run(spark, root, "extract")
-    files = spark.read.parquet(f"{root}/courses").filter(F.col("run_id") == F.lit(run)).select(
-        "user_id", F.col("_metadata.file_modification_time").alias("mtime"))
-    newest = files.groupBy("user_id").agg(F.max("mtime").alias("cached_at"))
-    now_lit = F.lit(now).cast("timestamp")
-    age_days = (F.unix_timestamp(now_lit) - F.unix_timestamp(F.col("cached_at"))) / F.lit(86400.0)
+    newest = cached.groupBy("user_id").agg(F.max("cached_at").alias("cached_at"))
+    kind = newest.schema["cached_at"].dataType.typeName().upper()  # a clock of the same type
+    clock = F.lit(now) if kind == "TIMESTAMP" else F.expr(f"TIMESTAMP_NTZ '{now}'")
+    age_days = F.timestamp_diff("SECOND", F.col("cached_at"), clock) / F.lit(86400.0)
     if requested_users is not None:
         newest = requested_users.select("user_id").distinct().join(newest, "user_id", "left")
     label = (F.when(F.col("cached_at").isNull(), "missing")

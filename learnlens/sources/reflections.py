@@ -12,9 +12,10 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import storage_key
 from . import schemas
 
 KEYS = ("user_id", "course_id", "week")
@@ -24,8 +25,8 @@ def current_reflections(log: DataFrame) -> DataFrame:
     """Latest surviving reflection per (user, course, week).
 
     Order: ``saved_at``, then ``seq`` for equal save times. A key whose latest
-    row is a tombstone (``deleted``) has no current reflection. The stored
-    feedback text is not carried: it is derived from the ratings (CLS6).
+    row is a tombstone (``deleted``) has no current reflection. The feedback
+    text is the one that was stored with it.
 
     ``max(struct(saved_at, seq, ...))`` runs as a sort-based aggregate with
     map-side partials. Measured against a hash aggregate with ``max_by`` on a
@@ -34,15 +35,21 @@ def current_reflections(log: DataFrame) -> DataFrame:
     """
     latest = log.groupBy(*KEYS).agg(F.max(F.struct(
         F.col("saved_at"), F.col("seq"), F.coalesce(F.col("deleted"), F.lit(False)).alias("deleted"),
-        F.col("satisfaction"), F.col("expectation"))).alias("r"))
+        F.col("satisfaction"), F.col("expectation"), F.col("feedback"))).alias("r"))
     return latest.filter(~F.col("r.deleted")).select(
-        *KEYS, "r.satisfaction", "r.expectation", "r.saved_at")
+        *KEYS, "r.satisfaction", "r.expectation", "r.feedback", "r.saved_at")
+
+
+def wall_clock(time: datetime) -> Column:
+    """A time as written, whatever zones driver and session are in: imported
+    documents keep their wall-clock text, so saves do too."""
+    return F.expr(f"TIMESTAMP_NTZ '{time.strftime('%Y-%m-%d %H:%M:%S.%f')}'")
 
 
 def save_rows(rows: DataFrame, saved_at: datetime | None = None, seq_base: int = 0) -> DataFrame:
     """SNK2 rows: (user_id, course_id, week, satisfaction, expectation[, feedback])
     shaped as log entries. ``seq`` orders saves that share a timestamp."""
-    ts = F.lit(saved_at or datetime.now()).cast("timestamp_ntz")
+    ts = wall_clock(saved_at or datetime.now())
     out = rows
     if "feedback" not in rows.columns:
         out = out.withColumn("feedback", F.lit(None).cast("string"))
@@ -59,7 +66,7 @@ def save_rows(rows: DataFrame, saved_at: datetime | None = None, seq_base: int =
 
 def delete_rows(keys: DataFrame, saved_at: datetime | None = None, seq_base: int = 0) -> DataFrame:
     """SNK3 tombstones for (user_id, course_id, week) keys."""
-    ts = F.lit(saved_at or datetime.now()).cast("timestamp_ntz")
+    ts = wall_clock(saved_at or datetime.now())
     out = keys if "saved_at" in keys.columns else keys.withColumn("saved_at", ts)
     if "seq" not in out.columns:
         out = out.withColumn("seq", F.lit(seq_base) + F.monotonically_increasing_id())
@@ -76,19 +83,55 @@ def append_to_log(entries: DataFrame, path: str) -> None:
     entries.write.mode("append").parquet(path)
 
 
+def compact_log(spark: SparkSession, path: str, into: str, user_type=None) -> None:
+    """Write the log at ``path`` to the new folder ``into`` with one row per
+    (user, course, week): the latest, tombstones included, so that entries
+    appended later still order after it."""
+    log = read_log(spark, path, user_type)
+    rest = [c for c in log.columns if c not in (*KEYS, "saved_at", "seq")]
+    last = log.groupBy(*KEYS).agg(F.max(F.struct("saved_at", "seq", *rest)).alias("r"))
+    last.select(*KEYS, "r.*").select(*log.columns).write.parquet(into)
+
+
 def read_log(spark: SparkSession, path: str, user_type=None) -> DataFrame:
     schema = schemas.reflection_log(user_type) if user_type is not None else schemas.reflection_log()
     return spark.read.schema(schema).parquet(path)
 
 
-def read_reflection_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_reflection_documents(spark: SparkSession, path: str,
+                              enrollments: DataFrame | None = None) -> DataFrame:
     """SRC4: per-student JSON documents ``{course: {week: record}}`` -> log rows.
 
-    One file per student (``reflections_<id>.json``); the id comes from the
-    file name. ``wholetext`` keeps each (multi-line) document in one row.
+    One file per student (``reflections_<id>.json``). ``wholetext`` keeps each
+    (multi-line) document in one row. The file name holds the student id as a
+    storage key; give ``enrollments`` to restore the ids (see
+    :func:`restore_user_ids`).
     """
     docs = spark.read.text(path, wholetext=True) \
         .select(F.col("value"), F.col("_metadata.file_name").alias("file"))
+    rows = parse_reflection_documents(docs)
+    return rows if enrollments is None else restore_user_ids(rows, enrollments)
+
+
+def restore_user_ids(rows: DataFrame, enrollments: DataFrame) -> DataFrame:
+    """``rows`` with the enrolled student's id where the key names exactly one;
+    a key that names none or several (see :func:`key_collisions`) is kept."""
+    ids = enrollments.select("user_id").distinct().groupBy(storage_key("user_id").alias("_key")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("user_id").alias("_id")).where("_n = 1")
+    back = F.coalesce(F.col("_id").cast("string"), F.col("user_id")).cast(enrollments.schema["user_id"].dataType)
+    return rows.join(ids, F.col("user_id") == F.col("_key"), "left").withColumn("user_id", back).select(*rows.columns)
+
+
+def key_collisions(enrollments: DataFrame) -> DataFrame:
+    """(file_label, user_id): students whose ids share a storage key."""
+    ids = enrollments.select("user_id").distinct().withColumn("file_label", storage_key("user_id"))
+    many = ids.groupBy("file_label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("file_label")
+    return ids.join(many, "file_label", "left_semi").select("file_label", "user_id")
+
+
+def parse_reflection_documents(docs: DataFrame) -> DataFrame:
+    """(file, value) rows of documents to log rows; the key of the file name
+    is the user id."""
     parsed = docs.select(
         F.regexp_extract("file", r"^reflections_(.*)\.json$", 1).alias("user_id"),
         F.explode(F.from_json("value", schemas.REFLECTION_DOCUMENT)).alias("course", "weeks"))

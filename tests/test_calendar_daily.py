@@ -44,7 +44,7 @@ def test_display_week_and_block(spark):
 
 def test_term_weeks():
     assert REFERENCE_TERM.raw_weeks == 12
-    assert REFERENCE_TERM.weeks == 10
+    assert REFERENCE_TERM.weeks == 12 and REFERENCE_TERM.display_weeks == 10
     assert REFERENCE_TERM.block_starts == [1, 3, 5, 7, 9]
     assert REFERENCE_TERM.week_of(date(2024, 11, 18)) == 2
     assert REFERENCE_TERM.week_of(date(2025, 3, 1)) == 10
@@ -52,13 +52,13 @@ def test_term_weeks():
 
 def test_calendar_fill_seven_rows_per_week_and_totals(spark):
     d = daily.daily_metric(src(spark), "daily_interactions")
-    assert d.count() == 2 * 70
+    assert d.count() == 2 * 84
     per_week = d.groupBy("user_id", "course_id", "week").count().select("count").distinct().collect()
     assert [r[0] for r in per_week] == [7]
     u1 = {r.day: r.value for r in d.filter("user_id = 'u1'").collect()}
     assert u1[date(2024, 11, 11)] == 2 and u1[date(2024, 11, 17)] == 1
     assert u1[date(2024, 11, 18)] == 1
-    assert sum(u1.values()) == 4          # week-12 event lies beyond the grid
+    assert sum(u1.values()) == 5          # the week-12 event counts too
     assert d.filter("user_id = 'u2'").agg(F.sum("value")).first()[0] == 0
 
 
@@ -97,7 +97,7 @@ def test_no_activity_weeks(spark):
     flags = daily.no_activity_weeks(src(spark))
     got = {(r.user_id, r.week): r.no_activity for r in flags.filter("metric = 'daily_interactions'").collect()}
     assert got[("u1", 1)] is False and got[("u1", 2)] is False and got[("u1", 3)] is True
-    assert all(got[("u2", w)] for w in range(1, 11))
+    assert all(got[("u2", w)] for w in range(1, 13))
 
 
 def test_weekly_summary_and_inclusive_end(spark):
@@ -141,3 +141,23 @@ def test_quiz_minutes_nulls(spark):
     assert got[date(2024, 11, 12)] == 0.0 and got[date(2024, 11, 13)] == 12.5
     week = summary.weekly_quiz_minutes(s).collect()
     assert [(r.week, r.quiz_minutes) for r in week] == [(1, 12.5)]
+
+
+def test_events_after_the_last_week_to_pick_count(spark):
+    web = [("u1", C, ts("2024-11-19 10:00:00"), None), ("u1", C, ts("2025-01-25 10:00:00"), 4)]
+    s = make_sources(spark, web=web, enrollments=[("u1", C)])
+    days = {r.day: r.value for r in daily.daily_metric(s, "daily_interactions").collect() if r.value}
+    assert days == {date(2024, 11, 19): 1, date(2025, 1, 25): 1}
+    weeks = {r.week: r.total_interactions for r in summary.weekly_summary(s).collect()}
+    assert len(weeks) == 12 and weeks[2] == weeks[11] == 1 and sum(weeks.values()) == 2
+    wide = daily.daily_metrics_wide(s).agg({"daily_interactions": "sum", "unique_files": "sum"}).first()
+    assert sorted(wide) == [1, 2]
+
+
+def test_minutes_are_summed_plainly(spark):
+    quiz = [("u1", C, 1, ts(f"2024-11-12 1{i}:00:00"), 1.0, m, "complete")
+            for i, m in enumerate([1e-7, 1.0, float("nan"), None, 1e13])]
+    s = make_sources(spark, quiz=quiz[:4], quizzes=[(1, 10.0)], enrollments=[("u1", C)])
+    assert summary.weekly_quiz_minutes(s).first().quiz_minutes == 1.0 + 1e-7
+    s = make_sources(spark, quiz=quiz, quizzes=[(1, 10.0)], enrollments=[("u1", C)])
+    assert summary.weekly_quiz_minutes(s).first().quiz_minutes == 1e13 + 1.0 + 1e-7

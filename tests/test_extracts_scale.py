@@ -99,7 +99,7 @@ def test_row_number_on_skewed_key_matches_brute_force(spark):
         key = ("hot", 1) if hot else (f"u{rng.randrange(50)}", rng.randrange(3))
         data.append((key[0], key[1], base + timedelta(seconds=rng.randrange(5000)), i))
     df = spark.createDataFrame(data, "user_id string, course_id int, ts timestamp_ntz, event_id long")
-    got = ordering.row_number_within(df, ["user_id", "course_id"], ["ts", "event_id"], slices=8)
+    got = ordering.row_number_within(df, ["user_id", "course_id"], ["ts", "event_id"])
     got = {r.event_id: r.seq_num for r in got.collect()}
     expect = {}
     by_key: dict = {}
@@ -121,16 +121,19 @@ def test_calendar_aggregate_has_one_shuffle_for_the_grid(spark):
 
 # Shuffles of rows that are not partial aggregates, allowed on purpose:
 # the user-scope join moves one row per (student, block); the skew-safe row
-# number moves raw rows in range slices and a per-(key, slice) offsets table.
-RAW_SHUFFLE_ALLOWED = {"block_progress_user_scope", "daily_row_number"}
+# number moves raw rows by (key, slice) and a per-(key, slice) offsets table;
+# documents are joined to one row per enrolled student to restore their ids,
+# and a requested list of students to their newest entries.
+RAW_SHUFFLE_ALLOWED = {"block_progress_user_scope", "daily_row_number", "daily_row_number_files",
+                       "ordered_interactions", "reflection_documents", "extract_ages"}
 
 
 def test_every_shuffle_is_pre_aggregated(spark):
     import re
 
-    import __spark_entry__ as entry
+    from learnlens.plans import queries
     offenders = {}
-    for name, query in entry.queries().items():
+    for name, query in queries.registered().items():
         lines = query(spark, SF0001)._jdf.queryExecution().executedPlan().treeString().splitlines()
         for i, line in enumerate(lines):
             if "Exchange hashpartitioning" in line:
@@ -142,12 +145,65 @@ def test_every_shuffle_is_pre_aggregated(spark):
 
 def test_json_extract_has_the_same_rows(spark, extract_root):
     root = tempfile.mkdtemp(prefix="learnlens-extract-json-")
-    run = write_extract(sources(spark, SF0001), root, fmt="json")
-    from learnlens.sources import commits
-    for mart in ("courses", "quiz_data", "web_activity_data", "file_access_data"):
-        got = commits.read_run(spark, f"{root}/{mart}", run, "json").count()
-        want = Extract.read(spark, extract_root, DRIVER_TERM).__getattribute__(mart).count()
-        assert got == want, mart
+    write_extract(sources(spark, SF0001), root, fmt="json")
+    json, parquet = Extract.read(spark, root, DRIVER_TERM, fmt="json"), Extract.read(spark, extract_root, DRIVER_TERM)
+    live = Extract.live(sources(spark, SF0001))
+    for mart in ("courses", "quiz_data", "assignment_data", "web_activity_data", "file_access_data"):
+        got, want = getattr(json, mart), getattr(parquet, mart)
+        cols = getattr(live, mart).columns
+        assert rows(got, *cols) == rows(want, *cols), mart
+        kinds = dict(getattr(live, mart).dtypes)
+        assert {c: k for c, k in got.dtypes if c in kinds} == {c: k for c, k in want.dtypes if c in kinds} == kinds
+    from learnlens.sources.extracts import QUERY_TYPES, query
+    for kind in QUERY_TYPES:
+        assert rows(query(json, kind)) == rows(query(parquet, kind)), kind
+
+
+def test_a_retried_run_and_an_empty_log(spark):
+    src = sources(spark, SF0001)
+    root = tempfile.mkdtemp(prefix="learnlens-extract-retry-")
+    for _ in range(2):
+        write_extract(src, root, run_id=7)
+    assert Extract.read(spark, root, DRIVER_TERM).courses.count() == src.enrollments.count()
+    from dataclasses import replace
+    quiet = replace(src, web_logs=src.web_logs.limit(0))
+    write_extract(quiet, root, run_id=8)
+    ex = Extract.read(spark, root, DRIVER_TERM)
+    assert ex.web_activity_data.count() == ex.file_access_data.count() == 0 and ex.quiz_data.count() > 0
+
+
+def test_one_hot_student_is_split_over_files(spark):
+    from conftest import make_sources
+    base = datetime(2024, 11, 11)
+    quiz = [("u1", 28301, i % 50, base + timedelta(minutes=i), 1.0, 1.0, "complete") for i in range(4000)]
+    src = make_sources(spark, quiz=quiz, quizzes=[(i, 2.0) for i in range(50)], enrollments=[("u1", 28301)])
+    root = tempfile.mkdtemp(prefix="learnlens-extract-hot-")
+    run = write_extract(src, root, partitions=8)
+    files = spark.read.parquet(f"{root}/quiz_data/run_id={run}").select(F.input_file_name().alias("f")).distinct()
+    assert files.count() > 4
+
+
+def test_row_number_with_more_columns_and_without_exchange_reuse(spark):
+    """400,000 rows over several files, one key with a third of them."""
+    from pyspark.sql import Window
+    path = tempfile.mkdtemp(prefix="learnlens-rows-") + "/t"
+    base = "timestamp_ntz'2024-11-11 00:00:00'"
+    spark.range(400_000).select(
+        F.when(F.col("id") % 3 == 0, -1).otherwise(F.hash("id") % 500).alias("k"), F.col("id").alias("event_id"),
+        F.expr(f"{base} + make_interval(0, 0, 0, 0, 0, 0, abs(hash(id, 1)) % 600000)").alias("ts"),
+        F.concat(F.lit("payload "), "id").alias("payload")).repartition(6).write.parquet(path)
+    df = spark.read.parquet(path)
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("ts", "event_id")))
+    reuse = spark.conf.get("spark.sql.exchange.reuse", "true")
+    try:
+        for on in ("true", "false"):
+            spark.conf.set("spark.sql.exchange.reuse", on)
+            for cols in (["k", "ts", "event_id"], ["k", "ts", "event_id", "payload"]):
+                got = ordering.row_number_within(df.select(*cols), ["k"], ["ts", "event_id"], "n")
+                both = got.select("event_id", F.col("n").alias("a")).join(want.select("event_id", F.col("n").alias("b")), "event_id")
+                assert both.where("a = b").count() == 400_000 == got.count()
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
 
 
 def test_catalogue_user_filter_reaches_every_event_scan(spark):

@@ -43,7 +43,7 @@ def test_grid_shapes(spark):
     term = src.term
     assert progress.block_progress(src).count() == pairs * len(term.block_starts)
     assert progress.activity_grid(src).count() == pairs * len(term.block_starts) * 6
-    assert reflections.reflection_streaks(src).count() == pairs * term.weeks
+    assert reflections.reflection_streaks(src).count() == pairs * term.display_weeks
     assert scores.weekly_scores(src).count() == pairs * term.weeks
     streaks = reflections.reflection_streaks(src)
     assert streaks.filter(F.col("streak") > F.col("current_week")).count() == 0

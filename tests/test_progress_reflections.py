@@ -225,3 +225,72 @@ def test_block_badges_at_each_count(spark):
         assert b[(f"b{k}", "selfaware")] == (k, k >= 1)
         assert b[(f"b{k}", "insightchampion")] == (k, k >= 2)
         assert b[(f"b{k}", "kingofwisdom")] == (k, k >= 4)
+
+
+def test_ids_come_back_from_storage_keys(spark):
+    from learnlens.sources import reflections as refl
+    doc = '{"28301": {"3": {"satisfaction": 7, "expectation": 8, "feedback": "kept", "saved_at": "2024-11-25 10:00:00", "reflection_saved": true}}}'
+    docs = spark.createDataFrame([(doc, f"reflections_{k}.json") for k in ("ann_uni.nl", "a_b", "plain", "gone")], "value string, file string")
+    enrolled = spark.createDataFrame([("ann@uni.nl", C), ("a b", C), ("a/b", C), ("plain", C), ("plain", 2)], "user_id string, course_id long")
+    got = refl.restore_user_ids(refl.parse_reflection_documents(docs), enrolled)
+    assert rows(got, "user_id", "feedback") == [("a_b", "kept"), ("ann@uni.nl", "kept"), ("gone", "kept"), ("plain", "kept")]
+    assert rows(refl.key_collisions(enrolled)) == [("a_b", "a b"), ("a_b", "a/b")]
+    s = make_sources(spark, enrollments=[("ann@uni.nl", C)])
+    from dataclasses import replace
+    s = replace(s, reflection_log=got)
+    streak = {r.current_week: r.streak for r in reflections.reflection_streaks(s).collect()}
+    assert streak[3] == 1
+    assert reflections.reflections(s).where("user_id = 'ann@uni.nl'").first().feedback == "kept"
+
+
+def test_saves_keep_the_wall_clock(spark):
+    from learnlens.sources import reflections as refl
+    ratings = spark.createDataFrame([("u", C, 1, 7, 8)], "user_id string, course_id long, week long, satisfaction int, expectation int")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert refl.save_rows(ratings, ts("2024-11-13 10:00:00")).first().saved_at == ts("2024-11-13 10:00:00")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_log_compaction_keeps_the_state(spark):
+    from learnlens.sources import reflections as refl
+    root = tempfile.mkdtemp(prefix="learnlens-log-")
+    keys = "user_id string, course_id long, week long"
+    rate = lambda u, w, s: spark.createDataFrame([(u, C, w, s, 5)], keys + ", satisfaction int, expectation int")
+    for i, s in enumerate((3, 4, 9)):
+        refl.append_to_log(refl.save_rows(rate("u", 1, s), ts(f"2024-11-1{i + 1} 10:00:00")), f"{root}/a")
+    refl.append_to_log(refl.save_rows(rate("u", 2, 6), ts("2024-11-20 10:00:00")), f"{root}/a")
+    refl.append_to_log(refl.delete_rows(spark.createDataFrame([("u", C, 2)], keys), ts("2024-11-21 10:00:00")), f"{root}/a")
+    refl.compact_log(spark, f"{root}/a", f"{root}/b")
+    a, b = refl.read_log(spark, f"{root}/a"), refl.read_log(spark, f"{root}/b")
+    assert a.count() == 5 and b.count() == 2
+    assert rows(refl.current_reflections(a)) == rows(refl.current_reflections(b))
+
+
+def test_existing_completion_flags_are_imported(spark):
+    text = '{"u1": {"28301": {"1": true, "3": false}, "x": {"1": true}}, "u2": {"28301": {"Block 5": "TRUE"}}}'
+    flags = completion.import_flags(spark.createDataFrame([(text,), ("not json",)], "value string"))
+    assert rows(flags, "user_id", "course_id", "block_start", "completed") == [
+        ("u1", 28301, 1, True), ("u1", 28301, 3, False), ("u2", 28301, 5, True)]
+
+
+def test_flips_in_one_pass_equal_the_snapshots(spark):
+    from learnlens.plans.queries import COMPLETION_CUTOFF, sources
+    from conftest import SF001
+    s = sources(spark, SF001)
+    before = completion.completion_snapshot(progress.block_progress(s.as_of(COMPLETION_CUTOFF)))
+    now = completion.completion_snapshot(progress.block_progress(s))
+    flips = progress.completion_flips(s, COMPLETION_CUTOFF)
+    assert rows(flips, "user_id", "course_id", "block_start", "change") == rows(
+        completion.completion_changes(now, before), "user_id", "course_id", "block_start", "change")
+    plan = progress.completion_flips(s, COMPLETION_CUTOFF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 4 and plan.count("Exchange hashpartitioning") <= 4
+
+
+def test_weeks_beyond_the_pick_make_no_streak(spark):
+    log = [_log("u", w, saved=_week_ts(1)) for w in (9, 10, 65, 66)]
+    s = make_sources(spark, log=log, enrollments=[("u", C)])
+    got = {r.current_week: r.streak for r in reflections.reflection_streaks(s).collect()}
+    assert got == {w: 0 for w in range(1, 9)} | {9: 1, 10: 2}

@@ -8,6 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from conftest import make_sources
+from pyspark.sql import functions as F
 from learnlens.operators import ordering, reflections
 
 SETTINGS = settings(max_examples=12, deadline=None,
@@ -16,13 +17,14 @@ SETTINGS = settings(max_examples=12, deadline=None,
 
 @SETTINGS
 @given(rows=st.lists(st.tuples(st.integers(0, 3), st.integers(0, 40)), min_size=1, max_size=120),
-       slices=st.integers(1, 9))
-def test_row_number_matches_brute_force(spark, rows, slices):
+       width=st.integers(1, 9))
+def test_row_number_matches_brute_force(spark, rows, width):
     base = datetime(2024, 11, 11)
     data = [(f"u{k}", base + timedelta(seconds=t), i) for i, (k, t) in enumerate(rows)]
     df = spark.createDataFrame(data, "user_id string, ts timestamp_ntz, event_id long")
     got = {r.event_id: r.seq_num for r in
-           ordering.row_number_within(df, ["user_id"], ["ts", "event_id"], slices=slices).collect()}
+           ordering.row_number_within(df, ["user_id"], ["ts", "event_id"],
+                                      slice_by=F.floor(F.second("ts") / width)).collect()}
     expect, groups = {}, {}
     for u, t, e in data:
         groups.setdefault(u, []).append((t, e))

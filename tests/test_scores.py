@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from datetime import date
 
 from conftest import make_sources, ts
@@ -49,7 +51,7 @@ def test_weekly_scores_skip_zero_days(spark):
     u2 = w[("u2", 1)]
     assert not u2.has_submissions and u2.message == scores.NO_SUBMISSIONS
     assert u2.avg_score is None
-    assert len(w) == 2 * 10
+    assert len(w) == 2 * 12
 
 
 def test_filled_daily_score_and_count(spark):
@@ -62,9 +64,12 @@ def test_filled_daily_score_and_count(spark):
 
 def test_lookup_join_both_paths(spark):
     s = src(spark)
-    small = lookup_join(s.quiz_submissions, s.quizzes, "quiz_id", "id")
-    assert fits_broadcast(s.quizzes)
-    big = lookup_join(s.quiz_submissions, s.quizzes, "quiz_id", "id", max_rows=1)
+    path = tempfile.mkdtemp(prefix="learnlens-dim-") + "/quizzes"
+    s.quizzes.write.parquet(path)
+    dim = spark.read.parquet(path)
+    assert fits_broadcast(dim) and not fits_broadcast(s.quizzes)   # a size that isn't known doesn't fit
+    small = lookup_join(s.quiz_submissions, dim, "quiz_id", "id")
+    big = lookup_join(s.quiz_submissions, dim, "quiz_id", "id", max_bytes=1)
     key = lambda df: sorted((r.quiz_id, r.points_possible) for r in df.collect())
     assert key(small) == key(big)
     assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()

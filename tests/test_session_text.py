@@ -2,24 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from learnlens.functions.text import day_label, is_blank, storage_key
-from learnlens.session import checkpoint_dir, cluster_settings, cut_lineage
-
-
-def test_checkpoint_dir_and_cut_lineage(spark):
-    # spark.checkpoint.dir cannot be set at run time; the helper only reads it
-    # (or keeps a folder already set on the context).
-    shared = tempfile.mkdtemp(prefix="learnlens-shared-ckpt-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared)
-    folder = checkpoint_dir(spark)
-    assert folder == spark.sparkContext.getCheckpointDir()
-    df = spark.range(100).selectExpr("id", "id % 7 AS k").groupBy("k").count()
-    cut = cut_lineage(df)
-    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, df.collect()))
-    assert "LogicalRDD" in cut._jdf.queryExecution().analyzed().toString()
+from learnlens.session import cluster_settings
 
 
 def test_cluster_settings_policy():
