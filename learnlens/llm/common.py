@@ -49,12 +49,39 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """Like ``written``, dealt into buckets by ``key`` as it is written: later
+    groupings and joins on the key take the table as it lies, without moving it."""
+    spark = df.sparkSession
+    name = f"llm_{label}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay; the session's catalog is as before
+    return table
+
+
+def buckets_for(df: DataFrame, bytes_each: int = 64 << 20) -> int:
+    """Buckets for a table as large as ``df``: by Catalyst's size of it, and at
+    least as many as shuffle partitions."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(least, size // bytes_each), 100_000) if size < 1 << 60 else least
+
+
 def crc_mod(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit(""))), F.lit(n))
 
 
+def hashed_share(key: str | Column, n: int, most: int) -> Column:
+    """True for about ``most`` of ``n`` keys (all, if there are no more), chosen by
+    a hash: no sort, and the same keys wherever the rows lie."""
+    share = 1.0 if n <= most else most / n
+    return F.pmod(F.xxhash64(key), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """A hash of a row's id and text: tells rows apart that share an id."""
     return F.xxhash64(id_col, text_col)

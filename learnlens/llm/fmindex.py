@@ -24,7 +24,7 @@ from . import common, exchange
 from .lm import word_hashes
 
 GRAM = 5
-CHUNK_WORDS = 3_000_000
+CHUNK_WORDS = 1_500_000
 #: Words of the corpus for which there is one shard; about a third go there.
 SHARD_WORDS = 600_000
 #: Documents that hold a minimizer from which on its windows are dealt singly.
@@ -171,11 +171,11 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if held:
             yield flush()
 
-    return common.written(
+    return common.written_by(
         docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("id"),
                     common.row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
         .mapInArrow(run, "chunk long, ids binary, keys binary, lengths binary, words binary, tokens binary, n_words long"),
-        "words")
+        "words", "chunk", common.buckets_for(docs))
 
 
 class Chunk:

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from . import common, exchange
 
-#: Tokens of a chunk, about; a chunk is what one task holds at a time.
-CHUNK_TOKENS = 3_000_000
+#: Tokens of a chunk, about; a chunk is what a task holds at a time.
+CHUNK_TOKENS = 1_500_000
 #: Contexts are told apart by the power of two of their count, up to this one.
 CLASSES = 32
 #: Steps of the logarithm (base 2) in which held-out estimates are binned.
@@ -92,11 +92,11 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, folds: int, size: int) -
                 yield flush(em)
 
     rest = common.crc_mod(id_col, folds)
-    return common.written(
+    return common.written_by(
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                     F.when(rest == 0, REST).when(rest == 1, EM).otherwise(FIT).cast("int").alias("fold"))
         .mapInArrow(run, f"chunk long, em boolean, doc_ids array<{kind}>, folds binary, lengths binary, words binary, "
-                         "tokens binary, n_tokens long, n_train long, n_fit long"), "chunks")
+                         "tokens binary, n_tokens long, n_train long, n_fit long"), "chunks", "chunk", common.buckets_for(docs))
 
 
 class Chunk:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 40
-#: Bound of the labelled sample, by class (rows with the smallest id hashes).
+#: Labelled rows, about, to learn from in either class (chosen by a hash of the id).
 MAX_LABELLED = 4000
 #: Ordinary windows that both dictionaries share, and segments of the toxic one.
 BASE_WINDOWS, SEGMENTS = 300, 400
@@ -147,12 +147,14 @@ def telling(found: list[tuple[bytes, int, int]], na: int, nb: int) -> list[bytes
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, fold: tuple[int, int],
              most: int) -> DataFrame:
-    """(y, text) of up to ``most`` rows of either class outside the fold."""
+    """(y, text) of about ``most`` rows at most of either class outside the fold."""
     rows = labels.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("y")).where(
         F.col("y").isNotNull() & (common.crc_mod("__id", fold[0]) != fold[1]))
-    pick = [rows.where(c).orderBy(F.xxhash64("__id"), "__id").limit(most) for c in ("y > 0", "y <= 0")]
+    n = rows.agg(F.count_if(F.col("y") > 0).alias("bad"), F.count_if(F.col("y") <= 0).alias("good")).first()
+    pick = rows.where(F.when(F.col("y") > 0, common.hashed_share("__id", n.bad, most))
+                      .otherwise(common.hashed_share("__id", n.good, most)))
     return docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).join(
-        F.broadcast(pick[0].union(pick[1])), F.col("__doc") == F.col("__id")).select(  # at most 2 * most rows
+        F.broadcast(pick), F.col("__doc") == F.col("__id")).select(  # about 2 * most rows at most
             (F.col("y") > 0).cast("int").alias("y"), "text")
 
 

@@ -51,7 +51,7 @@ LONGEST = 24
 CELLS = 1 << 18
 #: Added to each count.
 SMOOTH = 0.1
-#: Most frequent title words that the segmenter's dictionary keeps (about 4 MB).
+#: Title words at most that the segmenter's dictionary keeps (about 4 MB).
 DICTIONARY = 200_000
 
 
@@ -122,11 +122,20 @@ class Segmenter:
 
 
 def dictionary(pages: DataFrame, title: Column, size: int = DICTIONARY) -> Segmenter:
-    """Counts of all titles' words of two letters or more; the ``size`` most
-    frequent (ties: alphabetically) and the lexicon make the dictionary."""
-    rows = (pages.select(F.explode(F.regexp_extract_all(
+    """Counts of all titles' words of two letters or more. Words above a frequency
+    that at most ``size`` words reach, and the lexicon, make the dictionary; the
+    frequency is read from a histogram, so nothing is sorted or gathered whole."""
+    counted = common.written(pages.select(F.explode(F.regexp_extract_all(
         F.translate(F.coalesce(title, F.lit("")), common.UPPER, common.LOWER), F.lit("[a-z]{2,24}"), F.lit(0))).alias("w"))
-        .groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(size).collect())
+        .groupBy("w").agg(F.count("*").alias("n")), "words")
+    step = F.floor(F.log2("n") * 8).cast("int")
+    held, least = 0, 0
+    for r in sorted(counted.groupBy(step.alias("k")).agg(F.count("*").alias("m")).collect(), reverse=True):
+        held += r.m
+        if held > size:
+            least = r.k + 1
+            break
+    rows = counted.where(step >= least).collect()
     top = max((r.n for r in rows), default=1)
     counts = {r.w: float(r.n) for r in rows}
     for w in {*BLOCK_WORDS, *ALLOW_WORDS, *COMMON_WORDS}:
