@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: Bound of the labelled sample that the driver fits on (rows with the smallest
-#: hashes of their ids): about 2.5 MB of statistics.
+#: Labelled rows, about, that the driver fits on (chosen by a hash of the id):
+#: some 2.5 MB of statistics.
 MAX_LABELLED = 20_000
 
 
@@ -165,13 +165,13 @@ def fit_rows(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 24, de
 def fit(docs: DataFrame, labels: DataFrame, label: str, *, id_col: str = "doc_id", text_col: str = "text",
         held_out: tuple[int, int] = (4, 2), max_labelled: int = MAX_LABELLED) -> Model:
     """A model from the labelled rows outside the held-out fold (modulus,
-    remainder of the id's crc32). Null labels teach nothing; at most
-    ``max_labelled`` labels, chosen by hash, are learnt from."""
+    remainder of the id's crc32). Null labels teach nothing; of more than
+    ``max_labelled`` labels about so many, chosen by hash, are learnt from."""
     chosen = (labels.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("__y"))
-              .where(F.col("__y").isNotNull() & (common.crc_mod("__id", held_out[0]) != held_out[1]))
-              .orderBy(F.xxhash64("__id"), "__id", "__y").limit(max_labelled))
+              .where(F.col("__y").isNotNull() & (common.crc_mod("__id", held_out[0]) != held_out[1])))
+    chosen = chosen.where(common.hashed_share("__id", chosen.count(), max_labelled))
     rows = (docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
-            .join(F.broadcast(chosen), F.col("__doc") == F.col("__id")))  # at most max_labelled rows
+            .join(F.broadcast(chosen), F.col("__doc") == F.col("__id")))  # about max_labelled rows at most
     stats = statistics(F.col("__text"))
     data = rows.select("__y", *[c.alias(n) for n, c in stats.items()]).toPandas()
     # In a fixed order, so that the model doesn't depend on the tasks' order.
@@ -181,13 +181,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, *, id_col: str = "doc_id
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """``docs`` with __score and __predicted (1 at the threshold or above).
-    Null text scores as empty text; no row is dropped."""
+    Null text scores as empty text; no row is dropped.
+
+    The statistics pass through a generator of one row, below which Catalyst
+    pushes no filter: each is computed once, whatever uses the score.
+    """
     stats = statistics(F.col(text_col))
-    return (docs.withColumn("__stats", F.struct(*[c.alias(n) for n, c in stats.items()]))
+    return (docs.withColumn("__struct", F.struct(*[c.alias(n) for n, c in stats.items()]))
+            .withColumn("__stats", F.explode(F.array("__struct")))
             .withColumns({f"__{n}": F.col("__stats")[n] for n in stats})
             .withColumn("__score", _prefixed(model).score())
             .withColumn("__predicted", (F.col("__score") >= threshold).cast("int"))
-            .drop("__stats", *[f"__{n}" for n in stats]))
+            .drop("__struct", "__stats", *[f"__{n}" for n in stats]))
 
 
 def _prefixed(model: Model) -> Model:
