@@ -27,8 +27,11 @@ from . import common
 WINDOW = 40
 #: Labelled rows, about, to learn from in either class (chosen by a hash of the id).
 MAX_LABELLED = 4000
-#: Ordinary windows that both dictionaries share, and segments of the toxic one.
-BASE_WINDOWS, SEGMENTS = 300, 400
+#: Ordinary windows that both dictionaries share.
+BASE_WINDOWS = 300
+#: Toxic texts that hold a segment, and its log-likelihood ratio (chance alone
+#: exceeds this once in 10,000 segments), from which on it tells.
+LEAST_TEXTS, LEAST_RATIO = 3, 15.1
 LEVEL = 12
 
 
@@ -58,6 +61,17 @@ def segments(text: str | None) -> set[bytes]:
     return {s for s in out if len(s) <= 40}
 
 
+def contexts(text: str | None, wanted: frozenset[bytes]) -> set[tuple[bytes, int]]:
+    """The wanted segments of a text, each with a hash of the words on either
+    side of its first place: copies of a passage have one and the same."""
+    ws, out = words_of(text).split(), {}
+    for i, w in enumerate(ws):
+        for s in (b" " + w + b" ", *(b" " + w[:k] for k in (4, 5, 6) if len(w) > k)):
+            if s in wanted and s not in out:
+                out[s] = zlib.crc32(b" ".join(ws[max(i - 1, 0):i] + ws[i + 1:i + 2]))
+    return set(out.items())
+
+
 @dataclass(frozen=True)
 class Model:
     ordinary: bytes
@@ -130,19 +144,23 @@ def llr(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
     return 2 * (h(a, na, p) + h(b, nb, p))
 
 
-def telling(found: list[tuple[bytes, int, int]], na: int, nb: int) -> list[bytes]:
+def telling(found: list[tuple[bytes, int, int]], na: int, nb: int, parts: bool = False) -> list[bytes]:
     """The segments that tell toxic from ordinary texts, the best one last
-    (nearest to the window that is compressed). Segments with a tenth of the
-    best one's ratio stay; copies and long texts alone don't lift a word there."""
+    (nearest to the window that is compressed). Each is judged by its own counts,
+    so what one language's segments reach keeps none of another's out. Parts of
+    segments that tell nearly as much are left out, if not asked for."""
     if not found:
         return []
     a, b = (np.array([r[i] for r in found], float) for i in (1, 2))
     ratio = llr(a, b, na, nb)
     best = sorted(range(len(found)), key=lambda i: (-ratio[i], found[i][0]))
-    value = {found[i][0]: ratio[i] for i in best if ratio[i] >= 0.1 * ratio.max()}
-    # A part of a segment that tells nearly as much adds nothing.
-    out = [s for s in value if not any(s != o and s in o and value[o] >= 0.8 * value[s] for o in value)]
-    return out[:SEGMENTS][::-1]
+    value = {found[i][0]: ratio[i] for i in best if a[i] >= LEAST_TEXTS and ratio[i] >= LEAST_RATIO}
+    # Segments begin with their only inner space, so a part is a beginning.
+    whole: dict[bytes, float] = {}
+    for s, v in value.items():
+        for k in range(1, len(s)):
+            whole[s[:k]] = max(whole.get(s[:k], 0.0), v)
+    return [s for s, v in value.items() if parts or whole.get(s, 0.0) < 0.8 * v][::-1]
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, fold: tuple[int, int],
@@ -186,9 +204,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, id_col: str
                     [pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["s", "a", "b"])
 
     found = (sample.mapInArrow(count, "s binary, a long, b long").groupBy("s").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-             .where((F.col("a") >= max(3, na // 200)) & (F.col("a") * nb > 10 * F.col("b") * na))
-             .orderBy(F.desc(F.col("a") - F.col("b")), "s").limit(20 * SEGMENTS).collect())
-    chosen = telling([(bytes(r.s), r.a, r.b) for r in found], na, nb)
+             .where((F.col("a") >= LEAST_TEXTS) & (F.col("a") * nb > 10 * F.col("b") * na))
+             .collect())  # of the bounded sample
+    wanted = frozenset(telling([(bytes(r.s), r.a, r.b) for r in found], na, nb, parts=True))
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [x for t in batch.column("text").to_pylist() for x in contexts(t, wanted)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([s for s, _ in rows], pa.binary()), pa.array([c for _, c in rows], pa.int64())], names=["s", "c"])
+
+    # A passage copied many times is one piece of evidence: texts count by their
+    # distinct contexts.
+    apart = {bytes(r.s): r.n for r in sample.where("y = 1").mapInArrow(around, "s binary, c long").groupBy("s")
+             .agg(F.count_distinct("c").alias("n")).collect()}
+    chosen = telling([(bytes(r.s), min(r.a, apart[bytes(r.s)]), r.b) for r in found if bytes(r.s) in apart], na, nb)
 
     def ordinary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

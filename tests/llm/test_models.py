@@ -62,6 +62,17 @@ def planted(spark, n=300):
             spark.createDataFrame(labels, "doc_id long, toxic int"), rows)
 
 
+def test_a_segment_is_judged_by_its_own_counts():
+    strong = [(f" insult{i} ".encode(), 560, 0) for i in range(500)]  # more than any dictionary size of before
+    rare = [(b" chllanu ", 20, 0), (b" chance ", 2, 0)]
+    told = toxicity.telling(strong + rare, 1735, 4000)
+    assert b" chllanu " in told and b" chance " not in told and len(told) == 501
+    wanted = frozenset([b" loser ", b" lose"])
+    copies = set().union(*(toxicity.contexts(t, wanted) for t in ("you loser there", "a you loser there b")))
+    assert len(copies) == 2  # one context of either segment
+    assert len(copies | toxicity.contexts("what a loser", wanted)) == 4
+
+
 def test_toxic_words_are_found_anywhere_in_a_text(spark):
     docs, labels, rows = planted(spark)
     model = toxicity.fit(docs, labels)
