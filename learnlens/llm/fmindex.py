@@ -5,8 +5,10 @@ them). Windows whose minimizer occurs in one document alone can't repeat; the
 others go, joined to runs that share a minimizer, to the shard of that
 minimizer. A shard indexes its distinct runs: suffix order, the transform's
 wavelet matrix, backward search. Its matching statistics tell for every window
-of a run the smallest document in which the window occurs. Runs of a minimizer
-that very many documents hold are dealt over the shards window by window.
+of a run the smallest document in which the window occurs. Windows of a minimizer
+that very many documents hold travel as 64-bit keys, each once per chunk with its
+smallest document; the least of all chunks comes back, and the chunk marks its own
+occurrences.
 """
 
 from __future__ import annotations
@@ -15,9 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, exchange
@@ -27,7 +30,7 @@ GRAM = 5
 CHUNK_WORDS = 1_500_000
 #: Words of the corpus for which there is one shard; about a third go there.
 SHARD_WORDS = 600_000
-#: Documents that hold a minimizer from which on its windows are dealt singly.
+#: Documents that hold a minimizer from which on its windows travel as keys.
 COMMON = 500
 #: Spans up to which they are broadcast to the texts (24 bytes each).
 BROADCAST_SPANS = 2_000_000
@@ -225,23 +228,34 @@ def ask(made: DataFrame, window: int, buckets: int) -> DataFrame:
     return made.mapInArrow(run, exchange.REQUEST)
 
 
-RUNS = "shard int, chunk long, lengths binary, symbols binary, docs binary, ids binary, places binary"
+RUNS = "shard int, chunk long, lengths binary, symbols binary, docs binary, ids binary, places binary, keys binary, least binary"
 
 
 def shared_runs(joined, window: int, buckets: int, shards: int) -> DataFrame:
-    """The runs of windows whose minimizer several documents hold, by shard."""
+    """The runs of windows whose minimizer several documents hold, by shard;
+    of a minimizer that more than COMMON hold, the distinct windows' keys."""
 
     def run(chunk: pa.Table, replies: pa.Table) -> pa.Table:
         c = Chunk(chunk.to_pylist()[0], window)
         code, names = zstandard.ZstdCompressor(level=1), [f.split()[0] for f in RUNS.split(", ")]
         keys = c.asked()[0]
         held = exchange.answers(replies, buckets, 0, 1)[0][np.searchsorted(keys, c.minimizer)] if len(keys) else np.zeros(0, np.int64)
-        some = np.flatnonzero(held > 1)
+        zip_ = lambda x, kind: code.compress(np.ascontiguousarray(x).astype(kind).tobytes())
         rows = []
+        hot = np.flatnonzero(held > COMMON)
+        if len(hot):
+            key, which = np.unique(c.rolling(window)[c.place[hot]], return_inverse=True)
+            least = np.full(len(key), NO_ID)
+            np.minimum.at(least, which, c.ids[c.doc[hot]])
+            shard = ((key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+            edge = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(shard)]
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                rows.append((int(shard[a]), c.number, *[None] * 5,
+                             exchange.pack(np.r_[key[a:a + 1], key[a + 1:b] - key[a:b - 1]], code), zip_(least[a:b], "<i8")))
+        some = np.flatnonzero((held > 1) & (held <= COMMON))
         if len(some):
-            place, doc, key, single = c.place[some], c.doc[some], c.minimizer[some], held[some] > COMMON
-            key = np.where(single, c.rolling(window)[place], key)
-            new = np.r_[True, (place[1:] != place[:-1] + 1) | (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])] | single
+            place, doc, key = c.place[some], c.doc[some], c.minimizer[some]
+            new = np.r_[True, (place[1:] != place[:-1] + 1) | (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]
             head = np.flatnonzero(new)
             n = np.diff(np.r_[head, len(place)])
             place, doc, key = place[head], doc[head], key[head]
@@ -249,23 +263,48 @@ def shared_runs(joined, window: int, buckets: int, shards: int) -> DataFrame:
             order = np.argsort(shard, kind="stable")
             place, doc, shard, n = place[order], doc[order], shard[order], n[order]
             edge = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(shard)]
-            zip_ = lambda x, kind: code.compress(np.ascontiguousarray(x).astype(kind).tobytes())
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 s, length = slice(a, b), n[a:b] + window - 1
                 # Words count as equal if 32 bits of their hashes are, as one of 13 at the same place.
                 symbols = (c.stream[spread(place[s], length)] >> np.uint64(32)).astype("<u4")
                 rows.append((int(shard[a]), c.number, zip_(length, "<u4"), zip_(symbols, "<u4"), zip_(doc[s], "<u4"),
-                             zip_(c.ids[doc[s]], "<i8"), zip_(place[s] - c.start[doc[s]], "<u4")))
-        kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
-        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True)], names=names)
+                             zip_(c.ids[doc[s]], "<i8"), zip_(place[s] - c.start[doc[s]], "<u4"), None, None))
+        kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 7)
+        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [()] * 9, kinds, strict=True)], names=names)
 
     return joined.applyInArrow(run, RUNS)
 
 
 def repeated(runs: DataFrame, window: int) -> DataFrame:
-    """(chunk, doc, from, to): word intervals that an earlier document holds."""
+    """(chunk, doc, from, to): word intervals that an earlier document holds; and
+    (chunk, keys, least), doc null: the smallest document of each key asked for."""
+
+    def least_of(asked: pa.Table) -> pa.Table:
+        """One chunk's keys are unpacked at a time, beside the distinct ones."""
+        unzip, code = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        blobs = list(zip(asked.column("keys").to_pylist(), asked.column("least").to_pylist(), strict=True))
+        distinct, least, held, n = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+        for i, (k, v) in enumerate(blobs):
+            held.append((np.cumsum(exchange.unpack(k, unzip), dtype=np.uint64), np.frombuffer(unzip.decompress(v), "<i8")))
+            n += len(held[-1][0])
+            if n > max(len(distinct), 1 << 18) or i == len(blobs) - 1:
+                keys, which = np.unique(np.concatenate([distinct, *(h[0] for h in held)]), return_inverse=True)
+                low = np.full(len(keys), NO_ID)
+                np.minimum.at(low, which, np.concatenate([least, *(h[1] for h in held)]))
+                distinct, least, held, n = keys, low, [], 0
+        back = [code.compress(least[np.searchsorted(distinct, np.cumsum(exchange.unpack(k, unzip), dtype=np.uint64))].astype("<i8").tobytes())
+                for k, _ in blobs]
+        none = pa.nulls(len(blobs), pa.int32())
+        return pa.Table.from_arrays(
+            [asked.column("chunk").combine_chunks(), none, none, none, pa.array([k for k, _ in blobs], pa.binary()), pa.array(back, pa.binary())],
+            names=["chunk", "doc", "from", "to", "keys", "least"])
 
     def run(group: pa.Table) -> pa.Table:
+        hot = group.filter(pc.is_valid(group.column("keys")))
+        own = group.filter(pc.is_valid(group.column("lengths")))
+        return pa.concat_tables([f(part) for f, part in ((least_of, hot), (matched, own)) if part.num_rows])
+
+    def matched(group: pa.Table) -> pa.Table:
         unzip = zstandard.ZstdDecompressor()
         cols = {}
         for name, kind in (("lengths", "<u4"), ("symbols", "<u4"), ("docs", "<u4"), ("ids", "<i8"), ("places", "<u4")):
@@ -292,9 +331,51 @@ def repeated(runs: DataFrame, window: int) -> DataFrame:
         last = np.r_[head[1:], len(owner)] - 1 if len(owner) else head
         return pa.Table.from_arrays(
             [pa.array(chunk[owner[head]], pa.int64()), pa.array(cols["docs"][owner[head]], pa.int32()),
-             pa.array(place[head], pa.int32()), pa.array(place[last] + window, pa.int32())], names=["chunk", "doc", "from", "to"])
-
-    return runs.groupBy("shard").applyInArrow(run, "chunk long, doc int, `from` int, `to` int")
+             pa.array(place[head], pa.int32()), pa.array(place[last] + window, pa.int32()),
+             pa.nulls(len(head), pa.binary()), pa.nulls(len(head), pa.binary())], names=["chunk", "doc", "from", "to", "keys", "least"])
+
+    return runs.groupBy("shard").applyInArrow(run, "chunk long, doc int, `from` int, `to` int, keys binary, least binary")
+
+
+def marked(joined, window: int) -> DataFrame:
+    """(row_key, spans) from each chunk and what was found for it."""
+
+    def run(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
+        empty = pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], kind)], names=["row_key", "spans"])
+        if not chunk.num_rows or not found.num_rows:
+            return empty
+        row = chunk.to_pylist()[0]
+        own = found.filter(pc.is_valid(found.column("doc")))
+        doc, start, end = (own.column(x).to_numpy().astype(np.int64) for x in ("doc", "from", "to"))
+        hot = found.filter(pc.is_valid(found.column("keys")))
+        if hot.num_rows:
+            unzip, c = zstandard.ZstdDecompressor(), Chunk(row, window)
+            keys = np.concatenate([np.cumsum(exchange.unpack(k, unzip), dtype=np.uint64) for k in hot.column("keys").to_pylist()])
+            least = np.concatenate([np.frombuffer(unzip.decompress(v), "<i8") for v in hot.column("least").to_pylist()])
+            order = np.argsort(keys)
+            keys, least = keys[order], least[order]
+            h = c.rolling(window)[c.place]
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hit = (keys[at] == h) & (least[at] < c.ids[c.doc])
+            place = c.place[hit] - c.start[c.doc[hit]]
+            doc, start, end = (np.concatenate(x) for x in ((doc, c.doc[hit]), (start, place), (end, place + window)))
+        if not len(doc):
+            return empty
+        # Intervals of a document are merged where they touch.
+        order = np.lexsort((start, doc))
+        doc, start, apart = doc[order], start[order], int(end.max()) + 2
+        reach = np.maximum.accumulate(doc * apart + end[order])
+        head = np.flatnonzero(np.r_[True, (doc * apart + start)[1:] > reach[:-1]])
+        last = np.r_[head[1:], len(doc)] - 1
+        doc, start, end = doc[head], start[head], reach[last] - doc[head] * apart
+        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        spans = pa.ListArray.from_arrays(
+            pa.array(np.r_[first, len(doc)], pa.int32()),
+            pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["from", "to"]))
+        return pa.Table.from_arrays([pa.array(np.frombuffer(row["keys"], "<i8")[doc[first]]), spans], names=["row_key", "spans"])
+
+    return joined.applyInArrow(run, "row_key long, spans array<struct<`from`:int,`to`:int>>")
 
 
 def repeated_spans(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,34 +394,9 @@ def repeated_spans(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     replied = exchange.totals(ask(made, window, buckets)).where("chunk is not null").select("chunk", "bucket", "totals")
     runs = shared_runs(made.groupBy("chunk").cogroup(replied.groupBy("chunk")), window, buckets, shards)
     found = repeated(runs, window)
-
-    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for chunk, keys in zip(b.column("chunk").to_pylist(), b.column("keys").to_pylist(), strict=True):
-                key = np.frombuffer(keys, "<i8")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk] * len(key), pa.int64()), pa.array(np.arange(len(key)), pa.int32()), pa.array(key)],
-                    names=["chunk", "doc", "row_key"])
-
-    by_doc = found.groupBy("chunk", "doc").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("spans"))
-    rows = made.select("chunk", "keys").mapInArrow(names, "chunk long, doc int, row_key long")
     # Rows alike in id and text have the same spans.
     return common.written(
-        by_doc.join(rows, ["chunk", "doc"]).select("row_key", apart("spans").alias("spans")).dropDuplicates(["row_key"]), "spans")
-
-
-def apart(spans: str) -> Column:
-    """Sorted intervals merged where they touch."""
-    kind = "array<struct<from:int,to:int>>"
-
-    def add(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        return F.when((F.size(done) > 0) & (last["to"] >= x["from"]), F.concat(
-            F.slice(done, 1, F.size(done) - 1),
-            F.array(F.struct(last["from"].alias("from"), F.greatest(last["to"], x["to"]).alias("to"))))).otherwise(
-            F.concat(done, F.array(x)))
-
-    return F.aggregate(spans, F.array().cast(kind), add)
+        marked(made.groupBy("chunk").cogroup(found.groupBy("chunk")), window).dropDuplicates(["row_key"]), "spans")
 
 
 def kept_words(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,6 +13,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 
 from learnlens.llm import common, decontaminate, fmindex, licenses, lm, queries, simhash
 from tests.conftest import SF0001
@@ -166,6 +167,27 @@ def test_repeats_against_brute_force(spark, docs, monkeypatch, common_from):
         assert got == brute_kept(rows)
 
 
+def test_a_common_window_travels_once_per_chunk(spark, monkeypatch):
+    monkeypatch.setattr(fmindex, "COMMON", 5)
+    passage = " ".join(f"w{i}" for i in range(20))  # 8 windows
+    rows = [(i, passage) for i in range(-100, 300)]
+    sent, form = [], fmindex.repeated
+
+    def seen(runs, window):
+        sent.extend(common.written(runs, "runs").collect())
+        return form(runs, window)
+
+    monkeypatch.setattr(fmindex, "repeated", seen)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    got = sorted((r.doc_id, r["__n_words"], r["__n_removed"], r["__kept"]) for r in fmindex.kept_words(df).collect())
+    assert got == brute_kept(rows)
+    unzip = zstandard.ZstdDecompressor()
+    keys = [(r.chunk, k) for r in sent if r.keys for k in np.cumsum(fmindex.exchange.unpack(r.keys, unzip), dtype=np.uint64).tolist()]
+    assert not any(r.lengths for r in sent)
+    chunks = {c for c, _ in keys}
+    assert len(keys) == len(set(keys)) <= 8 * len(chunks) and 1 <= len(chunks) <= 3  # not one for each of 400 documents
+
+
 def test_repeats_without_ids_and_with_repeated_rows(spark, empty):
     p = " ".join(f"w{i}" for i in range(30))
     rows = [(None, p), (7, p), (7, p), (7, "x " + p), (9, p + " end"), (1, None), (2, "short")]
