@@ -1,7 +1,8 @@
 """URL filters: rules for hosts and paths first, a learnt verdict for the rest.
 
 Host names are split into words by a unigram Viterbi search (word counts come
-from the pages' titles and a small lexicon), and multinomial naive Bayes scores
+from all of the pages' titles and a small lexicon; a chunk of urls looks up the
+substrings of its names among them), and multinomial naive Bayes scores
 the words of host and path. It learns from the urls that a rule decides and
 from labelled seed names. Features are hashed to a fixed number of cells, so
 the model's size doesn't grow with the data, while its counts cover all rows.
@@ -17,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +53,8 @@ LONGEST = 24
 CELLS = 1 << 18
 #: Added to each count.
 SMOOTH = 0.1
-#: Title words at most that the segmenter's dictionary keeps (about 4 MB).
-DICTIONARY = 200_000
+#: Rows and letters of a chunk of urls, about; of a task's held lookups.
+CHUNK_ROWS, CHUNK_LETTERS, HELD = 5_000, 150_000, 200_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -86,8 +88,9 @@ class Segmenter:
     unknown: float
 
     @classmethod
-    def from_counts(cls, counts: dict[str, float]) -> Segmenter:
-        total = sum(counts.values()) + 1.0
+    def from_counts(cls, counts: dict[str, float], total: float | None = None) -> Segmenter:
+        """``total``: of all counts, where ``counts`` has only those that can occur."""
+        total = (sum(counts.values()) if total is None else total) + 1.0
         return cls({w: -math.log(c / total) for w, c in counts.items()}, math.log(total * 10))
 
     def split(self, name: str) -> list[str]:
@@ -121,26 +124,22 @@ class Segmenter:
         return [run[a:b] for a, b, _ in merged]
 
 
-def dictionary(pages: DataFrame, title: Column, size: int = DICTIONARY) -> Segmenter:
-    """Counts of all titles' words of two letters or more. Words above a frequency
-    that at most ``size`` words reach, and the lexicon, make the dictionary; the
-    frequency is read from a histogram, so nothing is sorted or gathered whole."""
-    counted = common.written(pages.select(F.explode(F.regexp_extract_all(
+def title_words(pages: DataFrame, title: Column) -> DataFrame:
+    """(w, n): counts of all titles' words of two letters or more."""
+    return common.written(pages.select(F.explode(F.regexp_extract_all(
         F.translate(F.coalesce(title, F.lit("")), common.UPPER, common.LOWER), F.lit("[a-z]{2,24}"), F.lit(0))).alias("w"))
         .groupBy("w").agg(F.count("*").alias("n")), "words")
-    step = F.floor(F.log2("n") * 8).cast("int")
-    held, least = 0, 0
-    for r in sorted(counted.groupBy(step.alias("k")).agg(F.count("*").alias("m")).collect(), reverse=True):
-        held += r.m
-        if held > size:
-            least = r.k + 1
-            break
-    rows = counted.where(step >= least).collect()
-    top = max((r.n for r in rows), default=1)
-    counts = {r.w: float(r.n) for r in rows}
-    for w in {*BLOCK_WORDS, *ALLOW_WORDS, *COMMON_WORDS}:
-        counts[w] = max(counts.get(w, 0.0), top / 10.0)
-    return Segmenter.from_counts(counts)
+
+
+def lexicon(counted: DataFrame) -> tuple[dict[str, float], float]:
+    """Counts of the words that are always known (at least a tenth of the
+    commonest title word's), and the total of all counts with them."""
+    words = sorted({*BLOCK_WORDS, *ALLOW_WORDS, *COMMON_WORDS})
+    row = counted.agg(F.max("n").alias("top"), F.sum("n").alias("all")).first()
+    top, total = row.top or 1, float(row["all"] or 0)
+    own = {r.w: float(r.n) for r in counted.where(F.col("w").isin(words)).collect()}
+    counts = {w: max(own.get(w, 0.0), top / 10.0) for w in words}
+    return counts, total - sum(own.values()) + sum(counts.values())
 
 
 def tokens(host: str, path: str, split: Segmenter) -> list[str]:
@@ -155,18 +154,75 @@ def cell(token: str) -> int:
     return xxhash.xxh64_intdigest(token) % CELLS
 
 
-def token_cells(urls: DataFrame, split: Segmenter) -> DataFrame:
-    """(host, path) with the hashed tokens, for distinct hosts and paths."""
+def chunked(urls: DataFrame) -> DataFrame:
+    """``urls`` (with host and path) and a chunk number, written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, rows, letters = TaskContext.get().partitionId() << 32, 0, 0
         for b in batches:
-            cells = [[cell(t) for t in tokens(h, p, split)] for h, p in
-                     zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(cells, pa.list_(pa.int32()))], names=[*b.schema.names, "cells"])
+            numbers = []
+            for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True):
+                if rows >= CHUNK_ROWS or letters >= CHUNK_LETTERS:
+                    chunk, rows, letters = chunk + 1, 0, 0
+                rows, letters = rows + 1, letters + len(h) + len(p)
+                numbers.append(chunk)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(numbers, pa.int64())], names=[*b.schema.names, "chunk"])
+
+    return common.written(urls.mapInArrow(run, f"{fields(urls)}, chunk long"), "urls")
+
+
+def fields(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in urls.schema)
-    return urls.mapInArrow(run, f"{names}, cells array<int>")
+
+def substrings(urls: DataFrame) -> DataFrame:
+    """(chunk, piece): what may be a title word in the chunk's hosts and paths,
+    each seldom more than once a chunk however common it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: set[str] = set()
+        done: set[str] = set()
+        last = None
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([last] * len(held), pa.int64()), pa.array(sorted(held), pa.string())], names=["chunk", "piece"])
+
+        for b in batches:
+            for chunk, h, p in zip(*(b.column(c).to_pylist() for c in ("chunk", "host", "path")), strict=True):
+                if held and (chunk != last or len(held) > HELD):
+                    yield flush()
+                    held.clear()
+                if chunk != last:
+                    last = chunk
+                    done.clear()
+                for name in {*re.findall("[a-z]{2,}", h), *re.findall("[a-z]{2,}", p.lower())} - done:
+                    done.add(name)
+                    held.update(name[a:e] for a in range(len(name) - 1) for e in range(a + 2, min(a + LONGEST, len(name)) + 1))
+        if held:
+            yield flush()
+
+    return urls.select("chunk", "host", "path").mapInArrow(run, "chunk long, piece string")
+
+
+def token_cells(urls: DataFrame, pages: DataFrame, title: Column) -> DataFrame:
+    """``urls`` (with host and path) and their hashed tokens."""
+    counted = title_words(pages, title)
+    always, total = lexicon(counted)
+    urls = chunked(urls)
+    known = substrings(urls).join(counted, F.col("piece") == F.col("w")).select("chunk", "w", "n")
+    names = [c for c in urls.columns if c != "chunk"]
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        counts = dict(zip(found.column("w").to_pylist(), map(float, found.column("n").to_pylist()), strict=True))
+        split = Segmenter.from_counts(counts | always, total)
+        cells = [[cell(t) for t in tokens(h, p, split)] for h, p in
+                 zip(rows.column("host").to_pylist(), rows.column("path").to_pylist(), strict=True)]
+        return pa.Table.from_arrays(
+            [*(rows.column(c) for c in names), pa.array(cells, pa.list_(pa.int32()))], names=[*names, "cells"])
+
+    return urls.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(
+        run, f"{fields(urls.drop('chunk'))}, cells array<int>")
 
 
 def verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
@@ -181,11 +237,10 @@ def verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """
     title = F.regexp_extract(F.coalesce(F.col("html"), F.lit("")), r"<title[^>]*>([^<]*)", 1) if title is None else title
     host, path = host_and_path(F.col(url_col))
-    split = dictionary(pages, title)
     parts = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     urls = common.written(token_cells(
-        parts.withColumns({"rule": rule, "ruled": verdict}), split), "urls")
+        parts.withColumns({"rule": rule, "ruled": verdict}), pages, title), "cells")
     # Counts of at most CELLS cells, whatever the input's size.
     counts = (urls.where("ruled is not null").select(F.explode("cells").alias("cell"), "ruled")
               .groupBy("cell").agg(F.count_if(F.col("ruled") == "block").alias("bad"),

@@ -206,6 +206,17 @@ def test_url_parts_rules_and_verdicts(spark):
     assert urlfilter.verdicts(pages.limit(0)).count() == 0
 
 
+def test_rare_title_words_count_at_any_size(spark):
+    """Before, words above 200,000 were dropped from the rare end."""
+    letters = "abcdefghijklmnopqrst"
+    words = ["w" + a + b + c + d + e for a in letters for b in letters for c in letters for d in letters for e in "ab"]  # 320,000
+    rows = [(i, f"http://x{i}.com/de/quorvex", f"<title>{' '.join(words[i::320])}</title>") for i in range(320)]
+    rows += [(1000, "http://x.net/zyxabquorvex", "<title>zyxab quorvex</title>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in urlfilter.verdicts(pages).collect()}
+    assert len(got) == 321 and got[1000].rule is None and got[1000].verdict == "block"
+
+
 def test_segmentation_is_the_cheapest_split():
     counts = {"casino": 5.0, "win": 9.0, "cas": 3.0, "in": 20.0, "o": 1.0, "free": 4.0, "bet": 6.0, "bets": 2.0}
     split = urlfilter.Segmenter.from_counts(counts)
