@@ -598,6 +598,13 @@ SELECT user_id, course_id, day, COUNT(*) AS file_accesses, COUNT(DISTINCT attach
 FROM web_t WHERE attachment_id IS NOT NULL GROUP BY user_id, course_id, day, week""")
 
 
+def documents_rejects_sql() -> str:
+    """Each course comes with one broken document and one whose quizzes are a number."""
+    return _with("""
+SELECT 'document' AS part, reason, COUNT(*) AS documents
+FROM enrollments, (VALUES ('not JSON'), ('quiz_data is no array')) AS bad(reason) GROUP BY reason""")
+
+
 # ------------------------------------------- requests, documents and labels
 def weekly_sentence_sql() -> str:
     return f"""

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DRIVER_TERM, SHORT_PICK_TERM, Term
@@ -19,7 +19,7 @@ from ..functions.scores import round_half_even
 from ..functions.text import is_blank, storage_key
 from ..functions.time import day_of, display_week, week_end_date, week_of, week_start_date
 from ..operators import badges, calendar, courses, daily, ordering, progress, reflections, scores, summary
-from ..sources import extracts
+from ..sources import documents, extracts
 from ..sources import reflections as reflection_log
 from ..sources.tables import Sources
 from . import catalogue
@@ -155,6 +155,58 @@ def _extract(name: str) -> Callable[[Sources], DataFrame]:
     return lambda src: extracts.extract_frames(src)[name]
 
 
+def _extract_texts(src: Sources) -> DataFrame:
+    """The extract as (file, value) documents: one per row of it, as parts of one
+    extract. Courses are a single value or an array, ids are numbers or texts, missing
+    values are left out or ``NA``. An older document of every fourth course and
+    two unreadable ones a course are added."""
+    frames = extracts.extract_frames(src)
+    odd = F.pmod(F.xxhash64(F.col("user_id"), F.col("course_id")), F.lit(2)) == 1
+    user = F.col("user_id").cast("string")
+
+    def text(df: DataFrame, kind: str, cached_at: str, **datasets: Column) -> DataFrame:
+        def doc(*ids: Column) -> Column:
+            return F.to_json(F.struct(*ids, F.lit(cached_at).alias("cached_at"), *[
+                datasets.get(m, F.array().cast("array<string>")).alias(m) for m in documents.FIELDS]))
+        value = F.when(odd, doc(F.col("user_id"), F.col("course_id").alias("courses"))).otherwise(
+            doc(user.alias("user_id"), F.array(F.col("course_id").cast("string")).alias("courses")))
+        return df.select(F.concat(F.lit(f"cached_data_{kind}_"), user, F.lit(".json")).alias("file"), value.alias("value"))
+
+    def record(m: str) -> Column:
+        cols = []
+        for name, dtype in documents.FIELDS[m].items():
+            c = F.col(name)
+            if dtype == "timestamp_ntz":
+                c = F.date_format(name, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+            elif name == "score_anonymous":  # a text where it is missing, and for odd courses
+                c = F.coalesce(c.cast("string"), F.lit("NA")) if m == "quiz_data" else c
+            cols.append(c.alias(name))
+        return F.array(F.struct(*cols))
+
+    now = "2024-02-01 08:00:00"
+    out = text(frames["courses"], "courses", now)
+    for m in documents.FIELDS:
+        out = out.union(text(frames[m], m, now, **{m: record(m)}))
+    courses_ = frames["courses"]
+    stale = F.array(F.struct("course_id", F.lit("2024-01-02 00:00:00").alias("finished_at_anonymous")))
+    out = out.union(text(courses_.where("course_id % 4 = 0"), "old", "2024-01-31 08:00:00", quiz_data=stale))
+    file = F.concat(F.lit("cached_data_"), user, F.lit(".json"))
+    return out.union(courses_.select(file, F.concat(F.lit('{"user_id": "'), user, F.lit('", "courses": [')))) \
+        .union(courses_.select(file, F.concat(F.lit('{"user_id": '), user, F.lit(', "courses": 1, "quiz_data": 7}'))))
+
+
+def _documents_mart(name: str) -> Callable[[Sources], DataFrame]:
+    def run(src: Sources) -> DataFrame:
+        rows = documents.staged(_extract_texts(src), src.enrollments.schema["user_id"].dataType)
+        return documents.marts(rows, src.term)[name].drop("cached_at")
+    return run
+
+
+def _documents_rejects(src: Sources) -> DataFrame:
+    rows = documents.staged(_extract_texts(src), src.enrollments.schema["user_id"].dataType)
+    return documents.rejects(rows).groupBy("part", "reason").agg(F.count("*").alias("documents"))
+
+
 # name -> (plan over Sources, DuckDB SQL or None)
 def _catalogue() -> dict[str, tuple[Callable[[Sources], DataFrame], str | None]]:
     c: dict[str, tuple[Callable[[Sources], DataFrame], str | None]] = {
@@ -195,6 +247,12 @@ def _catalogue() -> dict[str, tuple[Callable[[Sources], DataFrame], str | None]]
         "badges": (badges.badges, sql.badges_sql()),
         "daily_row_number": (_row_numbers(), sql.daily_row_number_sql()),
         "daily_row_number_files": (_row_numbers("attachment_id"), sql.daily_row_number_sql(", attachment_id")),
+        "documents_courses": (_documents_mart("courses"), sql.enrollments_sql()),
+        "documents_quiz_data": (_documents_mart("quiz_data"), sql.extract_quiz_data_sql()),
+        "documents_assignment_data": (_documents_mart("assignment_data"), sql.extract_assignment_data_sql()),
+        "documents_web_activity": (_documents_mart("web_activity_data"), sql.extract_web_activity_sql()),
+        "documents_file_access": (_documents_mart("file_access_data"), sql.extract_file_access_sql()),
+        "documents_rejects": (_documents_rejects, sql.documents_rejects_sql()),
         "extract_quiz_data": (_extract("quiz_data"), sql.extract_quiz_data_sql()),
         "extract_assignment_data": (_extract("assignment_data"), sql.extract_assignment_data_sql()),
         "extract_web_activity": (_extract("web_activity_data"), sql.extract_web_activity_sql()),

@@ -75,10 +75,7 @@ def write_extract(src: Sources, root: str, partitions: int | None = None,
     schemas: dict[str, T.StructType] = {}
 
     def write(name: str, df: DataFrame) -> None:
-        n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        order = ["course_id", "user_id", *ROW_ORDER.get(name, ())]
-        ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-        schemas[name] = commits.write_run(ordered, f"{root}/{name}", run, ("course_id",), fmt)
+        schemas[name] = write_mart(df, name, root, run, partitions, fmt)
 
     for name in ("courses", "quiz_data", "assignment_data"):
         write(name, frames[name])
@@ -93,6 +90,15 @@ def write_extract(src: Sources, root: str, partitions: int | None = None,
     return run
 
 
+def write_mart(df: DataFrame, name: str, root: str, run: int, partitions: int | None = None,
+               fmt: str = "parquet") -> T.StructType:
+    """One dataset of run ``run``, range partitioned and sorted; returns its schema."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["course_id", "user_id", *ROW_ORDER.get(name, ())]
+    ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return commits.write_run(ordered, f"{root}/{name}", run, ("course_id",), fmt)
+
+
 #: What orders (and splits) the rows of one student and course.
 ROW_ORDER = {
     "quiz_data": ("finished_at_anonymous", "quiz_id"),
@@ -218,15 +224,16 @@ def query(extract: Extract, query_type: str, user_id=None, course_id=None, start
 
 def extract_ages(spark: SparkSession, root: str, now: datetime,
                  requested_users: DataFrame | None = None, fmt: str = "parquet") -> DataFrame:
-    """SRC3: the ages of the students in the latest committed extract, from the
-    newest file that holds each."""
+    """SRC3: the ages of the students in the latest committed extract: from the time
+    that imported documents state, else from the newest file that holds each."""
     found = commits.committed(spark, root, "extract")
     if found is None:
         raise FileNotFoundError(f"no committed extract under {root}")
     run, schemas = found
-    files = spark.read.schema(schemas["courses"]).format(fmt).load(commits.run_path(f"{root}/courses", run)).select(
-        "user_id", F.col("_metadata.file_modification_time").alias("cached_at"))
-    return ages(files, now, requested_users)
+    files = spark.read.schema(schemas["courses"]).format(fmt).load(commits.run_path(f"{root}/courses", run))
+    if "cached_at" in files.columns:
+        return ages(files.select("user_id", "cached_at"), now, requested_users)
+    return ages(files.select("user_id", F.col("_metadata.file_modification_time").alias("cached_at")), now, requested_users)
 
 
 def ages(cached: DataFrame, now: datetime, requested_users: DataFrame | None = None) -> DataFrame:
