@@ -5,7 +5,8 @@ run of 16 consecutive nodes becomes its parent, level by level, down to one
 subroot; the subroots of all groups make the root in the same way. The levels are
 stored as one table of nodes, each linked to its parent. A recursive query then
 climbs from every leaf: one step joins the parent's row, appends the siblings it
-holds, and folds the (perhaps tampered) hash with them.
+holds (by naming the run and the place in it), and folds the (perhaps tampered)
+hash with them.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ FANOUT = 16
 #: Leaves that meet in one key of the climb's join, at least; with more than
 #: MOST_BLOCKS times as many, that share of all leaves.
 BLOCK, MOST_BLOCKS = 4096, 65_536
+#: Nodes that one file of a level holds, about (some 650 bytes each).
+NODES_A_FILE = 50_000
 #: The tree whose leaves are the subroots.
 TOP = -1
 
@@ -82,12 +85,12 @@ def _parent(tree: Column, level: Column, no: Column, width: Column, trees: int)
             pick(no % FANOUT, tree % FANOUT).cast("int").alias("pos")]
 
 
-def _levels(nodes: DataFrame, widest: int, label: str) -> list[DataFrame]:
-    """The levels above ``nodes`` (tree, no, width, hash, lo, hi) of all trees,
-    until each has one node; a tree that has one already gets none."""
+def _levels(nodes: DataFrame, n: int, trees: int, widest: int, label: str) -> list[DataFrame]:
+    """The levels above ``nodes`` (tree, no, width, hash, lo, hi; ``n`` of them) of all
+    trees, until each has one node; a tree that has one already gets none."""
     found, level = [], 0
     while widest > 1:
-        level, widest = level + 1, -(-widest // FANOUT)
+        level, widest, n = level + 1, -(-widest // FANOUT), -(-n // FANOUT) + trees
         runs = nodes.where("width > 1").groupBy("tree", F.floor(F.col("no") / FANOUT).alias("no")).agg(
             F.array_sort(F.collect_list(F.struct("no", "hash"))).alias("run"),  # 16 at most
             F.ceil(F.max("width") / FANOUT).alias("width"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
@@ -95,7 +98,7 @@ def _levels(nodes: DataFrame, widest: int, label: str) -> list[DataFrame]:
             F.transform("run", lambda x: hexed(x["hash"])), ""))).drop("run")
         nodes = common.written(joined.select(
             "tree", F.lit(level).alias("level"), "no", "width", "children",
-            digest(hexed("children")).alias("hash"), "lo", "hi"), f"{label}-{level}")
+            digest(hexed("children")).alias("hash"), "lo", "hi").coalesce(-(-n // NODES_A_FILE)), f"{label}-{level}")
         found.append(nodes)
     return found
 
@@ -135,14 +138,14 @@ def build(rows: DataFrame, group: Column, order: Column, leaf: Column,
         (width == 1).alias("lone")), "merkle-leaves")
 
     first = leaves.select("tree", "no", "width", F.col("leaf").alias("hash"), F.col("g").alias("lo"), F.col("g").alias("hi"))
-    levels = _levels(first, totals.widest or 0, "merkle-level")
+    levels = _levels(first, n, totals.trees, totals.widest or 0, "merkle-level")
     own = ["tree", "no", "width", "hash", "lo", "hi"]
     subroots = first.where("width = 1")
     for level in levels:
         subroots = subroots.union(level.where("width = 1").select(*own))
     top = subroots.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("no"),
                           F.lit(totals.trees).cast("long").alias("width"), "hash", "lo", "hi")
-    levels += _levels(top, totals.trees, "merkle-top")
+    levels += _levels(top, totals.trees, 1, totals.trees, "merkle-top")
     empty = "tree long, level int, no long, width long, children binary, hash binary, lo long, hi long"
     nodes = rows.sparkSession.createDataFrame([], empty)
     for level in levels:
@@ -154,31 +157,33 @@ def build(rows: DataFrame, group: Column, order: Column, leaf: Column,
 
 
 CLIMB = """
-WITH RECURSIVE climb(g, block, level, siblings, folded, subroot, root, p_tree, p_level, p_no, pos) AS (
-  SELECT g, block, 0, X'', start, IF(lone, leaf, NULL), IF(p_tree IS NULL, leaf, NULL),
-         p_tree, p_level, p_no, pos
+WITH RECURSIVE climb(g, block, level, folded, subroot, root, p_tree, p_level, p_no, pos) AS (
+  SELECT g, block, 0, start, IF(lone, leaf, NULL), IF(p_tree IS NULL, leaf, NULL), p_tree, p_level, p_no, pos
   FROM {leaves}
   UNION ALL
   SELECT c.g, c.block, c.level + 1,
-         substring(n.children, 1, 32 * c.pos) || substring(n.children, 32 * c.pos + 33),
          unhex(sha2(lower(hex(
            substring(n.children, 1, 32 * c.pos) || c.folded || substring(n.children, 32 * c.pos + 33))), 256)),
          IF(n.subroot, n.hash, NULL), IF(n.p_tree IS NULL, n.hash, NULL),
          n.p_tree, n.p_level, n.p_no, n.pos
   FROM climb c JOIN {nodes} n
     ON c.p_tree = n.tree AND c.p_level = n.level AND c.p_no = n.no AND c.block = n.block)
-SELECT g, level, siblings, folded, subroot, root FROM climb LIMIT ALL"""
+SELECT g, block, level, folded, subroot, root, p_tree, p_level, p_no, pos FROM climb LIMIT ALL"""
 
 
 def climb(made: Manifest, start: Column) -> DataFrame:
     """Every leaf's way up: g, proof (array of the siblings' bytes, a level each,
-    from the leaf), folded_root (what ``start``, the leaf or
-    its tampered form, folds to), subroot and
-    root (of the manifest), all hashes as bytes.
+    from the leaf), folded_root (what ``start``, the leaf or its tampered form,
+    folds to), subroot and root (of the manifest), all hashes as bytes.
 
-    The recursive query emits one row per leaf and level. A node's row is copied
-    once per block of leaves below it, and the join has the block as a key, so
-    the few nodes near the root, which every leaf passes, are no hot keys.
+    The recursive query emits one row per leaf and level: the folded hash, and as
+    the siblings to append the run that holds them and the place in it. Spark keeps
+    every row of the recursion, and siblings are fifteen hashes to the folded one,
+    so their bytes are put in the runs' place only as a leaf's rows meet.
+
+    A node's row is copied once per block of leaves below it, and the joins have the
+    block as a key, so the few nodes near the root, which every leaf passes, are
+    no hot keys.
     """
     block = max(BLOCK, -(-made.n_leaves // MOST_BLOCKS))
     leaves = made.leaves.select("g", F.floor(F.col("g") / block).alias("block"), "leaf", start.alias("start"),
@@ -187,12 +192,15 @@ def climb(made: Manifest, start: Column) -> DataFrame:
         F.floor(F.col("lo") / block), F.floor(F.col("hi") / block)))).select(
         "tree", "level", "no", "block", "children", "hash", "subroot", "p_tree", "p_level", "p_no", "pos")
     steps = made.leaves.sparkSession.sql(CLIMB, leaves=leaves, nodes=nodes)
-    ways = steps.groupBy("g").agg(  # a row per level each
-        F.array_sort(F.collect_list(F.struct("level", "siblings", "folded"))).alias("way"),
+    runs = nodes.select(F.col("tree").alias("p_tree"), F.col("level").alias("p_level"), F.col("no").alias("p_no"),
+                        "block", "children")
+    siblings = F.concat(F.substring("children", F.lit(1), 32 * F.col("pos")),
+                        F.substring("children", 32 * F.col("pos") + 33, F.lit(32 * FANOUT)))
+    ways = steps.join(runs, ["block", "p_tree", "p_level", "p_no"], "left").groupBy("g").agg(  # a row per level each
+        F.array_sort(F.collect_list(F.when(F.col("children").isNotNull(), F.struct("level", siblings.alias("s"))))).alias("way"),
+        F.max(F.when(F.col("p_tree").isNull(), F.col("folded"))).alias("folded_root"),
         F.max("subroot").alias("subroot"), F.max("root").alias("root"))
-    return ways.select(
-        "g", F.transform(F.filter("way", lambda x: x["level"] > 0), lambda x: x["siblings"]).alias("proof"),
-        F.element_at("way", -1)["folded"].alias("folded_root"), "subroot", "root")
+    return ways.select("g", F.transform("way", lambda x: x["s"]).alias("proof"), "folded_root", "subroot", "root")
 
 
 def manifest(docs: DataFrame, fields: tuple[str, ...] = ("doc_id", "source", "lang", "n_chars", "text"),
