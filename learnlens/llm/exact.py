@@ -10,6 +10,7 @@ two different chunks are left over splits the group.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -253,9 +254,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each text, all columns: the one with the largest
     doc_id. Rows equal in id and text are first collapsed to one of them."""
-    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    kept = classes(docs, id_col, text_col, {"_sha": sha}).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("_sha").alias("_kept_sha"))
-    once = docs.withColumn("_sha", sha).dropDuplicates([id_col, "_sha"])
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_kept_sha"))
+    sha, own, name = (f"_{n}_{uuid.uuid4().hex}" for n in ("sha", "kept_sha", "id"))  # clash with no column
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    kept = classes(docs, id_col, text_col, {own: digest}).where("kept").select(F.col("doc_id").alias(name), own)
+    once = docs.withColumn(sha, digest).dropDuplicates([id_col, sha])
+    same = F.col(id_col).eqNullSafe(F.col(name)) & (F.col(sha) == F.col(own))
     return once.join(kept, same, "left_semi").select(*docs.columns)

@@ -108,13 +108,14 @@ def build(rows: DataFrame, group: Column, order: Column, leaf: Column,
     """The manifest of ``rows``: groups ascend by ``group`` (null first, text
     bytewise), leaves within a group by ``order`` (null first), then by hash.
 
-    ``carry`` names more columns that the leaves keep. Repeated rows are leaves
+    ``leaf`` is the text that a row is hashed as (null counts as empty), ``carry``
+    names more columns that the leaves keep. Repeated rows are leaves
     of their own; an empty table has no nodes. The leaves' texts are read once
     and never moved; what moves is a narrow row per leaf.
     """
     carry = carry or {}
     narrow = common.written(rows.select(
-        group.alias("_group"), order.alias("_order"), digest(leaf).alias("leaf"),
+        group.alias("_group"), order.alias("_order"), digest(F.coalesce(leaf, F.lit(""))).alias("leaf"),
         *[c.alias(n) for n, c in carry.items()]), "merkle-rows")
     by = [F.col("_group").asc_nulls_first(), F.col("_order").asc_nulls_first(), F.col("leaf")]
     placed = with_ordinal(narrow, by, "merkle-ordered").withColumnRenamed("ordinal", "g")
