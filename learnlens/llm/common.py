@@ -11,7 +11,7 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -97,9 +97,8 @@ def keep_rows(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str,
         found = found.distinct()
     same = (F.col("__key") == F.col("__found")) & F.col(id_col).eqNullSafe(F.col("__id"))
     out = marked.join(found, same, "left_semi" if keep else "left_anti")
-    if once:
-        w = Window.partitionBy("__key", id_col).orderBy(F.lit(0))
-        out = out.withColumn("__n", F.row_number().over(w)).where("__n = 1")
+    if once:  # combined where the rows lie, so a row repeated very often is no hot spot
+        out = out.dropDuplicates(["__key", id_col])
     return out.select(*docs.columns)
 
 

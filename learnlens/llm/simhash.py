@@ -158,7 +158,8 @@ def forest(fp: np.ndarray, own: np.ndarray | None, radius: int) -> tuple[np.ndar
 
 def classes(prints: DataFrame, radius: int = 3) -> DataFrame:
     """``prints`` (written; fp, doc_id) with component_id, the smallest doc_id
-    reachable over links of at most ``radius`` differing bits.
+    reachable over links of at most ``radius`` differing bits, and root, a
+    fingerprint that names the component even where ids don't.
 
     Copies collapse to one fingerprint first. Null doc_ids take part and link
     like others, but name a component only if it has no other id (then null).
@@ -168,7 +169,7 @@ def classes(prints: DataFrame, radius: int = 3) -> DataFrame:
     named = by_fp.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root"))
     names = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_fp = named.join(names, "root").select("fp", "component_id")
+    of_fp = named.join(names, "root").select("fp", "root", "component_id")
     return prints.join(of_fp, "fp")
 
 
@@ -188,10 +189,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: st
 
 def one_of_each(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their component: the one with the
-    component's id, and exactly one where that id or the row is repeated."""
-    found = near_duplicates(docs, words, radius, id_col, text_col)
-    chosen = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-              .groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("fp")).alias("own"))
-              .agg(F.min("row_key").alias("row_key")))
+    """One row of ``docs`` for each component, all columns: a row with the smallest
+    id, and exactly one where that id or the row is repeated. Ids may be shared by
+    different components, and null; a null id stands for a component only if it
+    has no other. An empty table gives no rows."""
+    prints = common.written(fingerprints(docs, words, id_col, text_col), "simhash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("first")
+    chosen = classes(prints, radius).groupBy("root").agg(first).select("first.doc_id", "first.row_key")
     return common.keep_rows(docs, chosen, id_col, text_col, once=True)
