@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SEED_WORDS = 3
+#: Words that a segment begins; a text is scanned segment by segment.
+SEGMENT = 64
 #: Seeds (8 bytes each) up to which the set is broadcast.
 BROADCAST_SEEDS = 2_000_000
 
@@ -24,8 +26,9 @@ def seed_at(words: Column, i: Column, n: int) -> Column:
 
 
 def _seeds(k: int) -> Column:
-    """(at, seed) of every place of the array ``w`` that ``k`` words follow."""
-    last = F.greatest(F.size("w") - k, F.lit(0))
+    """(at, seed) of every place of the segment ``w`` that ``k`` words follow. The
+    words that a segment has beyond its own begin the next one."""
+    last = F.greatest(F.least(F.size("w") - k, F.lit(SEGMENT - 1)), F.lit(0))
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
         i.alias("at"), seed_at(F.col("w"), i, k).alias("seed")))
 
@@ -50,6 +53,10 @@ def scan(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col:
          broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """One row per document (at is null) with n_words, and one per occurrence
     of a benchmark window: (row, doc_id, row_key, n_words, at, length, words).
+
+    A text is cut into segments that overlap by a window less a word, so a
+    place carries the words of its segment, not of the whole text, and the work
+    grows with a text's length, not with its square.
     """
     seeds = windows.select("seed").distinct()
     texts = windows.select(F.col("words").alias("window"), F.col("length").alias("long")).distinct()
@@ -64,22 +71,29 @@ def scan(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col:
     none = F.array().cast("array<struct<at:int,seed:bigint>>")
     n = F.size("w")
     spots = [F.when(n >= k.seed_words, _seeds(k.seed_words)).otherwise(none) for k in kinds]
-    # The first element stands for the document itself. It joins by a key of its
-    # own, equal to no window, so that such rows don't meet in one task.
-    itself = F.array(F.struct(F.lit(None).cast("int").alias("at"), F.lit(None).cast("bigint").alias("seed")))
+    # The first element of the first segment stands for the document itself. It joins
+    # by a key of its own, equal to no window, so that such rows don't meet in one task.
+    itself = F.when(F.col("base") == 0, F.array(F.struct(
+        F.lit(None).cast("int").alias("at"), F.lit(None).cast("bigint").alias("seed")))).otherwise(none)
+    segments = F.transform(
+        F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / SEGMENT).cast("int")),
+        lambda s: F.struct((s * SEGMENT).alias("base"), F.slice(
+            F.col("w"), s * SEGMENT + 1, F.lit(SEGMENT - 1 + max([*lengths, SEED_WORDS]))).alias("w")))
     all_rows = (docs.select(F.col(id_col).alias("doc_id"), common.row_key(id_col, text_col).alias("row_key"),
                             common.alnum_words(F.col(text_col)).alias("w"))
                 .withColumn("row", F.monotonically_increasing_id())
-                .select("row", "doc_id", "row_key", "w",
+                .select("row", "doc_id", "row_key", n.cast("long").alias("n_words"), F.explode(segments).alias("part"))
+                .select("row", "doc_id", "row_key", "n_words", "part.base", "part.w")
+                .select("row", "doc_id", "row_key", "n_words", "base", "w",
                         F.explode(F.concat(itself, *spots)).alias("s")))
     found = (all_rows.join(seeds.withColumnRenamed("seed", "known"), F.coalesce("s.seed", "row") == F.col("known"), "left")
              .where("s.at is null or known is not null"))
     here = F.array(*[F.lit(x) for x in lengths]) if lengths else F.array().cast("array<int>")
     fits = F.when(F.col("s.at").isNull(), F.array(F.lit(0))).otherwise(
         F.filter(here, lambda x: F.col("s.at") + x <= F.size("w")))
-    found = found.select("row", "doc_id", "row_key", F.size("w").cast("long").alias("n_words"),
+    found = found.select("row", "doc_id", "row_key", "n_words", "base",
                          F.col("s.at").alias("at"), F.explode(fits).alias("length"), "w")
-    found = found.select("row", "doc_id", "row_key", "n_words", "at", "length",
+    found = found.select("row", "doc_id", "row_key", "n_words", (F.col("base") + F.col("at")).alias("at"), "length",
                          F.when(F.col("at").isNotNull(), F.array_join(
                              F.slice("w", F.coalesce("at", F.lit(0)) + 1, F.col("length")), " ")
                                 ).otherwise(F.concat(F.lit("\n"), "row")).alias("words"))
