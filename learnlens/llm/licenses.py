@@ -149,19 +149,21 @@ def spots(docs: DataFrame, keywords: list[str], id_col: str, text_col: str) -> D
     the words to either side: (row, doc_id, n_words, at, keyword, left, right)."""
     words = docs.select(F.col(id_col).alias("doc_id"), common.alnum_words(F.col(text_col)).alias("w")
                         ).withColumn("row", F.monotonically_increasing_id())
-    at = F.array_compact(F.transform("w", lambda x, i: F.when(x.isin(keywords), i)))
-    places = words.select("row", "doc_id", "w", F.explode(
-        F.concat(F.array(F.lit(None).cast("int")), at)).alias("at"))
-    i = F.coalesce("at", F.lit(0))
-    first = F.greatest(i - REACH, F.lit(0))
-    here = F.col("at").isNotNull()
-    return places.select(
-        "row", "doc_id", F.size("w").cast("long").alias("n_words"), "at",
-        F.when(here, F.get("w", i)).alias("keyword"),
-        F.when(here, F.concat(F.array_join(F.slice("w", first + 1, i - first), " "),
-                              F.when(i > 0, F.lit(" ")).otherwise(F.lit("")))).alias("left"),
-        F.when(here, F.concat(F.lit(" "), F.array_join(F.slice("w", i + 2, F.lit(REACH)), " "),
-                              F.lit(" "))).alias("right"))
+
+    def place(x: Column, i: Column) -> Column:
+        first = F.greatest(i - REACH, F.lit(0))
+        return F.struct(
+            i.alias("at"), x.alias("keyword"),
+            F.concat(F.array_join(F.slice("w", first + 1, i - first), " "),
+                     F.when(i > 0, F.lit(" ")).otherwise(F.lit(""))).alias("left"),
+            F.concat(F.lit(" "), F.array_join(F.slice("w", i + 2, F.lit(REACH)), " "), F.lit(" ")).alias("right"))
+
+    # A place takes the words around it along, not the whole text.
+    found = F.array_compact(F.transform("w", lambda x, i: F.when(x.isin(keywords), place(x, i))))
+    itself = F.array(F.lit(None).cast("struct<at:int,keyword:string,left:string,right:string>"))
+    return words.select("row", "doc_id", F.size("w").cast("long").alias("n_words"),
+                        F.explode(F.concat(itself, found)).alias("p")).select(
+        "row", "doc_id", "n_words", "p.at", "p.keyword", "p.left", "p.right")
 
 
 def detections(found: DataFrame, ruleset: DataFrame) -> DataFrame:
