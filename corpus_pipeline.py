@@ -36,9 +36,10 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All texts cut into sequences of 2048 ids (one row per piece)."""
+    """All texts cut into sequences of 2048 ids: one row per piece, with its ids, its
+    sequence and its place there."""
     common.ship(spark)
-    return packing.pieces(docs).drop("ids")
+    return packing.pieces(docs)
 
 
 STAGES = [
