@@ -129,10 +129,10 @@ def test_crowded_buckets_are_compared_block_by_block(spark):
 
 def test_one_row_of_each_component_where_ids_are_shared_or_null(spark):
     one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
-    rows = [(5, one), (5, two), (6, one), (7, two), (None, three), (None, three), (None, three + " more"), (8, None), (9, "")]
+    rows = [(5, one), (5, two), (6, one), (7, two), (None, three), (None, three), (8, None), (9, "")]
     kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted(
-        [("5", one), ("5", two), ("8", ""), ("None", next(r.text for r in kept if r.doc_id is None))])
+        [("5", one), ("5", two), ("8", ""), ("None", three)])
     # A third of all rows repeated without an id: one of them stays.
     many = spark.range(3000).selectExpr("CASE WHEN id % 3 > 0 THEN id END AS doc_id",
                                         "CASE WHEN id % 3 = 0 THEN 'same words here' ELSE concat('w', id, ' x', id * 7, ' y', id * 13) END AS text")
