@@ -46,7 +46,7 @@ def has_bit(mask: Column | str, position: Column | str) -> Column:
     return m.bitwiseAND(bit(position)) != 0
 
 
-def measure_sum(value: Column | str) -> Column:
-    """Sum of a DOUBLE measure (e.g. minutes); NaN counts as missing."""
+def measure(value: Column | str) -> Column:
+    """A DOUBLE measure (e.g. minutes) to add up; NaN counts as missing."""
     v = F.col(value) if isinstance(value, str) else value
-    return F.sum(F.nanvl(v, F.lit(None).cast("double")))
+    return F.nanvl(v, F.lit(None).cast("double"))

@@ -14,7 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scores import measure_sum, percent_score
+from ..functions import exactsum
+from ..functions.scores import measure, percent_score
 from ..functions.time import day_of, week_of
 from ..sources.tables import Sources
 from .calendar import aggregate_onto_grid, enrolled_days, enrolled_weeks
@@ -48,8 +49,7 @@ def scored_assignments(src: Sources) -> DataFrame:
 
 def quiz_facts(src: Sources) -> DataFrame:
     return src.quiz_submissions_in_term().select(
-        "user_id", "course_id", day_of("finished_at_anonymous").alias("day"),
-        F.col("DurationInMinutes").alias("minutes"))
+        "user_id", "course_id", day_of("finished_at_anonymous").alias("day"))
 
 
 def assignment_facts(src: Sources) -> DataFrame:
@@ -57,14 +57,28 @@ def assignment_facts(src: Sources) -> DataFrame:
         "user_id", "course_id", day_of("submitted_at_anonymous").alias("day"))
 
 
-def quiz_score_facts(src: Sources) -> DataFrame:
-    return scored_quizzes(src).select(
-        "user_id", "course_id", day_of("finished_at_anonymous").alias("day"), "pct")
+def quiz_parts(src: Sources) -> DataFrame:
+    """Per (user, course, day) the exact partial sums of quiz percents and minutes
+    and the number of submissions (a few rows a day at most)."""
+    rows = scored_quizzes(src).withColumn("day", day_of("finished_at_anonymous"))
+    return exactsum.partial_sums(rows, KEYS, {"quiz_pct": F.col("pct"), "minutes": measure("DurationInMinutes")},
+                                 {"_quiz": F.lit(1).cast("bigint")})
 
 
-def assignment_score_facts(src: Sources) -> DataFrame:
-    return scored_assignments(src).select(
-        "user_id", "course_id", day_of("submitted_at_anonymous").alias("day"), "pct")
+def assignment_parts(src: Sources) -> DataFrame:
+    """Per (user, course, day) the exact partial sums of assignment percents and the
+    number of submissions."""
+    rows = scored_assignments(src).withColumn("day", day_of("submitted_at_anonymous"))
+    return exactsum.partial_sums(rows, KEYS, {"assignment_pct": F.col("pct")}, {"_asg": F.lit(1).cast("bigint")})
+
+
+def mean_or_zero(parts: str) -> Column:
+    """Mean over partial sums that meet in one group; 0 without any."""
+    return F.coalesce(exactsum.mean(F.collect_list(parts)), F.lit(0.0))
+
+
+def total_or_zero(parts: str) -> Column:
+    return F.coalesce(exactsum.total(F.collect_list(parts)), F.lit(0.0))
 
 
 # ------------------------------------------------------- metric definitions
@@ -98,14 +112,11 @@ DAILY_METRICS: dict[str, DailyMetric] = {
     "quiz_submissions": DailyMetric("quiz_submissions", quiz_facts, _count, "bigint"),
     "assignment_submissions": DailyMetric("assignment_submissions", assignment_facts, _count, "bigint"),
     "quiz_score": DailyMetric(
-        "quiz_score", quiz_score_facts,
-        lambda s: F.coalesce(F.avg(F.col("pct")), F.lit(0.0)), "double"),
+        "quiz_score", quiz_parts, lambda s: mean_or_zero("quiz_pct"), "double"),
     "assignment_score": DailyMetric(
-        "assignment_score", assignment_score_facts,
-        lambda s: F.coalesce(F.avg(F.col("pct")), F.lit(0.0)), "double"),
+        "assignment_score", assignment_parts, lambda s: mean_or_zero("assignment_pct"), "double"),
     "quiz_minutes": DailyMetric(
-        "quiz_minutes", quiz_facts,
-        lambda s: F.coalesce(measure_sum("minutes"), F.lit(0.0)), "double"),
+        "quiz_minutes", quiz_parts, lambda s: total_or_zero("minutes"), "double"),
 }
 
 
@@ -123,33 +134,26 @@ def daily_metric(src: Sources, name: str) -> DataFrame:
 def daily_metrics_wide(src: Sources, daily_web: DataFrame | None = None) -> DataFrame:
     """All nine daily metrics in one row per (user, course, day).
 
-    Clicks are brought to days first, the only distinct aggregate; then they,
-    the submissions and the grid are unioned and aggregated once. ``daily_web``
+    Clicks are brought to days first, the only distinct aggregate, and submissions to
+    exact partial sums; then they and the grid are unioned and aggregated once. ``daily_web``
     (a written :func:`daily_web_activity` mart) replaces the click log as input.
     """
     daily_web = daily_web_activity(src) if daily_web is None else daily_web
     web = daily_web.select("user_id", "course_id", "day", F.col("interactions").alias("_n"),
                            F.col("file_accesses").alias("_fa"), F.col("unique_files").alias("_uf"))
-    quiz = scored_quizzes(src).select(
-        "user_id", "course_id", day_of("finished_at_anonymous").alias("day"),
-        F.col("pct").alias("quiz_pct"), F.col("DurationInMinutes").alias("minutes"),
-        F.lit(1).alias("_quiz"))
-    asg = scored_assignments(src).select(
-        "user_id", "course_id", day_of("submitted_at_anonymous").alias("day"),
-        F.col("pct").alias("assignment_pct"), F.lit(1).alias("_asg"))
-    facts = web.unionByName(quiz, allowMissingColumns=True) \
-               .unionByName(asg, allowMissingColumns=True)
+    facts = web.unionByName(quiz_parts(src), allowMissingColumns=True) \
+               .unionByName(assignment_parts(src), allowMissingColumns=True)
     per = src.term.minutes_per_interaction
     filled = aggregate_onto_grid(enrolled_days(src.enrollments, src.term), facts, KEYS, {
         "daily_interactions": F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint"),
         "active_study_time": (F.coalesce(F.sum("_n"), F.lit(0)) * F.lit(per)).cast("bigint"),
         "file_accesses": F.coalesce(F.sum("_fa"), F.lit(0)).cast("bigint"),
         "unique_files": F.coalesce(F.sum("_uf"), F.lit(0)).cast("bigint"),
-        "quiz_submissions": F.count("_quiz"),
-        "quiz_score": F.coalesce(F.avg("quiz_pct"), F.lit(0.0)),
-        "quiz_minutes": F.coalesce(measure_sum("minutes"), F.lit(0.0)),
-        "assignment_submissions": F.count("_asg"),
-        "assignment_score": F.coalesce(F.avg("assignment_pct"), F.lit(0.0)),
+        "quiz_submissions": F.coalesce(F.sum("_quiz"), F.lit(0)).cast("bigint"),
+        "quiz_score": mean_or_zero("quiz_pct"),
+        "quiz_minutes": total_or_zero("minutes"),
+        "assignment_submissions": F.coalesce(F.sum("_asg"), F.lit(0)).cast("bigint"),
+        "assignment_score": mean_or_zero("assignment_pct"),
     })
     return filled.withColumn("week", week_of("day", src.term)) \
                  .select("user_id", "course_id", "week", "day", *DAILY_METRICS)
@@ -181,12 +185,10 @@ def no_activity_weeks(src: Sources) -> DataFrame:
     yes = F.lit(True)
     web = web_facts(src).select("user_id", "course_id", week_of("day", src.term).alias("week"), yes.alias("click"),
                                 F.col("attachment_id").isNotNull().alias("file"))
-    quiz = scored_quizzes(src).groupBy("user_id", "course_id", day_of("finished_at_anonymous").alias("day")).agg(
-        F.avg("pct").alias("mean"), F.coalesce(measure_sum("DurationInMinutes"), F.lit(0.0)).alias("minutes")).select(
+    quiz = quiz_parts(src).groupBy(*KEYS).agg(mean_or_zero("quiz_pct").alias("mean"), total_or_zero("minutes").alias("minutes")).select(
         "user_id", "course_id", week_of("day", src.term).alias("week"), yes.alias("quiz"),
         (F.col("mean") != 0).alias("quiz_scored"), (F.col("minutes") != 0).alias("timed"))
-    done = scored_assignments(src).groupBy("user_id", "course_id", day_of("submitted_at_anonymous").alias("day")).agg(
-        F.avg("pct").alias("mean")).select(
+    done = assignment_parts(src).groupBy(*KEYS).agg(mean_or_zero("assignment_pct").alias("mean")).select(
         "user_id", "course_id", week_of("day", src.term).alias("week"), yes.alias("assignment"),
         (F.col("mean") != 0).alias("assignment_scored"))
     facts = web.unionByName(quiz, allowMissingColumns=True).unionByName(done, allowMissingColumns=True)

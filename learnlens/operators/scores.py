@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import exactsum
 from ..functions.scores import round_half_even, score_band
 from ..functions.text import day_label
 from ..functions.time import day_of, week_of
 from ..sources.tables import Sources
 from .calendar import aggregate_onto_grid, enrolled_weeks
-from .daily import scored_assignments, scored_quizzes
+from .daily import KEYS, scored_assignments, scored_quizzes
 
 # --- Fixed values ----------------------------------------------------------
 NO_SUBMISSIONS = "No submissions this week."
@@ -35,16 +36,15 @@ def daily_scores(src: Sources, kind: str = "quiz", null_day: str = "zero_null")
     ``null_day="zero_day"`` (the live query's meaning): any such row makes
     the whole day 0.
     """
-    scored = _scored(src, kind)
-    day = day_of(_TIME_COL[kind]).alias("day")
-    if null_day == "zero_null":
-        value = F.avg("pct")
-    elif null_day == "zero_day":
-        value = F.when(F.count("raw_pct") < F.count(F.lit(1)), F.lit(0.0)).otherwise(F.avg("raw_pct"))
-    else:
+    if null_day not in ("zero_null", "zero_day"):
         raise ValueError(f"unknown null_day {null_day!r}")
-    daily = scored.groupBy("user_id", "course_id", day).agg(
-        value.alias("value"), F.count(F.lit(1)).alias("n_submissions"))
+    scored = _scored(src, kind).withColumn("day", day_of(_TIME_COL[kind]))
+    pct = F.col("pct" if null_day == "zero_null" else "raw_pct")
+    parts = exactsum.partial_sums(scored, KEYS, {"pct": pct}, {"n_submissions": F.lit(1).cast("bigint")})
+    met = F.collect_list("pct")
+    # A missing percent has no part, so fewer values than submissions show it.
+    value = F.when(exactsum.count(met) < F.sum("n_submissions"), F.lit(0.0)).otherwise(exactsum.mean(met))
+    daily = parts.groupBy(*KEYS).agg(value.alias("value"), F.sum("n_submissions").alias("n_submissions"))
     score = round_half_even("value", 1)
     return daily.select(
         "user_id", "course_id", week_of("day", src.term).alias("week"), "day",
@@ -61,7 +61,8 @@ def weekly_scores(src: Sources, kind: str = "quiz", null_day: str = "zero_null")
         .select("user_id", "course_id", "week", "value")
     grid = enrolled_weeks(src.enrollments, src.term)
     weekly = aggregate_onto_grid(grid, daily, ("user_id", "course_id", "week"), {
-        "avg_score": round_half_even(F.avg("value"), 1),
+        # Seven days at most: their exact mean, so a tie at the rounding is one always.
+        "avg_score": round_half_even(F.try_divide(exactsum.total_of(F.collect_list("value")), F.count("value")), 1),
         "min_score": round_half_even(F.min("value"), 1),
         "max_score": round_half_even(F.max("value"), 1),
         "scored_days": F.count("value"),

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import exactsum
 from ..functions.rules import engagement
-from ..functions.scores import bit, measure_sum, round_half_even
+from ..functions.scores import bit, measure, round_half_even
 from ..functions.time import day_of, week_of
 from ..sources.tables import Sources
 from .calendar import aggregate_onto_grid, enrolled_weeks
+from .daily import total_or_zero
 
 WEEK_KEYS = ("user_id", "course_id", "week")
 
@@ -26,6 +28,14 @@ def _weeks(ts: str, src: Sources, inclusive_end: bool) -> Column:
     return F.when(on_week_edge & (week > 1), F.array(week, week - 1)).otherwise(F.array(week))
 
 
+def _quiz_parts(src: Sources, inclusive_end: bool) -> DataFrame:
+    """Exact partial sums of quiz minutes per (user, course, week)."""
+    quiz = src.quiz_submissions_in_term().select(
+        "user_id", "course_id",
+        F.explode(_weeks("finished_at_anonymous", src, inclusive_end)).alias("week"), "DurationInMinutes")
+    return exactsum.partial_sums(quiz, WEEK_KEYS, {"minutes": measure("DurationInMinutes")})
+
+
 def weekly_summary(src: Sources, mean: str = "active", inclusive_end: bool = False,
                    daily_web: DataFrame | None = None) -> DataFrame:
     """Per enrolled (user, course, week): interactions, session minutes (2 per
@@ -51,15 +61,11 @@ def weekly_summary(src: Sources, mean: str = "active", inclusive_end: bool = Fal
         logs = daily_web.select("user_id", "course_id", week_of("day", src.term).alias("week"),
                                 "day", F.col("interactions").alias("_n"))
     web = logs.select("user_id", "course_id", "week", bit(day_index).alias("day_bit"), "_n")
-    quiz = src.quiz_submissions_in_term().select(
-        "user_id", "course_id",
-        F.explode(_weeks("finished_at_anonymous", src, inclusive_end)).alias("week"),
-        F.col("DurationInMinutes").alias("minutes"))
-    facts = web.unionByName(quiz, allowMissingColumns=True)
+    facts = web.unionByName(_quiz_parts(src, inclusive_end), allowMissingColumns=True)
     weekly = aggregate_onto_grid(enrolled_weeks(src.enrollments, src.term), facts, WEEK_KEYS, {
         "total_interactions": F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint"),
         "active_days": F.coalesce(F.bit_count(F.bit_or("day_bit")), F.lit(0)),
-        "quiz_minutes": F.coalesce(measure_sum("minutes"), F.lit(0.0)),
+        "quiz_minutes": total_or_zero("minutes"),
     })
     total = F.col("total_interactions")
     days = F.col("active_days")
@@ -84,9 +90,4 @@ def weekly_summary(src: Sources, mean: str = "active", inclusive_end: bool = Fal
 
 def weekly_quiz_minutes(src: Sources, inclusive_end: bool = False) -> DataFrame:
     """AGG10: total quiz minutes per (user, course, week) with quiz rows."""
-    quiz = src.quiz_submissions_in_term().select(
-        "user_id", "course_id",
-        F.explode(_weeks("finished_at_anonymous", src, inclusive_end)).alias("week"),
-        "DurationInMinutes")
-    return quiz.groupBy(*WEEK_KEYS).agg(
-        F.coalesce(measure_sum("DurationInMinutes"), F.lit(0.0)).alias("quiz_minutes"))
+    return _quiz_parts(src, inclusive_end).groupBy(*WEEK_KEYS).agg(total_or_zero("minutes").alias("quiz_minutes"))

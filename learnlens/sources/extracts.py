@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import ASSIGNMENT_ACCEPTED_STATES, QUIZ_ACCEPTED_STATES, Term
-from ..functions.scores import measure_sum, percent_score
+from ..functions import exactsum
+from ..functions.scores import measure, percent_score
 from ..functions.text import storage_key
 from ..functions.time import day_of, week_of
 from . import commits
@@ -153,15 +154,16 @@ class Extract:
         ``file_access`` and ``quiz_duration`` as filled daily series named as
         in :data:`learnlens.operators.daily.DAILY_METRICS`."""
         from ..operators.calendar import aggregate_onto_grid, enrolled_days
+        from ..operators.daily import mean_or_zero, total_or_zero
         keys = ("user_id", "course_id", "day")
         per = self.term.minutes_per_interaction
-        quiz = self.quiz_data.select("user_id", "course_id",
-                                     day_of("finished_at_anonymous").alias("day"),
-                                     percent_score().alias("pct"),
-                                     F.col("DurationInMinutes").alias("minutes"))
-        asg = self.assignment_data.select("user_id", "course_id",
-                                          day_of("submitted_at_anonymous").alias("day"),
-                                          percent_score().alias("pct"))
+        one = {"_n": F.lit(1).cast("bigint")}
+        quiz = exactsum.partial_sums(
+            self.quiz_data.withColumn("day", day_of("finished_at_anonymous")), keys,
+            {"pct": percent_score(), "minutes": measure("DurationInMinutes")}, one)
+        asg = exactsum.partial_sums(
+            self.assignment_data.withColumn("day", day_of("submitted_at_anonymous")), keys, {"pct": percent_score()}, one)
+        submissions = F.coalesce(F.sum("_n"), F.lit(0))
         web = self.web_activity_data.select(*keys, "interactions")
         files = self.file_access_data.select(*keys, "file_accesses", "unique_files")
         spec = {
@@ -169,11 +171,11 @@ class Extract:
             "active_study_time": (web, F.coalesce(F.sum("interactions"), F.lit(0)) * per, "bigint"),
             "file_accesses": (files, F.coalesce(F.sum("file_accesses"), F.lit(0)), "bigint"),
             "unique_files": (files, F.coalesce(F.sum("unique_files"), F.lit(0)), "bigint"),
-            "quiz_submissions": (quiz, F.count("pct"), "bigint"),
-            "assignment_submissions": (asg, F.count("pct"), "bigint"),
-            "quiz_score": (quiz, F.coalesce(F.avg("pct"), F.lit(0.0)), "double"),
-            "assignment_score": (asg, F.coalesce(F.avg("pct"), F.lit(0.0)), "double"),
-            "quiz_minutes": (quiz, F.coalesce(measure_sum("minutes"), F.lit(0.0)), "double"),
+            "quiz_submissions": (quiz, submissions, "bigint"),
+            "assignment_submissions": (asg, submissions, "bigint"),
+            "quiz_score": (quiz, mean_or_zero("pct"), "double"),
+            "assignment_score": (asg, mean_or_zero("pct"), "double"),
+            "quiz_minutes": (quiz, total_or_zero("minutes"), "double"),
         }
         facts, value, dtype = spec[name]
         filled = aggregate_onto_grid(enrolled_days(self.courses, self.term), facts, keys,
