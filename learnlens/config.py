@@ -100,3 +100,5 @@ REFERENCE_TERM = Term()
 DRIVER_TERM = Term(start=date(2024, 1, 1), end=date(2024, 2, 1))
 # The same term where only three of its five weeks can be picked.
 SHORT_PICK_TERM = Term(start=date(2024, 1, 1), end=date(2024, 2, 1), max_week=3)
+# A term of 200 weeks, all of which can be picked.
+LONG_TERM = Term(start=date(2024, 1, 1), end=date(2024, 1, 1) + timedelta(weeks=200), max_week=200)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Term
-from ..functions.time import term_days, week_of
+from ..functions.time import term_days
 
 _GRID = "_in_grid"
 
@@ -52,7 +52,3 @@ def aggregate_onto_grid(grid: DataFrame, facts: DataFrame, keys: Sequence[str],
     both = g.unionByName(f, allowMissingColumns=True)
     aggs = [F.bool_or(_GRID).alias(_GRID)] + [c.alias(n) for n, c in aggregations.items()]
     return both.groupBy(*keys).agg(*aggs).filter(F.col(_GRID)).drop(_GRID)
-
-
-def with_week(df: DataFrame, term: Term, day_col: str = "day") -> DataFrame:
-    return df.withColumn("week", week_of(day_col, term))

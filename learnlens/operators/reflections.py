@@ -3,7 +3,7 @@ counts (AGG19)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -49,37 +49,50 @@ def reflection_feedback(src: Sources) -> DataFrame:
     return out.withColumn("feedback", rules.feedback_text("category", "versus_last", "outlook"))
 
 
+#: Weeks that one mask word holds.
+WORD = 62
+
+
 def reflection_streaks(src: Sources) -> DataFrame:
     """WIN2: for every enrolled (user, course) and current week W of the grid,
     the run of consecutive reflected weeks ending at W (0 if W has none),
     whether the streak badge shows (>= 2) and its text.
 
-    The weeks to pick, 1..display_weeks, fit one BIGINT bit mask per (user,
-    course): a fixed-width ``bit_or`` aggregate, combined map-side. The streak
-    is then bit arithmetic on that mask (no higher-order function, so it stays
-    in whole-stage codegen). Reflections filed under other weeks belong to no
-    streak.
+    The weeks to pick, 1..display_weeks, are an array of BIGINT bit masks per
+    (user, course), 62 weeks a word: one fixed-width ``bit_or`` aggregate a word,
+    combined map-side, for a term of any length. The streak is W minus the latest
+    week up to W without a reflection, found by bit arithmetic in W's word and, if
+    that has none, as the latest gap of the words before. Reflections filed under
+    other weeks belong to no streak.
     """
-    term = src.term
-    if term.display_weeks > 62:
-        raise ValueError("streaks need a term of at most 62 weeks to pick")
-    cur = reflections(src).select("user_id", "course_id", "week").where(
-        F.col("week").between(1, term.display_weeks))
-    grid = src.enrollments.select("user_id", "course_id")
-    masks = aggregate_onto_grid(grid, cur.select("user_id", "course_id", bit("week").alias("b")),
-                                ("user_id", "course_id"),
-                                {"weeks": F.coalesce(F.bit_or("b"), F.lit(0).cast("bigint"))})
+    last = src.term.display_weeks
+    words = -(-last // WORD)
+    cur = reflections(src).select("user_id", "course_id", "week").where(F.col("week").between(1, last))
+    word, place = F.floor((F.col("week") - 1) / WORD), F.pmod(F.col("week") - 1, F.lit(WORD))
+    masks = aggregate_onto_grid(
+        src.enrollments.select("user_id", "course_id"),
+        cur.select("user_id", "course_id", word.alias("word"), bit(place).alias("b")), ("user_id", "course_id"),
+        {f"_w{i}": F.coalesce(F.bit_or(F.when(F.col("word") == i, F.col("b"))), F.lit(0).cast("bigint"))
+         for i in range(words)})
+
+    def last_gap(mask: Column, upto: Column) -> Column:
+        """1 + the highest place up to ``upto`` that the mask lacks, null if none."""
+        missing = F.bitwise_not(mask).bitwiseAND(bit(upto + 1) - F.lit(1))
+        return F.when(missing != 0, F.length(F.bin(missing)))
+
+    # The latest week without a reflection before each word.
+    masks = masks.withColumn("_gap0", F.lit(0))
+    for i in range(1, words):
+        masks = masks.withColumn(f"_gap{i}", F.coalesce(
+            last_gap(F.col(f"_w{i - 1}"), F.lit(WORD - 1)) + WORD * (i - 1), F.col(f"_gap{i - 1}")))
     per_week = masks.select(
-        "user_id", "course_id", "weeks",
-        F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(term.display_weeks).cast("bigint")))
-         .alias("current_week"))
-    # Latest week <= W without a reflection (0 if none); the streak is W
-    # minus that week. Weeks 1..W without a reflection are the set bits of
-    # ~mask & ((1 << (W + 1)) - 2); the highest one is len(bin(c)) - 1.
+        "user_id", "course_id", F.array(*[f"_w{i}" for i in range(words)]).alias("_words"),
+        F.array(*[f"_gap{i}" for i in range(words)]).alias("_gaps"),
+        F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(last).cast("bigint"))).alias("current_week"))
     w = F.col("current_week")
-    missing = F.bitwise_not(F.col("weeks")).bitwiseAND(bit(w + 1) - F.lit(2))
-    gap = F.when(missing == 0, F.lit(0)).otherwise(F.length(F.bin(missing)) - 1)
-    streak = (w - gap).cast("bigint")
+    at = F.floor((w - 1) / WORD).cast("int")
+    own = last_gap(F.get("_words", at), F.pmod(w - 1, F.lit(WORD)))
+    streak = (w - F.coalesce(own + at * WORD, F.get("_gaps", at))).cast("bigint")
     return per_week.select(
         "user_id", "course_id", "current_week", streak.alias("streak"),
         (streak >= rules.STREAK_MIN_SHOWN).alias("shown"),

@@ -206,10 +206,10 @@ DAILY_SQL = {
                          "BIGINT"),
     "assignment_submissions": ("SELECT user_id, course_id, day, COUNT(*) AS v FROM asg_t GROUP BY 1, 2, 3",
                                "BIGINT"),
-    "quiz_score": ("SELECT user_id, course_id, day, AVG(pct) AS v FROM quiz_t GROUP BY 1, 2, 3", "DOUBLE"),
-    "assignment_score": ("SELECT user_id, course_id, day, AVG(pct) AS v FROM asg_t GROUP BY 1, 2, 3",
+    "quiz_score": ("SELECT user_id, course_id, day, fsum(pct) / COUNT(pct) AS v FROM quiz_t GROUP BY 1, 2, 3", "DOUBLE"),
+    "assignment_score": ("SELECT user_id, course_id, day, fsum(pct) / COUNT(pct) AS v FROM asg_t GROUP BY 1, 2, 3",
                          "DOUBLE"),
-    "quiz_minutes": ("SELECT user_id, course_id, day, SUM(DurationInMinutes) AS v FROM quiz_t "
+    "quiz_minutes": ("SELECT user_id, course_id, day, fsum(DurationInMinutes) AS v FROM quiz_t "
                      "GROUP BY 1, 2, 3", "DOUBLE"),
 }
 
@@ -252,7 +252,7 @@ web_days AS (
 web_w AS (
   SELECT user_id, course_id, week, SUM(n) AS total, COUNT(*) AS days FROM web_days GROUP BY ALL),
 quiz_w AS (
-  SELECT user_id, course_id, week, SUM(m) AS minutes FROM quiz_x GROUP BY ALL)
+  SELECT user_id, course_id, week, fsum(m) AS minutes FROM quiz_x GROUP BY ALL)
 SELECT g.user_id, g.course_id, g.week,
        CAST(COALESCE(w.total, 0) AS BIGINT) AS total_interactions,
        CAST(COALESCE(w.total, 0) * 2 AS BIGINT) AS session_minutes,
@@ -304,8 +304,8 @@ def known_courses_sql() -> str:
 # ------------------------------------------------------------------ scores
 def _daily_scores_cte(table: str, null_day: str = "zero_null") -> str:
     raw = "score_anonymous / NULLIF(points_possible, 0) * 100"
-    value = ("AVG(pct)" if null_day == "zero_null" else
-             f"CASE WHEN COUNT(*) FILTER (WHERE {raw} IS NULL) > 0 THEN 0.0 ELSE AVG({raw}) END")
+    value = ("fsum(pct) / COUNT(pct)" if null_day == "zero_null" else
+             f"CASE WHEN COUNT(*) FILTER (WHERE {raw} IS NULL) > 0 THEN 0.0 ELSE fsum({raw}) / COUNT({raw}) END")
     return f"""
 , ds AS (
   SELECT user_id, course_id, week, day, {value} AS value, COUNT(*) AS n_submissions
@@ -324,7 +324,7 @@ def weekly_scores_sql(kind: str) -> str:
     table = "quiz_t" if kind == "quiz" else "asg_t"
     return _with(_daily_scores_cte(table) + f"""
 , nz AS (
-  SELECT user_id, course_id, week, {_bround('AVG(value)', 1)} AS avg_score,
+  SELECT user_id, course_id, week, {_bround('fsum(value) / COUNT(value)', 1)} AS avg_score,
          {_bround('MIN(value)', 1)} AS min_score, {_bround('MAX(value)', 1)} AS max_score
   FROM ds WHERE value > 0 GROUP BY user_id, course_id, week)
 SELECT g.user_id, g.course_id, g.week, nz.avg_score, nz.min_score, nz.max_score,
@@ -505,6 +505,25 @@ FROM grid_weeks g LEFT JOIN runs r
 WHERE g.week <= {term.display_weeks}""", term)
 
 
+def long_streaks_sql(minutes: int, term: Term) -> str:
+    """Gaps and islands over ``term``'s weeks of so many minutes, for 20 students."""
+    text = _esc(STREAK_TEXT)
+    return _with(f"""
+, seen AS (
+  SELECT DISTINCT user_id % 20 AS user_id, course_id,
+         date_diff('minute', TIMESTAMP '{term.start}', date_trunc('minute', "timestamp")) // {minutes} + 1 AS week FROM web_logs),
+isl AS (
+  SELECT *, week - row_number() OVER (PARTITION BY user_id, course_id ORDER BY week) AS island
+  FROM seen WHERE week BETWEEN 1 AND {term.display_weeks}),
+runs AS (
+  SELECT user_id, course_id, week, week - MIN(week) OVER (PARTITION BY user_id, course_id, island) + 1 AS run FROM isl),
+grid AS (SELECT DISTINCT user_id % 20 AS user_id, course_id, unnest(range(1, {term.display_weeks + 1})) AS week FROM enrollments)
+SELECT g.user_id, g.course_id, g.week AS current_week, CAST(COALESCE(r.run, 0) AS BIGINT) AS streak,
+       COALESCE(r.run, 0) >= 2 AS shown,
+       CASE WHEN COALESCE(r.run, 0) >= 2 THEN printf('{text}', r.run, r.run) END AS message
+FROM grid g LEFT JOIN runs r ON g.user_id = r.user_id AND g.course_id = r.course_id AND g.week = r.week""")
+
+
 def badges_sql() -> str:
     rows = ", ".join(
         f"({i}, '{b}', '{k}', {t}, '{_esc(img)}', '{_esc(on)}', '{_esc(off)}')"
@@ -539,9 +558,9 @@ def _wide_cte() -> str:
     return """
 , w AS (SELECT user_id, course_id, day, COUNT(*) AS n, COUNT(attachment_id) AS fa,
                COUNT(DISTINCT attachment_id) AS uf FROM web_t GROUP BY user_id, course_id, day),
-q AS (SELECT user_id, course_id, day, COUNT(*) AS n, AVG(pct) AS s, SUM(DurationInMinutes) AS m
+q AS (SELECT user_id, course_id, day, COUNT(*) AS n, fsum(pct) / COUNT(pct) AS s, fsum(DurationInMinutes) AS m
       FROM quiz_t GROUP BY user_id, course_id, day),
-a AS (SELECT user_id, course_id, day, COUNT(*) AS n, AVG(pct) AS s
+a AS (SELECT user_id, course_id, day, COUNT(*) AS n, fsum(pct) / COUNT(pct) AS s
       FROM asg_t GROUP BY user_id, course_id, day),
 wide AS (
   SELECT g.user_id, g.course_id, g.week, g.day,
@@ -568,7 +587,7 @@ def no_activity_weeks_sql(names) -> str:
 
 def weekly_quiz_minutes_sql() -> str:
     return _with("""
-SELECT user_id, course_id, week, CAST(COALESCE(SUM(DurationInMinutes), 0) AS DOUBLE) AS quiz_minutes
+SELECT user_id, course_id, week, CAST(COALESCE(fsum(DurationInMinutes), 0) AS DOUBLE) AS quiz_minutes
 FROM quiz_t GROUP BY user_id, course_id, week""")
 
 
@@ -598,6 +617,14 @@ SELECT user_id, course_id, day, COUNT(*) AS file_accesses, COUNT(DISTINCT attach
 FROM web_t WHERE attachment_id IS NOT NULL GROUP BY user_id, course_id, day, week""")
 
 
+def distinct_files_sql(by: str, days: tuple | None = None) -> str:
+    span = f" AND day BETWEEN DATE '{days[0]}' AND DATE '{days[1]}'" if days else ""
+    names = ", ".join(c.split(" AS ")[-1].strip() for c in by.split(", "))
+    return _with(f"""
+SELECT {by}, COUNT(*) AS file_accesses, COUNT(DISTINCT attachment_id) AS unique_files
+FROM web_t WHERE attachment_id IS NOT NULL{span} GROUP BY {names}""")
+
+
 def documents_rejects_sql() -> str:
     """Each course comes with one broken document and one whose quizzes are a number."""
     return _with("""

@@ -14,11 +14,11 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DRIVER_TERM, SHORT_PICK_TERM, Term
+from ..config import DRIVER_TERM, LONG_TERM, SHORT_PICK_TERM, Term
 from ..functions.scores import round_half_even
 from ..functions.text import is_blank, storage_key
 from ..functions.time import day_of, display_week, week_end_date, week_of, week_start_date
-from ..operators import badges, calendar, courses, daily, ordering, progress, reflections, scores, summary
+from ..operators import badges, calendar, courses, daily, distinct, ordering, progress, reflections, scores, summary
 from ..sources import documents, extracts
 from ..sources import reflections as reflection_log
 from ..sources.tables import Sources
@@ -35,6 +35,8 @@ AGE_CLOCK = datetime(2024, 1, 31, 12)
 DAYS = (date(2024, 1, 5), date(2024, 1, 19))
 WEEKS = (2, 3)
 STUDENT = 8
+# Weeks of the long term, as minutes of the driver's month.
+LONG_WEEK_MINUTES = 90
 
 
 def sources(spark: SparkSession, sf_dir: str, term: Term = DRIVER_TERM) -> Sources:
@@ -155,6 +157,26 @@ def _extract(name: str) -> Callable[[Sources], DataFrame]:
     return lambda src: extracts.extract_frames(src)[name]
 
 
+def _long_log(src: Sources) -> Sources:
+    """The click log as reflections of 20 students over a term of 200 weeks, an hour
+    and a half each: long runs with gaps."""
+    user = (F.col("user_id") % 20).alias("user_id")
+    start = F.lit(src.term.start).cast("timestamp_ntz")
+    week = F.floor(F.timestamp_diff("MINUTE", start, F.col("timestamp")) / F.lit(LONG_WEEK_MINUTES)) + 1
+    log = src.web_logs.select(user, "course_id", week.cast("bigint").alias("week"), F.lit(5).alias("satisfaction"),
+                              F.lit(5).alias("expectation"), F.lit(None).cast("string").alias("feedback"),
+                              F.col("timestamp").alias("saved_at"), F.col("event_id").alias("seq"), F.lit(False).alias("deleted"))
+    return replace(src, reflection_log=log, enrollments=src.enrollments.select(user, "course_id").distinct())
+
+
+def _merged_days(src: Sources) -> DataFrame:
+    """The daily mart from the merged day marts of four parts of the click log."""
+    logs = src.web_logs
+    part = F.pmod(F.col("event_id"), F.lit(4))
+    marts = [distinct.click_days(replace(src, web_logs=logs.where(part == i))) for i in range(4)]
+    return distinct.daily_web_activity(distinct.merged(marts[0].union(marts[1]).union(marts[2]).union(marts[3])))
+
+
 def _extract_texts(src: Sources) -> DataFrame:
     """The extract as (file, value) documents: one per row of it, as parts of one
     extract. Courses are a single value or an array, ids are numbers or texts, missing
@@ -247,6 +269,15 @@ def _catalogue() -> dict[str, tuple[Callable[[Sources], DataFrame], str | None]]
         "badges": (badges.badges, sql.badges_sql()),
         "daily_row_number": (_row_numbers(), sql.daily_row_number_sql()),
         "daily_row_number_files": (_row_numbers("attachment_id"), sql.daily_row_number_sql(", attachment_id")),
+        "weekly_distinct_files": (lambda s: distinct.weekly_files(distinct.click_days(s)),
+                                  sql.distinct_files_sql("user_id, course_id, week")),
+        "block_distinct_files": (lambda s: distinct.block_files(distinct.click_days(s)),
+                                 sql.distinct_files_sql("user_id, course_id, (week - 1) // 2 * 2 + 1 AS block_start")),
+        "course_week_distinct_files": (lambda s: distinct.course_week_files(distinct.click_days(s)),
+                                       sql.distinct_files_sql("course_id, week")),
+        "distinct_files_between": (lambda s: distinct.files_between(distinct.click_days(s), *DAYS),
+                                   sql.distinct_files_sql("user_id, course_id", DAYS)),
+        "daily_web_activity_merged": (_merged_days, sql.daily_web_activity_sql()),
         "documents_courses": (_documents_mart("courses"), sql.enrollments_sql()),
         "documents_quiz_data": (_documents_mart("quiz_data"), sql.extract_quiz_data_sql()),
         "documents_assignment_data": (_documents_mart("assignment_data"), sql.extract_assignment_data_sql()),
@@ -286,6 +317,10 @@ _SHORT_PICK = {
     "reflection_streaks_long_term": (reflections.reflection_streaks, sql.reflection_streaks_sql(SHORT_PICK_TERM)),
     "display_weeks": (_display_weeks, sql.display_weeks_sql(SHORT_PICK_TERM)),
 }
+_LONG = {
+    "reflection_streaks_200_weeks": (lambda s: reflections.reflection_streaks(_long_log(s)),
+                                     sql.long_streaks_sql(LONG_WEEK_MINUTES, LONG_TERM)),
+}
 _ON_TABLES = {
     "extract_ages": (_ages, sql.extract_ages_sql(AGE_CLOCK)),
     "storage_labels": (_labels, sql.storage_labels_sql()),
@@ -295,8 +330,9 @@ _ON_TABLES = {
 def registered() -> dict[str, Query]:
     return ({name: _on(fn) for name, (fn, _) in _catalogue().items()}
             | {name: _on(fn, SHORT_PICK_TERM) for name, (fn, _) in _SHORT_PICK.items()}
+            | {name: _on(fn, LONG_TERM) for name, (fn, _) in _LONG.items()}
             | {name: fn for name, (fn, _) in _ON_TABLES.items()})
 
 
 def oracle() -> dict[str, str]:
-    return {name: q for name, (_, q) in (_catalogue() | _SHORT_PICK | _ON_TABLES).items() if q is not None}
+    return {name: q for name, (_, q) in (_catalogue() | _SHORT_PICK | _LONG | _ON_TABLES).items() if q is not None}

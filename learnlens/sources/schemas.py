@@ -81,6 +81,13 @@ def reflection_log(user_type: T.DataType = T.StringType()) -> T.StructType:
     ])
 
 
+# The driver's tables, as far as they are mapped to source tables.
+DRIVER_EVENTS = T.StructType([
+    _f("event_id", T.LongType()), _f("ts", T.TimestampNTZType()), _f("user_id", T.LongType()),
+    _f("event_type", T.StringType()), _f("value", T.DoubleType()), _f("props", T.StringType())])
+DRIVER_PART = T.StructType([_f("p_partkey", T.LongType()), _f("p_size", T.IntegerType())])
+
+
 def completion_snapshot(user_type: T.DataType = T.StringType()) -> T.StructType:
     return T.StructType([
         _f("user_id", user_type),

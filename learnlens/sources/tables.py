@@ -76,8 +76,8 @@ class Sources:
     def from_driver_tables(cls, spark: SparkSession, sf_dir: str, term: Term = DRIVER_TERM) -> "Sources":
         """Map the driver's synthetic ``events`` / ``part`` tables onto the
         source tables (the mapping is fixed in FIXTURES.md §2)."""
-        events = spark.read.parquet(f"{sf_dir}/events.parquet")
-        part = spark.read.parquet(f"{sf_dir}/part.parquet")
+        events = spark.read.schema(schemas.DRIVER_EVENTS).parquet(f"{sf_dir}/events.parquet")
+        part = spark.read.schema(schemas.DRIVER_PART).parquet(f"{sf_dir}/part.parquet")
         k = F.regexp_extract("props", r"([0-9]+)", 1).try_cast("bigint")
         ev = events.select("event_id", "ts", "user_id", "event_type", "value", k.alias("k"))
         course = (F.lit(27000) + F.col("k") % F.lit(4)).cast("bigint").alias("course_id")

@@ -123,9 +123,12 @@ def test_calendar_aggregate_has_one_shuffle_for_the_grid(spark):
 # the user-scope join moves one row per (student, block); the skew-safe row
 # number moves raw rows by (key, slice) and a per-(key, slice) offsets table;
 # documents are joined to one row per enrolled student to restore their ids,
-# and a requested list of students to their newest entries.
+# and a requested list of students to their newest entries; elements of extract
+# documents are kept if their document is the student's newest.
 RAW_SHUFFLE_ALLOWED = {"block_progress_user_scope", "daily_row_number", "daily_row_number_files",
-                       "ordered_interactions", "reflection_documents", "extract_ages"}
+                       "ordered_interactions", "reflection_documents", "extract_ages",
+                       "documents_courses", "documents_quiz_data", "documents_assignment_data",
+                       "documents_web_activity", "documents_file_access"}
 
 
 def test_every_shuffle_is_pre_aggregated(spark):
