@@ -17,7 +17,6 @@ from .calendar import aggregate_onto_grid
 from .reflections import reflections
 
 
-
 def _quiz_done(src: Sources) -> DataFrame:
     subs = src.quiz_submissions_in_term().filter(F.col("workflow_state").isin(*QUIZ_ACCEPTED_STATES))
     return subs.select("user_id", "course_id",
@@ -46,11 +45,12 @@ ITEMS_PER_BLOCK = 2 * len(rules.ACTIVITY_ORDER)
 _IDX = {a: i for i, a in enumerate(rules.ACTIVITY_ORDER)}
 
 
-def _submission_items(src: Sources) -> DataFrame:
+def _submission_items(src: Sources, submitted: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Accepted quiz and assignment submissions as (user_id, course_id, week,
     activity index); raw rows, duplicates are harmless."""
-    return (_quiz_done(src).withColumn("activity", F.lit(_IDX["quiz"]))
-            .unionByName(_assignment_done(src).withColumn("activity", F.lit(_IDX["assignment"]))))
+    quiz, assignment = submitted or (_quiz_done(src), _assignment_done(src))
+    return (quiz.withColumn("activity", F.lit(_IDX["quiz"]))
+            .unionByName(assignment.withColumn("activity", F.lit(_IDX["assignment"]))))
 
 
 def _reflection_items(src: Sources) -> DataFrame:
@@ -70,7 +70,8 @@ def _item_bits(done: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     )).alias("f")).select(*keys, "f.*")
 
 
-def block_masks(src: Sources, scope: str = "course") -> DataFrame:
+def block_masks(src: Sources, scope: str = "course",
+                submitted: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Per enrolled (user, course) and term block: which of the block's six
     items are done, as a bit mask, for the block itself and for the block
     before it.
@@ -85,6 +86,9 @@ def block_masks(src: Sources, scope: str = "course") -> DataFrame:
     reference's live queries do. The user-scope masks are first reduced to
     one row per (user, block) and only then spread over the student's
     enrolments, so that join is bounded by users x blocks.
+
+    ``submitted`` (marts of :func:`quiz_weeks` and :func:`assignment_weeks`) replaces
+    the submissions as input.
     """
     term = src.term
     keys = ("user_id", "course_id", "block_start")
@@ -92,10 +96,10 @@ def block_masks(src: Sources, scope: str = "course") -> DataFrame:
         "user_id", "course_id",
         F.explode(F.array(*[F.lit(b).cast("bigint") for b in term.block_starts])).alias("block_start"))
     if scope == "course":
-        facts = _item_bits(_submission_items(src).unionByName(_reflection_items(src)),
+        facts = _item_bits(_submission_items(src, submitted).unionByName(_reflection_items(src)),
                            ("user_id", "course_id"))
     elif scope == "user":
-        per_user = _item_bits(_submission_items(src).drop("course_id"), ("user_id",)) \
+        per_user = _item_bits(_submission_items(src, submitted).drop("course_id"), ("user_id",)) \
             .groupBy("user_id", "block_start").agg(F.bit_or("own").alias("own"),
                                                    F.bit_or("prev").alias("prev"))
         spread = per_user.join(src.enrollments.select("user_id", "course_id").distinct(), "user_id")

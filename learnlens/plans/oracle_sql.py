@@ -411,6 +411,10 @@ def block_progress_sql(scope: str = "course") -> str:
     return _with(_progress_ctes(scope=scope) + "\nSELECT * FROM bp")
 
 
+def completion_sql() -> str:
+    return _with(_progress_ctes() + "\nSELECT user_id, course_id, block_start, is_complete AS completed FROM bp")
+
+
 def completion_changes_sql(cutoff: str) -> str:
     return _with(fact_views(DRIVER_TERM, "_prev", cutoff) + _progress_ctes(DRIVER_TERM, "_prev")
                  + _progress_ctes() + """

@@ -7,6 +7,7 @@ kept between queries.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import date, datetime
@@ -19,10 +20,12 @@ from ..functions.scores import round_half_even
 from ..functions.text import is_blank, storage_key
 from ..functions.time import day_of, display_week, week_end_date, week_of, week_start_date
 from ..operators import badges, calendar, courses, daily, distinct, ordering, progress, reflections, scores, summary
+from ..session import shared_folder
 from ..sources import documents, extracts
 from ..sources import reflections as reflection_log
+from ..sources.schemas import SILVER_TABLES
 from ..sources.tables import Sources
-from . import catalogue
+from . import catalogue, incremental
 from . import oracle_sql as sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,6 +180,30 @@ def _merged_days(src: Sources) -> DataFrame:
     return distinct.daily_web_activity(distinct.merged(marts[0].union(marts[1]).union(marts[2]).union(marts[3])))
 
 
+def _folded(answer: Callable[[incremental.Marts], DataFrame]) -> Query:
+    """``answer`` from marts that were refreshed twice: the events, written as silver
+    tables, come in two lots, and the second holds rows of every day of the term."""
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        src = sources(spark, d)
+        root = f"{shared_folder(spark)}/incremental-{uuid.uuid4().hex}"
+        user = src.enrollments.schema["user_id"].dataType
+
+        def write(table: str, df: DataFrame) -> None:
+            df.write.mode("append").parquet(f"{root}/silver/{SILVER_TABLES[table]}")
+
+        for table in ("quizzes", "assignments", "enrollments"):
+            write(table, getattr(src, table))
+        for second in (False, True):
+            for table, time in (("web_logs", "timestamp"), ("quiz_submissions", "finished_at_anonymous"),
+                                ("submissions", "submitted_at_anonymous")):
+                late = F.pmod(F.xxhash64("user_id", time), F.lit(100)) == 0
+                write(table, getattr(src, table).where(late == F.lit(second)))
+            marts = incremental.Marts.over(spark, f"{root}/silver", f"{root}/marts", src.term, src.reflection_log, user)
+            marts.refresh()
+        return answer(marts)
+    return run
+
+
 def _extract_texts(src: Sources) -> DataFrame:
     """The extract as (file, value) documents: one per row of it, as parts of one
     extract. Courses are a single value or an array, ids are numbers or texts, missing
@@ -322,6 +349,10 @@ _LONG = {
                                      sql.long_streaks_sql(LONG_WEEK_MINUTES, LONG_TERM)),
 }
 _ON_TABLES = {
+    "incremental_web_activity": (_folded(lambda m: distinct.daily_web_activity(m.clicks.read())),
+                                 sql.daily_web_activity_sql()),
+    "incremental_quiz_data": (_folded(lambda m: m.extract().quiz_data), sql.extract_quiz_data_sql()),
+    "incremental_completion": (_folded(lambda m: m.completion()), sql.completion_sql()),
     "extract_ages": (_ages, sql.extract_ages_sql(AGE_CLOCK)),
     "storage_labels": (_labels, sql.storage_labels_sql()),
 }

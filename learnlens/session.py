@@ -4,6 +4,7 @@ settings recommended on a cluster."""
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -55,3 +56,14 @@ def cluster_settings() -> dict[str, str]:
         "spark.sql.files.maxPartitionBytes": "256m",
         "spark.sql.shuffle.partitions": "8000",
     }
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own
+    only where that is unset and one machine does everything."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="learnlens-")

@@ -30,16 +30,9 @@ MARTS = ("courses", "quiz_data", "assignment_data", "web_activity_data", "file_a
 
 def extract_frames(src: Sources) -> dict[str, DataFrame]:
     """The five extract datasets for all students (keys first)."""
-    from ..operators.daily import scored_assignments, scored_quizzes  # avoid import cycle
     term = src.term
-    quiz = scored_quizzes(src).select(
-        "user_id", "course_id", "quiz_id", "finished_at_anonymous", "score_anonymous",
-        "DurationInMinutes", "workflow_state", "points_possible",
-        week_of("finished_at_anonymous", term).alias("week"))
-    asg = scored_assignments(src).select(
-        "user_id", "course_id", "assignment_id", "submitted_at_anonymous", "score_anonymous",
-        "workflow_state", "points_possible",
-        week_of("submitted_at_anonymous", term).alias("week"))
+    quiz = with_points(src.quiz_submissions_in_term(), src, "quiz")
+    asg = with_points(src.submissions_in_term(), src, "assignment")
     logs = src.web_logs_in_term()
     web = logs.groupBy("user_id", "course_id", day_of("timestamp").alias("day")).agg(
         F.count(F.lit(1)).alias("interactions"),
@@ -56,6 +49,18 @@ def extract_frames(src: Sources) -> dict[str, DataFrame]:
             "web_activity_data": web, "file_access_data": files}
 
 
+def with_points(submissions: DataFrame, src: Sources, kind: str) -> DataFrame:
+    """JOI1/JOI2: the extract's quiz or assignment rows from the term's submissions."""
+    from ..operators.joins import lookup_join  # avoid import cycle
+    if kind == "quiz":
+        key, time, points, more = "quiz_id", "finished_at_anonymous", src.quizzes, ("DurationInMinutes",)
+    else:
+        key, time, points, more = "assignment_id", "submitted_at_anonymous", src.assignments, ()
+    return lookup_join(submissions, points, key, "id").select(
+        "user_id", "course_id", key, time, "score_anonymous", *more, "workflow_state", "points_possible",
+        week_of(time, src.term).alias("week"))
+
+
 def write_extract(src: Sources, root: str, partitions: int | None = None,
                   fmt: str = "parquet", run_id: int | None = None) -> int:
     """SNK1 for everyone: one mart per dataset under ``root``; returns the run id.

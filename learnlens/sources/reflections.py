@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import storage_key
 from . import schemas
+from .segments import Segments
 
 KEYS = ("user_id", "course_id", "week")
 
@@ -83,14 +84,41 @@ def append_to_log(entries: DataFrame, path: str) -> None:
     entries.write.mode("append").parquet(path)
 
 
-def compact_log(spark: SparkSession, path: str, into: str, user_type=None) -> None:
-    """Write the log at ``path`` to the new folder ``into`` with one row per
-    (user, course, week): the latest, tombstones included, so that entries
-    appended later still order after it."""
-    log = read_log(spark, path, user_type)
+def latest_entries(log: DataFrame) -> DataFrame:
+    """One entry per (user, course, week): the latest, tombstones included, so that
+    entries appended later still order after it."""
     rest = [c for c in log.columns if c not in (*KEYS, "saved_at", "seq")]
     last = log.groupBy(*KEYS).agg(F.max(F.struct("saved_at", "seq", *rest)).alias("r"))
-    last.select(*KEYS, "r.*").select(*log.columns).write.parquet(into)
+    return last.select(*KEYS, "r.*").select(*log.columns)
+
+
+def compact_log(spark: SparkSession, path: str, into: str, user_type=None) -> None:
+    """Write the latest entries of the log at ``path`` to the new folder ``into``.
+    Nothing may be appended to ``path`` meanwhile; a :class:`ReflectionStore` needs
+    no such rule."""
+    latest_entries(read_log(spark, path, user_type)).write.parquet(into)
+
+
+class ReflectionStore:
+    """The log for several writers at a time: saves, deletions and compactions are
+    commits of one :class:`learnlens.sources.segments.Segments` dataset."""
+
+    def __init__(self, spark: SparkSession, root: str, user_type=None) -> None:
+        self.segments = Segments(spark, root)
+        self.schema = schemas.reflection_log(user_type) if user_type is not None else schemas.reflection_log()
+
+    def append(self, entries: DataFrame, run: str | None = None) -> int:
+        """Commit entries (of :func:`save_rows` or :func:`delete_rows`); a ``run`` only once."""
+        return self.segments.append(entries, run)
+
+    def log(self) -> DataFrame:
+        return self.segments.read(schema=self.schema)
+
+    def compact(self) -> int:
+        """Put the latest entries in the place of those read. What others append
+        meanwhile stays; of two compactions at a time one fails."""
+        now = self.segments.state()
+        return self.segments.replace(now, latest_entries(self.segments.read(now, self.schema)))
 
 
 def read_log(spark: SparkSession, path: str, user_type=None) -> DataFrame:
