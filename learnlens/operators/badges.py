@@ -28,7 +28,12 @@ def badge_counts(src: Sources, masks: DataFrame | None = None) -> DataFrame:
 
 def badges(src: Sources, masks: DataFrame | None = None) -> DataFrame:
     """One row per enrolled (user, course) and badge: the count it uses, the
-    threshold, whether it is unlocked, its tooltip and image.
+    threshold, whether it is unlocked, its tooltip and image."""
+    return badge_rows(badge_counts(src, masks))
+
+
+def badge_rows(counts: DataFrame) -> DataFrame:
+    """The badges of (reflections, completed_blocks) per (user, course).
 
     The six badges are a fixed literal array exploded per row (no join).
     """
@@ -37,8 +42,7 @@ def badges(src: Sources, masks: DataFrame | None = None) -> DataFrame:
                  F.lit(t).cast("bigint").alias("threshold"), F.lit(img).alias("unlocked_image"),
                  F.lit(on).alias("unlocked_tooltip"), F.lit(off).alias("locked_tooltip"))
         for i, (b, kind, t, img, on, off) in enumerate(rules.BADGES, start=1)])
-    rows = badge_counts(src, masks).select(*PAIR, "reflections", "completed_blocks",
-                                    F.explode(table).alias("b"))
+    rows = counts.select(*PAIR, "reflections", "completed_blocks", F.explode(table).alias("b"))
     have = F.when(F.col("b.counts") == "reflections", F.col("reflections")) \
             .otherwise(F.col("completed_blocks"))
     unlocked = have >= F.col("b.threshold")

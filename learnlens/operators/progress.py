@@ -58,6 +58,11 @@ def _reflection_items(src: Sources) -> DataFrame:
         .withColumn("activity", F.lit(_IDX["reflection"]))
 
 
+def done_items(src: Sources) -> DataFrame:
+    """Every done item once: (user_id, course_id, week, activity index)."""
+    return _submission_items(src).unionByName(_reflection_items(src)).distinct()
+
+
 def _item_bits(done: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Each done item as its bit in its own block and, as "previous", in the
     block two weeks later: (keys..., block_start, own, prev)."""
@@ -131,9 +136,10 @@ def activity_grid(src: Sources, scope: str = "course", masks: DataFrame | None =
         done.alias("done"))
 
 
-def block_progress(src: Sources, scope: str = "course", masks: DataFrame | None = None) -> DataFrame:
+def block_progress(src: Sources | None, scope: str = "course", masks: DataFrame | None = None) -> DataFrame:
     """AGG18 + CLS7/CLS8: per (user, course, block) total, completed, percent
-    and messages, with the previous block's counts (block_start - 2)."""
+    and messages, with the previous block's counts (block_start - 2). With ``masks``
+    no source is read."""
     m = block_masks(src, scope) if masks is None else masks
     total = F.lit(ITEMS_PER_BLOCK).cast("bigint")
     completed = F.bit_count("own_mask").cast("bigint")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import Term
 from ..functions import exactsum
 from ..functions.rules import engagement
 from ..functions.scores import bit, measure, round_half_even
@@ -28,7 +29,7 @@ def _weeks(ts: str, src: Sources, inclusive_end: bool) -> Column:
     return F.when(on_week_edge & (week > 1), F.array(week, week - 1)).otherwise(F.array(week))
 
 
-def _quiz_parts(src: Sources, inclusive_end: bool) -> DataFrame:
+def quiz_parts(src: Sources, inclusive_end: bool = False) -> DataFrame:
     """Exact partial sums of quiz minutes per (user, course, week)."""
     quiz = src.quiz_submissions_in_term().select(
         "user_id", "course_id",
@@ -61,12 +62,17 @@ def weekly_summary(src: Sources, mean: str = "active", inclusive_end: bool = Fal
         logs = daily_web.select("user_id", "course_id", week_of("day", src.term).alias("week"),
                                 "day", F.col("interactions").alias("_n"))
     web = logs.select("user_id", "course_id", "week", bit(day_index).alias("day_bit"), "_n")
-    facts = web.unionByName(_quiz_parts(src, inclusive_end), allowMissingColumns=True)
+    facts = web.unionByName(quiz_parts(src, inclusive_end), allowMissingColumns=True)
     weekly = aggregate_onto_grid(enrolled_weeks(src.enrollments, src.term), facts, WEEK_KEYS, {
         "total_interactions": F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint"),
         "active_days": F.coalesce(F.bit_count(F.bit_or("day_bit")), F.lit(0)),
         "quiz_minutes": total_or_zero("minutes"),
     })
+    return card(weekly, src.term, mean)
+
+
+def card(weekly: DataFrame, term: Term, mean: str = "active") -> DataFrame:
+    """The summary card of (total_interactions, active_days, quiz_minutes) per week."""
     total = F.col("total_interactions")
     days = F.col("active_days")
     if mean == "active":
@@ -75,7 +81,7 @@ def weekly_summary(src: Sources, mean: str = "active", inclusive_end: bool = Fal
         avg = round_half_even(total / F.lit(7.0), 1)
     else:
         raise ValueError(f"unknown mean {mean!r}")
-    minutes = total * F.lit(src.term.minutes_per_interaction)
+    minutes = total * F.lit(term.minutes_per_interaction)
     return weekly.select(
         "user_id", "course_id", "week", "total_interactions",
         minutes.cast("bigint").alias("session_minutes"),
@@ -90,4 +96,4 @@ def weekly_summary(src: Sources, mean: str = "active", inclusive_end: bool = Fal
 
 def weekly_quiz_minutes(src: Sources, inclusive_end: bool = False) -> DataFrame:
     """AGG10: total quiz minutes per (user, course, week) with quiz rows."""
-    return _quiz_parts(src, inclusive_end).groupBy(*WEEK_KEYS).agg(total_or_zero("minutes").alias("quiz_minutes"))
+    return quiz_parts(src, inclusive_end).groupBy(*WEEK_KEYS).agg(total_or_zero("minutes").alias("quiz_minutes"))

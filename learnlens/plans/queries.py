@@ -25,7 +25,7 @@ from ..sources import documents, extracts
 from ..sources import reflections as reflection_log
 from ..sources.schemas import SILVER_TABLES
 from ..sources.tables import Sources
-from . import catalogue, incremental
+from . import bucketed, catalogue, incremental
 from . import oracle_sql as sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,6 +180,16 @@ def _merged_days(src: Sources) -> DataFrame:
     return distinct.daily_web_activity(distinct.merged(marts[0].union(marts[1]).union(marts[2]).union(marts[3])))
 
 
+def _bucketed(answer: Callable[[bucketed.Bucketed], DataFrame]) -> Query:
+    """``answer`` from bucketed marts, written and read back."""
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        src = sources(spark, d)
+        root = f"{shared_folder(spark)}/bucketed-{uuid.uuid4().hex}"
+        bucketed.write_marts(src, root, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return answer(bucketed.Bucketed.read(spark, root, src.term))
+    return run
+
+
 def _folded(answer: Callable[[incremental.Marts], DataFrame]) -> Query:
     """``answer`` from marts that were refreshed twice: the events, written as silver
     tables, come in two lots, and the second holds rows of every day of the term."""
@@ -349,6 +359,10 @@ _LONG = {
                                      sql.long_streaks_sql(LONG_WEEK_MINUTES, LONG_TERM)),
 }
 _ON_TABLES = {
+    "bucketed_weekly_summary": (_bucketed(lambda b: b.weekly_summary()), sql.weekly_summary_sql()),
+    "bucketed_daily_interactions": (_bucketed(lambda b: b.daily_interactions()), sql.daily_metric_sql("daily_interactions")),
+    "bucketed_block_progress": (_bucketed(lambda b: b.block_progress()), sql.block_progress_sql()),
+    "bucketed_badges": (_bucketed(lambda b: b.badges()), sql.badges_sql()),
     "incremental_web_activity": (_folded(lambda m: distinct.daily_web_activity(m.clicks.read())),
                                  sql.daily_web_activity_sql()),
     "incremental_quiz_data": (_folded(lambda m: m.extract().quiz_data), sql.extract_quiz_data_sql()),

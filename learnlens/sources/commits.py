@@ -22,9 +22,21 @@ from pyspark.sql import types as T
 
 #: Times in text formats keep their microseconds.
 _OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+#: The column by which one student's rows are asked for.
+STUDENT = "user_id"
 _SCHEMA = "dataset string, run_id bigint, committed_at timestamp, schemas map<string,string>"
 
 
+def bloom_options(columns: list[str]) -> dict[str, str]:
+    """Writer options for a Bloom filter on the student's id in every row group: a
+    request for one student then skips the row groups that lack them, also where
+    the id lies between the group's smallest and largest. Filters take the size that
+    the group's ids need."""
+    if STUDENT not in columns:
+        return {}
+    return {f"parquet.bloom.filter.enabled#{STUDENT}": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+
+
 def new_run_id() -> int:
     """Increasing across runs: milliseconds since the epoch and three random
     digits, so that two writers don't share one."""
@@ -39,7 +51,8 @@ def write_run(df: DataFrame, path: str, run_id: int, partition_by: tuple[str, ..
               fmt: str = "parquet") -> T.StructType:
     """Write ``df`` as run ``run_id`` of ``path`` (earlier runs stay readable; the
     same run is replaced); returns its schema for the commit."""
-    df.write.mode("overwrite").partitionBy(*partition_by).options(**_OPTIONS).format(fmt).save(run_path(path, run_id))
+    options = _OPTIONS | (bloom_options(df.columns) if fmt == "parquet" else {})
+    df.write.mode("overwrite").partitionBy(*partition_by).options(**options).format(fmt).save(run_path(path, run_id))
     return df.schema
 
 
