@@ -7,7 +7,10 @@ doubles from the smallest subnormal on. Only the total is rounded, once, to the
 nearest double (halves to even), so every partitioning gives the same bits.
 
     parts = partial_sums(rows, keys, {"minutes": F.col("minutes")})   # map-side combined
-    parts.groupBy(*keys).agg(total(F.collect_list("minutes")))        # one row per key and frame
+    parts.groupBy(*keys).agg(total("collect_list(minutes)"))          # one row per key and frame
+
+The expressions are given to Spark as SQL text: it is parsed at once, where building
+them call by call takes longer than running them on a small table.
 """
 
 from __future__ import annotations
@@ -18,39 +21,62 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 31
-_BASE = float(1 << BITS)
+_BASE = f"{1 << BITS}D"
 _MASK = (1 << BITS) - 1
-_LONG = "bigint"
+_FINITE = "abs({x}) < double('Infinity')"  # NaN is greater than any number
+FIELDS = ("frame", "high", "mid", "low", "special", "n")
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _scaled(x: str, n: str) -> str:
+    """x * 2^n in two steps, neither of which leaves the range of doubles. Powers of two
+    with whole exponents are exact."""
+    return f"({x} * pow(2D, floor(({n}) / 2)) * pow(2D, ({n}) - floor(({n}) / 2)))"
+
 
+def _frame(x: str) -> str:
+    """Any frame will do for which 2^-10 <= abs(x) / 2^(31 frame) < 2^31, so the
+    logarithm's last bits don't matter."""
+    return (f"CAST(CASE WHEN {_FINITE.format(x=x)} AND {x} <> 0 THEN floor((log2(abs({x})) + 5D) / {BITS}) ELSE 0 END AS INT)")
 
-def _power_of_two(n: Column) -> Column:
-    return F.pow(F.lit(2.0), n)  # exact for whole n
 
+def _steps(x: str, end: str = "") -> list[tuple[str, str]]:
+    """(name, expression) in turn: what a value ``x`` is split by. Names end in ``end``."""
+    f, y, z = (f"_{n}{end}" for n in "fyz")
+    return [(f, _frame(x)),
+            (y, f"CASE WHEN {_FINITE.format(x=x)} THEN {_scaled(f'abs({x})', f'{f} * -{BITS}')} ELSE 0D END"),
+            (z, f"({y} - floor({y})) * {_BASE}")]
 
-def _scaled(x: Column, n: Column) -> Column:
-    """x * 2^n in two steps, neither of which leaves the range of doubles."""
-    half = F.floor(n / F.lit(2))
-    return x * _power_of_two(half) * _power_of_two(n - half)
 
+def _digits(x: str, end: str = "") -> dict[str, str]:
+    """The fields of a value's digits, from the names of :func:`_steps`."""
+    f, y, z = (f"_{n}{end}" for n in "fyz")
+    sign = f"IF({x} < 0, -1L, 1L)"
+    return {"frame": f, "high": f"floor({y}) * {sign}", "mid": f"floor({z}) * {sign}",
+            "low": f"floor(({z} - floor({z})) * {_BASE}) * {sign}",
+            "special": f"IF({_FINITE.format(x=x)}, NULL, {x})", "n": f"IF({x} IS NULL, 0L, 1L)"}
 
-def digits(value: Column) -> Column:
-    """struct(frame, high, mid, low, special, n) of one value: the digits at frame,
-    frame - 1 and frame - 2. ``special`` holds a NaN or infinity instead. All null
+
+def _struct(fields: Mapping[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{n}', {e}" for n, e in fields.items()) + ")"
+
+
+def digits(value: str) -> Column:
+    """struct(frame, high, mid, low, special, n) of the column ``value``: the digits at
+    frame, frame - 1 and frame - 2. ``special`` holds a NaN or infinity instead. Null
     for null."""
-    size = F.abs(value)
-    finite = size < F.lit(float("inf"))  # NaN is greater than any number
-    # Any frame will do for which 2^-10 <= size / 2^(31 frame) < 2^31, so the
-    # logarithm's last bits don't matter.
-    frame = F.when(finite & (size > 0), F.floor((F.log2(size) + F.lit(5.0)) / F.lit(BITS))).otherwise(0).cast("int")
-    y = F.when(finite, _scaled(size, frame * F.lit(-BITS))).otherwise(0.0)
-    high = F.floor(y)
-    y1 = (y - high) * F.lit(_BASE)
-    mid = F.floor(y1)
-    low = F.floor((y1 - mid) * F.lit(_BASE))
-    sign = F.when(value < 0, F.lit(-1)).otherwise(F.lit(1)).cast(_LONG)
-    return F.when(value.isNotNull(), F.struct(
-        frame.alias("frame"), (high * sign).alias("high"), (mid * sign).alias("mid"), (low * sign).alias("low"),
-        F.when(~finite, value).alias("special"), F.lit(1).cast(_LONG).alias("n")))
+    return F.expr(f"IF({value} IS NULL, NULL, {_digits_in_place(value)})")
+
+
+def _digits_in_place(x: str) -> str:
+    out = _struct(_digits(x))
+    for name, step in reversed(_steps(x)):
+        out = _let(name, step, out)
+    return out
 
 
 def partial_sums(df: DataFrame, keys: Sequence[str], measures: Mapping[str, Column],
@@ -58,95 +84,85 @@ def partial_sums(df: DataFrame, keys: Sequence[str], measures: Mapping[str, Colu
     """Exact partial sums of ``measures`` per ``keys`` and frames, with the ``extra``
     aggregates: a handful of rows per key, each measure a struct for :func:`total`.
     Rows without a value of a measure are counted under its null frame."""
-    cols = df.select(*keys, *[c.alias(n) for n, c in (extra or {}).items()],
-                     *[digits(c).alias(f"_{m}") for m, c in measures.items()])
-    frames = [F.col(f"_{m}.frame").alias(f"_{m}_frame") for m in measures]
-    sums = []
-    for m in measures:
-        sums += [F.sum(f"_{m}.{f}").alias(f"_{m}_{f}") for f in ("high", "mid", "low", "special", "n")]
-    grouped = cols.groupBy(*keys, *frames).agg(*sums, *[F.sum(n).alias(n) for n in extra or {}])
-    return grouped.select(*keys, *(extra or {}), *[
-        F.when(F.col(f"_{m}_frame").isNotNull(), F.struct(*[
-            F.col(f"_{m}_{f}").alias(f) for f in ("frame", "high", "mid", "low", "special", "n")])).alias(m)
-        for m in measures])
+    extra = extra or {}
+    rows = df.select(*keys, *[c.alias(n) for n, c in extra.items()], *[c.alias(f"_x_{m}") for m, c in measures.items()])
+    # A column for each step, so that all rows are split in generated code.
+    for i in range(3):
+        rows = rows.selectExpr("*", *["{1} AS {0}".format(*_steps(f"_x_{m}", f"_{m}")[i]) for m in measures])
+    frames = [F.expr(f"IF(_x_{m} IS NULL, NULL, _f_{m}) AS _frame_{m}") for m in measures]
+    sums = [F.expr(f"sum({e}) AS _{n}_{m}") for m in measures for n, e in _digits(f"_x_{m}", f"_{m}").items() if n != "frame"]
+    grouped = rows.groupBy(*keys, *frames).agg(*sums, *[F.sum(n).alias(n) for n in extra])
+    return grouped.select(*keys, *extra, *[
+        F.expr(f"IF(_frame_{m} IS NULL, NULL, {_struct({n: f'_{n}_{m}' for n in FIELDS})}) AS `{m}`") for m in measures])
 
 
-def count(parts: Column) -> Column:
-    """How many values the parts (an array) were made of."""
-    return F.aggregate(parts, F.lit(0).cast(_LONG), lambda a, p: a + p["n"])
+def _count(parts: str) -> str:
+    return f"aggregate({parts}, 0L, (a, p) -> a + p.n)"
 
 
-def _carried(sums: Column) -> Column:
+def _carried(sums: str) -> str:
     """Digit sums (ascending) as digits in 0 .. 2^31 - 1, and two more for the carry,
     the last of which is negative if the number is."""
-    none = F.array().cast("array<bigint>")
-    start = F.struct(F.lit(0).cast(_LONG).alias("carry"), none.alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        t = s + state["carry"]
-        return F.struct(F.shiftright(t, BITS).alias("carry"),
-                        F.concat(state["out"], F.array(t.bitwiseAND(F.lit(_MASK)))).alias("out"))
+    return (f"aggregate({sums}, named_struct('carry', 0L, 'out', CAST(array() AS ARRAY<BIGINT>)), (s, d) -> named_struct("
+            f"'carry', shiftright(d + s.carry, {BITS}), 'out', concat(s.out, array((d + s.carry) & {_MASK}L))), "
+            f"s -> concat(s.out, array(s.carry & {_MASK}L, shiftright(s.carry, {BITS}))))")
 
-    return F.aggregate(sums, start, step, lambda s: F.concat(
-        s["out"], F.array(s["carry"].bitwiseAND(F.lit(_MASK)), F.shiftright(s["carry"], BITS))))
 
+def _rounded(found: str) -> str:
+    """The number with the ascending digits of the variable ``found`` (none negative),
+    the first at place ``lo``, as the nearest double."""
+    def at(i: int) -> str:
+        return f"coalesce(get({found}, top - {i}), 0L)"
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once."""
-    return F.transform(F.array(value), body)[0]
+    # ``room``: bits that the highest digit leaves of its place. 62 bits are kept; what
+    # lies below only matters as not being zero, and goes into the last of them, far
+    # below the 53 that a double keeps.
+    kept = f"({BITS} - room)"
+    bits = f"(shiftleft(shiftleft({at(0)}, {BITS}) | {at(1)}, room) | shiftright({at(2)}, {kept}))"
+    below = (f"CAST(({at(2)} & (shiftleft(1L, {kept}) - 1L)) <> 0 "
+             f"OR exists(slice({found}, 1, greatest(top - 2, 0)), d -> d <> 0) AS BIGINT)")
+    value = _scaled(f"CAST({bits} | {below} AS DOUBLE)", f"(lo + top - 1) * {BITS} - room")
+    top = f"CAST(size({found}) - array_position(reverse(transform({found}, d -> d <> 0)), true) AS INT)"
+    return (f"IF(exists({found}, d -> d <> 0), "
+            + _let("top", top, _let("room", f"{BITS} - length(bin({at(0)}))", value)) + ", 0D)")
 
 
-def _rounded(found: Column, lowest: Column) -> Column:
-    """The number with these ascending digits (none negative), the first at place
-    ``lowest``, as the nearest double."""
-    def at(i: Column) -> Column:
-        return F.coalesce(F.get(found, i), F.lit(0).cast(_LONG))
+def _total(parts: str) -> str:
+    """The total of the variable ``parts``."""
+    place = (f"aggregate({parts}, 0L, (a, p) -> a + CASE p.frame - j WHEN 0 THEN p.high WHEN 1 THEN p.mid "
+             "WHEN 2 THEN p.low ELSE 0L END)")
+    sums = f"transform(sequence(lo, array_max(transform({parts}, p -> p.frame))), j -> {place})"
+    negative = _let("neg", _carried("transform(sums, d -> -d)"), _rounded("neg"))
+    number = _let("sums", sums, _let("pos", _carried("sums"), f"IF(element_at(pos, -1) < 0, -{negative}, {_rounded('pos')})"))
+    special = (f"aggregate({parts}, CAST(NULL AS DOUBLE), (a, p) -> IF(a IS NULL, p.special, a + coalesce(p.special, 0D)))")
+    return (f"IF(size({parts}) > 0, coalesce({special}, "
+            + _let("lo", f"array_min(transform({parts}, p -> p.frame)) - 2", number) + "), NULL)")
 
-    def from_top(top: Column) -> Column:  # index of the highest digit that isn't 0
-        d2, d1, d0 = at(top), at(top - 1), at(top - 2)
-        room = F.lit(BITS) - F.length(F.bin(d2))  # bits that d2 leaves of its place
-        left = lambda c, n: F.call_function("shiftleft", c, n)
-        right = lambda c, n: F.call_function("shiftright", c, n)
-        kept = F.lit(BITS) - room
-        # 62 bits; what lies below only matters as not being zero, and goes into
-        # the last of them, far below the 53 that a double keeps.
-        bits = left(left(d2, F.lit(BITS)).bitwiseOR(d1), room).bitwiseOR(right(d0, kept))
-        below = (d0.bitwiseAND(left(F.lit(1).cast(_LONG), kept) - F.lit(1)) != 0) | F.exists(
-            F.slice(found, 1, F.greatest(top - 2, F.lit(0))), lambda d: d != 0)
-        whole = bits.bitwiseOR(below.cast(_LONG))
-        return _scaled(whole.cast("double"), (lowest + top - 1) * F.lit(BITS) - room)
 
-    top = F.size(found) - F.array_position(F.reverse(F.transform(found, lambda d: d != 0)), True).cast("int")
-    return F.when(F.exists(found, lambda d: d != 0), _let(top, from_top)).otherwise(F.lit(0.0))
+def count(parts: str) -> Column:
+    """How many values the parts (an array, as SQL text) were made of."""
+    return F.expr(_count(parts))
 
 
-def total(parts: Column) -> Column:
-    """The sum of the values that ``parts`` (an array of :func:`digits` or of partial
-    sums) were made of, rounded once; null without any value. NaN and infinities
-    add up as usual."""
-    special = F.aggregate(parts, F.lit(None).cast("double"),
-                          lambda a, p: F.when(a.isNull(), p["special"]).otherwise(a + F.coalesce(p["special"], F.lit(0.0))))
-    lowest = F.array_min(F.transform(parts, lambda p: p["frame"])) - 2
-    highest = F.array_max(F.transform(parts, lambda p: p["frame"]))
+def total(parts: str) -> Column:
+    """The sum of the values that ``parts`` (SQL text of an array of :func:`digits` or of
+    partial sums) were made of, rounded once; null without any value. NaN and
+    infinities add up as usual."""
+    return F.expr(_let("parts", parts, _total("parts")))
 
-    def place_sum(place: Column) -> Column:
-        zero = F.lit(0).cast(_LONG)
-        return F.aggregate(parts, zero, lambda a, p: a + F.when(p["frame"] == place, p["high"]).when(
-            p["frame"] - 1 == place, p["mid"]).when(p["frame"] - 2 == place, p["low"]).otherwise(zero))
 
-    sums = F.transform(F.sequence(lowest, highest), place_sum)
+def mean(parts: str) -> Column:
+    return F.expr(_let("parts", parts, f"try_divide({_total('parts')}, {_count('parts')})"))
 
-    def signed(s: Column) -> Column:
-        return _let(_carried(s), lambda c: F.when(
-            F.element_at(c, -1) < 0, -_rounded(_carried(F.transform(s, lambda d: -d)), lowest)).otherwise(_rounded(c, lowest)))
 
-    return F.when(F.size(parts) > 0, F.coalesce(special, _let(sums, signed)))
+def _of(values: str) -> str:
+    return f"transform(filter({values}, v -> v IS NOT NULL), x -> {_digits_in_place('x')})"
 
 
-def mean(parts: Column) -> Column:
-    return F.try_divide(total(parts), count(parts))
+def total_of(values: str) -> Column:
+    """The exactly rounded sum of an array of doubles, as SQL text (nulls left out)."""
+    return total(_of(values))
 
 
-def total_of(values: Column) -> Column:
-    """The exactly rounded sum of an array of doubles (nulls left out)."""
-    return total(F.transform(F.filter(values, lambda v: v.isNotNull()), digits))
+def mean_of(values: str) -> Column:
+    return mean(_of(values))

@@ -74,11 +74,11 @@ def assignment_parts(src: Sources) -> DataFrame:
 
 def mean_or_zero(parts: str) -> Column:
     """Mean over partial sums that meet in one group; 0 without any."""
-    return F.coalesce(exactsum.mean(F.collect_list(parts)), F.lit(0.0))
+    return F.coalesce(exactsum.mean(f"collect_list({parts})"), F.lit(0.0))
 
 
 def total_or_zero(parts: str) -> Column:
-    return F.coalesce(exactsum.total(F.collect_list(parts)), F.lit(0.0))
+    return F.coalesce(exactsum.total(f"collect_list({parts})"), F.lit(0.0))
 
 
 # ------------------------------------------------------- metric definitions

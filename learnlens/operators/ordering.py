@@ -5,7 +5,7 @@ A plain window sends each key to one task. Here every row also belongs to a
 slice: a function of its own values that never decreases along the order, such
 as the minute of its time. Rows are numbered within (key, slice), a small table
 of the slices' row counts gives each slice its offset within the key, and the
-offsets are joined back. Nothing depends on how Spark happened to place rows,
+offsets travel with the rows. Nothing depends on how Spark happened to place rows,
 so a recomputed or differently pruned branch finds the same slices.
 """
 
@@ -33,17 +33,26 @@ def row_number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     are a slice of their own.
     """
     sliced = df.withColumn("_slice", minute_of(order[0]) if slice_by is None else slice_by)
-    local = sliced.withColumn(
-        "_local", F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order)))
     counts = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_slice").alias("_s"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    same = F.col("_slice").eqNullSafe(F.col("_s"))
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    # One offsets row per key and slice: it grows with the data, so it is
-    # joined by hash on a shuffle, never broadcast on an estimate.
-    out = local.join(offsets.hint("shuffle_hash"), same)
-    return out.withColumn(name, (F.col("_local") + F.col("_offset")).cast("bigint")).select(*df.columns, name)
+    offsets = counts.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+                            F.lit(False).alias("_row"))
+    # The offset goes before the rows of its key and slice, through the same exchange,
+    # so the rows move once and nothing is joined.
+    both = sliced.withColumn("_row", F.lit(True)).unionByName(offsets, allowMissingColumns=True)
+    here = Window.partitionBy(*keys, "_slice").orderBy("_row", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    number = F.first("_offset").over(here) + F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy("_row", *order)) - 1
+    return both.withColumn(name, number.cast("bigint")).where("_row").select(*df.columns, name)
+
+
+def in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position") -> DataFrame:
+    """SRT1: ``df`` sorted by ``keys`` and ``order``, with each row's place ``name`` among
+    the rows of its keys, for keys with a bounded number of rows (a term's days).
+
+    One range exchange by the keys does both: it brings a key's rows to one task, as
+    the numbering needs, and the tasks into the order of the keys, so sorting within
+    them sorts everything.
+    """
+    numbered = df.repartitionByRange(*keys).withColumn(
+        name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+    return numbered.sortWithinPartitions(*keys, *order)

@@ -41,7 +41,7 @@ def daily_scores(src: Sources, kind: str = "quiz", null_day: str = "zero_null")
     scored = _scored(src, kind).withColumn("day", day_of(_TIME_COL[kind]))
     pct = F.col("pct" if null_day == "zero_null" else "raw_pct")
     parts = exactsum.partial_sums(scored, KEYS, {"pct": pct}, {"n_submissions": F.lit(1).cast("bigint")})
-    met = F.collect_list("pct")
+    met = "collect_list(pct)"
     # A missing percent has no part, so fewer values than submissions show it.
     value = F.when(exactsum.count(met) < F.sum("n_submissions"), F.lit(0.0)).otherwise(exactsum.mean(met))
     daily = parts.groupBy(*KEYS).agg(value.alias("value"), F.sum("n_submissions").alias("n_submissions"))
@@ -62,7 +62,7 @@ def weekly_scores(src: Sources, kind: str = "quiz", null_day: str = "zero_null")
     grid = enrolled_weeks(src.enrollments, src.term)
     weekly = aggregate_onto_grid(grid, daily, ("user_id", "course_id", "week"), {
         # Seven days at most: their exact mean, so a tie at the rounding is one always.
-        "avg_score": round_half_even(F.try_divide(exactsum.total_of(F.collect_list("value")), F.count("value")), 1),
+        "avg_score": round_half_even(exactsum.mean_of("collect_list(value)"), 1),
         "min_score": round_half_even(F.min("value"), 1),
         "max_score": round_half_even(F.max("value"), 1),
         "scored_days": F.count("value"),

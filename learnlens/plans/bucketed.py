@@ -75,7 +75,7 @@ class Bucketed:
         weeks = self.days.groupBy(*PAIR, "week").agg(
             F.sum("interactions").alias("n"), F.bit_count(F.bit_or(bit(place))).alias("days"))
         web = _by_key(weeks, "week", "web", F.struct("n", "days"))
-        spent = self.minutes.groupBy(*PAIR, "week").agg(exactsum.total(F.collect_list("minutes")).alias("minutes"))
+        spent = self.minutes.groupBy(*PAIR, "week").agg(exactsum.total("collect_list(minutes)").alias("minutes"))
         quiz = _by_key(spent, "week", "quiz", F.col("minutes"))
         every = self.enrollments.join(web, list(PAIR), "left").join(quiz, list(PAIR), "left")
         weekly = every.select(*PAIR, "web", "quiz", F.explode(F.sequence(

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import exactsum
+from ..functions.scores import round_half_even
 from ..operators import daily, scores, summary
 from ..sources.tables import Sources
 
@@ -105,6 +107,35 @@ def _all_students(src: Sources, spec: MetricSpec, daily_series: bool) -> DataFra
     return summary.weekly_summary(src)
 
 
+def weekly_values(src: Sources, daily_wide: DataFrame | None = None) -> DataFrame:
+    """All twelve metrics as (data_type, metric, label, user_id, course_id, week, value):
+    counts and minutes added up over the week, score cards as charted.
+
+    Each fact is brought to days once, for all metrics (``daily_wide``: a written
+    :func:`learnlens.operators.daily.daily_metrics_wide` mart); one aggregation makes
+    the weeks, and a row per metric is laid out at the end.
+    """
+    wide = daily.daily_metrics_wide(src) if daily_wide is None else daily_wide
+    names = [m.name for m in CATALOGUE if m.kind == "daily"]
+    week = {n: F.sum(n).cast("double") for n in names if n != "quiz_minutes"}
+    week["quiz_minutes"] = exactsum.total_of("collect_list(quiz_minutes)")   # seven days
+    for kind, column in SCORE_DAILY.items():
+        scored = f"CASE WHEN {column} > 0 THEN {column} END"
+        week[f"{kind}_avg"] = round_half_even(exactsum.mean_of(f"collect_list({scored})"), 1)
+        week[f"{kind}_max"] = round_half_even(F.max(F.expr(scored)), 1)
+    weekly = wide.groupBy("user_id", "course_id", "week").agg(*[c.alias(n) for n, c in week.items()])
+
+    def value(m: MetricSpec) -> str:
+        if m.kind == "daily":
+            return m.name
+        return "daily_interactions" if m.kind == "weekly_summary" else f"{m.name}_{'max' if 'Max' in m.metric else 'avg'}"
+
+    rows = F.array(*[F.struct(F.lit(m.data_type).alias("data_type"), F.lit(m.metric).alias("metric"),
+                              F.lit(m.label).alias("label"), F.col(value(m)).alias("value")) for m in CATALOGUE])
+    return weekly.select("user_id", "course_id", "week", F.explode(rows).alias("r")).select(
+        "r.data_type", "r.metric", "r.label", "user_id", "course_id", "week", "r.value")
+
+
 def label(data_type: str, metric_name: str) -> str:
     return lookup(data_type, metric_name).label
 

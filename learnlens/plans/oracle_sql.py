@@ -735,6 +735,13 @@ SELECT user_id, cached_at, CAST(age_days AS DOUBLE) AS age_days,
 FROM aged"""
 
 
+def stored_ages_sql() -> str:
+    return _with("""
+SELECT c_custkey AS user_id, CASE WHEN e.user_id IS NULL THEN 'missing' ELSE '3 days ago' END AS age,
+       e.user_id IS NOT NULL AS fresh, CAST(c_custkey AS VARCHAR) AS file_label
+FROM customer LEFT JOIN (SELECT DISTINCT user_id FROM enrollments) e ON e.user_id = c_custkey""")
+
+
 def storage_labels_sql() -> str:
     return """
 SELECT c_custkey, regexp_replace(c_name || ' / é@' || c_mktsegment, '[^A-Za-z0-9._-]', '_', 'g') AS file_label,

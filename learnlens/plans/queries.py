@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
-from datetime import date, datetime
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,24 +129,28 @@ def _labels(spark: SparkSession, d: str) -> DataFrame:
 def _ordered(src: Sources) -> DataFrame:
     """The chart order with each row's place in its student's and course's series."""
     rows = catalogue.metric(src, "Web Activities", "Daily Web Activity")
-    placed = ordering.row_number_within(rows, ["user_id", "course_id"], ["week", "day"], "position", F.col("week"))
-    return placed.orderBy("user_id", "course_id", "week", "day")
-
-
-def _catalogue_weeks(src: Sources) -> DataFrame:
-    """All twelve metrics of the catalogue in one frame, by week."""
-    out = None
-    for m in catalogue.CATALOGUE:
-        rows = catalogue.metric(src, m.data_type, m.metric)
-        if m.kind == "daily":
-            rows = rows.groupBy("user_id", "course_id", "week").agg(F.sum("value").cast("double").alias("value"))
-        else:
-            value = {"weekly_summary": "total_interactions", "weekly_scores": "max_score" if "Max" in m.metric else "avg_score"}[m.kind]
-            rows = rows.select("user_id", "course_id", "week", F.col(value).cast("double").alias("value"))
-        rows = rows.select(F.lit(m.data_type).alias("data_type"), F.lit(m.metric).alias("metric"),
-                           F.lit(catalogue.label(m.data_type, m.metric)).alias("label"), "user_id", "course_id", "week", "value")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return ordering.in_order(rows, ["user_id", "course_id"], ["week", "day"])
+
+
+def _stored_ages(spark: SparkSession, d: str) -> DataFrame:
+    """Ages of a written extract, by its files, three days from now, for all customers."""
+    src = sources(spark, d)
+    root = f"{shared_folder(spark)}/extract-{uuid.uuid4().hex}"
+    extracts.write_extract(src, root)
+    wanted = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("user_id"))
+    later = datetime.now(timezone.utc).replace(tzinfo=None) + timedelta(days=3, hours=1)
+    return extracts.extract_ages(spark, root, later, wanted).select("user_id", "age", "fresh", "file_label")
+
+
+def _stored_answer(query_type: str, span: tuple | None) -> Query:
+    """An answer from a written extract, read back."""
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        src = sources(spark, d)
+        root = f"{shared_folder(spark)}/extract-{uuid.uuid4().hex}"
+        extracts.write_extract(src, root)
+        start, end = span or (None, None)
+        return extracts.query(extracts.Extract.read(spark, root, src.term), query_type, start=start, end=end)
+    return run
 
 
 def _answer(query_type: str, span: tuple | None) -> Callable[[Sources], DataFrame]:
@@ -335,7 +339,7 @@ def _catalogue() -> dict[str, tuple[Callable[[Sources], DataFrame], str | None]]
         "reflections_after_deletes": (_after_deletes, sql.reflections_after_deletes_sql()),
         "reflection_documents": (_documents, sql.reflection_documents_sql()),
         "ordered_interactions": (_ordered, sql.ordered_interactions_sql()),
-        "catalogue_weeks": (_catalogue_weeks, sql.catalogue_weeks_sql()),
+        "catalogue_weeks": (catalogue.weekly_values, sql.catalogue_weeks_sql()),
         "known_courses": (lambda s: courses.known_courses(_known(s)), sql.known_courses_sql()),
         "known_course_labels": (lambda s: courses.course_labels(_known(s)), sql.known_course_labels_sql()),
         "student_interactions": (lambda s: catalogue.metric(s, "Web Activities", "Daily Web Activity", user_id=STUDENT),
@@ -367,6 +371,9 @@ _ON_TABLES = {
                                  sql.daily_web_activity_sql()),
     "incremental_quiz_data": (_folded(lambda m: m.extract().quiz_data), sql.extract_quiz_data_sql()),
     "incremental_completion": (_folded(lambda m: m.completion()), sql.completion_sql()),
+    "extract_ages_stored": (_stored_ages, sql.stored_ages_sql()),
+    "stored_quiz_scores": (_stored_answer("quiz_scores", DAYS), sql.answer_sql("quiz_scores", DAYS)),
+    "stored_file_access": (_stored_answer("file_access", DAYS), sql.answer_sql("file_access", DAYS)),
     "extract_ages": (_ages, sql.extract_ages_sql(AGE_CLOCK)),
     "storage_labels": (_labels, sql.storage_labels_sql()),
 }
