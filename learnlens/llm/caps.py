@@ -187,42 +187,55 @@ def linked(classes: DataFrame, code: ProductCode, least: float, block: int = BLO
     return dealt.mapInArrow(run, "cid long, more long, other long")
 
 
+def meet_before(passed: list[list[int]], direction: int) -> np.ndarray:
+    """Which rows share a direction below ``direction``, as a matrix: one product of a
+    0/1 matrix of rows and directions with itself, some directions at a time."""
+    lists = [np.array(p, np.int64) for p in passed]
+    lists = [p[p < direction] for p in lists]
+    row = np.repeat(np.arange(len(lists)), [len(p) for p in lists])
+    _, place, often = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    row, place = row[often[place] > 1], place[often[place] > 1]  # others are in one row alone
+    out = np.zeros((len(lists), len(lists)), bool)
+    kept, place = np.unique(place, return_inverse=True)
+    for at in range(0, len(kept), 4096):
+        here = (place >= at) & (place < at + 4096)
+        table = np.zeros((len(lists), min(4096, len(kept) - at)), np.float32)
+        table[row[here], place[here] - at] = 1
+        out |= table @ table.T > 0
+    return out
+
+
 def compare(blobs, passed, n, own, direction, least):
-    """None without a link; else (rows linked to each class, forest i, j)."""
+    """None without a link whose first common direction this one is; else (rows linked
+    to each class by such links, a spanning forest i, j of them). Every link is first
+    in one direction, so no link is counted twice and the forests of all directions
+    connect what the links connect."""
     u = unit_rows(blobs)
-    i, j = np.nonzero(np.triu(u @ u.T >= least, 1))
+    near = np.triu(u @ u.T >= least, 1)
     if own is not None:
-        i, j = i[own[i] != own[j]], j[own[i] != own[j]]
-    if not len(i):
+        near &= own[:, None] != own[None, :]
+    rows = np.flatnonzero(near.any(axis=0) | near.any(axis=1))
+    if not len(rows):
+        return None
+    near = near[np.ix_(rows, rows)]
+    near |= near.T
+    first = near & ~meet_before([passed[r] for r in rows.tolist()], direction)
+    if not first.any():
         return None
-    lists = [np.array(p, np.int64) for p in passed]
-    lists = [p[p < direction] for p in lists]
-    width = max(1, max(map(len, lists)))
-    table = np.full((len(lists), width), -1, np.int64)
-    for r, p in enumerate(lists):
-        table[r, :len(p)] = p
-    first = np.ones(len(i), bool)
-    for at in range(0, len(i), 512):
-        p, q = table[i[at:at + 512]], table[j[at:at + 512]]
-        first[at:at + 512] = ~((p[:, :, None] == q[:, None, :]) & (p[:, :, None] >= 0)).any(axis=(1, 2))
     more = np.zeros(len(blobs), np.int64)
-    np.add.at(more, i[first], n[j[first]])
-    np.add.at(more, j[first], n[i[first]])
-    root = np.arange(len(blobs))
-
-    def find(a: int) -> int:
-        while root[a] != a:
-            root[a] = root[root[a]]
-            a = root[a]
-        return a
-
-    keep = []
-    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-        a, b = find(a), find(b)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            keep.append(k)
-    return more, i[keep], j[keep]
+    more[rows] = first @ n[rows]
+    todo, i, j = np.ones(len(rows), bool), [], []
+    for start in range(len(rows)):
+        frontier = [start] if todo[start] else []
+        todo[start] = False
+        while frontier:
+            at = frontier.pop()
+            found = np.flatnonzero(first[at] & todo)
+            todo[found] = False
+            i.append(np.full(len(found), at))
+            j.append(found)
+            frontier.extend(found.tolist())
+    return more, rows[np.concatenate(i)], rows[np.concatenate(j)]
 
 
 def near_duplicates(rows: DataFrame, least: float = 0.98, id_col: str = "vec_id",
