@@ -4,7 +4,12 @@ A rule is a keyword with a regex for the words before it and one for the words
 after it. Documents are scanned once for the rules' keywords; only around a
 keyword's place, and only for that keyword's rules, is a regex tried. Of
 overlapping detections the enclosing one stays; of equal ones that of the
-rule with the smaller priority number.
+rule with the smaller priority number. A name or grant that is denied ("not
+released under the ...") is no detection.
+
+Rules are of these forms: SPDX identifiers, names, grants ("released under ..."),
+urls, notices, passages of the license texts themselves, and the licenses of a
+list ("MIT or Apache-2.0").
 """
 
 from __future__ import annotations
@@ -70,7 +75,39 @@ CC_VERSIONS = ["", "1 0", "2 0", "2 5", "3 0", "4 0"]
 GRANT = r"(?:licen[sc]ed|released|distributed|available|published|covered|provided|governed) (?:under|by) (?:the )?(?:terms of (?:the )?)?"
 SAYS = r" licen[sc]e"
 #: Form of a rule: (priority, confidence).
-FORMS = {"identifier": (1, 1.0), "grant": (2, 0.95), "url": (3, 0.9), "name": (4, 0.6), "notice": (5, 0.4)}
+FORMS = {"identifier": (1, 1.0), "text": (1, 1.0), "grant": (2, 0.95), "listed": (2, 0.95), "url": (3, 0.9),
+         "name": (4, 0.6), "notice": (5, 0.4)}
+#: Before a name or a grant: what denies it.
+DENIED = (r"(?:^| )(?:not|never|no longer|neither)(?: be| been)?(?: (?:licen[sc]ed|released|distributed|available|published|"
+          r"covered|provided|governed) (?:under|by))?(?:(?: the)? terms of)?(?: the| an?)? $")
+
+# --- Fixed values: passages of public license texts ------------------------
+#: label, words before the keyword, keyword, words after it.
+PASSAGES = [
+    ("mit", "free of charge to any person ", "obtaining", " a copy of this software and associated documentation files"),
+    ("isc", "distribute this software for any purpose with or without ", "fee", " is hereby granted"),
+    ("bsd", "", "redistribution", " and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3-clause", "contributors may be used to ", "endorse", " or promote products derived from this software"),
+    ("bsd-4-clause", "all ", "advertising", " materials mentioning features or use of this software must display"),
+    ("zlib", "this software is provided as is without any ", "express", " or implied warranty"),
+    ("apache-2", "you may not use this file except in ", "compliance", " with the license"),
+    ("bsl", "free of charge to any person or ", "organization", " obtaining a copy of the software"),
+    ("unlicense", "this is free and ", "unencumbered", " software released into the public domain"),
+    ("mpl-2.0", "this source code form is ", "subject", " to the terms of the mozilla public license v 2 0"),
+    ("epl", "this program and the ", "accompanying", " materials are made available under the terms of the eclipse public license"),
+    ("wtfpl", "do what the ", "fuck", " you want to public license"),
+]
+#: The notices that the GNU licenses ask for: name, label, versions.
+NOTICES = [
+    ("gnu general public", "gpl", ["1", "2", "3"]), ("gnu lesser general public", "lgpl", ["2 1", "3"]),
+    ("gnu library general public", "lgpl", ["2"]), ("gnu affero general public", "agpl", ["3"]),
+]
+# --- end of fixed values ---------------------------------------------------
+#: Short names as they are listed side by side: label and words.
+LISTED = [("mit", "mit"), ("apache-2", "apache 2 0"), ("apache-2", "apache 2"), ("gpl", "gpl"), ("gpl-2", "gplv2"),
+          ("gpl-3", "gplv3"), ("lgpl", "lgpl"), ("lgpl-3", "lgplv3"), ("agpl", "agpl"), ("agpl-3", "agplv3"),
+          ("bsd", "bsd"), ("bsd-2-clause", "bsd 2 clause"), ("bsd-3-clause", "bsd 3 clause"), ("mpl-2.0", "mpl 2 0"),
+          ("epl-2.0", "epl 2 0"), ("isc", "isc"), ("zlib", "zlib"), ("cc0", "cc0"), ("unlicense", "unlicense")]
 
 
 def _version(words: str) -> str:
@@ -123,6 +160,22 @@ def rules() -> list[dict]:
             out.append(_rule("grant", label, GRANT + "(?:a )?", f"creative commons {name}",
                              rf"{number}(?: international| unported| generic)?(?:{SAYS})?"))
             out.append(_rule("name", label, "", f"creative commons {name}", number))
+    for label, before, keyword, after in PASSAGES:
+        out.append(_rule("text", label, before, keyword, after))
+    for name, label, versions in NOTICES:
+        for version in versions:
+            number = version.replace(" ", ".") + ("" if " " in version else ".0")
+            stated = rf" (?:either )?version {version} of the license"
+            by = f"{name} license as published by the free software "
+            out.append(_rule("text", f"{label}-{number}", by, "foundation", stated))
+            out.append(_rule("text", f"{label}-{number}-or-later", by, "foundation", rf"{stated} or(?: at your option)? any later version"))
+    names = "|".join(sorted((w for _, w in LISTED), key=len, reverse=True))
+    other = rf"(?:{names})(?: v?[0-9])*(?: only| or later)?"
+    for label, words in LISTED:
+        out.append(_rule("listed", label, rf"{other} (?:or|and) (?:the )?", words, ""))
+        out.append(_rule("listed", label, "", words, rf"(?=(?: licen[sc]e)? (?:or|and) (?:the )?{other} )"))
+        if " " not in words:
+            out.append(_rule("grant", label, GRANT, words, ""))
     for words in ("cc0", "creativecommons org publicdomain zero"):
         out.append(_rule("name", "cc0", "", words, "(?: 1 0)?"))
     for keyword, before in (("reserved", "all rights "), ("domain", "in the public "), ("domain", "into the public ")):
@@ -176,6 +229,11 @@ def detections(found: DataFrame, ruleset: DataFrame) -> DataFrame:
              # A rule without words on a side matches nothing there, which is null.
              .withColumn("l", F.coalesce(F.regexp_substr("left", F.col("before")), F.lit("")))
              .withColumn("r", F.coalesce(F.regexp_substr("right", F.col("after")), F.lit(""))))
+    # A listed name is a detection of its own words; what it is listed with is another's.
+    tried = tried.withColumn("l", F.when(F.col("form") != "listed", F.col("l")).otherwise(""))
+    ahead = F.substring(F.col("left"), F.lit(1), F.length("left") - F.length("l"))
+    ahead = F.when(F.col("l").startswith(" "), F.concat(ahead, F.lit(" "))).otherwise(ahead)
+    tried = tried.where(~(F.col("form").isin("name", "grant", "listed", "notice") & F.rlike(ahead, F.lit(DENIED))))
     return tried.select("row", "rule", "label", "form", "priority", "confidence",
                         (F.col("at") - words_in(F.col("l"))).alias("from"),
                         (F.col("at") + 1 + words_in(F.col("r"))).alias("to"))

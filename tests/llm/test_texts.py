@@ -304,6 +304,82 @@ def test_license_base_places_against_brute_force(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+TEXTS = {
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    "documentation files (the \"Software\"), to deal in the Software without restriction": ["mit"],
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that": ["bsd"],
+    "Redistribution and use in source and binary forms, with or without modification, are permitted. Neither the name of X "
+    "nor the names of its contributors may be used to endorse or promote products derived from this software": ["bsd", "bsd-3-clause"],
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": ["isc"],
+    "This software is provided 'as-is', without any express or implied warranty. In no event": ["zlib"],
+    "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free "
+    "Software Foundation, either version 3 of the License, or (at your option) any later version.": ["gpl-3.0-or-later"],
+    "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; version 2.1 of the "
+    "License.": ["lgpl-2.1"],
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the "
+    "License.": ["apache-2"],
+    "Apache-2.0 OR MIT": ["apache-2", "mit"],
+    "Dual licensed under MIT or GPLv2": ["gpl-2", "mit"],
+    "Not released under the GPL license": [],
+    "It is not licensed under the MIT License but under the ISC license": ["isc", "mit"],   # the base phrase stays
+    "no longer distributed under the terms of the Mozilla Public License": [],
+    "This is free and unencumbered software released into the public domain.": ["unlicense"],
+    "harvard or mit, and nothing else": [],
+}
+
+
+def test_license_texts_lists_and_denials(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(df).collect()}
+    assert {t: got[i] for i, t in enumerate(TEXTS)} == TEXTS
+
+
+def brute_licenses(text):
+    """(labels, score), rule by rule and word by word."""
+    w = ALNUM.findall((text or "").translate(LOW))
+    base, found = set(), []
+    ruleset = [*licenses.rules(), *({"rule": -1, "form": "base", "label": label, "keyword": key, "priority": 0, "confidence": 0.5,
+                                     "before": f"(?:^| ){before} $" if before else "", "after": f"^ {after}(?= )"}
+                                    for before, key, after, label in licenses.BASE)]
+    by_key = {}
+    for r in ruleset:
+        by_key.setdefault(r["keyword"], []).append(r)
+    score = 0.0
+    for i, word in enumerate(w):
+        if word not in by_key:
+            continue
+        left = " ".join(w[max(0, i - licenses.REACH):i]) + (" " if i else "")
+        right = " " + " ".join(w[i + 1:i + 1 + licenses.REACH]) + " "
+        for r in by_key[word]:
+            b, a = re.search(r["before"], left), re.search(r["after"], right)
+            if not b or not a:
+                continue
+            if r["form"] == "base":
+                base.add(r["label"])
+                score = max(score, 0.5)
+                continue
+            before = "" if r["form"] == "listed" else b[0]
+            ahead = left[:len(left) - len(before)] + (" " if before.startswith(" ") else "")
+            if r["form"] in ("name", "grant", "listed", "notice") and re.search(licenses.DENIED, ahead):
+                continue
+            found.append((i - len(before.split()), -(i + 1 + len(a[0].split())), r["priority"], r["rule"], r["label"], r["confidence"]))
+    reach, labels = -1, set(base)
+    for _, to, _, _, label, confidence in sorted(found):
+        if -to > reach:
+            reach = -to
+            labels.add(label)
+            score = max(score, confidence)
+    return sorted(labels), score
+
+
+def test_license_labels_and_scores_against_brute_force(spark):
+    table = read(spark, "documents")
+    extra = [(10_000 + i, t) for i, t in enumerate([*TEXTS, None, "", "mit " * 60, " and ".join(TEXTS)])]
+    df = spark.createDataFrame(table + extra, "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(df).collect()}
+    assert got == {i: brute_licenses(t) for i, t in table + extra}
+
+
 def test_license_rules_are_many_and_compile():
     rules = licenses.rules()
     assert len(rules) > 300 and len({r["rule"] for r in rules}) == len(rules)
