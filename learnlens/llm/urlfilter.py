@@ -53,6 +53,8 @@ LONGEST = 24
 CELLS = 1 << 18
 #: Added to each count.
 SMOOTH = 0.1
+#: Counts that a seed word starts with in its class, as a word of hosts and of paths.
+SEED_COUNT = 3.0
 #: Rows and letters of a chunk of urls, about; of a task's held lookups.
 CHUNK_ROWS, CHUNK_LETTERS, HELD = 5_000, 150_000, 200_000
 
@@ -221,18 +223,43 @@ def token_cells(urls: DataFrame, pages: DataFrame, title: Column) -> DataFrame:
         return pa.Table.from_arrays(
             [*(rows.column(c) for c in names), pa.array(cells, pa.list_(pa.int32()))], names=[*names, "cells"])
 
-    return urls.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(
+    # Dealt by number: the rows are few bytes but much work, so sizes must not decide
+    # how many tasks share it.
+    tasks = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return urls.repartition(tasks, "chunk").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(
         run, f"{fields(urls.drop('chunk'))}, cells array<int>")
 
 
+def fit(ruled: DataFrame) -> tuple[float, np.ndarray]:
+    """(log-odds of block before any token, log-odds that each cell adds) from urls with
+    ``cells`` and the verdict ``ruled``. Counts of at most CELLS cells come to the
+    driver, whatever the input's size."""
+    block, allow = F.count_if(F.col("ruled") == "block"), F.count_if(F.col("ruled") == "allow")
+    classes = ruled.agg(block.alias("bad"), allow.alias("good")).first()
+    bad, good = np.zeros(CELLS), np.zeros(CELLS)
+    for r in ruled.select(F.explode("cells").alias("cell"), "ruled").groupBy("cell").agg(
+            block.alias("bad"), allow.alias("good")).collect():
+        bad[r.cell], good[r.cell] = r.bad, r.good
+    for words, into in ((BLOCK_WORDS, bad), (ALLOW_WORDS, good)):
+        for w in words:
+            for mark in "hp":
+                into[cell(f"{mark}:{w}")] += SEED_COUNT
+    known = int(((bad + good) > 0).sum()) or 1
+    # Only cells that were seen count; the others are alike for both classes.
+    odds = np.where(bad + good > 0, np.log((bad + SMOOTH) / (bad.sum() + SMOOTH * known))
+                    - np.log((good + SMOOTH) / (good.sum() + SMOOTH * known)), 0.0)
+    return math.log(((classes.bad or 0) + 1) / ((classes.good or 0) + 1)), odds.astype(np.float64)
+
+
 def verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
              title: Column | None = None, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for every row.
 
     verdict is the longest fitting rule's, else block where naive Bayes finds
     block likelier than allow (score: its log-odds of block; a tie allows).
-    The classes' priors are equal. Null urls and urls without :// have empty
-    host and path, no tokens, and are allowed. Repeated rows count once each.
+    It learns from the urls that rules decide, with the classes' shares of them as
+    priors; a seed word adds ``SEED_COUNT`` counts of its own. Null urls and urls without :// have empty
+    host and path, no tokens, and the likelier class. Repeated rows count once each.
     With an empty table, or one in which no rule fits, only the seeds teach.
     """
     title = F.regexp_extract(F.coalesce(F.col("html"), F.lit("")), r"<title[^>]*>([^<]*)", 1) if title is None else title
@@ -241,31 +268,14 @@ def verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     urls = common.written(token_cells(
         parts.withColumns({"rule": rule, "ruled": verdict}), pages, title), "cells")
-    # Counts of at most CELLS cells, whatever the input's size.
-    counts = (urls.where("ruled is not null").select(F.explode("cells").alias("cell"), "ruled")
-              .groupBy("cell").agg(F.count_if(F.col("ruled") == "block").alias("bad"),
-                                   F.count_if(F.col("ruled") == "allow").alias("good")).collect())
-    bad, good = np.zeros(CELLS), np.zeros(CELLS)
-    for r in counts:
-        bad[r.cell], good[r.cell] = r.bad, r.good
-    # A seed word weighs as much as a twentieth of all learnt tokens, so that a
-    # few of them outweigh what the rules teach about paths.
-    weight = max(20.0, (bad.sum() + good.sum()) / 20)
-    for words, into in ((BLOCK_WORDS, bad), (ALLOW_WORDS, good)):
-        for w in words:
-            for mark in "hp":
-                into[cell(f"{mark}:{w}")] += weight
-    known = int(((bad + good) > 0).sum()) or 1
-    # Only cells that were seen count; the others are alike for both classes.
-    odds = np.where(bad + good > 0, np.log((bad + SMOOTH) / (bad.sum() + SMOOTH * known)) - np.log((good + SMOOTH) / (good.sum() + SMOOTH * known)), 0.0)
-    odds = odds.astype(np.float64)
+    prior, odds = fit(urls.where("ruled is not null"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column("cells")
             off = lists.offsets.to_numpy()
             total = np.concatenate([[0.0], np.cumsum(odds[lists.values.to_numpy()])])
-            score = np.round(total[off[1:]] - total[off[:-1]], 9)
+            score = np.round(prior + total[off[1:]] - total[off[:-1]], 9)
             mine = np.where(score > 0, "block", "allow")
             ruled = b.column("ruled").to_pylist()
             yield pa.RecordBatch.from_arrays(

@@ -3,8 +3,12 @@ force, exact round trips or held-out accuracy."""
 
 from __future__ import annotations
 
+import math
 import random
+import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -14,6 +18,8 @@ import corpus_pipeline
 from learnlens.llm import caps, common, packing, quality, queries, simhash, toxicity, urlfilter
 from tests.conftest import SF001, SF0001
 
+LOW = str.maketrans(common.UPPER, common.LOWER)
+
 
 def area(scores, labels):
     """Share of pairs that the scores order rightly."""
@@ -188,6 +194,43 @@ def test_decoding_lists_all_exceeding_directions(monkeypatch):
         assert got.tolist() == want
 
 
+def test_a_crowd_of_near_copies_is_compared_at_once():
+    """Links first met in one direction alone, and a forest that connects them."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=16) + 0.02 * rng.normal(size=(1024, 16))
+    passed = [sorted({int(x) for x in rng.integers(0, 40, 6)} | {50}) for _ in v]
+    n, own = rng.integers(1, 4, 1024), rng.integers(0, 2, 1024)
+    begun = time.perf_counter()
+    more, i, j = caps.compare([x.astype("<f8").tobytes() for x in v], passed, n, None, 50, 0.98)
+    assert time.perf_counter() - begun < 5
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    first = (u @ u.T >= 0.98) & np.array([[not ({*p} & {*q} - {50}) for q in passed] for p in passed])
+    np.fill_diagonal(first, False)
+    assert more.tolist() == (first @ n).tolist() and first[i, j].all()
+    root = list(range(1024))
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        a, b = root[a], root[b]
+        assert a != b                                  # no edge is spare
+        root = [a if r == b else r for r in root]
+    assert all(root[a] == root[b] for a, b in zip(*np.nonzero(first), strict=True))
+    across, _, _ = caps.compare([x.astype("<f8").tobytes() for x in v], passed, n, own, 50, 0.98)
+    assert across.tolist() == ((first & (own[:, None] != own)) @ n).tolist()
+
+
+def test_three_block_codes_find_close_pairs():
+    """Tables of over 2^20 rows take codes of three blocks: recall at the least cosine."""
+    rng = np.random.default_rng(4)
+    code = caps.ProductCode(32, (1 << 20) + 1)
+    assert code.blocks == 3
+    a = rng.normal(size=(300, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = rng.normal(size=a.shape)
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    b = 0.98 * a + np.sqrt(1 - 0.98 ** 2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    met = [bool({*p.tolist()} & {*q.tolist()}) for p, q in zip(code.decode(a), code.decode(b), strict=True)]
+    assert np.mean(met) >= 0.97
+
+
 # ---- urls
 
 
@@ -206,6 +249,60 @@ def test_url_parts_rules_and_verdicts(spark):
     assert urlfilter.verdicts(pages.limit(0)).count() == 0
 
 
+def brute_verdicts(pages, learn=lambda i: True):
+    """{page_id: (ruled, verdict, score)} with plain counters: words and best splits,
+    class priors, naive Bayes. Learns from the ruled urls that ``learn`` picks."""
+    title = Counter(w for _, _, html in pages for m in re.findall(r"<title[^>]*>([^<]*)", html or "")[:1]
+                    for w in re.findall("[a-z]{2,24}", m.translate(LOW)))
+    own = {*urlfilter.BLOCK_WORDS, *urlfilter.ALLOW_WORDS, *urlfilter.COMMON_WORDS}
+    top = max(title.values(), default=1)
+    split = urlfilter.Segmenter.from_counts({w: float(n) for w, n in title.items()} | {w: max(title[w], top / 10) for w in own})
+    rows = {}
+    for i, url, _ in pages:
+        rest = (url or "").partition("://")[2]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path, host = re.match(r"[^?#]*", rest[len(host):])[0], host.translate(LOW)
+        fits = [(len(h + p), v) for h, p, v in urlfilter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rows[i] = (max(fits)[1] if fits else None, [urlfilter.cell(t) for t in urlfilter.tokens(host, path, split)])
+    ruled = {i: r for i, r in rows.items() if r[0] and learn(i)}
+    count = {v: Counter(t for r in ruled.values() if r[0] == v for t in r[1]) for v in ("block", "allow")}
+    for v, words in (("block", urlfilter.BLOCK_WORDS), ("allow", urlfilter.ALLOW_WORDS)):
+        for w in words:
+            for mark in "hp":
+                count[v][urlfilter.cell(f"{mark}:{w}")] += urlfilter.SEED_COUNT
+    known, smooth = len({*count["block"], *count["allow"]}), urlfilter.SMOOTH
+    total = {v: sum(c.values()) + smooth * known for v, c in count.items()}
+    n = Counter(r[0] for r in ruled.values())
+    prior = math.log((n["block"] + 1) / (n["allow"] + 1))
+    out = {}
+    for i, (rule, cells) in rows.items():
+        score = prior + sum(math.log((count["block"][t] + smooth) / total["block"]) - math.log((count["allow"][t] + smooth) / total["allow"])
+                            for t in cells if t in count["block"] or t in count["allow"])
+        out[i] = (rule, rule or ("block" if score > 0 else "allow"), score)
+    learnt = sum(len(r[1]) for r in ruled.values())
+    return out, learnt / (learnt + urlfilter.SEED_COUNT * 2 * (len(urlfilter.BLOCK_WORDS) + len(urlfilter.ALLOW_WORDS)))
+
+
+def test_url_verdicts_of_every_row_against_a_plain_model(spark):
+    table = common.table(spark, SF0001, "pages")
+    pages = [tuple(r) for r in table.select("page_id", "url", "html").collect()]
+    want, _ = brute_verdicts(pages)
+    got = {r.page_id: r for r in urlfilter.verdicts(table).collect()}
+    assert got.keys() == want.keys() and len(got) == len(pages)
+    for i, (_, verdict, score) in want.items():
+        assert got[i].verdict == verdict and got[i].score == pytest.approx(score, abs=1e-6)
+
+
+def test_url_model_agrees_with_rules_it_has_not_seen(spark):
+    """Four fifths of the urls that rules decide teach; the rest are judged."""
+    pages = [tuple(r) for r in common.table(spark, "/root/testdata/sf0.1", "pages").select("page_id", "url", "html").collect()]
+    found, learnt = brute_verdicts(pages, lambda i: zlib.crc32(str(i).encode()) % 5)
+    held = [(rule, "block" if score > 0 else "allow") for i, (rule, _, score) in found.items()
+            if rule and zlib.crc32(str(i).encode()) % 5 == 0]
+    right = sum(a == b for a, b in held) / len(held)
+    assert learnt > 0.8 and len(held) > 150 and right > 0.95
+
+
 def test_rare_title_words_count_at_any_size(spark):
     """Before, words above 200,000 were dropped from the rare end."""
     letters = "abcdefghijklmnopqrst"
