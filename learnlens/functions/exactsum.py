@@ -139,30 +139,72 @@ def _total(parts: str) -> str:
             + _let("lo", f"array_min(transform({parts}, p -> p.frame)) - 2", number) + "), NULL)")
 
 
+#: Digit sums below this (some hundred values) can be added up in doubles.
+_SMALL = 1 << 40
+
+
+def _small(f: str, h: str, m: str, low: str) -> str:
+    return f"({f} BETWEEN -30 AND 28 AND abs({h}) < {_SMALL}L AND abs({m}) < {_SMALL}L AND abs({low}) < {_SMALL}L)"
+
+
+def _in_doubles(f: str, h: str, m: str, low: str) -> str:
+    """The number with small digit sums in one frame, rounded once: the error of the
+    first addition is found exactly (Knuth's two-sum), and with the lowest digits it is
+    a whole number below 2^53, so only the last addition rounds."""
+    a, b = f"(CAST({h} AS DOUBLE) * {1 << 2 * BITS}D)", f"(CAST({m} AS DOUBLE) * {_BASE})"
+    s = f"({a} + {b})"
+    error = f"(({a} - ({s} - ({s} - {a}))) + ({b} - ({s} - {a})))"
+    return f"(({s} + ({error} + CAST({low} AS DOUBLE))) * pow(2D, ({f} - 2) * {BITS}))"
+
+
+def _sum(parts: str) -> str:
+    """The total of ``parts``, an expression that costs nothing to repeat. Almost
+    always there is one part, of small digits, and no higher-order function runs."""
+    one = [f"get({parts}, 0).{n}" for n in ("frame", "high", "mid", "low")]
+    return (f"IF(size({parts}) = 1 AND get({parts}, 0).special IS NULL AND {_small(*one)}, {_in_doubles(*one)}, "
+            f"IF(size({parts}) > 0, {_let('parts', parts, _total('parts'))}, NULL))")
+
+
+def _counted(parts: str) -> str:
+    return f"IF(size({parts}) = 1, get({parts}, 0).n, {_count(parts)})"
+
+
 def count(parts: str) -> Column:
     """How many values the parts (an array, as SQL text) were made of."""
-    return F.expr(_count(parts))
+    return F.expr(_counted(parts))
 
 
 def total(parts: str) -> Column:
     """The sum of the values that ``parts`` (SQL text of an array of :func:`digits` or of
     partial sums) were made of, rounded once; null without any value. NaN and
     infinities add up as usual."""
-    return F.expr(_let("parts", parts, _total("parts")))
+    return F.expr(_sum(parts))
 
 
 def mean(parts: str) -> Column:
-    return F.expr(_let("parts", parts, f"try_divide({_total('parts')}, {_count('parts')})"))
+    return F.expr(f"try_divide({_sum(parts)}, {_counted(parts)})")
+
+
+def _sum_of(values: str) -> str:
+    """The total of the variable ``values``, an array without nulls: its digits, added up
+    in place where they share a frame."""
+    parts = f"transform({values}, x -> {_digits_in_place('x')})"
+    adds = ", ".join(f"'{n}', a.{n} + p.{n}" for n in ("high", "mid", "low"))
+    added = (f"aggregate(found, named_struct('frame', get(found, 0).frame, 'high', 0L, 'mid', 0L, 'low', 0L), (a, p) -> named_struct("
+             f"'frame', IF(p.frame = a.frame AND p.special IS NULL, a.frame, NULL), {adds}))")
+    one = [f"all.{n}" for n in ("frame", "high", "mid", "low")]
+    quick = _let("all", added, f"IF({_small(*one)}, {_in_doubles(*one)}, {_total('found')})")
+    return f"IF(size({values}) > 0, {_let('found', parts, quick)}, NULL)"
 
 
-def _of(values: str) -> str:
-    return f"transform(filter({values}, v -> v IS NOT NULL), x -> {_digits_in_place('x')})"
+def _present(values: str) -> str:
+    return f"filter({values}, v -> v IS NOT NULL)"
 
 
 def total_of(values: str) -> Column:
     """The exactly rounded sum of an array of doubles, as SQL text (nulls left out)."""
-    return total(_of(values))
+    return F.expr(_let("given", _present(values), _sum_of("given")))
 
 
 def mean_of(values: str) -> Column:
-    return mean(_of(values))
+    return F.expr(_let("given", _present(values), f"try_divide({_sum_of('given')}, size(given))"))

@@ -83,6 +83,16 @@ def test_arrays_and_special_values(spark):
     assert all(math.isnan(r.s) for r in odd.collect())
 
 
+def test_arrays_are_rounded_once(spark):
+    data = groups()
+    df = spark.createDataFrame(list(enumerate(data)), "k int, a array<double>")
+    for r in df.select("k", exactsum.total_of("a").alias("s"), exactsum.mean_of("a").alias("m")).collect():
+        want = exact(data[r.k])
+        assert bits(r.s) == bits(want)
+        n = sum(v is not None for v in data[r.k])
+        assert bits(r.m) == bits(None if want is None else want / n)
+
+
 def test_means(spark):
     df = spark.createDataFrame([(0, 0.05), (0, 0.1), (1, None)], "k int, v double")
     parts = exactsum.partial_sums(df, ["k"], {"v": F.col("v")})
