@@ -27,9 +27,6 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         # broadcast() hints (operators.joins) are unaffected.
         .config("spark.sql.autoBroadcastJoinThreshold", "-1")
         .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "64m")
-        # Partial sums meet in short lists, a handful a group; the default gives up
-        # hashing for sorting at 128 groups.
-        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "65536")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("LEARNLENS_DRIVER_MEMORY", "8g"))
         .config("spark.sql.parquet.inferTimestampNTZ.enabled", "true")
@@ -57,7 +54,6 @@ def cluster_settings() -> dict[str, str]:
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
         "spark.sql.files.maxPartitionBytes": "256m",
-        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
         "spark.sql.shuffle.partitions": "8000",
     }
 
