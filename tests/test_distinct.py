@@ -74,3 +74,21 @@ def test_spans_of_a_written_mart_read_no_clicks(spark, mart, tmp_path):
 def test_no_clicks(spark):
     days = distinct.click_days(make_sources(spark))
     assert days.count() == 0 and distinct.weekly_files(days).count() == 0
+
+
+def test_the_mart_takes_memory_by_its_clicks(mart):
+    # With a bitmap of 4 KB a row, sorted before it was merged, a task held 4 KB for every click.
+    _, days = mart
+    both = distinct.merged(days.union(days))
+    assert dict(both.dtypes)["files"] == "bigint"
+    plan = distinct.daily_web_activity(both)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    assert days.count() <= len(clicks())
+    assert {r.files is None for r in both.where("bucket IS NULL").collect()} == {True}
+
+
+def test_every_place_of_a_bucket_counts(spark):
+    ids = [*range(-130, 130), 2**63 - 1, -2**63, 2**62]
+    web = [("a", 1, START + timedelta(minutes=i % 50), f) for i, f in enumerate(ids + ids[::2])]
+    days = distinct.click_days(make_sources(spark, web=web, enrollments=[("a", 1)]))
+    assert [(r.file_accesses, r.unique_files) for r in distinct.weekly_files(days).collect()] == [(len(web), len(ids))]
