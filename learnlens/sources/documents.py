@@ -52,8 +52,9 @@ def _typed(variant: Column, path: str, dtype: str) -> Column:
     """A field as text or number alike; missing, null, ``NA`` and unreadable values
     are null."""
     text = F.try_variant_get(variant, path, "string")
-    value = F.when(F.trim(text) != MISSING, text)
-    return value if dtype == "string" else value.try_cast(dtype)
+    if dtype != "string":  # of which ``NA`` is none
+        return text.try_cast(dtype)
+    return F.when(F.trim(text) != MISSING, text)
 
 
 def _is(variant: Column, kind: str) -> Column:
@@ -67,37 +68,40 @@ def staged(texts: DataFrame, user_type: T.DataType = T.StringType()) -> DataFram
     Documents that can't be read at all, and elements that can't, carry the
     ``reason`` and are otherwise left out by :func:`marts`.
     """
-    parsed = texts.select("file", F.try_parse_json("value").alias("v"))
+    # As output of a generator the parsed document is made once: conditions on its fields
+    # would else move below the parsing, and each repeat it and the making of the text.
+    parsed = texts.select("file", F.explode(F.array(F.try_parse_json("value"))).alias("v"))
     v = F.col("v")
     head = parsed.select(
         "file", "v", _typed(v, "$.user_id", "string").try_cast(user_type).alias("user_id"),
         _typed(v, "$.cached_at", "timestamp_ntz").alias("cached_at"),
         F.coalesce(F.try_variant_get(v, "$.courses", "array<variant>"),
                    F.array(F.try_variant_get(v, "$.courses", "variant"))).alias("courses"),
-        *[F.try_variant_get(v, f"$.{m}", "variant").alias(m) for m in FIELDS])
-    reason = F.when(v.isNull(), "not JSON").when(~_is(v, "OBJECT"), "not an object") \
-        .when(F.col("user_id").isNull(), "no user_id").when(F.get("courses", 0).isNull(), "no courses")
+        *[F.try_variant_get(v, f"$.{m}", "array<variant>").alias(m) for m in FIELDS])
+    # Schemas are made of what can't be read only: of a whole document they cost more than reading it.
+    reason = F.when(v.isNull(), "not JSON") \
+        .when(F.col("user_id").isNull(), F.when(~_is(v, "OBJECT"), "not an object").otherwise("no user_id")) \
+        .when(F.get("courses", 0).isNull(), "no courses")
     for m in FIELDS:  # an empty dataset may be written as an empty object
-        bad = F.col(m).isNotNull() & ~_is(F.col(m), "ARRAY") & ~F.schema_of_variant(m).isin("VOID", "OBJECT<>")
+        other = F.try_variant_get(v, f"$.{m}", "variant")
+        bad = F.col(m).isNull() & other.isNotNull() & ~F.schema_of_variant(other).isin("VOID", "OBJECT<>")
         reason = reason.when(bad, f"{m} is no array")
     checked = head.withColumn("reason", reason)
     whole = F.col("reason").isNull()
-    empty = F.array().cast("array<variant>")
-    parts = [F.struct(F.lit(HEADER).alias("part"), F.array(F.parse_json(F.lit("null"))).alias("values")),
-             F.struct(F.lit("courses").alias("part"), F.when(whole, F.col("courses")).otherwise(empty).alias("values"))]
-    for m in FIELDS:
-        values = F.when(whole, F.try_variant_get(m, "$", "array<variant>"))
-        parts.append(F.struct(F.lit(m).alias("part"), F.coalesce(values, empty).alias("values")))
-    rows = checked.select("file", "user_id", "cached_at", "reason", F.explode(F.array(*parts)).alias("p")).select(
-        "file", "user_id", "cached_at", F.col("p.part").alias("part"), "reason",
-        F.posexplode("p.values").alias("pos", "value"))
-    value, part = F.col("value"), F.col("part")
+    # Parts first, then their elements: a condition on the part goes between the two.
+    parts = checked.select("file", "user_id", "cached_at", "courses", *FIELDS, "reason",
+                           F.explode(F.array(*[F.lit(p) for p in (HEADER, "courses", *FIELDS)])).alias("part"))
+    part = F.col("part")
+    values = F.when(part == HEADER, F.array(F.parse_json(F.lit("null"))))
+    for p in ("courses", *FIELDS):
+        values = values.when((part == p) & whole, F.col(p))
+    rows = parts.select("file", "user_id", "cached_at", "part", "reason", F.posexplode(values).alias("pos", "value"))
+    value = F.col("value")
     wrong = F.when((part == "courses") & _typed(value, "$", "bigint").isNull(), "no course number")
     for m, fields in FIELDS.items():
-        own = part == m
-        wrong = wrong.when(own & ~_is(value, "OBJECT"), "not an object")
         for name, dtype in list(fields.items())[:2]:
-            wrong = wrong.when(own & _typed(value, f"$.{name}", dtype).isNull(), f"no {name}")
+            why = F.when(~_is(value, "OBJECT"), "not an object").otherwise(f"no {name}")
+            wrong = wrong.when((part == m) & _typed(value, f"$.{name}", dtype).isNull(), why)
     return rows.select("file", "user_id", "cached_at", "part", "pos", "value",
                        F.coalesce("reason", wrong).alias("reason"))
 
@@ -118,13 +122,18 @@ def marts(rows: DataFrame, term: Term) -> dict[str, DataFrame]:
     good = rows.where("reason IS NULL")
     newest = good.where(F.col("part") == HEADER).groupBy(F.col("user_id").alias("_user")).agg(
         F.max("cached_at").alias("_newest"))
-    kept = good.join(newest, (F.col("user_id") == F.col("_user")) & F.col("cached_at").eqNullSafe(F.col("_newest")),
-                     "left_semi")
-    out = {"courses": kept.where("part = 'courses'").groupBy(
-        "user_id", _typed(F.col("value"), "$", "bigint").alias("course_id")).agg(F.max("cached_at").alias("cached_at"))}
+
+    def kept(part: str, **fields: Column) -> DataFrame:
+        """The part's elements, typed before they are moved to be compared."""
+        typed = good.where(F.col("part") == part).select("user_id", "cached_at", *[c.alias(n) for n, c in fields.items()])
+        same = (F.col("user_id") == F.col("_user")) & F.col("cached_at").eqNullSafe(F.col("_newest"))
+        return typed.join(newest, same, "left_semi")
+
+    value = F.col("value")
+    out = {"courses": kept("courses", course_id=_typed(value, "$", "bigint")).groupBy("user_id", "course_id").agg(
+        F.max("cached_at").alias("cached_at"))}
     for m, fields in FIELDS.items():
-        typed = kept.where(F.col("part") == m).select("user_id", *[
-            _typed(F.col("value"), f"$.{name}", dtype).alias(name) for name, dtype in fields.items()])
+        typed = kept(m, **{name: _typed(value, f"$.{name}", dtype) for name, dtype in fields.items()}).drop("cached_at")
         time = list(fields)[1]
         out[m] = typed.withColumn("week", F.coalesce("week", week_of(time, term)))
     return out

@@ -113,3 +113,35 @@ def test_no_documents(spark):
     staged = documents.staged(none)
     assert documents.rejects(staged).count() == 0
     assert all(df.count() == 0 for df in documents.marts(staged, REFERENCE_TERM).values())
+
+
+def test_a_document_is_parsed_once_for_each_use(spark):
+    # Conditions on its fields used to move below the parsing and repeat it, and the making of the text.
+    from pyspark.sql import functions as F
+    users = spark.range(3).select(F.concat(F.lit("cached_data_"), "id", F.lit(".json")).alias("file"), F.to_json(F.struct(
+        F.col("id").alias("user_id"), F.lit(28301).alias("courses"), F.array(F.struct(
+            F.lit(28301).alias("course_id"), F.lit("2024-11-12").alias("day"))).alias("web_activity_data"))).alias("value"))
+    web = documents.marts(documents.staged(users), REFERENCE_TERM)["web_activity_data"]
+    plan = web._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 2  # the newest documents, and their elements
+    assert rows(web, "user_id", "day", "week") == [(str(i), date(2024, 11, 12), 1) for i in range(3)]
+
+
+ODD = {"null": "null", "five": "5", "text": '"x"', "nouser": '{"user_id": null, "courses": 1}', "na": '{"user_id": " NA ", "courses": 1}',
+       "nulls": '{"user_id": "a", "courses": [1, null, "NA"], "quiz_data": [null, [], {"course_id": "NA"}], "web_activity_data": null, '
+                '"file_access_data": {}}',
+       "object": '{"user_id": "b", "courses": 1, "assignment_data": {"course_id": 1}}', "nullcourse": '{"user_id": "c", "courses": null}'}
+
+
+def test_odd_values_keep_their_reasons(spark):
+    texts = spark.createDataFrame([(k, v) for k, v in ODD.items()] + [("none", None)], "file string, value string")
+    staged = documents.staged(texts)
+    assert rows(documents.rejects(staged)) == sorted([
+        ("none", "document", 0, "not JSON"), ("null", "document", 0, "not an object"), ("five", "document", 0, "not an object"),
+        ("text", "document", 0, "not an object"), ("nouser", "document", 0, "no user_id"), ("na", "document", 0, "no user_id"),
+        ("nulls", "courses", 1, "no course number"), ("nulls", "courses", 2, "no course number"),
+        ("nulls", "quiz_data", 0, "not an object"), ("nulls", "quiz_data", 1, "not an object"), ("nulls", "quiz_data", 2, "no course_id"),
+        ("object", "document", 0, "assignment_data is no array"), ("nullcourse", "courses", 0, "no course number")],
+        key=lambda t: tuple((x is None, str(x)) for x in t))
+    assert {m: df.count() for m, df in documents.marts(staged, REFERENCE_TERM).items()} == {
+        "courses": 1} | dict.fromkeys(documents.FIELDS, 0)
