@@ -92,3 +92,10 @@ def test_every_place_of_a_bucket_counts(spark):
     web = [("a", 1, START + timedelta(minutes=i % 50), f) for i, f in enumerate(ids + ids[::2])]
     days = distinct.click_days(make_sources(spark, web=web, enrollments=[("a", 1)]))
     assert [(r.file_accesses, r.unique_files) for r in distinct.weekly_files(days).collect()] == [(len(web), len(ids))]
+
+
+def test_marts_are_not_merged_where_they_lie(mart):
+    # The same partitions of all marts in one task took memory by the number of marts.
+    _, days = mart
+    plan = distinct.merged(days.union(days))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange hashpartitioning") < plan.index("Union")
