@@ -29,6 +29,8 @@ PASSED = 100
 FEWEST = 50
 #: Directions for each row: so many that unrelated vectors seldom meet.
 SPARSE = 64
+#: Shared directions that are broadcast, by their count; more are joined by a sort.
+FEW = 50_000
 
 
 class ProductCode:
@@ -151,15 +153,19 @@ def linked(classes: DataFrame, code: ProductCode, least: float, block: int = BLO
     none). Only directions that two classes or more pass go on, and vectors
     travel for those alone. Pairs are counted in the smallest direction that
     they share, and a task emits counts and a spanning forest, never its pairs.
+
+    The joins say themselves how they go: Spark takes a list for one direction and a
+    table for the size of its files, and would broadcast what the driver can't hold.
     """
     lists = common.written(listed(classes, code), "listed")
     members = lists.select("label", "cid", F.explode("passed").alias("direction"))
-    shared = (members.groupBy("label", "direction").agg(F.count("*").alias("m")).where("m > 1")
-              .select("label", "direction", F.ceil(F.col("m") / block).cast("int").alias("blocks")))
-    dealt = (members.join(shared, ["label", "direction"])
+    shared = common.written(
+        members.groupBy("label", "direction").agg(F.count("*").alias("m")).where("m > 1")
+        .select("label", "direction", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "shared")
+    dealt = (members.join(shared.hint("broadcast" if shared.count() <= FEW else "merge"), ["label", "direction"])
              .withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
              .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .join(lists.select("cid", "n", "v", "passed"), "cid")
+             .join(lists.select("cid", "n", "v", "passed").hint("merge"), "cid")
              .groupBy("label", "direction", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"))
              .agg(F.collect_list(F.struct("own", "cid", "n", "v", "passed")).alias("x"))
              .select("direction", (F.col("lo") != F.col("hi")).alias("across"), "x"))
@@ -272,7 +278,8 @@ def near_duplicates(rows: DataFrame, least: float = 0.98, id_col: str = "vec_id"
     per_class = (named.join(names, "root").join(more, F.col("cid") == F.col("c1"), "left")
                  .select(F.col("label").alias("l"), F.col("v").alias("w"), "component_id",
                          (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links")))
-    valid = (base.join(per_class, (F.col("label") == F.col("l")) & (F.col("v") == F.col("w")))
+    # A left join, as only its right side can be broadcast: many copies make a small file.
+    valid = (base.where("v is not null").join(per_class, (F.col("label") == F.col("l")) & (F.col("v") == F.col("w")), "left")
              .select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id"))
     return (valid.union(unlinked(base))
             .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))))

@@ -169,6 +169,35 @@ def test_cap_filters_find_every_link(spark, monkeypatch, block):
     assert caps.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_cap_filters_broadcast_nothing_by_its_files(spark, monkeypatch):
+    """At Spark's own threshold: files are small for lists of directions and for many copies,
+    so neither may be broadcast for that; a few directions, counted, may."""
+    monkeypatch.setattr(caps, "FEW", 100, raising=False)
+    plans, linked = {}, caps.linked
+
+    def planned(df):
+        return df._jdf.queryExecution().sparkPlan().toString()
+
+    def kept(classes, code, least):
+        found = linked(classes, code, least)
+        plans[code.words > 1] = planned(found)
+        return found
+
+    monkeypatch.setattr(caps, "linked", kept)
+    first = vectors()
+    rows = first + [(1000 + i, *first[0][1:]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        out = caps.near_duplicates(df)
+        assert "Broadcast" not in plans[True] and plans[False].count("BroadcastHashJoin") == 1
+        assert "BuildLeft" not in planned(out)
+        assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in out.collect()} == brute_links(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+
+
 @pytest.mark.parametrize("dim, n", [(64, 1000), (64, 500_000), (16, 5000), (256, 50_000)])
 def test_cap_filter_recall_by_size(dim, n):
     rng = np.random.default_rng(7)
